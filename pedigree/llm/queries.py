@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import html_extract, secret_scan
+from pedigree.llm import html_extract, mixing, secret_scan
 from pedigree.llm.common import table
 
 
+#: Target weights of the production mix; sources that are not named share the last one.
+MIX_WEIGHTS = {f"src{i}": 20 + 5 * (i % 7) for i in range(20)}
+MIX_OTHER, MIX_BLOCK = 25, 32
+
+
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source"), MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK).drop("source")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -19,8 +28,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mix": op1_pfair_mix,
     "op4_secret_scan": op4_secret_scan,
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pfair_mix": mixing.oracle(MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK),
+}
