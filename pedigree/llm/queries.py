@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import decontaminate, html_extract, mixing, secret_scan
+from pedigree.llm import decontaminate, html_extract, mixing, secret_scan, substring_dedup
 from pedigree.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source"), MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK).drop("source")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_text")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,6 +37,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
@@ -40,4 +45,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_pfair_mix": mixing.oracle(MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK),
+    "op2_substring_dedup": substring_dedup.oracle(),
 }
