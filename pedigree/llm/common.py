@@ -11,6 +11,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy kernels look at in one go; a longer document is one slice of its own.
@@ -38,6 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, packed): texts compressed for a shuffle."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [None if x is None else press.compress(x.encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its second column as texts again."""
+    press = zstandard.ZstdDecompressor()
+    texts = [None if x is None else press.decompress(x).decode() for x in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=[batch.schema.names[0], "text", *batch.schema.names[2:]])
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
     """Cut a batch into runs of rows that hold about `limit` bytes of text; a longer text is alone in its run."""
     if not batch.num_rows:
