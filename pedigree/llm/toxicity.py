@@ -18,6 +18,7 @@ labels, or 0.5 without labels; repeated rows get the same score; other columns a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,10 +180,9 @@ def _features(column: pa.Array, ratios: Ratios) -> np.ndarray:
     return out
 
 
-def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Rows that are the first with their least word-pair hash."""
-    h = word_hashes(data, starts, ends)
-    pair = mix(h + np.roll(h, -1) * np.uint64(3))
+    pair = mix(hashes + np.roll(hashes, -1) * np.uint64(3))
     least = [int(pair[a : max(a + 1, b - 1)].min()) if b > a else -1 for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
     keep = np.zeros(len(least), bool)
     keep[np.unique(np.array(least, dtype=object), return_index=True)[1]] = True
@@ -234,33 +234,51 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(limits.per_class) for y in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1]).groupBy("id").agg(F.max("y").alias("y"))
     # At most 2 * per_class rows of two numbers.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, limits.document_chars).alias("text")).join(F.broadcast(drawn), "id").toArrow()
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, limits.document_chars).alias("text")).join(F.broadcast(drawn), "id")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()  # bounded by `limits`
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_train(rows, limits, prior))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.select("id", "y", "text").coalesce(1).mapInArrow(train, "model binary").first()["model"])
+
+
+def _train(rows: pa.Table, limits: Limits, prior: float) -> Model:
+    """The model from the sample's (id, y, text) rows."""
     rows = rows.sort_by("id").combine_chunks()
     y = rows["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return Model(None, None, prior)
-    column = rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"]
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    data, offsets = text_bytes(pc.utf8_lower(column))
-    starts, ends, first = words(data, offsets, _GAPS)
-    _, one, same = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    column = pa.concat_arrays(rows["text"].chunks)
+    pieces, hashes, starts, ends, first, size = [], [], [], [], [0], 0
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+        data, offsets = text_bytes(pc.utf8_lower(part.column(0)))
+        lo, hi, at = words(data, offsets, _GAPS)
+        hashes.append(word_hashes(data, lo, hi))
+        starts.append(lo + size)
+        ends.append(hi + size)
+        first += (at[1:] + first[-1]).tolist()
+        pieces.append(data)
+        size += len(data)
+    data, hashes, starts, ends, first = np.concatenate(pieces), np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), np.array(first)
+    _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
     if not len(one):
         return Model(None, None, prior)
-    unique = _distinct(data, starts, ends, first)
-    fold = np.asarray(mix(rows["id"].to_numpy().view(np.uint64)) % np.uint64(limits.folds), np.int64)
+    unique = _distinct(hashes, first)
+    fold = np.asarray(mix(rows["id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(limits.folds), np.int64)
     # Each document counts a word once, and copies (same least word pair) count as one document.
     row = np.repeat(np.arange(len(y)), np.diff(first))
-    pairs = np.unique(np.stack([row, same]), axis=1)
-    pairs = pairs[:, unique[pairs[0]]]
-    cell = (y * limits.folds + fold)[pairs[0]]
-    weights = np.stack([np.bincount(pairs[1][cell == c], minlength=len(one)) for c in range(2 * limits.folds)]).astype(np.float32)
+    pairs = np.unique(row * len(one) + same)
+    row, same = np.divmod(pairs[unique[pairs // len(one)]], len(one))
+    cell = (y * limits.folds + fold)[row]
+    weights = np.stack([np.bincount(same[cell == c], minlength=len(one)) for c in range(2 * limits.folds)]).astype(np.float32)
     counted = _Counts(data, starts[one], ends[one], weights)
     folds = list(range(limits.folds))
     x = np.zeros((len(y), 3 + len(LEVELS)))
     for f in folds:
-        mine = np.flatnonzero(fold == f)
-        if len(mine):
-            x[mine] = _features(column.take(pa.array(mine)), counted.ratios([k for k in folds if k != f], limits.folds))
+        mine, ratios = np.flatnonzero(fold == f), counted.ratios([k for k in folds if k != f], limits.folds)
+        for k in range(0, len(mine), 200):
+            x[mine[k : k + 200]] = _features(column.take(pa.array(mine[k : k + 200])), ratios)
     # The sample is balanced, the corpus is not: rows are weighted back to the labels' shares.
     weight = np.where(y == 1, prior / max(1e-9, (y == 1).mean()), (1 - prior) / max(1e-9, (y == 0).mean()))
     return Model(counted.ratios(folds, limits.folds), _logistic(x[unique], y[unique], weight[unique]), prior)
