@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import chosen_path, decontaminate, html_extract, mixing, secret_scan, substring_dedup, toxicity
+from pedigree.llm import chosen_path, context_mixing, decontaminate, html_extract, mixing, secret_scan, substring_dedup, toxicity
 from pedigree.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op7_chosen_path": op7_chosen_path,
+    "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
 }
