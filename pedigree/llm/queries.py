@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import chosen_path, context_mixing, decontaminate, html_extract, mixing, secret_scan, substring_dedup, toxicity
+from pedigree.llm import chosen_path, context_mixing, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, toxicity
 from pedigree.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality_cotraining": op5_quality_cotraining,
     "op7_chosen_path": op7_chosen_path,
     "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
