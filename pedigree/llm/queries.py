@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import chosen_path, context_mixing, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, toxicity
-from pedigree.llm.common import table
+from pedigree.llm import chosen_path, chroma, context_mixing, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, toxicity
+from pedigree.llm.common import cut, table
 
 
 #: Target weights of the production mix; sources that are not named share the last one.
@@ -36,6 +36,12 @@ def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: each vector is rendered as a recording, and queries are the rows whose id 50 divides."""
+    prints = cut(chroma.fingerprints(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", chroma.render))
+    return chroma.identify(prints)
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_cotraining": op5_quality_cotraining,
+    "op6_chroma_fingerprints": op6_chroma_fingerprints,
     "op7_chosen_path": op7_chosen_path,
     "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
