@@ -1,4 +1,339 @@
-"""Catalogue of the release-history queries."""
+"""Catalogue of the release-history queries: name -> (spark, sf_dir) -> DataFrame, over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pedigree.functions.columns import major, matches_range, semver_key
+from pedigree.operators import disposition, evaluation, gates, provenance, publisher, store
+from pedigree.plans.oracles import ORACLES  # noqa: F401
+from pedigree.sources import adapters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+NOW = adapters.GATE_NOW_MS
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _joined(c: str, sep: str = ",") -> F.Column:
+    return F.array_join(c, sep).alias(c)
+
+
+def _publisher(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return publisher.extract(adapters.release_history(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return provenance.extract(adapters.release_history(spark, sf_dir))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, full: bool) -> tuple[dict[str, DataFrame], DataFrame]:
+    history = adapters.release_history(spark, sf_dir)
+    found = publisher.extract(history)
+    return found, disposition.verdicts(found, provenance.extract(history)["per_version"] if full else None)
+
+
+@query
+def tenure_blocks(spark, sf_dir):
+    return _publisher(spark, sf_dir)["tenure"].select(
+        "package_id", "block_idx", "identity", "email", "domain", "provider", "first_seen_in_package_ms", "first_provenance_present", "last_provenance_present", "version_count",
+        "first_version", "last_version", "first_published_at_ms", "last_published_at_ms", "duration_ms",
+    )
+
+
+@query
+def transitions(spark, sf_dir):
+    return _publisher(spark, sf_dir)["transitions"].select(
+        "package_id", "from_index", "from_identity", "to_identity", "at_version", "at_published_at_ms", "prior_tenure_versions", "prior_tenure_duration_ms", "gap_ms", "is_overlap", "prior_contribution_count", "is_known", "seen_before", "new_domain", "cell",
+    )
+
+
+@query
+def cell_histogram(spark, sf_dir):
+    return _publisher(spark, sf_dir)["transitions"].groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("package_id").alias("packages"))
+
+
+@query
+def publisher_signals(spark, sf_dir):
+    return _publisher(spark, sf_dir)["signals"]
+
+
+@query
+def package_shape(spark, sf_dir):
+    return _publisher(spark, sf_dir)["shape"]
+
+
+@query
+def identity_profile(spark, sf_dir):
+    return _publisher(spark, sf_dir)["identity_profile"].withColumn("providers_seen", _joined("providers_seen"))
+
+
+@query
+def provenance_streaks(spark, sf_dir):
+    return _records(spark, sf_dir)["per_version"].select("package_id", "rn", "version", "published_at_ms", "email", F.col("major").cast("long").alias("major"), "prior_streak", "streak_after", "baseline_established", "provenance_regression", "in_scope")
+
+
+@query
+def provenance_skipped(spark, sf_dir):
+    return _records(spark, sf_dir)["skipped"]
+
+
+@query
+def baseline_carriers(spark, sf_dir):
+    return _records(spark, sf_dir)["carriers"].select("package_id", "version", _joined("identities"), _joined("emails"), "any_machine", "any_human")
+
+
+@query
+def provenance_rollup(spark, sf_dir):
+    return _records(spark, sf_dir)["rollup"].withColumn("regression_versions", _joined("regression_versions"))
+
+
+@query
+def provenance_per_major(spark, sf_dir):
+    return _records(spark, sf_dir)["per_major"].withColumn("regression_versions", _joined("regression_versions")).withColumn("major", F.col("major").cast("long"))
+
+
+@query
+def transition_verdicts(spark, sf_dir):
+    found = _publisher(spark, sf_dir)
+    return disposition.judge_transitions(found["transitions"], found["shape"], found["identity_profile"], None).select("package_id", "from_index", "at_version", _joined("co_signals", "; "), "disposition", "reason")
+
+
+@query
+def disposition_single(spark, sf_dir):
+    found, judged = _verdicts(spark, sf_dir, False)
+    return disposition.dispositions(found, judged, False).withColumn("reasons", _joined("reasons", "\n"))
+
+
+@query
+def regression_escalators(spark, sf_dir):
+    return disposition.escalators(_records(spark, sf_dir)["per_version"]).select("package_id", "version", _joined("escalators"))
+
+
+@query
+def verdicts_full(spark, sf_dir):
+    return _verdicts(spark, sf_dir, True)[1]
+
+
+@query
+def disposition_full(spark, sf_dir):
+    found, judged = _verdicts(spark, sf_dir, True)
+    return disposition.dispositions(found, judged, True).withColumn("reasons", _joined("reasons", "\n"))
+
+
+def _facts(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFrame:
+    stored, deps = adapters.stored_releases(spark, sf_dir), adapters.release_deps(spark, sf_dir)
+    return gates.facts(adapters.incoming_releases(stored), stored, deps, deps, adapters.release_scripts(spark, sf_dir), adapters.dep_cache(spark, sf_dir) if cache else None, NOW)
+
+
+def _gate_query(name: str) -> None:
+    def run(spark, sf_dir):
+        return gates.evaluate(_facts(spark, sf_dir), name)
+
+    QUERIES["gate_" + name.replace("-", "_")] = run
+
+
+for _name in ("content-hash", "dep-structure", "publisher-identity", "provenance-continuity", "release-age", "scope-boundary"):
+    _gate_query(_name)
+
+
+def _overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    releases = adapters.stored_releases(spark, sf_dir)
+    return releases.where("version_id % 19 = 0").select("package_id", "version_id", "version", F.when(F.col("version_id") % 2 == 0, F.concat(F.lit("ticket "), F.col("version_id").cast("string"))).alias("reason"))
+
+
+def _told(run: DataFrame) -> DataFrame:
+    return run.select("package_id", "version", "disposition", F.posexplode("results").alias("place", "r")).select("package_id", "version", "disposition", F.col("place").cast("long").alias("place"), "r.gate", "r.result", "r.detail")
+
+
+@query
+def gate_runner(spark, sf_dir):
+    return _told(gates.run_gates(_facts(spark, sf_dir)))
+
+
+@query
+def gate_runner_with_overrides(spark, sf_dir):
+    return _told(gates.run_gates(_facts(spark, sf_dir), _overrides(spark, sf_dir)))
+
+
+@query
+def gate_runner_without_cache(spark, sf_dir):
+    return gates.run_gates(_facts(spark, sf_dir, cache=False)).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+@query
+def decision_log_changes(spark, sf_dir):
+    return store.changed_decisions(adapters.observations(spark, sf_dir))
+
+
+@query
+def latest_decision(spark, sf_dir):
+    return store.latest_decisions(store.changed_decisions(adapters.observations(spark, sf_dir)))
+
+
+@query
+def decision_stats(spark, sf_dir):
+    return store.decision_counts(store.changed_decisions(adapters.observations(spark, sf_dir)))
+
+
+@query
+def recent_decisions(spark, sf_dir):
+    return store.recent(store.changed_decisions(adapters.observations(spark, sf_dir)), 5, "obs", "version_id")
+
+
+@query
+def effective_decisions(spark, sf_dir):
+    return store.effective(store.latest_decisions(adapters.observations(spark, sf_dir)), _overrides(spark, sf_dir))
+
+
+@query
+def tarball_denials(spark, sf_dir):
+    return store.denials(store.latest_decisions(adapters.observations(spark, sf_dir)), _overrides(spark, sf_dir))
+
+
+@query
+def package_history(spark, sf_dir):
+    return store.history(adapters.stored_releases(spark, sf_dir), store.latest_decisions(adapters.observations(spark, sf_dir))).select("package_id", "version_id", "version", "published_at", "place", "disposition")
+
+
+@query
+def store_counts(spark, sf_dir):
+    releases = adapters.stored_releases(spark, sf_dir)
+    return releases.agg(F.countDistinct("package_id").alias("packages"), F.count("*").alias("versions"), F.count("integrity_hash").alias("hashed"))
+
+
+@query
+def store_append_new(spark, sf_dir):
+    releases = adapters.stored_releases(spark, sf_dir).select("package_id", "version_id", "version")
+    return store.append_new(releases.where("version_id % 3 <> 0"), releases.where("version_id % 2 = 0"), ["package_id", "version"])
+
+
+@query
+def override_upsert(spark, sf_dir):
+    old = _overrides(spark, sf_dir).withColumn("seq", F.lit(0))
+    changes = adapters.stored_releases(spark, sf_dir).where("version_id % 38 = 0 or version_id % 57 = 0").select("package_id", "version_id", "version", F.lit("changed").alias("reason"), F.lit(1).alias("seq"))
+    return store.upsert(old, changes, ["package_id", "version"]).drop("seq")
+
+
+@query
+def dep_lookup(spark, sf_dir):
+    return store.look_up(adapters.release_deps(spark, sf_dir), adapters.dep_cache(spark, sf_dir), NOW)
+
+
+@query
+def dep_cache_update(spark, sf_dir):
+    cache = adapters.dep_cache(spark, sf_dir)
+    fetched = cache.where("dep in ('supp-1', 'supp-5')").select("dep", F.lit("ok").alias("status"), "first_publish_ms", F.lit(NOW).alias("fetched_at_ms"))
+    return store.note_lookups(cache.where("dep <> 'supp-1'").withColumn("attempts", F.lit(2)), fetched)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry documents, one a package, assembled from the stored releases."""
+    releases = adapters.stored_releases(spark, sf_dir)
+    deps = adapters.release_deps(spark, sf_dir).groupBy("version_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dep", F.lit("^1").alias("range"))))).alias("dependencies"))
+    scripts = adapters.release_scripts(spark, sf_dir).select("version_id", F.when(F.col("has_script"), F.create_map(F.lit("install"), F.lit("node x"))).alias("scripts"))
+    rows = releases.join(deps, "version_id", "left").join(scripts, "version_id", "left")
+    dist = F.struct(F.col("integrity_hash").alias("integrity"), F.col("content_hash").alias("shasum"), F.concat(F.lit("https://r.example/p/-/"), F.col("package_name"), F.lit("-"), F.col("version"), F.lit(".tgz")).alias("tarball"), F.when(F.col("provenance_present"), "{}").alias("attestations"))
+    entry = F.to_json(F.struct(F.col("package_name").alias("name"), dist.alias("dist"), "dependencies", "scripts", F.struct(F.lit("  dev ").alias("name"), F.col("publisher_email").alias("email")).alias("_npmUser")))
+    of = rows.select("package_id", "package_name", "version", "published_at", entry.alias("entry")).groupBy("package_id", "package_name").agg(F.collect_list(F.struct("version", "entry")).alias("v"), F.collect_list(F.struct("version", "published_at")).alias("t"))
+    versions = F.array_join(F.transform("v", lambda x: F.concat(F.lit('"'), x["version"], F.lit('":'), x["entry"])), ",")
+    return of.select("package_id", F.concat(F.lit('{"name":"'), F.col("package_name"), F.lit('","versions":{'), versions, F.lit(',"bad":7},"time":'), F.to_json(F.map_from_entries("t")), F.lit("}")).alias("document"))
+
+
+@query
+def packument_flatten(spark, sf_dir):
+    return store.flatten_packuments(_documents(spark, sf_dir)).withColumn("deps", F.array_join(F.sort_array("deps"), ","))
+
+
+@query
+def packument_first_publish(spark, sf_dir):
+    return store.first_publish(_documents(spark, sf_dir))
+
+
+@query
+def rewrite_versions(spark, sf_dir):
+    return store.rewrite_versions(adapters.stored_releases(spark, sf_dir).select("package_id", "version"), gates.run_gates(_facts(spark, sf_dir)))
+
+
+@query
+def rewrite_dist_tags(spark, sf_dir):
+    versions = adapters.stored_releases(spark, sf_dir).select("package_id", "version")
+    best = versions.groupBy("package_id").agg(F.max_by("version", semver_key(F.col("version"))).alias("latest"), F.min_by("version", semver_key(F.col("version"))).alias("first"))
+    tags = best.select("package_id", F.explode(F.array(F.struct(F.lit("latest").alias("tag"), F.col("latest").alias("target")), F.struct(F.lit("beta").alias("tag"), F.col("latest").alias("target")), F.struct(F.lit("old").alias("tag"), F.col("first").alias("target")))).alias("t")).select("package_id", "t.*")
+    return store.rewrite_tags(tags, store.rewrite_versions(versions, gates.run_gates(_facts(spark, sf_dir))))
+
+
+@query
+def label_filter(spark, sf_dir):
+    return evaluation.usable_labels(adapters.attack_labels(adapters.release_history(spark, sf_dir))).select("label_id", "package_id", "version_id", "affected_range")
+
+
+@query
+def label_targets(spark, sf_dir):
+    history = adapters.release_history(spark, sf_dir)
+    return evaluation.label_targets(evaluation.usable_labels(adapters.attack_labels(history)), history)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame, DataFrame]:
+    history = adapters.release_history(spark, sf_dir)
+    labels = adapters.attack_labels(history)
+    results, parts = evaluation.package_results(history, labels.select("package_id").distinct())
+    return results, parts, evaluation.usable_labels(labels), history
+
+
+@query
+def label_attribution(spark, sf_dir):
+    _, parts, labels, history = _results(spark, sf_dir)
+    return evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], publisher.blocks_of_rows(parts["rows"]))
+
+
+@query
+def package_results(spark, sf_dir):
+    return _results(spark, sf_dir)[0]
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return evaluation.confusion(_results(spark, sf_dir)[0].withColumn("split", F.when(F.col("package_id") % 5 == 0, "test").otherwise("train")), ("split",))
+
+
+@query
+def lag_quartiles(spark, sf_dir):
+    return evaluation.lag_quartiles(label_attribution(spark, sf_dir))
+
+
+@query
+def sensitivity_grid(spark, sf_dir):
+    history = adapters.release_history(spark, sf_dir)
+    return evaluation.sweep(history, adapters.attack_labels(history).select("package_id").distinct(), evaluation.sensitivity_points())
+
+
+@query
+def calibration_best(spark, sf_dir):
+    history = adapters.release_history(spark, sf_dir)
+    return evaluation.best_point(evaluation.sweep(history, adapters.attack_labels(history).select("package_id").distinct(), evaluation.calibration_points()))
+
+
+@query
+def split_checks(spark, sf_dir):
+    packages = adapters.release_history(spark, sf_dir).select("package_id").distinct()
+    return evaluation.split_violations(packages.where("package_id % 5 <> 0 or package_id % 35 = 0"), packages.where("package_id % 5 = 0"), packages.where("package_id % 11 <> 3"), packages.where("package_id % 14 = 0"))
+
+
+@query
+def semver_order(spark, sf_dir):
+    rows = adapters.release_history(spark, sf_dir).select("version").where("length(version) > 0").distinct()
+    return rows.select("version", semver_key(F.col("version")).alias("sort_key"), major(F.col("version")).cast("long").alias("major"))
+
+
+@query
+def range_match(spark, sf_dir):
+    rows = adapters.release_history(spark, sf_dir).select("version").where("length(version) > 0").distinct()
+    ranges = [">=1.2.0 <2.0.0", ">1.10.0-rc.1", "=0.0.1", "<=1.5.3 >0.5.0"]
+    return rows.select("version", F.explode(F.array(*map(F.lit, ranges))).alias("range")).where(matches_range(F.col("version"), F.col("range")))
