@@ -9,7 +9,7 @@ the short windows at cover positions (6 of 31) therefore meets every repeat.
    covered, and it adds no window that its first document lacks.
 2. Anchors are counted by hash, with partial sums before the shuffle; those found in two different
    texts are joined back to their documents.
-3. Only windows that hold such an anchor are extended to full windows, hashed with 128 bits and
+3. Only windows that hold such an anchor are extended to full windows, hashed with 96 bits and
    reduced to the smallest document of each; windows of later documents are joined back.
 4. Every document gets the starts of its covered windows and drops the words under them.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.llm.common import slices, text_bytes, window_hashes, word_hashes, words
+from pedigree.llm.common import Packing, slices, text_bytes, window_hashes, word_hashes, words
 
 #: A perfect difference set, {1, 5, 11, 24, 25, 27} modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -86,26 +86,47 @@ def _anchors(length: int, placed: bool):
                 row, at = s.within(rows, short)
                 keep = cover[at % PERIOD]
                 row, at = row[keep], at[keep]
-                h = window_hashes(s.hashes, s.first[:-1][row] + at, short).view(np.int64)
-                t = np.zeros(len(s.sizes), np.int64)
-                t[rows] = s.whole(rows, 0)
-                columns = {"h": h, "t": t[row]} | ({"doc_id": _ids(part.column(0))[row], "pos": at.astype(np.int32)} if placed else {})
+                columns = {"h": window_hashes(s.hashes, s.first[:-1][row] + at, short).view(np.int64)}
+                if placed:
+                    columns |= {"doc_id": _ids(part.column(0))[row], "pos": at.astype(np.int32)}
+                else:
+                    t = np.zeros(len(s.sizes), np.int64)
+                    t[rows] = s.whole(rows, 0)
+                    columns["t"] = (t >> 24)[row]  # 40 bits tell the texts of one anchor apart
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     return run
 
 
-def _positions(found: pa.Array, t: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, position) of the lists that were found for each row's own text."""
+def _candidates(part: pa.RecordBatch, t: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the anchors found for the id of each row that is not a copy."""
     row, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    texts = dict(zip(rows.tolist(), t.tolist()))
-    for r in rows[np.asarray(found.is_valid())[rows]].tolist():
-        entries = found[r].values
-        for k, own in enumerate(entries.field("t").to_pylist()):
-            if own == texts[r]:
-                values = np.asarray(entries.field("pos")[k].values, np.int64)
-                row.append(np.full(len(values), r))
-                at.append(values)
+    copies = part.column(3).to_pylist()
+    for r, own in zip(rows.tolist(), t.tolist()):
+        if own not in (copies[r] or ()):
+            values = np.asarray(part.column(2)[r].values, np.int64)
+            values = values[values < sizes[r]]  # another text with this id may be longer
+            row.append(np.full(len(values), r))
+            at.append(values)
+    return np.concatenate(row), np.concatenate(at)
+
+
+def _version(t: np.ndarray) -> np.ndarray:
+    """Tells texts with the same id apart."""
+    return (t >> 48).astype(np.int16)
+
+
+def _covered(found: pa.Array, t: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the covered windows that were found for each row's own text."""
+    row, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r, own in zip(rows.tolist(), _version(t).tolist()):
+        if found[r].is_valid:
+            entries = found[r].values
+            for k, version in enumerate(entries.field("v").to_pylist()):
+                if own == version:
+                    values = np.asarray(entries.field("pos")[k].values, np.int64)
+                    row.append(np.full(len(values), r))
+                    at.append(values)
     return np.concatenate(row), np.concatenate(at)
 
 
@@ -117,39 +138,37 @@ def _marks(n: int, row_first: np.ndarray, at: np.ndarray, before: int, after: in
     return np.cumsum(change[:-1]) > 0
 
 
-def _windows(length: int):
+def _windows(length: int, unpack):
     reach = PERIOD - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            for part in slices(batch, 1):
+            for part in (p for piece in unpack(batch.filter(batch.column(2).is_valid())) for p in slices(piece, 1)):
                 s = _Slice(part.column(1))
                 rows = _usable(s, part.column(0), length)
                 t = s.whole(rows, 0)
-                row, at = _positions(part.column(2), t, rows)
+                row, at = _candidates(part, t, rows, s.sizes)
                 marked = _marks(len(s.hashes), s.first[:-1][row], at, reach, 1)
                 row, at = s.within(rows, length)
                 number = s.first[:-1][row] + at
                 keep = marked[number]
                 row, at, number = row[keep], at[keep], number[keep]
-                own = np.zeros(len(s.sizes), np.int64)
-                own[rows] = t
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window_hashes(s.hashes, number, length, lane).view(np.int64)) for lane in (0, 1)] + [pa.array(_ids(part.column(0))[row]), pa.array(own[row]), pa.array(at.astype(np.int32))],
-                    names=["a", "b", "doc_id", "t", "pos"],
-                )
+                version = np.zeros(len(s.sizes), np.int16)
+                version[rows] = _version(t)
+                a, b = (window_hashes(s.hashes, number, length, lane).view(np.int64) for lane in (0, 1))
+                columns = (a, (b >> 32).astype(np.int32), _ids(part.column(0))[row], version[row], at.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "doc_id", "v", "pos"])
 
     return run
 
 
-def _results(length: int):
+def _results(length: int, unpack):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in (p for piece in unpack(batch) for p in slices(piece, 1)):
                 s = _Slice(part.column(1))
                 rows = _usable(s, part.column(0), length)
-                row, at = _positions(part.column(2), s.whole(rows, 0), rows)
+                row, at = _covered(part.column(2), s.whole(rows, 0), rows)
                 copies = at < 0  # a copy is marked by the position -1
                 gone = _marks(len(s.hashes), s.first[:-1][row[~copies]], at[~copies], 0, length)
                 for r in row[copies].tolist():
@@ -184,15 +203,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     copies = whole.join(firsts, ["t", "u"]).where("doc_id > first").select("doc_id", "t").distinct()
 
     shared = docs.mapInArrow(_anchors(length, False), "h long, t long").groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
-    hits = docs.mapInArrow(_anchors(length, True), "h long, t long, doc_id long, pos int").join(shared, "h").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
-    hits = hits.join(copies, ["doc_id", "t"], "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("t", "pos")).alias("found"))
+    hits = docs.mapInArrow(_anchors(length, True), "h long, doc_id long, pos int").join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    hits = hits.join(copies.groupBy("doc_id").agg(F.collect_list("t").alias("copies")), "doc_id", "left")
 
     # Left joins keep the documents' side the same in both places, so that it is shuffled once.
-    windows = docs.join(hits, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_windows(length), "a long, b long, doc_id long, t long, pos int")
+    packing = Packing(docs)
+    packed, unpack = packing.pack(), packing.opener()
+    windows = packed.join(hits, "doc_id", "left").select("doc_id", "packed", "pos", "copies").mapInArrow(_windows(length, unpack), "a long, b int, doc_id long, v short, pos int")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    covered = windows.join(least, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
-    covered = covered.unionByName(copies.select("doc_id", "t", F.array(F.lit(-1)).alias("pos"))).groupBy("doc_id").agg(F.collect_list(F.struct("t", "pos")).alias("found"))
-    return docs.join(covered, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_results(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    covered = windows.join(least, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "v").agg(F.collect_set("pos").alias("pos"))
+    whole_copies = copies.select("doc_id", F.shiftright("t", 48).cast("short").alias("v"), F.array(F.lit(-1)).alias("pos"))
+    covered = covered.unionByName(whole_copies).groupBy("doc_id").agg(F.collect_list(F.struct("v", "pos")).alias("found"))
+    return packed.join(covered, "doc_id", "left").select("doc_id", "packed", "found").mapInArrow(_results(length, unpack), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def oracle(length: int = 50) -> str:
