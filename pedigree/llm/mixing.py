@@ -12,7 +12,7 @@ last cycle and the others' weights are scaled up: one schedule for each of the n
 at most (number of weights + 1) * P rows in all, whatever the corpus holds. Sources without a
 weight share one. Everything is DataFrame expressions.
 
-No key is gathered in one task: a source is ranked in 4,096 parts by the digest of its document
+No key is gathered in one task: a source is ranked in 256 parts by the digest of its document
 ids, and the parts' offsets come from counts that are summed before the shuffle.
 
 Defined cases: a null or unlisted source belongs to the shared class `(other)`; a null id counts as
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 OTHER = "(other)"
 ADDED = ("mix_source", "mix_block", "mix_slot", "mix_pos", "mix_release", "mix_deadline")
-#: Hex digits of the id's digest that split a source: 16**3 parts.
-PART_DIGITS = 3
+#: Hex digits of the id's digest that split a source: 16**2 parts.
+PART_DIGITS = 2
 
 
 def class_column(source: str, weights: dict[str, int]):
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other_weight: int = 1,
 
     within = Window.partitionBy("mix_source", "mix_part_").orderBy("mix_digest_", id_col)
     ranked = keyed.withColumn("mix_rank_", F.row_number().over(within).cast("long") - 1)
-    # At most (weights + 1) * 4,096 rows: a fixed bound.
+    # At most (weights + 1) * 256 rows: a fixed bound.
     ranked = ranked.join(F.broadcast(offsets), ["mix_source", "mix_part_"])
     rank = F.col("mix_before_") + F.col("mix_rank_")
     ranked = ranked.withColumn("mix_block", F.expr(f"(mix_before_ + mix_rank_) div {int(block_rows)}")).withColumn("mix_pos", rank % block_rows)
