@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pedigree.functions.columns import matches_range, rate, semver_key, wilson
 from pedigree.operators import disposition, provenance, publisher
 from pedigree.params import Params
+from pedigree.session import cut
 
 KEYS = ("package_id",)
 
@@ -61,10 +62,10 @@ def package_results(history: DataFrame, attacked: DataFrame, keys: tuple[str, ..
     """One row per package: verdict, attack or not, shape, verdict counts, layers; and the relations it came from."""
     found = publisher.extract(history, keys, p)
     records = provenance.extract(history, keys, p)["per_version"]
-    judged = disposition.verdicts(found, records, keys, p)
+    judged = cut(disposition.verdicts(found, records, keys, p))
     overall = disposition.dispositions(found, judged, True, keys)
     last = last_verdicts(judged, keys)
-    fell = disposition.escalators(records, keys, p)
+    fell = cut(disposition.escalators(records, keys, p))
     worse = fell.where(F.size("escalators") > 0).select(*keys, "version").withColumn("_worse", F.lit(1))
     of_last = last.join(worse, [*keys, "version"], "left").groupBy(*keys).agg(
         F.count_if(F.col("disposition") == "BLOCK").alias("block_transitions"), F.count_if(F.col("disposition") == "WARN").alias("warn_transitions"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pedigree.functions.columns import domain, major, param, semver_key, trim_all
 from pedigree.params import MACHINE_EMAIL, Params
+from pedigree.session import cut
 
 KEYS = ("package_id",)
 
@@ -91,5 +92,5 @@ def rollup(records: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params(
 
 def extract(history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> dict[str, DataFrame]:
     """All relations of the pattern: per_version, carriers, rollup, per_major, skipped."""
-    records = streaks(valid_rows(history, keys), keys, p).withColumn("domain", domain(F.col("email")))
+    records = cut(streaks(valid_rows(history, keys), keys, p).withColumn("domain", domain(F.col("email"))))
     return {"per_version": records, "carriers": carriers(records, keys), "rollup": rollup(records, keys, p), "per_major": per_major(records, keys, p), "skipped": skipped_rows(history, keys)}

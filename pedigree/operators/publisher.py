@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pedigree.functions.columns import domain, identity, param, provider, semver_key
 from pedigree.params import Params
+from pedigree.session import cut
 
 KEYS = ("package_id",)
 
@@ -115,8 +116,8 @@ def profile(sized: DataFrame, blocks: DataFrame, rows: DataFrame, keys: tuple[st
 
 def extract(history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> dict[str, DataFrame]:
     """All relations of the pattern: rows, tenure, transitions, signals, identity_profile, shape."""
-    rows = valid_rows(history, keys)
-    blocks = tenure_blocks(rows, keys, p)
-    moves = transitions(blocks, keys, p)
-    sized = signals(history, rows, blocks, moves, keys, p)
+    rows = cut(valid_rows(history, keys))
+    blocks = cut(tenure_blocks(rows, keys, p))
+    moves = cut(transitions(blocks, keys, p))
+    sized = cut(signals(history, rows, blocks, moves, keys, p))
     return {"rows": rows, "tenure": blocks, "transitions": moves, "signals": sized, "identity_profile": profile(sized, blocks, rows, keys, p), "shape": shape(blocks, sized, keys, p)}

@@ -12,7 +12,7 @@ from pedigree.params import MACHINE_EMAIL
 
 _DIALECTS = {
     "spark": {"ms": "unix_millis(cast({} as timestamp))", "iso": "date_format(cast({} as timestamp), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"},
-    "duckdb": {"ms": "epoch_ms({}::TIMESTAMP)", "iso": "strftime({}::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ')"},
+    "duckdb": {"ms": "(epoch_us({}::TIMESTAMP) // 1000)", "iso": "strftime({}::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ')"},
 }
 
 #: Instant at which the gates are evaluated: 2001-07-04T00:00:00Z.
