@@ -13,8 +13,7 @@ the short windows at cover positions (6 of 31) therefore meets every repeat.
    reduced to the smallest document of each; windows of later documents are joined back.
 4. Every document gets the starts of its covered windows and drops the words under them.
 
-Hot passages: both reductions have map-side partial aggregates and carry only a minimum and a
-maximum, and the joins back are inner equi-joins with one row per hash on the other side, which
+Hot passages: both reductions have map-side partial aggregates and carry one or two numbers, and the joins back are inner equi-joins with one row per hash on the other side, which
 adaptive execution splits when a hash is skewed. No group is ever gathered.
 
 Defined cases: null text has no words; a row with a null id is neither judged nor used against
@@ -210,7 +209,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     packing = Packing(docs)
     packed, unpack = packing.pack(), packing.opener()
     windows = packed.join(hits, "doc_id", "left").select("doc_id", "packed", "pos", "copies").mapInArrow(_windows(length, unpack), "a long, b int, doc_id long, v short, pos int")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
+    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     covered = windows.join(least, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "v").agg(F.collect_set("pos").alias("pos"))
     whole_copies = copies.select("doc_id", F.shiftright("t", 48).cast("short").alias("v"), F.array(F.lit(-1)).alias("pos"))
     covered = covered.unionByName(whole_copies).groupBy("doc_id").agg(F.collect_list(F.struct("v", "pos")).alias("found"))
