@@ -94,7 +94,7 @@ def test_sqlite_bundle_and_signature(spark, tmp_path):
     signer = spark._jvm.java.security.Signature.getInstance("Ed25519")
     signer.initSign(pair.getPrivate())
     signer.update(digest.encode())
-    signature, key = base64.b64encode(bytes(signer.sign())).decode(), bytes(pair.getPublic().getEncoded())
+    signature, key = base64.b64encode(bytes(signer.sign())).decode(), bytes(spark._jvm.java.security.KeyFactory.getInstance("Ed25519").getKeySpec(pair.getPublic(), spark._jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")).getEncoded())
     assert bundle.verify(spark, str(path), f"{digest}  seed.db", signature, key) == "ok"
     assert bundle.verify(spark, str(path), None, signature, key) == "digest missing"
     assert bundle.verify(spark, str(path), "xyz", signature, key) == "digest malformed"
