@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pedigree.params import FREE_WEBMAIL, MACHINE_EMAIL, PRIVACY_PROVIDERS, Parameter
 
-_BLANK = r"[\s   -     　﻿]+"
+#: White space that is trimmed: ASCII, no-break, Ogham, the U+2000 block, line and paragraph ends, ideographic, byte-order mark.
+_BLANK = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Core, prerelease and build of a version.
 SEMVER = r"^([0-9]+)\.([0-9]+)\.([0-9]+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
 
@@ -19,7 +20,7 @@ def param(value: Parameter) -> Column:
 
 def trim_all(c: Column) -> Column:
     """Without any Unicode white space at either end."""
-    return F.regexp_replace(c, rf"^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def clean_text(c: Column, limit: int) -> Column:
@@ -56,7 +57,8 @@ def is_machine(email: Column) -> Column:
 
 def _number(digits: Column) -> Column:
     """Digits so that text order is numeric order, of any length."""
-    short = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    short = F.ltrim(digits, F.lit("0"))
+    short = F.when(short == "", "0").otherwise(short)
     return F.concat(F.lpad(F.length(short).cast("string"), 4, "0"), short)
 
 
@@ -79,10 +81,12 @@ def semver_key(version: Column) -> Column:
     A release sorts after its prereleases, numeric identifiers before others, a shorter list of
     identifiers before its extensions; build metadata does not count.
     """
-    core = F.concat(*[_number(semver_part(version, k)) for k in (1, 2, 3)])
-    ids = F.transform(F.split(semver_part(version, 4), r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), _number(x))).otherwise(F.concat(F.lit("1"), x)))
-    tail = F.coalesce(F.concat(F.lit("-"), F.array_join(ids, "!")), F.lit("~"))
-    return F.when(is_semver(version), F.concat(F.lit("a"), core, tail)).otherwise(F.concat(F.lit("z"), version))
+    v = trim_all(version)
+    core = F.array_join(F.transform(F.split(F.regexp_extract(v, r"^[0-9]+\.[0-9]+\.[0-9]+", 0), r"\."), _number), "")
+    pre = F.regexp_extract(v, SEMVER, 4)
+    ids = F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), _number(x))).otherwise(F.concat(F.lit("1"), x)))
+    tail = F.when(pre == "", "~").otherwise(F.concat(F.lit("-"), F.array_join(ids, "!")))
+    return F.when(v.rlike(SEMVER), F.concat(F.lit("a"), core, tail)).otherwise(F.concat(F.lit("z"), version))
 
 
 def major(version: Column) -> Column:

@@ -81,7 +81,7 @@ def package_results(history: DataFrame, attacked: DataFrame, keys: tuple[str, ..
     return out.select(
         *keys, F.coalesce("attack", F.lit(False)).alias("attack"), "disposition", "shape", "observed_versions_count", "has_sufficient_history", "transition_count", zero("block_transitions"), zero("warn_transitions"),
         zero("provenance_regression_count"), zero("provenance_escalator_fires"), *(zero(f) for f in fires), (F.coalesce("_publisher", F.lit(0)) == 1).alias("publisher_block"),
-    ), found | {"records": records, "judged": judged, "last": last}
+    ), {"rows": found["rows"], "records": records, "judged": judged, "last": last}
 
 
 def confusion(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

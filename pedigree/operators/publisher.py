@@ -114,10 +114,29 @@ def profile(sized: DataFrame, blocks: DataFrame, rows: DataFrame, keys: tuple[st
     return out.select(*keys, F.coalesce("providers_seen", F.array().cast("array<string>")).alias("providers_seen"), (F.coalesce("_p", F.lit(0)) == 1).alias("has_privacy_provider"), (F.coalesce("_u", F.lit(0)) == 1).alias("has_unverified_domain"), F.coalesce("domain_stability", F.lit("stable")).alias("domain_stability"))
 
 
-def extract(history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> dict[str, DataFrame]:
-    """All relations of the pattern: rows, tenure, transitions, signals, identity_profile, shape."""
-    rows = cut(valid_rows(history, keys))
-    blocks = cut(tenure_blocks(rows, keys, p))
-    moves = cut(transitions(blocks, keys, p))
-    sized = cut(signals(history, rows, blocks, moves, keys, p))
-    return {"rows": rows, "tenure": blocks, "transitions": moves, "signals": sized, "identity_profile": profile(sized, blocks, rows, keys, p), "shape": shape(blocks, sized, keys, p)}
+class Pattern(dict):
+    """The pattern's relations, each made when it is first asked for and then kept: rows, tenure, transitions, signals, identity_profile, shape."""
+
+    def __init__(self, history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()):
+        super().__init__()
+        self.history, self.keys_, self.p = history, keys, p
+
+    def __missing__(self, name: str) -> DataFrame:
+        k, p = self.keys_, self.p
+        made = {
+            "rows": lambda: cut(valid_rows(self.history, k)),
+            "tenure": lambda: cut(tenure_blocks(self["rows"], k, p)),
+            "transitions": lambda: cut(transitions(self["tenure"], k, p)),
+            "signals": lambda: cut(signals(self.history, self["rows"], self["tenure"], self["transitions"], k, p)),
+            "identity_profile": lambda: profile(self["signals"], self["tenure"], self["rows"], k, p),
+            "shape": lambda: shape(self["tenure"], self["signals"], k, p),
+        }
+        if name not in made:
+            raise KeyError(name)
+        self[name] = made[name]()
+        return self[name]
+
+
+def extract(history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> Pattern:
+    """All relations of the pattern."""
+    return Pattern(history, keys, p)
