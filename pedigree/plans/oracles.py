@@ -355,3 +355,15 @@ WHERE CASE problem WHEN 'in both' THEN (package_id % 5 <> 0 OR package_id % 35 =
     "semver_order": _versions(f"SELECT version, {key('version')} AS sort_key, {major('version')} AS major FROM vs"),
     "range_match": _versions(" UNION ALL ".join(f"SELECT version, '{r}' AS range FROM vs WHERE {_in_range(t)}" for r, t in _RANGES.items())),
 }
+
+_FULL_NAME = "CASE WHEN version_id % 3 = 2 THEN package_name ELSE '@acme/' || package_name END"
+ORACLES |= {
+    "request_routes": _store(f"""SELECT version_id, CASE WHEN version_id % 5 IN (0, 2) THEN 'unknown' WHEN version_id % 5 = 1 THEN 'packument' ELSE 'tarball' END AS kind, CASE WHEN version_id % 5 NOT IN (0, 2) THEN {_FULL_NAME} END AS name,
+  CASE WHEN version_id % 5 > 2 THEN package_name || '-' || version || '.tgz' END AS filename, CASE WHEN version_id % 5 > 2 THEN version END AS version FROM rel"""),
+    "check_targets": _store("""SELECT target, CASE WHEN NOT seen THEN 'UNKNOWN' ELSE disposition END AS disposition, seen AND overridden AS overridden, CASE WHEN NOT seen THEN 4 WHEN disposition = 'ALLOW' THEN 0 WHEN disposition = 'WARN' THEN 2 ELSE 3 END AS exit_code FROM (
+  SELECT r.package_name || '@' || CASE WHEN r.version_id % 4 = 1 THEN '9.9.9' ELSE r.version END AS target, r.version_id % 4 = 0 AS seen, r.version_id % 19 = 0 AS overridden, CASE WHEN r.version_id % 19 = 0 THEN 'ALLOW' ELSE lt.disposition END AS disposition
+  FROM rel r JOIN lt ON r.package_id = lt.package_id AND r.version_id = lt.version_id WHERE r.version_id % 4 < 2)"""),
+    "store_status": _store("SELECT count(*) AS decisions, count(*) FILTER (disposition = 'ALLOW') AS allow, count(*) FILTER (disposition = 'WARN') AS warn, count(*) FILTER (disposition = 'BLOCK') AS block, (SELECT count(DISTINCT package_id) FROM rel) AS packages, (SELECT count(*) FROM rel) AS versions, (SELECT count(*) FROM rel WHERE version_id % 19 = 0) AS overrides FROM log"),
+    "split_parts": _versions("""SELECT package_id, package_id % 13 = 0 AS attack, CASE WHEN package_id % 26 = 0 OR r <= CASE WHEN package_id % 13 = 0 THEN 1 ELSE 4 END THEN 'test' ELSE 'train' END AS part FROM (
+  SELECT package_id, CASE WHEN package_id % 26 = 0 OR package_id = 13 THEN 1000000 ELSE row_number() OVER (PARTITION BY package_id % 13 = 0, package_id % 26 = 0 OR package_id = 13 ORDER BY md5('20260422-' || package_id), package_id) END AS r FROM (SELECT DISTINCT package_id FROM h0))"""),
+}

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedigree.functions import names
 from pedigree.functions.columns import major, matches_range, semver_key
-from pedigree.operators import disposition, evaluation, gates, provenance, publisher, store
+from pedigree.operators import disposition, evaluation, gates, provenance, publisher, split, store
+from pedigree.plans import verbs
 from pedigree.plans.oracles import ORACLES  # noqa: F401
 from pedigree.sources import adapters
 
@@ -337,3 +339,33 @@ def range_match(spark, sf_dir):
     rows = adapters.release_history(spark, sf_dir).select("version").where("length(version) > 0").distinct()
     ranges = [">=1.2.0 <2.0.0", ">1.10.0-rc.1", "=0.0.1", "<=1.5.3 >0.5.0"]
     return rows.select("version", F.explode(F.array(*map(F.lit, ranges))).alias("range")).where(matches_range(F.col("version"), F.col("range")))
+
+
+@query
+def request_routes(spark, sf_dir):
+    """Request paths made from the stored releases, routed, with the tarballs' versions."""
+    releases = adapters.stored_releases(spark, sf_dir)
+    name = F.when(F.col("version_id") % 3 == 0, F.concat(F.lit("@acme/"), F.col("package_name"))).when(F.col("version_id") % 3 == 1, F.concat(F.lit("@acme%2f"), F.col("package_name"))).otherwise(F.col("package_name"))
+    path = F.when(F.col("version_id") % 5 == 0, "/-/ping").when(F.col("version_id") % 5 == 1, F.concat(F.lit("/"), name)).when(F.col("version_id") % 5 == 2, F.concat(F.lit("/"), name, F.lit("/x/y"))).otherwise(F.concat(F.lit("/"), name, F.lit("/-/"), F.col("package_name"), F.lit("-"), F.col("version"), F.lit(".tgz")))
+    routed = releases.select("version_id", names.request_kind(path).alias("r")).select("version_id", "r.kind", names.normal_name(F.col("r.name")).alias("name"), "r.filename")
+    return routed.withColumn("version", names.tarball_version(F.col("name"), F.col("filename")))
+
+
+@query
+def check_targets(spark, sf_dir):
+    releases = adapters.stored_releases(spark, sf_dir).select("package_id", "version_id", "package_name", "version")
+    log = adapters.observations(spark, sf_dir).join(releases, ["package_id", "version_id"])
+    targets = releases.where("version_id % 4 < 2").select(F.concat("package_name", F.lit("@"), F.when(F.col("version_id") % 4 == 1, "9.9.9").otherwise(F.col("version"))).alias("target"))
+    return verbs.check(targets, log, releases.where("version_id % 19 = 0"))
+
+
+@query
+def store_status(spark, sf_dir):
+    return verbs.status(adapters.stored_releases(spark, sf_dir), store.changed_decisions(adapters.observations(spark, sf_dir)), _overrides(spark, sf_dir))
+
+
+@query
+def split_parts(spark, sf_dir):
+    history = adapters.release_history(spark, sf_dir)
+    corpus = history.groupBy("package_id").agg(F.max((F.col("package_id") % 13 == 0).cast("int")).alias("a")).select("package_id", (F.col("a") == 1).alias("attack"))
+    return split.build(corpus, corpus.where("package_id % 26 = 0"), corpus.where("package_id = 13"), 1, 4)
