@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels look at in one go; a longer document is one slice of its own.
 SLICE_BYTES = 1 << 19
@@ -28,6 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def hot_of(least: DataFrame, n: str, bound: int, hot_keys: int = 4000) -> DataFrame:
+    """The rows for keys with more than bound / hot_keys rows (column `n`): at most `hot_keys`, as there are at most `bound` rows."""
+    return least.where(F.col(n) > bound // hot_keys)
+
+
+def join_least(rows: DataFrame, least: DataFrame, on: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """`rows` with the columns of `least`, which has one row for each key of `on`; rows without a partner have nulls.
+
+    `hot` has some keys with the same columns; as a bounded table it is sent to all tasks. Rows with
+    these keys take a made-up first key (a long) from the columns of `spread` and so are dealt over all
+    tasks in the join of the others. Keep the columns of both as they come out of one aggregate, so that
+    it is computed once.
+    """
+    values = [c for c in least.columns if c not in on]
+    told = F.broadcast(hot.select(*on, F.lit(True).alias("hot_"), *[F.col(c).alias(f"hot_{c}") for c in values]))
+    tagged = rows.join(told, on, "left")
+    key = [F.when(F.col("hot_"), F.xxhash64(*spread)).otherwise(F.col(c)).alias(f"key_{c}") if c == on[0] else F.col(c).alias(f"key_{c}") for c in on]
+    rest = least.select(*[F.col(c).alias(f"key_{c}") for c in on], *values)
+    joined = tagged.select(*tagged.columns, *key).join(rest, [f"key_{c}" for c in on], "left")
+    return joined.select(*rows.columns, *[F.when(F.col("hot_"), F.col(f"hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder (`spark.checkpoint.dir`).
 

@@ -13,8 +13,9 @@ the short windows at cover positions (6 of 31) therefore meets every repeat.
    reduced to the smallest document of each; windows of later documents are joined back.
 4. Every document gets the starts of its covered windows and drops the words under them.
 
-Hot passages: both reductions have map-side partial aggregates and carry one or two numbers, and the joins back are inner equi-joins with one row per hash on the other side, which
-adaptive execution splits when a hash is skewed. No group is ever gathered.
+Hot passages: both reductions have map-side partial aggregates and carry two numbers. In the
+joins back, the few keys with very many rows are sent to the tasks and their rows are dealt out evenly.
+No group is ever gathered.
 
 Defined cases: null text has no words; a row with a null id is neither judged nor used against
 others; documents with fewer than `length` words keep everything; rows with the same id do not
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.llm.common import Packing, slices, text_bytes, window_hashes, word_hashes, words
+from pedigree.llm.common import Packing, hot_of, join_least, slices, text_bytes, window_hashes, word_hashes, words
 
 #: A perfect difference set, {1, 5, 11, 24, 25, 27} modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -198,19 +199,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length is at least {PERIOD}")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     whole = docs.mapInArrow(_summaries(length), "doc_id long, t long, u long")
-    firsts = whole.groupBy("t", "u").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("t", "u", "first")
-    copies = whole.join(firsts, ["t", "u"]).where("doc_id > first").select("doc_id", "t").distinct()
-
-    shared = docs.mapInArrow(_anchors(length, False), "h long, t long").groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
-    hits = docs.mapInArrow(_anchors(length, True), "h long, doc_id long, pos int").join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    firsts = whole.groupBy("t", "u").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = join_least(whole, firsts, ["t", "u"], hot_of(firsts, "n", docs.count()), ["doc_id"]).where("doc_id > first").select("doc_id", "t").distinct()
+
+    # A word and the gap behind it take two bytes at least: no more windows than this.
+    bound = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 + 4000
+    shared = docs.mapInArrow(_anchors(length, False), "h long, t long").groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h", F.lit(True).alias("twice"))
+    # Hot anchors are a hint, taken from a 64th of the documents; whatever it holds, the join gives the same rows.
+    some = docs.where("doc_id is not null and pmod(xxhash64(doc_id), 64) = 0").mapInArrow(_anchors(length, False), "h long, t long").groupBy("h").agg(F.count("*").alias("n")).where("n > 4")
+    hot = hot_of(some, "n", bound // 64).select("h").orderBy("h").limit(8000).join(shared, "h", "left")
+    hits = join_least(docs.mapInArrow(_anchors(length, True), "h long, doc_id long, pos int"), shared, ["h"], hot, ["doc_id", "pos"]).where("twice").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
     hits = hits.join(copies.groupBy("doc_id").agg(F.collect_list("t").alias("copies")), "doc_id", "left")
 
     # Left joins keep the documents' side the same in both places, so that it is shuffled once.
     packing = Packing(docs)
     packed, unpack = packing.pack(), packing.opener()
     windows = packed.join(hits, "doc_id", "left").select("doc_id", "packed", "pos", "copies").mapInArrow(_windows(length, unpack), "a long, b int, doc_id long, v short, pos int")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    covered = windows.join(least, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "v").agg(F.collect_set("pos").alias("pos"))
+    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    covered = join_least(windows, least, ["a", "b"], hot_of(least, "n", bound), ["doc_id", "pos"]).where("doc_id > first").groupBy("doc_id", "v").agg(F.collect_set("pos").alias("pos"))
     whole_copies = copies.select("doc_id", F.shiftright("t", 48).cast("short").alias("v"), F.array(F.lit(-1)).alias("pos"))
     covered = covered.unionByName(whole_copies).groupBy("doc_id").agg(F.collect_list(F.struct("v", "pos")).alias("found"))
     return packed.join(covered, "doc_id", "left").select("doc_id", "packed", "found").mapInArrow(_results(length, unpack), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
