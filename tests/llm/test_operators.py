@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pedigree.llm import chosen_path, chroma, context_mixing, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, toxicity
+from pedigree.llm.common import hot_of, join_least
 from pedigree.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +107,17 @@ def test_repeats_match_brute_force(spark):
         substring_dedup.remove_repeats(df, 20)
 
 
+@pytest.mark.parametrize("hot_keys", [1, 4, 4000])
+def test_hot_keys_are_joined_alike(spark, hot_keys):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id") % 50).alias("a"), (F.col("id") % 2).cast("int").alias("b"), F.col("id").alias("doc_id"), F.lit(1).alias("pos"))
+    least = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("a < 40")
+    hot = hot_of(least, "n", 2000, hot_keys)
+    assert hot.count() <= hot_keys
+    out = join_least(rows, least, ["a", "b"], hot, ["doc_id", "pos"])
+    assert out.columns == ["a", "b", "doc_id", "pos", "first", "n"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, rows.join(least, ["a", "b"], "left").select(*out.columns).collect()), key=repr)
+
+
 # 3 toxicity
 
 
