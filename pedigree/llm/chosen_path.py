@@ -4,14 +4,18 @@ Every document's set of five-word shingles is embedded as 64 min-hash tokens (co
 that two sets share about J * 64 of them. A run starts with all sets in one bucket and splits a bucket
 by sampled coordinates: each is chosen with probability 1 / (threshold * 64), decided by the bucket
 alone, and a set moves on to the child of its value. Pairs at the threshold keep one shared child on
-average, other pairs lose theirs quickly. Buckets of at most `small` sets are compared pair by pair;
-in a larger one all sets that resemble its first set are compared with that one and the rest splits
-further. The number of runs follows from the target recall at the threshold.
-
-Sets that are equal are one set from the start (copies are members of it, never pairs). Candidates
-pass a 64-bit sketch and are then verified on the whole shingle sets; links become classes by
-connected components. Buckets are counted with partial sums before anything is joined, so no group
-is gathered beyond `small` rows, and copies and near copies cost rows in proportion to their number.
+average, other pairs lose theirs quickly. Buckets of at most `block` sets, buckets whose sets largely
+resemble each other (splitting would not part them) and all buckets of the last level are compared pair
+by pair; the others split further with all their sets. The number of runs follows from the target recall
+at the threshold.
+
+Sets that are equal are one set from the start (copies are members of it, never pairs). What comes out
+of a bucket is no pairs but a spanning forest of its close sets (told by two bits of each token), so rows
+stay in proportion to the sets. The forests' components are families; within a family every pair is
+verified on the whole shingle sets, and again only counts of links per set and a spanning forest of the
+links leave a task; these become classes by connected components. Buckets and families are counted with
+partial sums before anything is joined; beyond a bound they are dealt into blocks and each pair of blocks
+is compared on its own, so no group is gathered beyond two blocks.
 
 Defined cases: words are maximal runs without ASCII white space, as they are; a document with fewer
 than `width` words has its whole sequence as its one shingle; documents without words (null, empty)
@@ -46,9 +50,12 @@ class Join:
     threshold: float = 0.8
     width: int = 5
     recall: float = 0.99
-    small: int = 32
+    block: int = 2048
+    alike: float = 0.25
     depth: int = 4
-    sketch_bits: int = 18
+    differ: int = 23
+    family_block: int = 512
+    family_shingles: int = 1 << 20
 
     @property
     def runs(self) -> int:
@@ -95,8 +102,8 @@ def _summaries(width: int):
                 for i in range(TOKENS if rows else 0):
                     tokens[:, i] = np.minimum.reduceat(flat * _FACTORS[i], begin) >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())],
-                    names=["doc_id", "u", "v", "tokens"],
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([len(sets[r]) for r in rows], pa.int64())],
+                    names=["doc_id", "u", "v", "tokens", "size"],
                 )
 
     return run
@@ -106,8 +113,8 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    return np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.uint64)[:, 0].view(np.int64)
+def _sketch(tokens: np.ndarray, bit: int = 0) -> np.ndarray:
+    return np.packbits((tokens >> np.uint32(bit) & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64)[:, 0].view(np.int64)
 
 
 def _child(node: np.ndarray | np.uint64, coordinate: np.ndarray | int, value: np.ndarray) -> np.ndarray:
@@ -126,7 +133,7 @@ def _roots(how: Join):
                 continue
             ids, tokens = np.asarray(batch.column(0)), _tokens(batch.column(1))
             nodes = [_child(mix(np.uint64([r + 1])), int(deck[k % TOKENS]), tokens[:, deck[k % TOKENS]]) for r in range(how.runs) for k in range(bounds[r], bounds[r + 1])]
-            yield _rows(np.concatenate(nodes), np.tile(ids, len(nodes)), np.tile(_sketch(tokens), len(nodes)))
+            yield _rows(np.concatenate(nodes), np.tile(ids, len(nodes)), *(np.tile(_sketch(tokens, k), len(nodes)) for k in (0, 1)))
 
     return run
 
@@ -140,113 +147,162 @@ def _split(how: Join):
             if not batch.num_rows:
                 continue
             node, ids, tokens = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)), _tokens(batch.column(2))
-            sketch, found = _sketch(tokens), []
+            sketch, more, found = _sketch(tokens), _sketch(tokens, 1), []
             for i in range(TOKENS):
                 chosen = np.flatnonzero(mix(node ^ np.uint64(i * 0x9E3779B97F4A7C15 & (2**64 - 1))) < np.uint64(limit))
-                found.append((_child(node[chosen], i, tokens[chosen, i]), ids[chosen], sketch[chosen]))
+                found.append((_child(node[chosen], i, tokens[chosen, i]), ids[chosen], sketch[chosen], more[chosen]))
             yield _rows(*(np.concatenate(x) for x in zip(*found)))
 
     return run
 
 
-_ROW = "node long, rep long, sketch long"
+_ROW = "node long, rep long, sketch long, more long"
+
+
+def _rows(node: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, columns)], names=["node", "rep", "sketch", "more"])
 
 
-def _rows(node: np.ndarray, rep: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep), pa.array(sketch)], names=["node", "rep", "sketch"])
+def _forest(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest of the graph on 0..n-1; near(i, others) tells which of the others i is linked to."""
+    left, edges = np.arange(n), []
+    while len(left) > 1:
+        open_, left = [int(left[0])], left[1:]
+        while open_ and len(left):
+            i = open_.pop()
+            told = near(i, left)
+            if told.any():
+                hit = left[told].tolist()
+                edges += [(i, j) for j in hit]
+                open_ += hit
+                left = left[~told]
+    return edges
 
 
-def _pairs(bits: int):
-    """All pairs of a small bucket whose sketches are close."""
+def _close(differ: int):
+    """Per bucket, or pair of its blocks, a spanning forest of the sets that differ in at most `differ` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = set()
+            a, b = [], []
             for members in batch.column(0):
-                rep, sketch = (np.asarray(members.values.field(k)) for k in (0, 1))
-                i, j = np.triu_indices(len(rep), 1)
-                close = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= bits
-                seen.update(zip(np.minimum(rep[i], rep[j])[close].tolist(), np.maximum(rep[i], rep[j])[close].tolist()))
-            seen = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int64()), pa.array([p[1] for p in seen], pa.int64())], names=["a", "b"])
+                rep, sketch, more = (np.asarray(members.values.field(k)) for k in range(3))
+                order = np.argsort(rep)
+                rep, sketch, more = rep[order], sketch[order], more[order]
+                for i, j in _forest(len(rep), lambda i, k: np.bitwise_count(((sketch[k] ^ sketch[i]) | (more[k] ^ more[i])).view(np.uint64)) <= differ):
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _dealt(rows: DataFrame, key: str, blocks: str, *columns: str) -> DataFrame:
+    """(key, lo, hi, members): the rows of each key by pairs of its `blocks` blocks, which hold (columns, slot)."""
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
+    return rows.groupBy(key, F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi")).agg(F.collect_list(F.struct(*columns, "slot")).alias("members"))
+
+
+def _compared(sized: DataFrame, how: Join) -> DataFrame:
+    """Forests of the close sets in the buckets of `sized`."""
+    groups = _dealt(sized.withColumn("blocks", F.ceil(F.col("n") / how.block)), "node", "blocks", "rep", "sketch", "more")
+    return groups.where(F.size("members") > 1).select("members").mapInArrow(_close(how.differ), "a long, b long")
+
+
 def _candidates(reps: DataFrame, how: Join) -> DataFrame:
-    """Distinct pairs (a < b) that met in some bucket."""
+    """Distinct links (a < b) that join whatever is close in some bucket."""
     rows, found = reps.select("rep", "tokens").mapInArrow(_roots(how), _ROW), []
     for level in range(how.depth):
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "sketch"), "rep").alias("first")).where("n > 1")
+        counts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("sketch", "more"), "rep").alias("first")).where("n > 1")
         counts = cut(counts)  # with a plain exchange on either side the join can be split where a bucket is hot
         sized = cut(rows.join(counts, "node"))
-        few = sized.where(F.col("n") <= how.small).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-        found.append(few.select("members").mapInArrow(_pairs(how.sketch_bits), "a long, b long"))
-        many = sized.where(F.col("n") > how.small).withColumn("near", F.bit_count(F.col("sketch").bitwiseXOR(F.col("first.sketch"))) <= how.sketch_bits)
-        last = level == how.depth - 1
-        found.append(many.where("rep <> first.rep" + ("" if last else " and near")).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))
-        rest = many.where("not near")
-        if last or rest.isEmpty():
+        if level == how.depth - 1 or counts.where(F.col("n") > how.block).isEmpty():
+            found.append(_compared(sized, how))
+            break
+        near = F.bit_count(F.expr("(sketch ^ first.sketch) | (more ^ first.more)")) <= how.differ
+        mixed = sized.where(F.col("n") > how.block).groupBy("node").agg(F.avg(near.cast("int")).alias("share")).where(F.col("share") < how.alike)
+        mixed = cut(mixed.select("node"))
+        found.append(_compared(sized.join(mixed, "node", "left_anti"), how))
+        rest = sized.join(mixed, "node", "left_semi")
+        if rest.isEmpty():
             break
         rows = rest.select("node", "rep").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(_split(how), _ROW)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _packed_sets(width: int, unpack):
-    """The candidates' shingle sets as sorted 32-bit hashes; another text with the same id is passed over."""
+    """The shingle sets of the families' members as sorted 32-bit hashes; another text with the same id is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (p for piece in unpack(batch) for p in slices(piece, 1)):
                 own = part.column(2).to_pylist()
-                ids, sets = [], []
+                rows, sets = [], []
                 for r, members in enumerate(_sets(part.column(1), width)):
                     if len(members) and _digest(members)[0] == own[r]:
-                        ids.append(part.column(0)[r].as_py())
+                        rows.append(r)
                         sets.append(np.unique((members & _LOW32).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "members"])
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(sets, pa.binary()), part.column(3).take(rows), part.column(4).take(rows)], names=["rep", "shingles", "family", "blocks"])
 
     return run
 
 
 def _verify(threshold: float):
+    """Per family, or pair of its blocks: rows (a, b) of a spanning forest of the verified links, rows (a, null) with the number n of links of a."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last = [], (None, None)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint32) for z in (x, y))
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            for members in batch.column(0):
+                ids, one = np.unique(np.asarray(members.values.field(0)), return_index=True)
+                if len(ids) < 2:
                     continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared >= threshold * (len(x) + len(y) - shared) - 1e-9:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
+                slot = np.asarray(members.values.field(2))[one]
+                sets = [np.frombuffer(members.values.field(1)[k].as_buffer(), np.uint32) for k in one.tolist()]
+                size = np.array([len(x) for x in sets])
+                begin = np.cumsum(size) - size
+                _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                held, linked = np.zeros(flat.max() + 1, bool), np.zeros((len(ids), len(ids)), bool)
+                across = slot.min() < slot.max()
+                for i in range(len(ids) - 1):
+                    mine = flat[begin[i] : begin[i] + size[i]]
+                    held[mine] = True
+                    shared = np.add.reduceat(held[flat[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1], dtype=np.int64)
+                    held[mine] = False
+                    linked[i, i + 1 :] = shared >= threshold * (size[i] + size[i + 1 :] - shared) - 1e-9
+                    if across:
+                        linked[i, i + 1 :] &= slot[i + 1 :] != slot[i]
+                linked |= linked.T
+                degree, forest = linked.sum(1), _forest(len(ids), lambda i, k: linked[i, k])
+                some = np.flatnonzero(degree)
+                a = np.concatenate([ids[[min(e) for e in forest]], ids[some]]) if forest else ids[some]
+                b = [int(ids[max(e)]) for e in forest] + [None] * len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(forest) + degree[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
     return run
 
 
-def links(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): the set representative of every document with words, and the verified links (a < b) between representatives."""
+def links(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, links, degrees): the set representative of every document with words, verified links (a < b) that span each class of representatives, and (rep, n_links), the number of all links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = cut(docs.where("doc_id is not null").mapInArrow(_summaries(how.width), "doc_id long, u long, v long, tokens binary"))
-    reps = cut(whole.groupBy("u", "v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("tokens").alias("tokens")))
-    pairs = cut(_candidates(reps, how))
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(reps.select("rep", "u"), "rep")
+    whole = cut(docs.where("doc_id is not null").mapInArrow(_summaries(how.width), "doc_id long, u long, v long, tokens binary, size long"))
+    reps = cut(whole.groupBy("u", "v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("tokens").alias("tokens"), F.first("size").alias("size")))
+    families = components(_candidates(reps, how)).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    families = cut(families.join(reps.select("rep", "u", "size"), "rep"))
+    blocks = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / how.family_block), F.ceil(F.sum("size") / how.family_shingles)).alias("blocks"))
+    families = cut(families.join(blocks, "family").select(F.col("rep").alias("doc_id"), "u", "family", "blocks"))
     packing = Packing(docs)
-    needed = packing.pack().join(ends.select(F.col("rep").alias("doc_id"), "u"), "doc_id").select("doc_id", "packed", "u")
-    sets = cut(needed.mapInArrow(_packed_sets(how.width, packing.opener()), "rep long, members binary").groupBy("rep").agg(F.first("members").alias("members")))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-    found = cut(both.select("a", "b", "x", "y").mapInArrow(_verify(how.threshold), "a long, b long"))
-    return whole.select("doc_id", "u", "v").join(reps.select("u", "v", "rep", "n_copies"), ["u", "v"]).select("doc_id", "rep", "n_copies"), found
+    needed = packing.pack().join(families, "doc_id").select("doc_id", "packed", "u", "family", "blocks")
+    sets = needed.mapInArrow(_packed_sets(how.width, packing.opener()), "rep long, shingles binary, family long, blocks long")
+    found = cut(_dealt(sets, "family", "blocks", "rep", "shingles").select("members").mapInArrow(_verify(how.threshold), "a long, b long, n long"))
+    degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    return whole.select("doc_id", "u", "v").join(reps.select("u", "v", "rep", "n_copies"), ["u", "v"]).select("doc_id", "rep", "n_copies"), found.where("b is not null").select("a", "b"), degrees
 
 
 def classes(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), set_id (the least id with the same set), n_copies of the set, n_links of the set to others."""
-    sets, found = links(docs, how, id_col, text_col)
+    sets, found, degree = links(docs, how, id_col, text_col)
     roots = components(found)
-    degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = sets.join(cut(roots.withColumnRenamed("node", "rep").join(degree, "rep", "left")), "rep", "left")
     known = known.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("set_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("doc_id").isNull()

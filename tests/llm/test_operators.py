@@ -288,6 +288,35 @@ def test_join_matches_brute_force(spark):
     assert chosen_path.classes(df.limit(0)).count() == 0
 
 
+def test_twins_in_a_template_family_are_found(spark):
+    rng = random.Random(16)
+    template, texts = prose(rng, 400, 10**6).split(), []
+    for k in range(100):
+        w = list(template)
+        for x in rng.sample(range(0, 400, 10), 9):
+            w[x] = f"own{k}x{x}"
+        twin = list(w)
+        twin[5 + 10 * (k % 30)] = f"twin{k}"
+        texts += [" ".join(w), " ".join(twin)]
+    truth, links, _ = brute_classes(enumerate(texts))
+    assert len(set(truth.values())) > 50  # the template alone links nearly none
+    assert {r.doc_id: r.class_id for r in chosen_path.classes(frame(spark, texts)).collect()} == truth
+    degree = collections.Counter(x for link in links for x in link)
+    how = chosen_path.Join(block=16, family_block=16)  # the same in blocks of buckets and families
+    out = chosen_path.classes(frame(spark, texts), how).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == {k: (truth[k], degree[k]) for k in truth}
+
+
+def test_large_buckets_split_with_all_their_sets(spark):
+    rng = random.Random(17)
+    texts = ["a b c d e " * 3 + prose(rng, 8, 10**6) for _ in range(200)]
+    texts += [t + " end" for t in texts[::5]]
+    truth, links, _ = brute_classes(enumerate(texts))
+    how = chosen_path.Join(block=16, alike=1.1)  # every large bucket is split down to the last level
+    found = {(r.a, r.b) for r in chosen_path.links(frame(spark, texts), how)[1].collect()}
+    assert found <= links and len(found) >= 0.98 * len(links) > 30
+
+
 def test_repeated_rows_stay_once(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted((str(r.doc_id) for r in chosen_path.keep_first(df).collect())) == ["1", "None"]
