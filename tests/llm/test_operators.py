@@ -317,6 +317,20 @@ def test_large_buckets_split_with_all_their_sets(spark):
     assert found <= links and len(found) >= 0.98 * len(links) > 30
 
 
+def test_all_links_of_a_large_group_are_counted(spark):
+    rng = random.Random(18)
+    words, texts = prose(rng, 200).split(), []
+    for k in range(150):
+        w = list(words)
+        for x in rng.sample(range(200), 1 + k % 5):
+            w[x] = f"g{k}x{x}"
+        texts.append(" ".join(w))
+    _, links, _ = brute_classes(enumerate(texts))
+    degree = collections.Counter(x for link in links for x in link)
+    assert 2000 < len(links) < 150 * 149 // 2
+    assert {r.doc_id: r.n_links for r in chosen_path.classes(frame(spark, texts)).collect()} == {k: degree[k] for k in range(150)}
+
+
 def test_repeated_rows_stay_once(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted((str(r.doc_id) for r in chosen_path.keep_first(df).collect())) == ["1", "None"]
