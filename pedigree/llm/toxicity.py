@@ -41,10 +41,9 @@ _GAPS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the labelled sample: documents of each class, and characters of a document that may be in it."""
+    """Bound of the labelled sample: documents of each class, each with its whole text."""
 
     per_class: int = 2500
-    document_chars: int = 20_000
     folds: int = 3
 
 
@@ -180,12 +179,15 @@ def _features(column: pa.Array, ratios: Ratios) -> np.ndarray:
     return out
 
 
-def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows that are the first with their least word-pair hash."""
-    pair = mix(hashes + np.roll(hashes, -1) * np.uint64(3))
-    least = [int(pair[a : max(a + 1, b - 1)].min()) if b > a else -1 for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-    keep = np.zeros(len(least), bool)
-    keep[np.unique(np.array(least, dtype=object), return_index=True)[1]] = True
+def _distinct(hashes: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows that are the first of their class with their whole sequence of words."""
+    number = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+    placed = [mix(hashes ^ mix(number.astype(np.uint64) * np.uint64(2 * lane + 1) + np.uint64(lane))) for lane in (1, 2)]
+    keep, seen = np.zeros(len(y), bool), set()
+    for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        digest = (int(y[r]), b - a, *(int(p[a:b].sum(dtype=np.uint64)) for p in placed))
+        keep[r] = digest not in seen
+        seen.add(digest)
     return keep
 
 
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(limits.per_class) for y in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1]).groupBy("id").agg(F.max("y").alias("y"))
     # At most 2 * per_class rows of two numbers.
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, limits.document_chars).alias("text")).join(F.broadcast(drawn), "id")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()  # bounded by `limits`
@@ -264,9 +266,9 @@ def _train(rows: pa.Table, limits: Limits, prior: float) -> Model:
     _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
     if not len(one):
         return Model(None, None, prior)
-    unique = _distinct(hashes, first)
+    unique = _distinct(hashes, first, y)
     fold = np.asarray(mix(rows["id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(limits.folds), np.int64)
-    # Each document counts a word once, and copies (same least word pair) count as one document.
+    # Each document counts a word once, and copies (the same words in the same order, in the same class) count as one document.
     row = np.repeat(np.arange(len(y)), np.diff(first))
     pairs = np.unique(row * len(one) + same)
     row, same = np.divmod(pairs[unique[pairs // len(one)]], len(one))
@@ -277,8 +279,8 @@ def _train(rows: pa.Table, limits: Limits, prior: float) -> Model:
     x = np.zeros((len(y), 3 + len(LEVELS)))
     for f in folds:
         mine, ratios = np.flatnonzero(fold == f), counted.ratios([k for k in folds if k != f], limits.folds)
-        for k in range(0, len(mine), 200):
-            x[mine[k : k + 200]] = _features(column.take(pa.array(mine[k : k + 200])), ratios)
+        parts = slices(pa.RecordBatch.from_arrays([column.take(pa.array(mine))], names=["text"]), 0)
+        x[mine] = np.concatenate([_features(part.column(0), ratios) for part in parts]) if len(mine) else 0
     # The sample is balanced, the corpus is not: rows are weighted back to the labels' shares.
     weight = np.where(y == 1, prior / max(1e-9, (y == 1).mean()), (1 - prior) / max(1e-9, (y == 0).mean()))
     return Model(counted.ratios(folds, limits.folds), _logistic(x[unique], y[unique], weight[unique]), prior)

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,24 @@ def test_toxicity_learns_and_keeps_clean(spark, sf_dir):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_drops_copies_only(monkeypatch):
+    texts = [f"it is what it is {x}" for x in range(40)] * 2 + ["It is  what it is 0", "", None]
+    y = [k % 2 for k in range(40)] * 2 + [0, 1, 1]
+    used, plain = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, *more: used.append(len(x)) or plain(x, *more))
+    toxicity._train(pa.table({"id": pa.array(range(83), pa.int64()), "y": pa.array(y, pa.int32()), "text": texts}), toxicity.Limits(), 0.5)
+    assert used == [41]  # 40 texts, and one without words
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 6000, 300) + (" vilgrunta vilgrastos vilgremin" * 30 if k % 2 else "") for k in range(60)]
+    assert min(map(len, texts)) > 20_000
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    low, high = model.scores(pa.array(["w1 w2 w3 w4", "w1 vilgrunta vilgrastos vilgremin w4"]))
+    assert high > low + 0.3
+
+
 # 4 secrets
 
 
