@@ -1,14 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-Every text run of a page belongs to a root-to-leaf tag path. Per path the text length, the
-punctuation and the number of nodes are added up; the two ratios are smoothed over the order in
-which paths first occur, fused by multiplication and compared with a threshold, which gives the
-paths that carry content. The content area is the deepest element that holds most of the content
-paths' text; all its blocks are kept, except those inside boilerplate elements.
+Every text run of a page belongs to a root-to-leaf path of block elements (tags with their classes; inline elements only if they have a class, an id or a role).
+Per path the text length, the punctuation and the number of nodes are added up over the page; the two
+ratios are smoothed over the order in which paths first occur, and fused by multiplication. Paths
+whose fused ratio passes half of the mean carry content, and the deepest element that holds most of
+their text is the content area.
+
+Which nodes are kept is decided by their path's ratio alone, measured against the area's: a node's
+ratio is raised by its nearness to the area (headings and short lines of an article have a low ratio
+of their own) and lowered by the share of link text and by a prior for elements that are usually no
+content (menus, footers, forms, ...). The prior counts only below the point where the node's branch
+leaves that of the area, so that an article in a page-wide form, or in a container with an unlucky
+class, is not touched by it. A node is kept if the result is at least `threshold` times the area's ratio.
 
 Defined cases: null or empty html, or html without text, gives an empty string; several rows with
-the same page are extracted independently; a page of any length is parsed whole; unclosed or
-misnested tags are closed as a browser would (a new paragraph ends an open one).
+the same page are extracted independently; a page of any length and any depth is parsed whole, in
+time proportional to its length; unclosed or misnested tags are closed as a browser would (a new
+paragraph ends an open one; a comment, a script or a tag that never ends takes up the rest); other
+columns of the table are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +25,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,155 +40,290 @@ BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul"
 ).split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 BOILERPLATE_TAGS = "nav header footer aside form menu button select dialog head".split()
-#: Words of a class, id or role that name a boilerplate element.
+#: Words that, as a class, an id or a role, say that an element is usually no content.
 BOILERPLATE_NAMES = (
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
     "sidebar aside related recommended share sharing social comment comments disqus reply replies respond cookie cookies consent notice notices gdpr popup modal newsletter "
     "subscribe subscription login signup search form pagination pager widget toolbar contentinfo complementary"
 ).split()
+#: Opening tags that end open elements: which ones, and the containers beyond which nothing is ended.
+ENDS = {
+    "li": ("li p", "ul ol menu"),
+    "dt": ("dt dd p", "dl"),
+    "dd": ("dt dd p", "dl"),
+    "tr": ("tr td th p", "table tbody thead tfoot"),
+    "td": ("td th p", "tr table"),
+    "th": ("td th p", "tr table"),
+    "option": ("option", "select"),
+}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_BLOCKS, _VOID, _RAW, _BAD_TAGS, _BAD_NAMES, _HEADINGS = map(frozenset, (BLOCKS, VOID, RAW, BOILERPLATE_TAGS, BOILERPLATE_NAMES, HEADINGS))
+_ENDS = {tag: (a.split(), b.split()) for tag, (a, b) in ENDS.items()}
+_HOLDERS = frozenset("article body center div main section table #".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SKIP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"([^\s>/=]+|=[^\s>/=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I | re.A) for tag in RAW}
+_PARTS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-_BLOCKS, _VOID, _BAD_TAGS, _BAD_NAMES = map(frozenset, (BLOCKS, VOID, BOILERPLATE_TAGS, BOILERPLATE_NAMES))
-#: Containers that can be the content area (_HOLDERS); elements that an opening tag ends implicitly, up to the given container.
-_HOLDERS = frozenset(("article", "body", "center", "div", "main", "section", "table", "#"))
-_ENDS = {"p": ({"p"}, _BLOCKS - {"p"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-
-class _Node:
-    """An open element: its path, its chain of element numbers and whether it is boilerplate."""
-
-    __slots__ = ("tag", "path", "chain", "bad")
-
-    def __init__(self, tag: str, parent: "_Node | None", number: int, bad: bool):
-        self.tag = tag
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.chain = (*parent.chain, number) if parent else (number,)
-        self.bad = bad or bool(parent and parent.bad)
-
-
-def _blocks(page: str) -> tuple[list[tuple[list[tuple[str, str]], tuple[int, ...], bool]], list[str]]:
-    """The page's blocks in order (text runs with their paths, the chain of enclosing elements, boilerplate or not) and the elements' tags."""
-    stack, number, found, open_block, tags = [_Node("#", None, 0, False)], 0, [], None, ["#"]
-    in_article = 0
-    for m in _TOKEN.finditer(page):
-        if m["text"] is not None:
-            top = stack[-1]
-            if open_block is None:
-                open_block = ([], top.chain, top.bad)
-                found.append(open_block)
-            elif top.bad and not open_block[2] and m["text"].strip():
-                open_block = ([], top.chain, True)  # an inline boilerplate element is a block of its own
-                found.append(open_block)
-            elif open_block[2] and not top.bad:
-                open_block = ([], top.chain, False)
-                found.append(open_block)
-            open_block[0].append((top.path, m["text"]))
+
+
+@dataclass(frozen=True)
+class Ratios:
+    """Parameters: width of the smoothing over paths; ratio that keeps a node, relative to the area's; share of
+    the content paths' text that the area holds at least; and the priors."""
+
+    spread: float = 0.6
+    threshold: float = 0.2
+    share: float = 0.5
+    named: float = 0.05
+    named_last: float = 0.1
+    named_part: float = 0.4
+    links: float = 0.7
+    step: float = 0.6
+    body_step: float = 0.1
+    heading: float = 3.0
+
+
+class Page:
+    """Elements in page order (tag, parent, path, whether a boilerplate tag, names), and text runs (block, element, text, in a link)."""
+
+    def __init__(self):
+        self.tags, self.parents, self.paths, self.names = ["#"], [-1], [0], [()]
+        self.path_of: dict[tuple[int, str], int] = {}
+        self.runs: list[tuple[int, int, str, bool]] = []
+        self.blocks = 0
+
+
+def _tags(page: str) -> Iterator[tuple[str, str, str, str, bool]]:
+    """(kind, tag, classes, text, self-closed) for the page's tags and texts, each character looked at a bounded number of times."""
+    at, size, last = 0, len(page), {'"': page.rfind('"'), "'": page.rfind("'")}
+    while at < size:
+        less = page.find("<", at)
+        if less < 0:
+            less = size
+        if less > at:
+            yield "text", "", "", page[at:less], False
+            at = less
             continue
-        if m["tag"] is None:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            else:
+                yield "text", "", "", "<", False
+                at += 1
+            continue
+        tag, at, names, closed = m[2].lower(), m.end(), [], False
+        while True:
+            skipped = _SKIP.match(page, at)
+            closed = closed or skipped[0].endswith("/")
+            a = _ATTRIBUTE.match(page, skipped.end())
+            if not a:
+                at = skipped.end()
+                break
+            at, value, closed = a.end(), "", False
+            if a[2]:
+                quote = page[at : at + 1]
+                if quote in last and at < last[quote]:
+                    end = page.find(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    b = _BARE.match(page, at)
+                    value, at = b[0], b.end()
+                    closed = value.endswith("/") and tag in _RAW
+            if a[1].lower() in ("class", "id", "role"):
+                names.append(value)
+        if at >= size:
+            return  # a tag that never ends
+        at += 1
+        if m[1]:
+            yield "close", tag, "", "", False
+            continue
+        if tag in _RAW:
+            if not (closed and tag == "svg"):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else size
+            continue
+        yield "open", tag, " ".join(names).lower(), "", closed
+
+
+def parse(html: str) -> Page:
+    """The page's elements and text runs; every step takes constant time on average."""
+    page = Page()
+    stack, block_at, open_at = [0], [0], defaultdict(list)  # element; position of the nearest block; positions by tag
+    block, fresh = 0, True
+
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            open_at[page.tags[stack.pop()]].pop()
+            block_at.pop()
+
+    for kind, tag, names, text, closed in _tags(html):
+        if kind == "text":
+            if fresh:
+                page.blocks, fresh = page.blocks + 1, False
+            page.runs.append((page.blocks - 1, stack[-1], text, bool(open_at["a"])))
             continue
-        tag = m["tag"].lower()
         if tag in _VOID:
-            if tag == "br":
-                if open_block is not None:
-                    open_block[0].append((stack[-1].path, " "))
+            if tag == "br" and not fresh:
+                page.runs.append((page.blocks - 1, stack[-1], " ", False))
             elif tag == "hr":
-                open_block = None
+                fresh = True
             continue
-        if tag in _BLOCKS:
-            open_block = None
-        if m["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    in_article -= sum(x.tag in ("article", "main") for x in stack[depth:])
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in _BLOCKS and tag not in _BLOCKS:
-                    break
+        is_block = tag in _BLOCKS
+        fresh |= is_block
+        if kind == "close":
+            if open_at[tag] and (is_block or open_at[tag][-1] > block_at[-1]):
+                shut(open_at[tag][-1])
             continue
-        if tag in _BLOCKS:
-            ends, holds = _ENDS.get(tag) or ({"p"}, _BLOCKS - {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ends:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in holds:
-                    break
-        names = {w for groups in _NAMES.findall(m["attrs"] or "") for g in groups for w in _WORD.findall(g.lower())}
-        bad = bool(names & _BAD_NAMES) and tag not in ("html", "body", "article", "main")
-        bad |= tag in _BAD_TAGS and not (tag == "header" and in_article)  # an article's own header holds its title
-        number += 1
-        tags.append(tag)
-        if not m["attrs"].rstrip().endswith("/") or tag in _BLOCKS:
-            in_article += tag in ("article", "main")
-            stack.append(_Node(tag, stack[-1], number, bad))
-    return found, tags
-
-
-def extract(page: str | None, spread: float = 1.0, threshold: float = 0.5, share: float = 0.5) -> str:
-    """The main text of one page (see the module's text)."""
-    if not page:
-        return ""
-    blocks = []
-    found, tags = _blocks(page)
-    for runs, chain, bad in found:
-        text = " ".join(entities.unescape("".join(t for _, t in runs)).split())
-        if text:
-            path = max(runs, key=lambda r: len(r[1].strip()))[0]
-            blocks.append((text, path, chain, bad))
-    good = [b for b in blocks if not b[3]]
-    if not good:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for text, path, _, bad in blocks:
-        x = paths.setdefault(path, [0, 0, 0])
-        x[0] += 0 if bad else len(text)
-        x[1] += 0 if bad else len(_PUNCTUATION.findall(text))
-        x[2] += 1
-    order = list(paths)
-    ratio = lambda k: [paths[p][k] / paths[p][2] for p in order]
+        if tag in _ENDS:
+            ends, holds = (max((open_at[t][-1] for t in some if open_at[t]), default=-1) for some in _ENDS[tag])
+            while ends > holds:
+                shut(ends)
+                ends = max((open_at[t][-1] for t in _ENDS[tag][0] if open_at[t]), default=-1)
+        elif is_block and page.tags[stack[block_at[-1]]] == "p":
+            shut(block_at[-1])
+        words = tuple(names.split())
+        step = ".".join((tag, *sorted({re.sub(r"\d+", "", w) for w in words}))) if is_block or words else ""
+        above = page.paths[stack[-1]]
+        path = page.path_of.setdefault((above, step), len(page.path_of) + 1) if step else above
+        if closed and not is_block:
+            continue
+        page.tags.append(tag)
+        page.parents.append(stack[-1])
+        page.paths.append(path)
+        page.names.append(words)
+        open_at[tag].append(len(stack))
+        block_at.append(len(stack) if is_block else block_at[-1])
+        stack.append(len(page.tags) - 1)
+    return page
+
+
+def _prior(tag: str, names: tuple[str, ...], how: Ratios) -> float:
+    """How much less likely an element is content, by its tag and names."""
+    if tag in ("html", "body", "article", "main"):
+        return 1.0
+    out = how.named if tag in _BAD_TAGS else 1.0
+    for name in names:
+        parts = _PARTS.findall(name)
+        if name in _BAD_NAMES:
+            out = min(out, how.named)
+        elif len(parts) > 1 and parts[0] not in ("has", "is", "no", "not", "with", "without"):
+            if parts[-1] in _BAD_NAMES:
+                out = min(out, how.named_last)
+            elif not _BAD_NAMES.isdisjoint(parts):
+                out = min(out, how.named_part)
+    return out
+
+
+def fused_ratios(table: list[tuple[float, float, int]], spread: float) -> list[float]:
+    """Per path (text length, punctuation, nodes), in the order of first occurrence: smoothed length ratio times one plus the smoothed punctuation ratio."""
+    kernel = {d: math.exp(-d * d / (2 * spread * spread)) for d in range(-2, 3)}
 
     def smooth(values: list[float]) -> list[float]:
-        kernel = {d: math.exp(-d * d / (2 * spread * spread)) for d in range(-2, 3)}
         out = []
         for i in range(len(values)):
-            near = [(kernel[d], values[i + d]) for d in kernel if 0 <= i + d < len(values)]
+            near = [(w, values[i + d]) for d, w in kernel.items() if 0 <= i + d < len(values)]
             out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
         return out
 
-    lengths, marks = smooth(ratio(0)), smooth(ratio(1))
-    fused = [x * (1 + y) for x, y in zip(lengths, marks)]
-    mean = sum(fused) / len(fused)
-    chosen = {p for p, x in zip(order, fused) if x >= threshold * mean}
-    content = [b for b in good if b[1] in chosen] or good
-    # The deepest container with more than `share` of the content text; then upwards to the article or while a parent adds content.
-    weight: dict[tuple[int, ...], int] = {}
-    for text, _, chain, _ in content:
-        for k in range(1, len(chain) + 1):
-            weight[chain[:k]] = weight.get(chain[:k], 0) + len(text)
-    total = weight[(0,)]
-    area = max((c for c, w in weight.items() if w > share * total), key=len)
-    holds = [k for k in range(1, len(area) + 1) if tags[area[k - 1]] in ("article", "main")]
-    area = area[: holds[-1]] if holds else area
-    while len(area) > 1 and (tags[area[-1]] not in _HOLDERS or weight[area] < 0.9 * weight[area[:-1]]):
-        area = area[:-1]
-    article = [b for b in good if b[2][: len(area)] == area]
-    return "\n".join(b[0] for b in article)
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    return [x * (1 + y) for x, y in zip(smooth([t[0] / t[2] for t in table]), smooth([t[1] / t[2] for t in table]))]
+
+
+def extract(html: str | None, how: Ratios = Ratios()) -> str:
+    """The main text of one page (see the module's text)."""
+    page = parse(html or "")
+    clean = [" ".join(entities.unescape(text).split()) for _, _, text, _ in page.runs]
+    stats: dict[int, list[float]] = {}
+    links: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    seen = set()
+    for (block, element, _, link), text in zip(page.runs, clean):
+        if text:
+            path = page.paths[element]
+            x = stats.setdefault(path, [0, 0, 0, 0])
+            x[0] += len(text)
+            x[1] += len(_PUNCTUATION.findall(text))
+            x[2] += (path, block) not in seen
+            x[3] += len(text) * link
+            seen.add((path, block))
+            links[block, path][link] += len(text)
+    if not stats:
+        return ""
+    fused = dict(zip(stats, fused_ratios([tuple(x[:3]) for x in stats.values()], how.spread)))
+    n = len(page.tags)
+    own, chain, depth, inside = [1.0] * n, [1.0] * n, [0] * n, [False] * n
+    for e in range(1, n):
+        up = page.parents[e]
+        depth[e] = depth[up] + 1
+        inside[e] = inside[up] or page.tags[e] in ("article", "main")
+        own[e] = _prior(page.tags[e], page.names[e], how)
+        if inside[up] and page.tags[e] == "header":
+            own[e] = 1.0  # an article's own header holds its title
+        chain[e] = max(chain[up] * own[e], 1e-9)
+
+    # The content paths' text by element, from the leaves up; the area is the deepest element with most of it.
+    used = [(e, text) for (_, e, _, _), text in zip(page.runs, clean) if text]
+    told = [fused[page.paths[e]] * chain[e] * (4 if inside[e] else 1) for e, _ in used]
+    mean = sum(told) / len(told)
+    weight, score = [0.0] * n, [0.0] * n
+    for (e, text), x in zip(used, told):
+        if x >= mean / 2:
+            weight[e] += len(text)
+            score[e] += len(text) * fused[page.paths[e]]
+    for e in range(n - 1, 0, -1):
+        weight[page.parents[e]] += weight[e]
+        score[page.parents[e]] += score[e]
+    area = max((e for e in range(n) if weight[e] > how.share * weight[0]), key=lambda e: (depth[e], -e))
+    up = area
+    while page.tags[up] not in ("article", "main") and page.parents[up] >= 0:
+        up = page.parents[up]
+    area = up if page.tags[up] in ("article", "main") else area
+    while page.tags[area] not in _HOLDERS:
+        area = page.parents[area]
+    level = score[area] / weight[area]
+
+    # From the area's ancestors down: nearness to the area, and the prior since the branch left the area's.
+    reach, prior, on = [0.0] * n, [1.0] * n, [False] * n
+    up, near = area, 1.0
+    while up >= 0:
+        reach[up], on[up] = near, True
+        up = page.parents[up]
+        near *= how.body_step if up >= 0 and page.tags[up] in ("body", "html", "#") else how.step
+    for e in range(1, n):
+        if not on[e]:
+            reach[e], prior[e] = reach[page.parents[e]], max(prior[page.parents[e]] * own[e], 1e-9)
+    out, last = [], -1
+    for (block, e, text, _), words in zip(page.runs, clean):
+        if words:
+            path = page.paths[e]
+            plain, linked = links[block, path]
+            link = max(stats[path][3] / stats[path][0], linked / (plain + linked))
+            near = reach[e] * (how.heading if prior[e] == 1 and page.tags[e] in _HEADINGS else 1)
+            ratio = prior[e] * (near * level + min(fused[path], 2 * level)) * (1 - how.links * link)
+            if ratio < how.threshold * level:
+                continue
+        if block != last:
+            out.append([])
+            last = block
+        out[-1].append(text)
+    return "\n".join(x for x in (" ".join(entities.unescape("".join(runs)).split()) for runs in out) if x)
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", how: Ratios = Ratios()) -> DataFrame:
     """One row per page: page_id, url, text, n_chars. No shuffle: each page is parsed where it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py()) for x in batch.column(2)]
+            texts = [extract(x.as_py(), how) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
