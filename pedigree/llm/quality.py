@@ -2,16 +2,19 @@
 
 The content view sees hashed character trigrams of the text, the metadata view only what a page says
 about itself: source, language, length and layout (lines and their lengths). Each view is a logistic
-model. Over several rounds each labels the documents of a pool of which it is most sure, in the
-classes' proportions, and gives them to the other view as training rows. The views are then calibrated
+model, fitted on a bounded sample of labelled documents. Over several rounds each scores all unlabelled
+documents of the training part, and the ones of which it is most sure, in the classes' proportions, are
+given to the other view as training rows; of equal texts one is given. The views are then calibrated
 on labelled rows that neither was trained on, and the calibrated log-odds are combined by a third
 logistic model, fitted on the same rows.
 
-Labels are learned from a bounded sample and a bounded pool (`Limits`), in one task; all documents are
-scored whole, where they are read.
+A round is one pass over the documents where they are read: each task keeps its few surest rows (ids
+and scores), the surest of all are found by partial top-n, and only the given documents' features, which
+have a fixed size, reach the training task. Texts are used whole and never leave their task.
 
 Defined cases: null text is empty; null source, language or length are values of their own; rows with
-a null id or label take no part in fitting; without labels of both classes the score is the share of
+a null id or label take no part in fitting, nor do ids with both labels; of several rows with one id
+the one with the least hash is trained on; without labels of both classes the score is the share of
 good labels, or 0.5 without labels; repeated rows get equal scores; an empty table gives no rows.
 """
 
@@ -26,20 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.llm.common import mix, slices, text_bytes
+from pedigree.llm.common import cut, mix, slices, text_bytes
 
 TRIGRAMS, FACTS = 1 << 11, 256
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the sample: labelled documents of each class, pool of unlabelled ones, characters of each; and the rounds."""
+    """Bounds: labelled documents of each class that are trained on, documents that a view gives to the other in a round (a share of these); and the rounds."""
 
     per_class: int = 1500
-    pool: int = 3000
-    document_chars: int = 20_000
-    rounds: int = 5
     share: float = 0.05
+    rounds: int = 3
 
 
 def content(column: pa.Array) -> np.ndarray:
@@ -119,47 +120,31 @@ def _small(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def _train(rows: pa.Table, limits: Limits, prior: float) -> Model:
-    rows = rows.sort_by("id").combine_chunks()
-    column = lambda name: pa.concat_arrays(rows[name].chunks)
-    y = np.asarray(column("y").fill_null(-1)).astype(np.int64)
-    x = np.concatenate([content(p.column(0)) for p in slices(pa.RecordBatch.from_arrays([column("text")], names=["text"]), 0)])
-    z = facts(column("source"), column("lang"), column("n_chars"), column("text"))
-    order = mix(rows["id"].to_numpy().astype(np.int64).view(np.uint64))
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+def _parts(known: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled rows that the views are trained on, and those that calibrate them."""
+    third = mix(ids[known].view(np.uint64)) % np.uint64(3) == 0
+    train, check = known[~third], known[third]
+    return (train, check) if len(set(y[check])) == 2 == len(set(y[train])) else (known, known)
+
+
+def _train(rows: pa.Table, prior: float) -> Model:
+    """The model from rows (id, y, view, x, z): labelled ones have no view, given ones the view that gets them."""
+    rows = rows.sort_by([("view", "ascending"), ("id", "ascending")]).combine_chunks()
+    ids, y, view = (rows[c].to_numpy().astype(np.int64) for c in ("id", "y", "view"))
+    features = [np.frombuffer(b"".join(rows[c].to_pylist()), np.float16).reshape(len(rows), -1).astype(np.float32) for c in ("x", "z")]
+    known = np.flatnonzero(view < 0)
     if len(known) < 4 or len(set(y[known])) < 2:
         return Model(None, [], (), prior)
-    check = known[order[known] % np.uint64(3) == 0]
-    train = known[order[known] % np.uint64(3) != 0]
-    if len(set(y[check])) < 2 or len(set(y[train])) < 2:
-        check = train = known
-    extra: list[dict[int, int]] = [{}, {}]
-    views: list[Logistic] = []
-    for turn in range(limits.rounds + 1):
-        views = []
-        for k, f in enumerate((x, z)):
-            rows_k = np.concatenate([train, np.array(list(extra[k]), np.int64)])
-            y_k = np.concatenate([y[train], np.array(list(extra[k].values()), np.int64)])
-            # Given labels weigh more than exchanged ones.
-            weight = np.concatenate([np.ones(len(train)), np.full(len(extra[k]), 0.3)])
-            views.append(Logistic(f[rows_k], y_k, weight))
-        if turn == limits.rounds or not len(pool):
-            break
-        for k, f in enumerate((x, z)):
-            other = 1 - k
-            open_ = np.array([p for p in pool if p not in extra[other]], np.int64)
-            s = views[k].logits(f[open_])
-            best = np.argsort(s)
-            n = int(limits.share * len(pool))
-            good = max(1, int(round(n * prior)))
-            for label, some in ((1, best[::-1][:good]), (0, best[: max(1, n - good)])):
-                for p in open_[some[np.abs(s[some]) > 1]]:
-                    extra[other][int(p)] = label
+    train, check = _parts(known, ids, y)
+    views = []
+    for k, f in enumerate(features):
+        extra = np.flatnonzero(view == k)
+        some = np.concatenate([train, extra])
+        # Labels weigh more than what the other view says.
+        views.append(Logistic(f[some], y[some], np.concatenate([np.ones(len(train)), np.full(len(extra), 0.3)])))
     weight = np.where(y[check] == 1, prior / max(1e-9, (y[check] == 1).mean()), (1 - prior) / max(1e-9, (y[check] == 0).mean()))
-    calibrated = []
-    for v, f in zip(views, (x, z)):
-        calibrated.append(tuple(_small(v.logits(f[check])[:, None], y[check], weight)))
-    each = np.column_stack([a * v.logits(f[check]) + b for v, f, (a, b) in zip(views, (x, z), calibrated)])
+    calibrated = [tuple(_small(v.logits(f[check])[:, None], y[check], weight)) for v, f in zip(views, features)]
+    each = np.column_stack([a * v.logits(f[check]) + b for v, f, (a, b) in zip(views, features, calibrated)])
     return Model((views[0], views[1]), calibrated, tuple(_small(each, y[check], weight)), prior)
 
 
@@ -171,36 +156,116 @@ def _source(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("long").alias("n_chars"))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", held_out: int = 5
-) -> DataFrame:
-    """One row per document: doc_id, held_out, score, content_score, metadata_score, predicted."""
-    source = _source(docs, id_col, text_col, source_col, lang_col, chars_col)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out_column("id", held_out))
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows (id, text, source, lang, n_chars, ...) some at a time, with their features in both views."""
+    for batch in batches:
+        for part in slices(batch, 1, 1 << 20):
+            for k in range(0, part.num_rows, 500):
+                p = part.slice(k, 500)
+                yield p, content(p.column(1)), facts(p.column(2), p.column(3), p.column(4), p.column(1))
+
+
+def _featured(source: DataFrame, picked: DataFrame) -> DataFrame:
+    """(id, y, view, x, z) for the ids of `picked` (id, y, view), a bounded table: one row for each of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, x, z in _views(batches):
+            packed = [pa.array([r.tobytes() for r in f.astype(np.float16)], pa.binary()) for f in (x, z)]
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(5), p.column(6), *packed], names=["id", "y", "view", "x", "z"])
+
+    rows = source.join(F.broadcast(picked), "id")
+    hashed = F.xxhash64("text", "source", "lang", "n_chars")
+    one = rows.groupBy("id", "y", "view").agg(F.min_by(F.struct("text", "source", "lang", "n_chars"), hashed).alias("r"))
+    return cut(one.select("id", "r.text", "r.source", "r.lang", "r.n_chars", "y", "view").mapInArrow(run, "id long, y int, view int, x binary, z binary"))
+
+
+def _fitted(rows: DataFrame, prior: float) -> Model:
+    """The model, trained in one task on the bounded rows."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)  # bounded by `Limits`, each row of a fixed size
+        model = _train(pa.Table.from_batches(rows), prior) if rows else Model(None, [], (), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model(None, [], (), prior)
+
+
+def _surest(unlabelled: DataFrame, model: Model, given: list[dict[int, int]], n: tuple[int, int]) -> list[dict[int, int]]:
+    """Per view the documents of the whole table that it is given next, with their labels: the other one's surest n[label] of each label."""
+    shared = unlabelled.sparkSession.sparkContext.broadcast((model, given))  # a fixed size, and a few numbers a round
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, given = shared.value
+        best: dict[tuple[int, int], list[tuple[float, int, int]]] = {(k, y): [] for k in (0, 1) for y in (0, 1)}
+        for p, x, z in _views(batches):
+            ids, texts = p.column(0).to_pylist(), p.column(5).to_pylist()
+            for k, f in enumerate((x, z)):
+                s = model.views[k].logits(f)
+                for y in (0, 1):
+                    found = best[k, y]
+                    sure = s if y else -s
+                    floor = max(1.0, found[-1][0] if len(found) == n[y] else 1.0)
+                    more = [(float(sure[r]), ids[r], texts[r]) for r in np.flatnonzero(sure >= floor).tolist() if ids[r] not in given[1 - k]]
+                    if more:
+                        found.extend(more)
+                        found.sort(key=lambda t: (-t[0], t[1]))
+                        seen: set[int] = set()
+                        best[k, y] = [t for t in found if not (t[2] in seen or seen.add(t[2]))][: n[y]]
+        rows = [(1 - k, y, *t) for (k, y), found in best.items() for t in found]
+        columns = list(zip(*rows)) or [()] * 5
+        types = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["view", "y", "sure", "id", "digest"])
+
+    found = cut(unlabelled.withColumn("digest", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(run, "view int, y int, sure double, id long, digest long"))
+    found = found.groupBy("view", "y", "digest").agg(F.max("sure").alias("sure"), F.min("id").alias("id"))
+    out: list[dict[int, int]] = [{}, {}]
+    for view in (0, 1):
+        for y in (0, 1):
+            for r in found.where((F.col("view") == view) & (F.col("y") == y)).orderBy(F.desc("sure"), "id").limit(n[y]).collect():
+                out[view][r["id"]] = y
+    return out
+
+
+def fit(source: DataFrame, known: DataFrame, limits: Limits, held_out: int) -> Model:
+    """The model from rows (id, text, source, lang, n_chars) and labels (id, y)."""
+    known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out_column("id", held_out)).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    if len(counts) < 2:
+        return Model(None, [], (), prior)
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(limits.per_class) for y in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1])
-    unlabelled = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out_column("id", held_out)).orderBy(F.xxhash64("id", F.lit(6)), "id").limit(limits.pool)
-    picked = drawn.unionByName(unlabelled.withColumn("y", F.lit(None).cast("int"))).groupBy("id").agg(F.max("y").alias("y"))
-    # At most 2 * per_class + pool rows of two numbers.
-    sample = source.withColumn("text", F.substring("text", 1, limits.document_chars)).join(F.broadcast(picked), "id").select("id", "y", "text", "source", "lang", "n_chars")
+    # At most 2 * per_class rows of three numbers.
+    rows = _featured(source, drawn[0].unionByName(drawn[1]).withColumn("view", F.lit(-1)))
+    unlabelled = source.where(F.col("id").isNotNull() & ~held_out_column("id", held_out)).join(known.select("id"), "id", "left_anti")
+    given: list[dict[int, int]] = [{}, {}]
+    n = max(2, int(limits.share * sum(min(c, limits.per_class) for c in counts.values())))
+    good = min(n - 1, max(1, round(n * prior)))
+    for _ in range(limits.rounds):
+        model = _fitted(rows, prior)
+        if model.views is None:
+            return model
+        more = _surest(unlabelled, model, given, (n - good, good))
+        picked = [(i, y, view) for view in (0, 1) for i, y in more[view].items()]
+        if not picked:
+            return model
+        for view in (0, 1):
+            given[view] |= more[view]
+        rows = rows.unionByName(_featured(source, source.sparkSession.createDataFrame(picked, "id long, y int, view int")))
+    return _fitted(rows, prior)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)  # bounded by `limits`
-        model = _train(pa.Table.from_batches(rows), limits, prior) if sum(b.num_rows for b in rows) else Model(None, [], (), prior)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    trained = sample.coalesce(1).mapInArrow(train, "model binary").first()
-    model = pickle.loads(trained["model"]) if trained and len(counts) == 2 else Model(None, [], (), prior)
+def classify(
+    docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", held_out: int = 5
+) -> DataFrame:
+    """One row per document: doc_id, held_out, score, content_score, metadata_score, predicted."""
+    source = _source(docs, id_col, text_col, source_col, lang_col, chars_col)
+    model = fit(source, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), limits, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                for k in range(0, part.num_rows, 500):
-                    p = part.slice(k, 500)
-                    scores = shared.value.scores(content(p.column(1)), facts(p.column(2), p.column(3), p.column(4), p.column(1)))
-                    yield pa.RecordBatch.from_arrays([p.column(0), p.column(5), *(pa.array(s.astype(np.float64)) for s in scores), pa.array((scores[0] >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "content_score", "metadata_score", "predicted"])
+        for p, x, z in _views(batches):
+            scores = shared.value.scores(x, z)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(5), *(pa.array(s.astype(np.float64)) for s in scores), pa.array((scores[0] >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "content_score", "metadata_score", "predicted"])
 
     return source.withColumn("held_out", held_out_column("id", held_out)).mapInArrow(run, "doc_id long, held_out boolean, score double, content_score double, metadata_score double, predicted int")
