@@ -8,11 +8,13 @@ length, over the whole text and over its densest stretch of 40 words. A logistic
 on documents that the counted folds leave out, turns these into a probability.
 
 The models are fitted on a bounded sample of labelled rows (`Limits`); the label table is read
-whole to draw it. Every document is scored whole, where it is read, from one table of n-gram
-log-ratios whose size the sample bounds.
+whole to draw it, and only the drawn documents reach the training task. Documents with the same whole
+sequence of words in the same class count once. Every document is scored whole, where it is read, from
+one table of n-gram log-ratios whose size the sample bounds.
 
 Defined cases: null and empty texts have no words and get the calibrated prior; a null label or a
-null id takes no part in fitting; without labels of both classes the score is the share of toxic
+null id takes no part in fitting, nor does an id with both labels; of several rows with one id the
+text with the least hash is trained on; without labels of both classes the score is the share of toxic
 labels, or 0.5 without labels; repeated rows get the same score; other columns are never read.
 """
 
@@ -228,21 +230,22 @@ def held_out_column(id_col: str, folds: int):
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", held_out: int = 5) -> Model:
     """Fit on labelled rows outside the held-out fold, at most `limits.per_class` of each class."""
     known = labels.select(F.col(label_id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out_column("id", held_out))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if len(counts) < 2:
         return Model(None, None, prior)
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(limits.per_class) for y in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1]).groupBy("id").agg(F.max("y").alias("y"))
     # At most 2 * per_class rows of two numbers.
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
+    sample = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()  # bounded by `limits`
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_train(rows, limits, prior))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.select("id", "y", "text").coalesce(1).mapInArrow(train, "model binary").first()["model"])
+    return pickle.loads(sample.select("id", "y", "text").repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def _train(rows: pa.Table, limits: Limits, prior: float) -> Model:
