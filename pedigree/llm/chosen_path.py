@@ -19,7 +19,8 @@ is compared on its own, so no group is gathered beyond two blocks.
 
 Defined cases: words are maximal runs without ASCII white space, as they are; a document with fewer
 than `width` words has its whole sequence as its one shingle; documents without words (null, empty)
-and rows with a null id are linked to nothing and form their own class; repeated rows are copies; an
+and rows with a null id are linked to nothing and form their own class; repeated rows are copies; rows
+with the same id and different texts are documents of their own, each in the class of its text; an
 empty table gives no rows.
 """
 
@@ -102,8 +103,8 @@ def _summaries(width: int):
                 for i in range(TOKENS if rows else 0):
                     tokens[:, i] = np.minimum.reduceat(flat * _FACTORS[i], begin) >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([len(sets[r]) for r in rows], pa.int64())],
-                    names=["doc_id", "u", "v", "tokens", "size"],
+                    [part.column(0).take(pa.array(rows, pa.int64())), part.column(2).take(pa.array(rows, pa.int64())), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([len(sets[r]) for r in rows], pa.int64())],
+                    names=["doc_id", "t", "u", "v", "tokens", "size"],
                 )
 
     return run
@@ -243,7 +244,7 @@ def _packed_sets(width: int, unpack):
                         rows.append(r)
                         sets.append(np.unique((members & _LOW32).astype(np.uint32)).tobytes())
                 rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(sets, pa.binary()), part.column(3).take(rows), part.column(4).take(rows)], names=["rep", "shingles", "family", "blocks"])
+                yield pa.RecordBatch.from_arrays([part.column(3).take(rows), pa.array(sets, pa.binary()), part.column(4).take(rows), part.column(5).take(rows)], names=["rep", "shingles", "family", "blocks"])
 
     return run
 
@@ -282,35 +283,70 @@ def _verify(threshold: float):
     return run
 
 
-def links(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, links, degrees): the set representative of every document with words, verified links (a < b) that span each class of representatives, and (rep, n_links), the number of all links."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = cut(docs.where("doc_id is not null").mapInArrow(_summaries(how.width), "doc_id long, u long, v long, tokens binary, size long"))
-    reps = cut(whole.groupBy("u", "v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("tokens").alias("tokens"), F.first("size").alias("size")))
+@dataclass(frozen=True)
+class Found:
+    """What the join finds.
+
+    rows: (doc_id, t, rep, first, n_copies) for every row with words; t is a hash of its text, rep its set, first the
+    least (doc_id, t) of the set. links: verified links (a < b) between sets that span each class. degrees: (rep,
+    n_links), the number of all links of a set. sets: (rep, first).
+    """
+
+    rows: DataFrame
+    links: DataFrame
+    degrees: DataFrame
+    sets: DataFrame
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+
+
+def links(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> Found:
+    """The join of all documents with all. A set goes by its least doc_id, or, where several sets have the same one, by a number from its digest."""
+    docs = _named(docs, id_col, text_col)
+    whole = cut(docs.where("doc_id is not null").mapInArrow(_summaries(how.width), "doc_id long, t long, u long, v long, tokens binary, size long"))
+    sets = cut(whole.groupBy("u", "v").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("n_copies"), F.first("tokens").alias("tokens"), F.first("size").alias("size")))
+    shared = sets.groupBy(F.col("first.doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("shared"))
+    own = F.when(F.col("shared"), -F.abs(F.xxhash64("u", "v"))).otherwise(F.col("first.doc_id"))
+    reps = cut(sets.join(shared, sets["first.doc_id"] == shared["id"], "left").withColumn("rep", own).drop("id", "shared"))
     families = components(_candidates(reps, how)).select(F.col("node").alias("rep"), F.col("root").alias("family"))
-    families = cut(families.join(reps.select("rep", "u", "size"), "rep"))
+    families = cut(families.join(reps.select("rep", "u", "size", F.col("first.doc_id").alias("doc_id")), "rep"))
     blocks = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / how.family_block), F.ceil(F.sum("size") / how.family_shingles)).alias("blocks"))
-    families = cut(families.join(blocks, "family").select(F.col("rep").alias("doc_id"), "u", "family", "blocks"))
+    families = cut(families.join(blocks, "family").select("doc_id", "u", "rep", "family", "blocks"))
     packing = Packing(docs)
-    needed = packing.pack().join(families, "doc_id").select("doc_id", "packed", "u", "family", "blocks")
-    sets = needed.mapInArrow(_packed_sets(how.width, packing.opener()), "rep long, shingles binary, family long, blocks long")
-    found = cut(_dealt(sets, "family", "blocks", "rep", "shingles").select("members").mapInArrow(_verify(how.threshold), "a long, b long, n long"))
+    needed = packing.pack().join(families, "doc_id").select("doc_id", "packed", "u", "rep", "family", "blocks")
+    packed = needed.mapInArrow(_packed_sets(how.width, packing.opener()), "rep long, shingles binary, family long, blocks long")
+    found = cut(_dealt(packed, "family", "blocks", "rep", "shingles").select("members").mapInArrow(_verify(how.threshold), "a long, b long, n long"))
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    return whole.select("doc_id", "u", "v").join(reps.select("u", "v", "rep", "n_copies"), ["u", "v"]).select("doc_id", "rep", "n_copies"), found.where("b is not null").select("a", "b"), degrees
+    rows = whole.select("doc_id", "t", "u", "v").join(reps.select("u", "v", "rep", "first", "n_copies"), ["u", "v"]).select("doc_id", "t", "rep", "first", "n_copies")
+    return Found(rows, found.where("b is not null").select("a", "b"), degrees, reps.select("rep", "first"))
+
+
+def _classed(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, first, class_first, n_copies, n_links) for every row with words."""
+    found = links(docs, how, id_col, text_col)
+    roots = components(found.links).withColumnRenamed("node", "rep").join(found.sets, "rep")
+    told = roots.join(roots.groupBy("root").agg(F.min("first").alias("class_first")), "root").join(found.degrees, "rep", "left")
+    known = found.rows.join(cut(told.select("rep", "class_first", "n_links")), "rep", "left")
+    return known.select("doc_id", "t", "first", F.coalesce("class_first", "first").alias("class_first"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def classes(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), set_id (the least id with the same set), n_copies of the set, n_links of the set to others."""
-    sets, found, degree = links(docs, how, id_col, text_col)
-    roots = components(found)
-    known = sets.join(cut(roots.withColumnRenamed("node", "rep").join(degree, "rep", "left")), "rep", "left")
-    known = known.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("set_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = _classed(docs, how, id_col, text_col).select("doc_id", F.col("class_first.doc_id").alias("class_id"), F.col("first.doc_id").alias("set_id"), "n_copies", "n_links")
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("doc_id").isNull()
-    rest = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(blank)
+    rest = _named(docs, id_col, text_col).where(blank)
     return known.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_first(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, whole and unchanged, of the first document (least id) of each class; repeated rows count once."""
-    later = classes(docs, how, id_col, text_col).where("class_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(later, id_col, "left_anti").dropDuplicates([id_col, text_col])
+    """The rows, whole and unchanged, of the first document of each class: the least id, and of several texts with that id one.
+
+    Of rows with the same id and the same text one stays.
+    """
+    later = _classed(docs, how, id_col, text_col).where(F.struct("doc_id", "t") != F.col("class_first")).select(F.col("doc_id").alias("later_id"), F.col("t").alias("later_t")).distinct()
+    id_, t = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    marked = docs.select(F.struct("*").alias("row"), id_.alias("row_id"), t.alias("row_t"))
+    kept = marked.join(later, (F.col("row_id") == F.col("later_id")) & (F.col("row_t") == F.col("later_t")), "left_anti")
+    return kept.dropDuplicates(["row_id", "row_t"]).select("row.*")

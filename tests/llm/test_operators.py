@@ -332,7 +332,7 @@ def test_large_buckets_split_with_all_their_sets(spark):
     texts += [t + " end" for t in texts[::5]]
     truth, links, _ = brute_classes(enumerate(texts))
     how = chosen_path.Join(block=16, alike=1.1)  # every large bucket is split down to the last level
-    found = {(r.a, r.b) for r in chosen_path.links(frame(spark, texts), how)[1].collect()}
+    found = {(r.a, r.b) for r in chosen_path.links(frame(spark, texts), how).links.collect()}
     assert found <= links and len(found) >= 0.98 * len(links) > 30
 
 
@@ -355,6 +355,21 @@ def test_repeated_rows_stay_once(spark):
     assert sorted((str(r.doc_id) for r in chosen_path.keep_first(df).collect())) == ["1", "None"]
 
 
+def test_rows_with_one_id_are_told_by_their_texts(spark):
+    rng = random.Random(19)
+    a, b, c = (prose(rng, 40, 10**6) for _ in range(3))
+    rows = [(2, b), (5, a), (5, b), (7, c), (5, a + " tail"), (9, a), (9, a), (8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("clash")).withColumn("row_id", F.lit("clash"))
+    kept = chosen_path.keep_first(df)
+    assert kept.columns == df.columns
+    told = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert told in [sorted([(2, b), (5, x), (7, c), (8, None), (8, "")], key=repr) for x in (a, a + " tail")]
+    out = sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in chosen_path.classes(df).collect())
+    assert out == sorted([(2, 2, 2, 0), (5, 2, 2, 0), (5, 5, 3, 1), (5, 5, 1, 1), (7, 7, 1, 0), (9, 5, 3, 1), (9, 5, 3, 1), (8, 8, 1, 0), (8, 8, 1, 0)])
+    apart = chosen_path.classes(spark.createDataFrame([(1, a), (1, b), (4, a), (6, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_copies) for r in apart) == [(1, 1, 2), (1, 1, 2), (4, 1, 2), (6, 1, 2)] and all(r.n_links == 0 for r in apart)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 175)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
