@@ -3,16 +3,23 @@
 The fixed formats (assignments, access keys, hexadecimal runs) are matched by pattern. Every other
 long token is tested for randomness within the encoding that its characters imply: a chi-squared
 test of a uniform alphabet, a runs test about the alphabet's middle and a test of serial
-correlation, combined by Fisher's method. Ordinary text fails that battery. Which tokens fail is
-decided for the whole corpus at once by Benjamini-Hochberg control, separately for each encoding
-and length class, so that the power which comes with length is used and short tokens do not borrow
-it; what is not rejected and carries enough bits is reported as `random`.
+correlation, combined by Fisher's method. The result is a measure of how random a token looks, not yet
+a decision: short ordinary tokens look random now and then.
+
+The hypothesis to be rejected is that a token is ordinary. How random ordinary characters look is
+measured on the corpus: the letters and digits of every text, run together as in long names (each word
+with a capital) and cut into pieces of the length classes, go through the same battery in every encoding. A token's p-value is the share of ordinary pieces of its
+encoding and length class that look as random as it does, and Benjamini-Hochberg control over all tokens
+of that encoding and class bounds the share of ordinary tokens among those reported as `random`. Long
+tokens so are told apart easily, short ones only if they are many or their alphabet is wide.
 
 Two passes over the texts and one small aggregate (encodings x length classes x bins, a fixed
-bound) between them; the texts are never shuffled.
+bound) between them; the texts are never shuffled. Pieces made by rule (`PRIOR`) stand for ordinary
+text where the corpus has little.
 
 Defined cases: null text is empty; an empty table gives no rows; repeated rows are scanned one by
-one; offsets count code points, the end is exclusive.
+one; offsets count code points, the end is exclusive; a run of token characters that no alphabet holds
+(both + or / and - or _) is tested in parts; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pedigree.llm.common import slices, text_bytes
+
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the whole run
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_STANDARD, _URL_SAFE = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{20,}={0,2}")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 #: Alphabets by encoding, the narrowest that holds a token's characters is inferred.
@@ -54,10 +64,10 @@ _INDEX = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ALP
 _SETS = {name: frozenset(alphabet) for name, alphabet in ALPHABETS.items()}
 #: Length classes start here; a stratum is an encoding and a class.
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
-#: Bins of -ln(p), by which the step-up procedure is run; the last holds all smaller p.
+#: Bins of the battery's -ln(p), by which the step-up procedure is run; the last holds all smaller p.
 BINS_PER_E, BINS = 16, 1024
-#: Least bits (length x log2 of the alphabet) for a report; tokens of letters only need more.
-LEAST_BITS, LEAST_BITS_LETTERS = 100, 200
+#: Ordinary pieces made by rule, of each length class: letters with Zipf's frequencies.
+PRIOR = 1000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -73,13 +83,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def candidates(text: str, base: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, token) of the long tokens that no fixed format touches."""
+def candidates(text: str, base: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, token, encoding) of the long tokens that no fixed format touches."""
     if not any(len(w) >= 20 for w in text.split()):
         return
     for m in _TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
-            yield m.start(), m.end(), m[0]
+        if any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        encoding = infer_encoding(m[0])
+        if encoding:
+            yield m.start(), m.end(), m[0], encoding
+            continue
+        for part in list(_STANDARD.finditer(m[0])) or list(_URL_SAFE.finditer(m[0])):
+            yield m.start() + part.start(), m.start() + part.end(), part[0], infer_encoding(part[0])
 
 
 def infer_encoding(token: str) -> str | None:
@@ -88,88 +104,151 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, chars in _SETS.items() if seen <= chars), None)
 
 
-def randomness(token: str, encoding: str) -> float:
-    """Fisher's combination of the three tests' p-values under the hypothesis of random characters."""
-    values = [_INDEX[encoding][c] for c in token.rstrip("=")]
-    n, k = len(values), len(ALPHABETS[encoding])
-    counts = Counter(values)
-    chi = sum(c * c for c in counts.values()) * k / n - n
+_GRID = np.linspace(-8, 37, 9001)
+_LOG_TAIL = np.array([math.log(0.5 * math.erfc(z / math.sqrt(2))) for z in _GRID.tolist()])
+
+
+def _surprise(z: np.ndarray) -> np.ndarray:
+    """-ln of the upper tail of the normal distribution; beyond 37 as at 37."""
+    return -np.interp(z, _GRID, _LOG_TAIL)
+
+
+def battery(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """-ln of Fisher's combination of the three tests' p-values, for runs of values 0..k-1 that follow each other without gaps."""
+    n, piece = sizes.astype(np.float64), np.repeat(np.arange(len(sizes)), sizes)
+    total = lambda x: np.add.reduceat(x.astype(np.float64), starts)
+    counts = np.bincount(piece * k + values, minlength=len(sizes) * k).reshape(-1, k)
+    chi = (counts.astype(np.float64) ** 2).sum(1) * k / n - n
     df = k - 1
-    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) if chi > 0 else -5.0
-    uniform = 0.5 * math.erfc(z / math.sqrt(2))
-    high = [v >= k / 2 for v in values]
-    ups = sum(high)
+    uniform = _surprise((np.cbrt(chi / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = values >= k / 2
+    inner = piece[1:] == piece[:-1]
+    ups = total(high)
     downs = n - ups
-    if ups and downs:
-        mean = 1 + 2 * ups * downs / n
-        var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        runs_p = math.erfc(abs(runs - mean) / math.sqrt(2 * var))
-    else:
-        runs_p = 2.0 ** (1 - n)
-    mid = sum(values) / n
-    spread = sum((v - mid) ** 2 for v in values)
-    serial = sum((a - mid) * (b - mid) for a, b in zip(values, values[1:])) / spread if spread else 1.0
-    serial_p = math.erfc(abs(serial) * math.sqrt(n / 2))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, runs_p, serial_p))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    mean = 1 + 2 * ups * downs / n
+    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    changes = total(np.concatenate([[False], inner & (high[1:] != high[:-1])]))
+    both = (ups > 0) & (downs > 0)
+    runs = np.where(both, _surprise(np.abs(1 + changes - mean) / np.sqrt(var)), n * math.log(2)) - math.log(2)
+    off = values - (total(values) / n)[piece]
+    spread = total(off * off)
+    near = total(np.concatenate([[0.0], off[1:] * off[:-1] * inner]))
+    serial = np.where(spread > 0, near / np.maximum(spread, 1e-9), 1.0)
+    half = uniform + np.maximum(runs, 0) + np.maximum(_surprise(np.abs(serial) * np.sqrt(n)) - math.log(2), 0)
+    return half - np.log1p(half + half * half / 2)
+
+
+def randomness(token: str, encoding: str) -> float:
+    """The battery's -ln(p) of one token, under the hypothesis of random characters: small if it looks random."""
+    values = np.array([_INDEX[encoding][c] for c in token.rstrip("=")])
+    return float(battery(values, np.zeros(1, np.int64), np.array([len(values)]), len(ALPHABETS[encoding]))[0])
+
+
+#: Letters and digits as numbers in an alphabet of one case (a to z, 0 to 9) and in one of two (A to Z, a to z, 0 to 9).
+_ONE_CASE, _TWO_CASES = np.full(256, 255, np.uint8), np.full(256, 255, np.uint8)
+for _k, _c in enumerate(string.ascii_lowercase + string.digits):
+    _ONE_CASE[[ord(_c), ord(_c.upper())]] = _k
+for _k, _c in enumerate(string.ascii_uppercase + string.ascii_lowercase + string.digits):
+    _TWO_CASES[ord(_c)] = _k
+_CYCLE = np.cumsum((0,) + LENGTH_CLASSES)
+
+
+def ordinary(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """(stratum, -ln(p) of its pieces): each text's words run together as in a long name, cut into pieces of all length classes in turn, in every encoding.
+
+    A character that an alphabet lacks counts as the one at its number modulo the alphabet's size.
+    """
+    known = _ONE_CASE[data] < 255
+    named = data.copy()  # words run together as in names, each with a capital
+    named[known & ~np.concatenate([[False], known[:-1]]) & (data >= 97)] -= 32
+    at = np.flatnonzero(known)
+    bounds = np.searchsorted(at, offsets)
+    cycles = -(-np.diff(bounds) // _CYCLE[-1])
+    text = np.repeat(np.arange(len(cycles)), cycles)
+    first = bounds[:-1][text] + (np.arange(len(text)) - (np.cumsum(cycles) - cycles)[text]) * _CYCLE[-1]
+    for j, size in enumerate(LENGTH_CLASSES):
+        begin = first + _CYCLE[j]
+        begin = begin[begin + size <= bounds[1:][text]]
+        if len(begin):
+            chars = named[at[begin[:, None] + np.arange(size)]].ravel()
+            starts, sizes = np.arange(len(begin)) * size, np.full(len(begin), size)
+            for name, alphabet in ALPHABETS.items():
+                two = len(set(alphabet.lower())) < len(alphabet)
+                values = (_TWO_CASES if two else _ONE_CASE)[chars].astype(np.int64) % len(alphabet)
+                yield f"{name}:{size}", battery(values, starts, sizes, len(alphabet))
+
+
+def _prior() -> Counter:
+    """The histogram of the ordinary pieces made by rule."""
+    rng = np.random.default_rng(0)
+    chance = 1 / np.arange(1, 27)
+    letters = np.frombuffer(b"etaoinshrdlcumwfgypbvkjxqz", np.uint8)[rng.choice(26, (PRIOR * _CYCLE[-1] // 5, 6), p=chance / chance.sum())]
+    letters[:, -1] = 32
+    found: Counter = Counter()
+    for stratum, p in ordinary(letters.ravel(), np.array([0, letters.size])):
+        found.update((stratum, at) for at in _bins(p).tolist())
+    return found
 
 
 def _stratum(token: str, encoding: str) -> str:
     return f"{encoding}:{max(x for x in LENGTH_CLASSES if len(token) >= x)}"
 
 
-def _bin(p: float) -> int:
-    return min(BINS - 1, int(-math.log(max(p, 1e-300)) * BINS_PER_E))
+def _bins(surprise: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(surprise, 0) * BINS_PER_E, BINS - 1).astype(np.int64)
 
 
-def ordinary_bins(histogram: list[tuple[str, int, int]], level: float) -> dict[str, int]:
-    """Per stratum the least bin whose tokens are rejected as random, by the step-up procedure on binned p-values."""
-    strata: dict[str, np.ndarray] = {}
-    for stratum, at, n in histogram:
-        strata.setdefault(stratum, np.zeros(BINS, np.int64))[at] += n
+def random_bins(tokens: dict[tuple[str, int], int], pieces: dict[tuple[str, int], int], level: float) -> dict[str, int]:
+    """Per stratum the bin below which tokens are reported: ordinariness is rejected by the step-up procedure on the share of ordinary pieces in the bin or below."""
+    seen, common = ({s: np.zeros(BINS, np.int64) for s in {s for s, _ in x}} for x in (tokens, pieces))
+    for table, x in ((seen, tokens), (common, pieces)):
+        for (stratum, at), n in x.items():
+            table[stratum][at] += n
     out = {}
-    for stratum, counts in strata.items():
-        smaller = np.cumsum(counts[::-1])[::-1]  # tokens with a p in this bin or below
-        largest = np.exp(-np.arange(BINS) / BINS_PER_E)  # the bin's largest p
-        passed = np.flatnonzero((largest <= level * smaller / counts.sum()) & (smaller > 0))
-        out[stratum] = int(passed[0]) if len(passed) else BINS
+    for stratum, counts in seen.items():
+        null = common.get(stratum, np.zeros(BINS, np.int64))
+        p = (1 + np.cumsum(null)) / (1 + null.sum())
+        below = np.cumsum(counts)
+        passed = np.flatnonzero(p * counts.sum() <= level * below)
+        out[stratum] = int(passed[-1]) + 1 if len(passed) else 0
     return out
 
 
-def _enough(token: str, encoding: str) -> bool:
-    bits = len(token.rstrip("=")) * math.log2(len(ALPHABETS[encoding]))
-    return bits >= (LEAST_BITS_LETTERS if not any(c.isdigit() for c in token) else LEAST_BITS)
-
-
 def thresholds(docs: DataFrame, text_col: str = "text", level: float = 0.05) -> dict[str, int]:
-    """First pass: the corpus-wide histogram of the battery's p-values and the bins that it rejects."""
+    """First pass: the corpus-wide histograms of the battery over tokens and over ordinary pieces, and the bins that are reported."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        tokens: Counter = Counter()
+        pieces: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                if any(len(w) >= 20 for w in text.split()):
-                    for _, _, token in candidates(text, base_spans(text)):
-                        if encoding := infer_encoding(token):
-                            found[_stratum(token, encoding), _bin(randomness(token, encoding))] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], names=["stratum", "bin", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "stratum string, bin int, n long")
-    # At most encodings x classes x bins rows: a fixed bound, whatever the corpus holds.
-    rows = counted.groupBy("stratum", "bin").agg(F.sum("n").alias("n")).collect()
-    return ordinary_bins([tuple(r) for r in rows], level)
-
-
-def spans_of(text: str, rejected: dict[str, int]) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+            for part in slices(batch, 0):
+                data, offsets = text_bytes(part.column(0))
+                for stratum, p in ordinary(data, offsets):
+                    pieces[stratum] = pieces.get(stratum, 0) + np.bincount(_bins(p), minlength=BINS)
+                for text in part.column(0):
+                    text = text.as_py() or ""
+                    if any(len(w) >= 20 for w in text.split()):
+                        for _, _, token, encoding in candidates(text, base_spans(text)):
+                            tokens[_stratum(token, encoding), int(_bins(np.array(randomness(token, encoding))))] += 1
+        rows = [(True, s, at, n) for (s, at), n in tokens.items()] + [(False, s, at, int(x[at])) for s, x in pieces.items() for at in np.flatnonzero(x).tolist()]
+        columns = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.string(), pa.int32(), pa.int64()))], names=["token", "stratum", "bin", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token boolean, stratum string, bin int, n long")
+    # At most twice encodings x classes x bins rows: a fixed bound, whatever the corpus holds.
+    rows = counted.groupBy("token", "stratum", "bin").agg(F.sum("n").alias("n")).collect()
+    pieces = _prior()
+    pieces.update({(r["stratum"], r["bin"]): r["n"] for r in rows if not r["token"]})
+    return random_bins({(r["stratum"], r["bin"]): r["n"] for r in rows if r["token"]}, pieces, level)
+
+
+def spans_of(text: str, reported: dict[str, int]) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The fixed-format spans and the random ones of one text."""
     base = base_spans(text)
     more = []
-    for start, end, token in candidates(text, base):
-        encoding = infer_encoding(token)
-        if encoding and _enough(token, encoding) and _bin(randomness(token, encoding)) < rejected.get(_stratum(token, encoding), BINS):
+    for start, end, token, encoding in candidates(text, base):
+        bound = reported.get(_stratum(token, encoding), 0)
+        if bound and _bins(np.array(randomness(token, encoding))) < bound:
             more.append((start, "random", end))
     return base, more
 
@@ -180,13 +259,13 @@ def _told(spans: list[tuple[int, str, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: float = 0.05) -> DataFrame:
     """One row per document: doc_id, counts by kind, the digest of the fixed-format spans, all spans."""
-    rejected = thresholds(docs, text_col, level)
+    reported = thresholds(docs, text_col, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                base, more = spans_of(text.as_py() or "", rejected)
+                base, more = spans_of(text.as_py() or "", reported)
                 kinds = Counter(kind for _, kind, _ in base)
                 rows.append((kinds["assign"], kinds["access"], kinds["hex"], len(more), hashlib.sha256(_told(base).encode()).hexdigest(), _told(base + more)))
             columns = list(zip(*rows)) or [()] * 6
@@ -201,14 +280,14 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
 
     A null text stays null. All other columns pass as they are.
     """
-    rejected = thresholds(docs, text_col, level)
+    reported = thresholds(docs, text_col, level)
     names = docs.columns
     at, size_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        base, more = spans_of(text, rejected)
+        base, more = spans_of(text, reported)
         out, end = [], 0
         for start, _, stop in sorted(base + more):
             if start >= end:
