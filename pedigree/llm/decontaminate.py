@@ -4,12 +4,18 @@ A passage of m characters that occurs in a document with at most k edits shares
 m - q + 1 - k*q q-grams with it, all of them close to one diagonal (document position minus passage
 position). The q-grams of the benchmark are looked up in every document; the hits are counted in
 overlapping diagonal bands, twice as wide as they are far apart, so that every occurrence lies
-whole in one band; bands that meet the bound are verified by banded alignment.
+whole in one band; bands that meet the bound are verified by an alignment in the band's diagonals.
 
-The benchmark is taken in blocks of a bounded number of characters (a stated query set against all
-rows), each sent to the tasks; the documents are never shuffled.
+A q-gram that very many passages share is left out of the counts of those passages whose other q-grams
+still give a bound (smaller by the number left out, so nothing is lost), and hits are expanded and
+counted a bounded number at a time.
 
-Defined cases: text is compared in lower case with runs of white space as one space; a null or
+The benchmark is taken in blocks of about `block_chars` characters (a stated query set against all
+rows), each sent to the tasks; equal passages are one. After every second block the documents found so
+far are checkpointed and the blocks' broadcasts released, so that what is held does not grow with the
+benchmark. The documents are never shuffled.
+
+Defined cases: repeated items and items with the same text are all told; text is compared in lower case with runs of white space as one space; a null or
 empty document, and a null or empty passage, match nothing; passages shorter than q must occur as
 they are; repeated rows are judged one by one; texts of any length are scanned whole; other columns
 are left alone.
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.llm.common import powers, slices
+from pedigree.llm.common import cut, powers, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
@@ -34,15 +40,19 @@ _SCHEMA = "doc_id long, contaminated boolean, n_items long, item_ids array<long>
 
 @dataclass(frozen=True)
 class Filter:
-    """Parameters: length of q-grams, edits per character of a passage, characters of the benchmark sent at once."""
+    """Parameters: length of q-grams, edits per character of a passage, characters of a block of the benchmark, blocks held at once;
+    passages from which on a q-gram is common, and pairs of a hit and a passage that are counted in one go."""
 
     q: int = 12
     edit_rate: float = 0.06
     block_chars: int = 4_000_000
+    blocks_at_once: int = 2
+    common: int = 64
+    pairs_at_once: int = 1 << 20
 
 
 def normalise(text: str | None) -> str:
-    return " ".join((text or "").lower().split()).replace("\x00", " ")
+    return " ".join((text or "").lower().replace("\x00", " ").split())
 
 
 def _points(text: str) -> np.ndarray:
@@ -65,94 +75,105 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]], how: Filter):
         self.how = how
-        self.ids, self.texts, self.budget, self.bound, self.short = [], [], [], [], []
-        grams, where = [], []
+        same: dict[str, list[int]] = {}
         for item, text in items:
-            text = normalise(text)
-            if not text:
-                continue
-            m = len(text)
-            if m < how.q:
-                self.short.append((item, text))
-                continue
-            k = min(int(how.edit_rate * m), max(0, (m - how.q) // how.q - 1))
-            number = len(self.ids)
-            self.ids.append(item)
-            self.texts.append(text)
-            self.budget.append(k)
-            self.bound.append(max(1, m - how.q + 1 - k * how.q))
-            h = _grams(_points(text), how.q)
-            grams.append(h)
-            where.append(np.stack([np.full(len(h), number), np.arange(len(h))], 1))
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            if text := normalise(text):
+                same.setdefault(text, []).append(item)
+        self.short = [(text, ids) for text, ids in same.items() if len(text) < how.q]
+        self.texts = [text for text in same if len(text) >= how.q]
+        self.ids = [same[text] for text in self.texts]
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.budget = np.minimum((how.edit_rate * sizes).astype(np.int64), np.maximum(0, (sizes - how.q) // how.q - 1))
+        self.bounds = np.maximum(1, sizes - how.q + 1 - self.budget * how.q)
+        grams = [_grams(_points(text), how.q) for text in self.texts]
+        h = np.concatenate([np.zeros(0, np.uint64), *grams])
+        item, place = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.zeros(0, np.int64), *map(np.arange, map(len, grams))])
+        _, slot, times = np.unique(h, return_inverse=True, return_counts=True)
+        common = times[slot] > how.common
+        left = self.bounds - np.bincount(item[common], minlength=len(grams))
+        spared = left >= np.maximum(1, self.bounds // 4)  # these passages do without their common grams
+        self.bounds = np.where(spared, left, self.bounds)
+        keep = ~(common & spared[item]) if len(item) else common
+        h, item, place = h[keep], item[keep], place[keep]
         order = np.argsort(h, kind="stable")
-        self.where = (np.concatenate(where) if where else np.zeros((0, 2), np.int64))[order]
+        self.item, self.place = item[order], place[order]
         self.grams, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _BITS)] = True
-        self.width = np.array(self.budget, np.int64) + 1
-        self.bounds = np.array(self.bound, np.int64)
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band, passage) of the bands that meet the bound, for hits of gram `slot` at text position `at`."""
+        times = self.count[slot]
+        total = np.cumsum(times)
+        keys, counts, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + self.how.pairs_at_once, side="right")))
+            some = times[begin:stop]
+            nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            hit = np.repeat(self.first[slot[begin:stop]], some) + nth
+            item = self.item[hit]
+            band = (np.repeat(at[begin:stop], some) - self.place[hit]) // (self.budget[item] + 1)
+            keys, same = np.unique(np.concatenate([keys, band * len(self.ids) + item, (band - 1) * len(self.ids) + item]), return_inverse=True)
+            counts = np.bincount(same, np.concatenate([counts, np.ones(2 * len(item), np.int64)]), len(keys)).astype(np.int64)
+            begin = stop
+        keys = keys[counts >= self.bounds[keys % len(self.ids)]]
+        return keys // len(self.ids), keys % len(self.ids)
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """Per text the passages found, with the fewest edits."""
         found: list[dict[int, int]] = [{} for _ in texts]
         for row, text in enumerate(texts):
-            for item, short in self.short:
+            for short, ids in self.short:
                 if short in text:
-                    found[row][item] = 0
+                    found[row] |= dict.fromkeys(ids, 0)
         if not len(self.grams):
             return found
-        joined = "\x00".join(texts)
-        h = _grams(_points(joined), self.how.q)
+        points = _points("\x00".join(texts))
+        h = _grams(points, self.how.q)
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - _BITS)])
         slot = np.searchsorted(self.grams, h[at])
         slot[slot == len(self.grams)] = 0
         same = self.grams[slot] == h[at]
-        at, slot = at[same], slot[same]
-        if not len(at):
-            return found
-        times = self.count[slot]
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hits = self.where[np.repeat(self.first[slot], times) + nth]
-        item, diagonal = hits[:, 0], np.repeat(at, times) - hits[:, 1]
-        band = diagonal // self.width[item]
-        key = np.concatenate([band, band - 1]) * len(self.ids) + np.concatenate([item, item])
-        keys, n = np.unique(key, return_counts=True)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        for key in keys[n >= self.bounds[keys % len(self.ids)]]:
-            band, number = int(key) // len(self.ids), int(key) % len(self.ids)
-            k, text = self.budget[number], self.texts[number]
-            low = band * (k + 1)
+        best: dict[tuple[int, int], int] = {}
+        for band, number in zip(*(x.tolist() for x in self._bands(at[same], slot[same]))):
+            k, passage = int(self.budget[number]), self.texts[number]
+            low, high = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k  # diagonals of an occurrence with its edits
             # An occurrence may begin before or end after the row boundary only by its edits.
-            row = int(np.searchsorted(starts, max(0, low) + len(text) // 2, side="right")) - 1
-            first = max(int(starts[row]), low - k)
-            region = joined[first : min(int(starts[row + 1]) - 1, low + 2 * (k + 1) + len(text) + k)]
-            distance = within(text, region, k)
+            row = int(np.searchsorted(starts, max(0, low + k) + len(passage) // 2, side="right")) - 1
+            if best.get((row, number)) == 0:
+                continue
+            text = points[starts[row] : starts[row + 1] - 1]
+            distance = within(_points(passage), text, low - int(starts[row]), high - int(starts[row]), k)
             if distance is not None:
-                old = found[row].get(self.ids[number])
-                found[row][self.ids[number]] = distance if old is None else min(old, distance)
+                best[row, number] = min(distance, best.get((row, number), distance))
+        for (row, number), distance in best.items():
+            for item in self.ids[number]:
+                found[row][item] = min(distance, found[row].get(item, distance))
         return found
 
 
-def within(passage: str, region: str, k: int) -> int | None:
-    """The fewest edits that turn the passage into some part of the region, None beyond k.
+def within(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> int | None:
+    """The fewest edits that turn the passage into some part of the text along diagonals low to high (text position minus passage position), None beyond k.
 
-    The region is a few k longer than the passage, so the columns of one row of the alignment
-    are the band.
+    Only the band's cells are filled. Places outside the text match nothing, which costs what leaving out the
+    passage's character does.
     """
-    if passage in region:
-        return 0
-    if not k or len(region) < len(passage) - k:
-        return None
-    b = _points(region)
-    row = np.zeros(len(b) + 1, np.int32)  # free start
-    steps = np.arange(len(b) + 1, dtype=np.int32)
-    for i, c in enumerate(_points(passage), 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (b != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > k:
+    m, width = len(passage), high - low + 1
+    region = np.full(m + width - 1, 0xFFFFFFFF, np.uint32)
+    begin, end = max(0, low), min(len(text), high + m)
+    if end > begin:
+        region[begin - low : end - low] = text[begin:end]
+    row = np.zeros(width, np.int32)  # free start
+    steps = np.arange(width, dtype=np.int32)
+    new = np.empty_like(row)
+    for i, c in enumerate(passage):
+        np.add(row, region[i : i + width] != c, out=new)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new -= steps
+        np.minimum.accumulate(new, out=row)
+        row += steps
+        if i % 16 == 15 and row.min() > k:
             return None
     best = int(row.min())
     return best if best <= k else None
@@ -168,6 +189,16 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, how: Filter) ->
         yield Passages([(r["item"], r["text"]) for r in rows], how)
 
 
+def _released(rows: DataFrame, held: list, how: Filter) -> DataFrame:
+    """The rows, checkpointed and without the blocks held so far where these are as many as allowed."""
+    if len(held) < how.blocks_at_once:
+        return rows
+    rows = cut(rows)
+    while held:
+        held.pop().destroy()
+    return rows
+
+
 def _searched(column: pa.Array, batch: pa.RecordBatch, index: int, passages: Passages) -> Iterator[tuple[pa.RecordBatch, list[dict[int, int]]]]:
     for part in slices(batch, index, 1 << 20):
         yield part, passages.search([normalise(x.as_py()) for x in part.column(index)])
@@ -176,8 +207,11 @@ def _searched(column: pa.Array, batch: pa.RecordBatch, index: int, passages: Pas
 def find(docs: DataFrame, benchmark: DataFrame, how: Filter = Filter(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: contaminated or not, the passages found (ascending) and the fewest edits among them."""
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.expr("cast(map() as map<bigint, bigint>)").alias("found"))
+    held: list = []
     for passages in _blocks(benchmark, item_col, item_text_col, how):
+        out = _released(out, held, how)
         shared = docs.sparkSession.sparkContext.broadcast(passages)  # bounded by block_chars
+        held.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -193,8 +227,11 @@ def find(docs: DataFrame, benchmark: DataFrame, how: Filter = Filter(), id_col:
 def clean(docs: DataFrame, benchmark: DataFrame, how: Filter = Filter(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, whole and unchanged, in which no passage is found."""
     at = docs.columns.index(text_col)
+    held: list = []
     for passages in _blocks(benchmark, item_col, item_text_col, how):
+        docs = _released(docs, held, how)
         shared = docs.sparkSession.sparkContext.broadcast(passages)  # bounded by block_chars
+        held.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

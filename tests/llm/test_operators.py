@@ -514,9 +514,58 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find(frame(spark, texts).limit(0), benchmark).count() == 0
 
 
-@pytest.mark.parametrize("region, distance", [("xx hello world yy", 0), ("helo world", 1), ("heXlo wrld", 2), ("hallo warld", 2), ("other text here", None)])
-def test_banded_alignment(region, distance):
-    assert decontaminate.within("hello world", region, 2) == distance
+def fewest_edits(passage, text):
+    """Every cell of the alignment of the passage with any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_edited_passages_match_full_alignment(spark):
+    rng = random.Random(9)
+    opening = "question number one of the set reads as follows now "
+    items = [(k, (opening if k % 2 else "") + prose(rng, rng.randint(8, 25), 300)) for k in range(24)] + [(50, "zz " * 20), (51, "zz " * 20), (3, prose(rng, 12, 300))]
+    how = decontaminate.Filter(common=4, pairs_at_once=50)
+
+    def edited(t, n):
+        points = list(t)
+        for _ in range(n):
+            at = rng.randrange(len(points))
+            points[at : at + 1] = rng.choice(["", "q", points[at] + "q", " "])
+        return "".join(points)
+
+    texts = list(ODD[:5])
+    for _ in range(60):
+        item = rng.choice(items)[1]
+        texts.append(prose(rng, rng.choice((0, 0, 10)), 300) + " " + edited(item, rng.randint(0, 9)) + " " + prose(rng, rng.choice((0, 5)), 300))
+    brute = []
+    for text in texts:
+        told = {}
+        for i, item in items:
+            passage = decontaminate.normalise(item)
+            k = min(int(how.edit_rate * len(passage)), max(0, (len(passage) - how.q) // how.q - 1))
+            n = fewest_edits(passage, decontaminate.normalise(text))
+            if n <= k:
+                told[i] = min(n, told.get(i, n))
+        brute.append(told)
+    assert sum(map(bool, brute)) > 20 and sum(min(t.values(), default=0) > 0 for t in brute) > 8
+    for filter_ in (how, decontaminate.Filter(), decontaminate.Filter(block_chars=300, blocks_at_once=1)):
+        found = decontaminate.Passages(items, filter_).search([decontaminate.normalise(t) for t in texts])
+        assert found == brute
+    docs = frame(spark, texts + texts[-2:]).withColumn("found", F.lit("clash"))
+    out = sorted((r.doc_id, r.item_ids, r.best_distance) for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string"), decontaminate.Filter(block_chars=300)).collect())
+    assert out == [(k, sorted(t), min(t.values(), default=None)) for k, t in enumerate(brute + brute[-2:])]
+
+
+@pytest.mark.parametrize("text, distance", [("xx hello world yy", 0), ("helo world", 1), ("heXlo wrld", 2), ("hallo warld", 2), ("other text here", None), ("", None)])
+def test_alignment_in_a_band(text, distance):
+    points = decontaminate._points
+    assert decontaminate.within(points("hello world"), points(text), -2, 8, 2) == distance
+    assert decontaminate.within(points("hello world"), points("xxxxxxx hello world"), -2, 4, 2) is None
 
 
 # 10 html
