@@ -7,11 +7,12 @@ each result is quantised to two bits in Gray code, and the sixteen codes are pac
 integer per time.
 
 Search takes some recordings as queries against all. Equal fingerprints are one class from the start,
-so copies are members, never pairs. A query class looks up its rarest keys (the filters' signs at three
-times) in the index of all classes; the shared keys' offsets are counted, the best offset is kept, and the
-aligned integers' bit errors decide. Keys are counted with partial sums before the join, and every query
-uses a fixed number of keys, the rarest ones first, so a key that most recordings share (silence, a held
-note) is used only by queries that have nothing rarer.
+so copies are members, never pairs. A query class looks up all its keys (the filters' signs at three
+times) in the index of all classes, at every place where a key begins; the shared keys' offsets are counted
+in a histogram for each pair, all offsets with at least `near_top` of the highest count are aligned, and the
+least share of bit errors decides. No key and no candidate is left out. The two sides of the key join are
+plain exchanges, so adaptive execution splits a key that very many recordings share; what comes out of it is
+as large as the number of query recordings with that key times the number of all recordings with it.
 
 Defined cases: null or too short media have an empty fingerprint, form their own class each and match
 nothing; rows with a null id are left out of the search; repeated rows are copies; recordings of any
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedigree.llm.common import cut
@@ -48,10 +49,10 @@ class Audio:
 
 @dataclass(frozen=True)
 class Search:
-    """Keys that a query looks up, shared keys at one offset, bit errors per bit, least overlap in integers."""
+    """Least shared keys at one offset, share of the highest count from which on an offset is aligned, bit errors per bit, least overlap in integers."""
 
-    keys: int = 24
     least_shared: int = 1
+    near_top: float = 0.5
     bit_errors: float = 0.2
     overlap: int = 16
 
@@ -135,12 +136,15 @@ def _signs(prints: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, class_id, pos): signs at a time and four and eight times later; of a repeated key the first place."""
+    """(key, class_id, pos): signs at a time and four and eight times later, wherever they differ from those a time before."""
     for batch in batches:
         keys, ids, places = [], [], []
         for rec, prints in zip(batch.column(0).to_pylist(), batch.column(1)):
             p = np.asarray(prints.values, np.int32).view(np.uint32).astype(np.uint64)
-            key, first = np.unique(_signs(p[:-8]) << np.uint64(32) | _signs(p[4:-4]) << np.uint64(16) | _signs(p[8:]), return_index=True)
+            signs = _signs(p)
+            key = signs[:-8] << np.uint64(32) | signs[4:-4] << np.uint64(16) | signs[8:]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key = key[first]
             keys.append(key.view(np.int64))
             places.append(first.astype(np.int32))
             ids.append(np.full(len(key), rec))
@@ -151,14 +155,19 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(how: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            errors = []
-            for offset, a, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                a, b = (np.asarray(x.values, np.int32).view(np.uint32) for x in (a, b))
-                a, b = a[max(0, offset) :], b[max(0, -offset) :]
-                n = min(len(a), len(b))
-                errors.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)) if n >= how.overlap else None)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.float64())], names=["query_id", "class_id", "offset", "bit_errors"])
-            yield out.filter(pa.array([e is not None and e <= how.bit_errors for e in errors], pa.bool_()))
+            best = []
+            for offsets, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                x, y = (np.asarray(v.values, np.int32).view(np.uint32) for v in (x, y))
+                told = []
+                for offset in offsets:
+                    a, b = x[max(0, offset) :], y[max(0, -offset) :]
+                    n = min(len(a), len(b))
+                    if n >= how.overlap:
+                        told.append((float(np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)), abs(offset), offset))
+                best.append(min(told, default=(2.0, 0, 0)))
+            keep = pa.array([e <= how.bit_errors for e, _, _ in best], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([o for _, _, o in best], pa.int32()), pa.array([e for e, _, _ in best], pa.float64())], names=["query_id", "class_id", "offset", "bit_errors"])
+            yield out.filter(keep)
 
     return run
 
@@ -174,16 +183,14 @@ def search(prints: DataFrame, is_query: str = "rec_id % 50 = 0", how: Search = S
     classes = cut(sized.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.max(F.expr(is_query)).alias("query"), F.first("prints").alias("prints")))
     members = sized.select("rec_id", "digest").join(classes.select("digest", "class_id"), "digest").select("rec_id", "class_id")
     keys = classes.where(F.size("prints") > 8).select("class_id", "prints").mapInArrow(_keys, "key long, class_id long, pos int")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    asked = keys.join(classes.where("query").select("class_id"), "class_id", "left_semi").join(counts.where("n > 1"), "key")
-    rarest = Window.partitionBy("class_id").orderBy("n", "key")  # a class has as many keys as its recording is long
-    asked = asked.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= how.keys).select("key", F.col("class_id").alias("query_id"), F.col("pos").alias("at"))
+    keys = cut(keys)
+    asked = keys.join(classes.where("query").select("class_id"), "class_id", "left_semi").select("key", F.col("class_id").alias("query_id"), F.col("pos").alias("at"))
     shared = asked.join(keys, "key").where("query_id <> class_id").groupBy("query_id", "class_id", (F.col("at") - F.col("pos")).alias("offset")).agg(F.count("*").alias("n"))
-    best = shared.groupBy("query_id", "class_id").agg(F.max(F.struct("n", -F.abs("offset"), "offset")).alias("best")).where(F.col("best.n") >= how.least_shared)
-    pairs = best.select("query_id", "class_id", F.col("best.offset").alias("offset"))
+    told = shared.groupBy("query_id", "class_id").agg(F.max("n").alias("top"), F.collect_list(F.struct("n", "offset")).alias("all")).where(F.col("top") >= how.least_shared)
+    pairs = told.select("query_id", "class_id", F.expr(f"transform(filter(all, x -> x.n >= {how.near_top} * top), x -> x.offset)").alias("offsets"))
     bodies = classes.select("class_id", "prints")
     both = pairs.join(bodies.withColumnRenamed("class_id", "query_id").withColumnRenamed("prints", "a"), "query_id").join(bodies.withColumnRenamed("prints", "b"), "class_id")
-    matches = both.select("query_id", "class_id", "offset", "a", "b").mapInArrow(_compare(how), "query_id long, class_id long, offset int, bit_errors double")
+    matches = both.select("query_id", "class_id", "offsets", "a", "b").mapInArrow(_compare(how), "query_id long, class_id long, offset int, bit_errors double")
     return members, matches
 
 

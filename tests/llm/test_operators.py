@@ -334,6 +334,36 @@ def test_recordings_are_recognised(spark):
     assert chroma.identify(prints.limit(0)).count() == 0
 
 
+def test_all_noisy_copies_of_a_group_are_found(spark):
+    rng = random.Random(23)
+    tune, others = melody(rng), [melody(rng) for _ in range(60)]
+    rows = [(0, 0, tune)] + [(50 * k + 1, k, tune) for k in range(1, 301)] + [(50 * k + 2, -k, t) for k, t in enumerate(others, 1)] + [(50_000, -1, others[0] + [0.0] * 8 + others[0])]
+    df = spark.createDataFrame([(i, (n, t)) for i, n, t in rows], "rec_id long, media struct<n:long,x:array<double>>").withColumn("key", F.lit("clash"))
+
+    def decode(m):
+        x = chroma.render(m["x"]).astype(np.float64)
+        noise = np.random.default_rng(abs(m["n"]))
+        return x if m["n"] <= 0 else (x + noise.normal(0, 3000, len(x)))[noise.integers(0, 3000) :]
+
+    prints = chroma.fingerprints(df, "rec_id", "media", decode).cache()
+    found = {(r.query_id, r.class_id): r for r in chroma.search(prints)[1].collect()}
+    bodies = {r.rec_id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}
+    brute = {}
+    for q in (0, 50_000):
+        for c in bodies:
+            told = []
+            for o in range(-8, len(bodies[q]) - 16):
+                a, b = bodies[q][max(0, o) :], bodies[c][max(0, -o) :]
+                n = min(len(a), len(b))
+                if n >= 16:
+                    told.append(np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n))
+            if c != q and min(told) <= 0.2:
+                brute[q, c] = min(told)
+    assert len(brute) > 250 and (50_000, 52) in found
+    assert found.keys() <= brute.keys() and len(found) >= 0.9 * len(brute)
+    assert np.mean([math.isclose(r.bit_errors, brute[k]) for k, r in found.items()]) > 0.85  # others have a better place than their keys tell
+
+
 # 7 n-gram Jaccard join
 
 
