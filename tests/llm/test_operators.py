@@ -516,6 +516,24 @@ def test_the_model_beats_the_base_on_unseen_documents(spark, sf_dir):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_probabilities_of_all_short_words_are_no_more_than_one(spark):
+    rng = random.Random(12)
+    docs = frame(spark, [prose(rng, 120, 400) for _ in range(60)])
+    model, _ = context_mixing.fit(docs, context_mixing.Limits(words_per_task=40, pieces=2))
+    letters = [b for b in range(256) if bytes([b]) not in b" \t\n\v\f\r"]
+    for kind, topic in ((0, 0), (3, 1)):
+        words_ = [bytes([a]) for a in letters] + [bytes([a, b]) for a in letters for b in letters]
+        data, starts, ends = context_mixing._joined(words_)
+        p = 10 ** model.mixer.words(data, starts, ends, np.full(len(words_), kind), np.full(len(words_), topic))
+        assert 0 < p[: len(letters)].sum() < 1 and p.sum() < 1 and (p > 0).all()
+    texts = ["w1 w2 w3", "w1 w2", "w1"]
+    out = {r.doc_id: r for r in context_mixing.score(docs.unionByName(frame(spark, texts, 500)).withColumn("score", F.lit("clash"))).collect()}
+    for k, t in enumerate(texts):
+        assert math.isclose(out[500 + k].bits_per_byte, -out[500 + k].score * math.log2(10) / (len(t) + 2))
+    whole, tree = (context_mixing.fit(docs, context_mixing.Limits(words_per_task=n, pieces=m))[0].mixer.logits for n, m in ((10**9, 64), (40, 2)))
+    assert np.allclose(whole, tree, atol=1e-4)
+
+
 # 9 decontamination
 
 
