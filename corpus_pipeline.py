@@ -7,7 +7,6 @@ Stages one to four return the columns of `documents`, the last adds each row's p
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pedigree.llm import chosen_path, decontaminate, mixing, secret_scan, toxicity
 from pedigree.llm.common import table
 from pedigree.llm.queries import MIX_BLOCK, MIX_OTHER, MIX_WEIGHTS
+from pedigree.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
