@@ -6,8 +6,6 @@ cluster shares, and vectorised hashing of words and windows inside Arrow batches
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +13,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedigree.session import cut as cut
+from pedigree.session import shared_folder as shared_folder
+
 #: Bytes of text that the numpy kernels look at in one go; a longer document is one slice of its own.
 SLICE_BYTES = 1 << 19
 
@@ -51,17 +52,6 @@ def join_least(rows: DataFrame, least: DataFrame, on: list[str], hot: DataFrame,
     return joined.select(*rows.columns, *[F.when(F.col("hot_"), F.col(f"hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder (`spark.checkpoint.dir`).
-
-    A folder of our own is set only if the session names none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 class Packing:
     """Compression of texts for a shuffle, with a dictionary from a bounded sample of them.
 
