@@ -90,8 +90,8 @@ def semver_key(version: Column) -> Column:
 
 
 def major(version: Column) -> Column:
-    """The major number, of unparseable versions the digits before the first dot, else null."""
-    return F.coalesce(semver_part(version, 1), F.nullif(F.regexp_extract(version, r"^([0-9]+)\.", 1), F.lit(""))).cast("decimal(38,0)")
+    """The major number, of unparseable versions the digits before the first dot, else null; null too beyond 38 digits."""
+    return F.coalesce(semver_part(version, 1), F.nullif(F.regexp_extract(version, r"^([0-9]+)\.", 1), F.lit(""))).try_cast("decimal(38,0)")
 
 
 def matches_range(version: Column, range_: Column) -> Column:

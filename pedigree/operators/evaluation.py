@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedigree.functions.columns import matches_range, rate, semver_key, wilson
+from pedigree.functions.columns import matches_range, rate, round4, semver_key, wilson
 from pedigree.operators import disposition, provenance, publisher
 from pedigree.params import Params
 from pedigree.session import cut
@@ -154,3 +154,31 @@ def split_violations(train: DataFrame, test: DataFrame, corpus: DataFrame, held_
         "held out but in train": train.join(held_out, "package_id", "left_semi"), "held out but not in test": held_out.join(test, "package_id", "left_anti"),
     }
     return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("problem"), "package_id") for name, df in found.items()))
+
+
+def drop_rule(swept: DataFrame, least_recall: float = 0.02, least_fp: float = 0.005) -> DataFrame:
+    """(constant, delta_fp, delta_recall, retained, drop_reason) from the confusion at `sensitivity_points`.
+
+    The larger change of the two steps counts; a parameter that moves neither rate enough is dropped.
+    """
+    at = F.col("grid_id")
+    base = swept.where(at == 0).select(F.col("false_positive_rate").alias("_fp"), F.col("recall").alias("_recall"))
+    moved = swept.where(at > 0).withColumn("constant", F.element_at(F.array(*map(F.lit, SWEPT)), F.floor((at - 1) / 2).cast("int") + 1))
+    change = lambda c, b: F.coalesce(round4(F.max(F.abs(F.col(c) - F.col(b)))), F.lit(0.0))
+    # The base is one row.
+    out = moved.join(F.broadcast(base), F.lit(True)).groupBy("constant").agg(change("false_positive_rate", "_fp").alias("delta_fp"), change("recall", "_recall").alias("delta_recall"))
+    retained = (F.col("delta_recall") >= least_recall) | (F.col("delta_fp") >= least_fp)
+    why = F.format_string(f"below thresholds: |Δrecall|=%.4f < {least_recall} AND |ΔFP|=%.4f < {least_fp}", "delta_recall", "delta_fp")
+    return out.withColumn("retained", retained).withColumn("drop_reason", F.when(~F.col("retained"), why))
+
+
+def labels_per_package(labels: DataFrame) -> DataFrame:
+    """(package_id, n_labels, n_malicious)."""
+    return labels.groupBy("package_id").agg(F.count("*").alias("n_labels"), F.count_if("is_malicious").alias("n_malicious"))
+
+
+def result_lines(results: DataFrame, attributed: DataFrame) -> DataFrame:
+    """(section, package_id, label_id, line): the result document, one JSON object a line; `results.write_document` puts the lines in order."""
+    line = lambda df: F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    packages = results.select(F.lit("package").alias("section"), "package_id", F.lit(-1).cast("long").alias("label_id"), line(results).alias("line"))
+    return packages.unionByName(attributed.select(F.lit("label").alias("section"), "package_id", F.col("label_id").cast("long"), line(attributed).alias("line")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedigree.functions.columns import is_prerelease, is_semver, iso_millis, param, semver_key
+from pedigree.functions.columns import clean_text, is_prerelease, is_semver, iso_millis, param, semver_key
 from pedigree.params import Params
 
 KEY = ["package_id", "version_id"]
@@ -82,10 +82,9 @@ def flatten_packuments(documents: DataFrame, column: str = "document") -> DataFr
     rows = documents.withColumn("_doc", doc).select(F.col("_doc.name").alias("package_name"), F.col("_doc.time").alias("_time"), F.explode("_doc.versions").alias("version", "_text"))
     rows = rows.where(F.col("_text").rlike(r"^\s*\{")).withColumn("_r", F.from_json("_text", release))
     script = lambda k: F.coalesce(F.length(F.try_element_at("_r.scripts", F.lit(k))) > 0, F.lit(False))
-    clean = lambda c, n: F.nullif(F.substring(F.trim(c), 1, n), F.lit(""))
     return rows.select(
         "package_name", "version", F.try_element_at("_time", F.col("version")).alias("published_at"), F.col("_r.dist.integrity").alias("integrity_hash"), F.col("_r.dist.shasum").alias("content_hash"),
-        clean(F.col("_r._npmUser.name"), 200).alias("publisher_name"), clean(F.col("_r._npmUser.email"), 200).alias("publisher_email"),
+        clean_text(F.col("_r._npmUser.name"), 200).alias("publisher_name"), clean_text(F.col("_r._npmUser.email"), 200).alias("publisher_email"),
         F.col("_r.dist.attestations").isNotNull().alias("provenance_present"), F.when(F.col("_r.dist.attestations").isNotNull(), "oidc").otherwise("unknown").alias("publish_method"),
         F.coalesce(F.map_keys("_r.dependencies"), F.array().cast("array<string>")).alias("deps"), (script("preinstall") | script("install") | script("postinstall")).alias("has_script"),
         F.substring_index("_r.dist.tarball", "/", -1).alias("filename"),

@@ -8,9 +8,10 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from pedigree.plans.queries import ORACLES, QUERIES  # noqa: E402
+from pedigree.plans import queries, store_queries  # noqa: E402
 
-HEAVY = {"sensitivity_grid", "calibration_best", "lag_quartiles", "confusion_matrix"}
+QUERIES, ORACLES = queries.QUERIES | store_queries.QUERIES, queries.ORACLES | store_queries.ORACLES
+HEAVY = {"sensitivity_grid", "sensitivity_deltas", "calibration_best", "lag_quartiles", "confusion_matrix"}
 
 
 def plain(v):
