@@ -91,11 +91,16 @@ def flatten_packuments(documents: DataFrame, column: str = "document") -> DataFr
     )
 
 
+def publish_millis(column: str = "document"):
+    """When the package of a registry document was first published: its creation time, else its earliest release; null without either."""
+    times = F.from_json(F.col(column), "struct<time:map<string,string>>")["time"]
+    earliest = F.array_min(F.map_values(F.map_filter(times, lambda k, v: ~k.isin("created", "modified"))))
+    return iso_millis(F.coalesce(F.try_element_at(times, F.lit("created")), earliest))
+
+
 def first_publish(documents: DataFrame, column: str = "document") -> DataFrame:
-    """When a package was first published: its creation time, else its earliest release."""
-    doc = F.from_json(F.col(column), "struct<name:string,time:map<string,string>>")
-    times = F.map_values(F.map_filter("_doc.time", lambda k, v: ~k.isin("created", "modified")))
-    return documents.withColumn("_doc", doc).select(F.col("_doc.name").alias("dep"), iso_millis(F.coalesce(F.try_element_at("_doc.time", F.lit("created")), F.array_min(times))).alias("first_publish_ms"))
+    """(dep, first_publish_ms) of registry documents."""
+    return documents.select(F.get_json_object(column, "$.name").alias("dep"), publish_millis(column).alias("first_publish_ms"))
 
 
 def rewrite_versions(versions: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,6 +4,12 @@ Every micro-batch reads the store as it was at its start, judges the incoming re
 appends the new baselines and then the decisions that differ from the latest ones. Both appends are
 anti-joins, so a replayed batch changes nothing. There is no watermark: histories are judged whole, and
 a late release simply takes its place in them.
+
+Releases and decisions lie in buckets of packages; a batch reads the buckets of its own packages only.
+Overrides let a release pass whatever the gates say. First publications of dependencies come in by a second
+stream of looked-up documents; the gates use what is known when a batch starts, and `wanted` names what is
+still to be looked up (errors again after a while). Whatever can't be read fails open: a document or entry
+that is no JSON object holds no release, and a gate that gives no known result is skipped.
 """
 
 from __future__ import annotations
@@ -13,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pedigree.operators import gates
-from pedigree.operators.store import flatten_packuments
+from pedigree.operators.store import flatten_packuments, look_up, publish_millis
 from pedigree.params import Params
 
-VERSIONS = "package_name string, version string, published_at string, integrity_hash string, content_hash string, publisher_name string, publisher_email string, provenance_present boolean, publish_method string, deps array<string>, has_script boolean, filename string, version_id long, package_id long, batch long"
-DECISIONS = "package_id long, version string, disposition string, results array<struct<gate:string,result:string,detail:string>>, batch long"
+VERSIONS = "package_name string, version string, published_at string, integrity_hash string, content_hash string, publisher_name string, publisher_email string, provenance_present boolean, publish_method string, deps array<string>, has_script boolean, filename string, version_id long, package_id long, batch long, bucket int"
+DECISIONS = "package_id long, version string, disposition string, results array<struct<gate:string,result:string,detail:string>>, batch long, bucket int"
+OVERRIDES = "package_name string, version string, reason string, removed boolean, created_ms long"
+LOOKUPS = "dep string, status string, first_publish_ms long, fetched_at_ms long, batch long"
+BUCKETS = 64
 
 
 class WitnessStore:
@@ -40,26 +49,61 @@ class WitnessStore:
     def decisions(self, before: int | None = None) -> DataFrame:
         return self._read("decisions", DECISIONS, before)
 
+    def overrides(self) -> DataFrame:
+        """The overrides in force: package_id, package_name, version, reason, created_ms, the newest first."""
+        log = self._read("overrides", OVERRIDES, None)
+        last = log.groupBy("package_name", "version").agg(F.max(F.struct("created_ms", "removed", "reason")).alias("x")).where("not x.removed")
+        return last.select(F.xxhash64("package_name").alias("package_id"), "package_name", "version", "x.reason", "x.created_ms").orderBy(F.desc("created_ms"), "package_name", "version")
+
+    def override(self, rows: DataFrame, now_ms: int, removed: bool = False) -> None:
+        """Let releases (package_name, version, reason) pass, or take that back."""
+        rows.select("package_name", "version", F.col("reason").cast("string"), F.lit(removed).alias("removed"), F.lit(now_ms).cast("long").alias("created_ms")).write.mode("append").parquet(f"{self.path}/overrides")
+
+    def lookups(self) -> DataFrame:
+        """What is known of dependencies: dep, status, first_publish_ms, fetched_at_ms, attempts."""
+        log = self._read("lookups", LOOKUPS, None)
+        return log.groupBy("dep").agg(F.max(F.struct("fetched_at_ms", "batch", "status", "first_publish_ms")).alias("x"), F.count("*").alias("attempts")).select("dep", "x.status", "x.first_publish_ms", "x.fetched_at_ms", "attempts")
+
+    def wanted(self, now_ms: int, p: Params = Params()) -> DataFrame:
+        """Dependencies of the newest baselines without a lookup that still holds."""
+        deps = self.releases().select(F.explode("deps").alias("dep")).distinct()
+        return look_up(deps, self.lookups(), now_ms, p).where("not hit").select("dep")
+
+    def enrich(self, answers: DataFrame, batch: int, now_ms: int) -> None:
+        """One micro-batch of answers (dep, code, document): found, gone (404), or an error; a replayed batch changes nothing."""
+        told = answers.withColumn("first_publish_ms", publish_millis("document"))
+        found = (F.col("code") == 200) & F.col("first_publish_ms").isNotNull()
+        status = F.when(F.col("code") == 404, "vanished").when(found, "ok").otherwise("error")
+        rows = told.select("dep", status.alias("status"), F.when(found, F.col("first_publish_ms")).alias("first_publish_ms"), F.lit(now_ms).cast("long").alias("fetched_at_ms"), F.lit(batch).cast("long").alias("batch")).dropDuplicates(["dep"])
+        done = self._read("lookups", LOOKUPS, None).where(F.col("batch") == batch).select("dep")
+        rows.join(done, "dep", "left_anti").write.mode("append").parquet(f"{self.path}/lookups")
+
     def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params()) -> None:
         """One micro-batch of documents (column `document`)."""
         rows = flatten_packuments(documents).dropDuplicates(["package_name", "version"])
         incoming = rows.withColumns({"package_id": F.xxhash64("package_name"), "version_id": F.xxhash64("package_name", "version"), "batch": F.lit(batch).cast("long")})
-        stored = self.releases(batch)
+        incoming = incoming.withColumn("bucket", F.pmod("package_id", F.lit(BUCKETS)).cast("int"))
+        mine = F.col("bucket").isin([r["bucket"] for r in incoming.select("bucket").distinct().collect()])  # at most BUCKETS numbers
+        stored = self.releases(batch).where(mine).join(incoming.select("package_id").distinct(), "package_id", "left_semi")
         deps = lambda df: df.select("version_id", F.explode("deps").alias("dep"))
-        prepared = gates.facts(incoming.drop("has_script"), stored, deps(incoming), deps(stored), incoming.select("version_id", "has_script"), None, now_ms, p)
-        judged = gates.run_gates(prepared, None, p)
+        prepared = gates.facts(incoming.drop("has_script"), stored, deps(incoming), deps(stored), incoming.select("version_id", "has_script"), self.lookups(), now_ms, p)
+        judged = gates.run_gates(prepared, self.overrides(), p)
         first = F.array(F.struct(F.lit("first-seen").alias("gate"), F.lit("SKIP").alias("result"), F.lit("first observation: baseline recorded").alias("detail")))
         known = stored.select("package_id", "version", F.lit(True).alias("_known"))
-        latest = self.decisions(batch).groupBy("package_id", "version").agg(F.max_by("disposition", "batch").alias("_latest"))
+        latest = self.decisions(batch).where(mine).groupBy("package_id", "version").agg(F.max_by("disposition", "batch").alias("_latest"))
         told = judged.join(known, ["package_id", "version"], "left").join(latest, ["package_id", "version"], "left")
         told = told.where("_latest is null or _latest <> disposition").withColumn("results", F.when(F.col("_known"), F.col("results")).otherwise(F.concat(first, F.col("results"))))
-        done = self.decisions().where(F.col("batch") == batch).select("package_id", "version")
+        done = self.decisions().where(mine & (F.col("batch") == batch)).select("package_id", "version")
         told = told.select("package_id", "version", "disposition", "results", F.lit(batch).cast("long").alias("batch")).join(done, ["package_id", "version"], "left_anti")
-        told = told.select(*[c.split()[0] for c in DECISIONS.split(", ")[:3]], "results", "batch")
-        new = incoming.join(self.releases().select("package_id", "version"), ["package_id", "version"], "left_anti").select(*[c.split()[0] for c in VERSIONS.split(", ")])
-        new.write.mode("append").parquet(f"{self.path}/versions")  # baselines before decisions
-        told.write.mode("append").parquet(f"{self.path}/decisions")
+        told = told.select(*[c.split()[0] for c in DECISIONS.split(", ")[:3]], "results", "batch", F.pmod("package_id", F.lit(BUCKETS)).cast("int").alias("bucket"))
+        new = incoming.join(self.releases().where(mine).select("package_id", "version"), ["package_id", "version"], "left_anti").select(*[c.split()[0] for c in VERSIONS.split(", ")])
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/versions")  # baselines before decisions
+        told.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/decisions")
 
     def attach(self, documents: DataFrame, checkpoint: str, now_ms: int, p: Params = Params(), **trigger) -> StreamingQuery:
         """Observe a stream of documents."""
         return documents.writeStream.foreachBatch(lambda df, batch: self.observe(df, batch, now_ms, p)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def attach_lookups(self, answers: DataFrame, checkpoint: str, now_ms: int, **trigger) -> StreamingQuery:
+        """Note a stream of answers (dep, code, document)."""
+        return answers.writeStream.foreachBatch(lambda df, batch: self.enrich(df, batch, now_ms)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -8,8 +8,10 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from pedigree.operators import gates, store
+from pedigree.operators import evaluation, gates, store, upkeep
 from pedigree.sources import bundle
+from pedigree.sources.results import write_lines
+from pedigree.streaming import observe
 from pedigree.streaming.observe import WitnessStore
 
 NOW = 1_776_254_400_000
@@ -59,6 +61,55 @@ def test_stream_replays_an_attack(spark, tmp_path):
     assert witness.releases().where("version = '1.0.3'").first().integrity_hash == "sha512-3"  # the baseline stays
 
 
+def test_overrides_and_lookups_reach_the_stream(spark, tmp_path):
+    witness = observe.WitnessStore(spark, str(tmp_path / "store"))
+    versions = {f"1.0.{k}": release(k, attested=True) for k in range(10)}
+    times = {v: f"2001-0{1 + k % 6}-01T00:00:00Z" for k, v in enumerate(versions)}
+    docs = lambda *texts: spark.createDataFrame([(t,) for t in texts], "document string")
+    witness.observe(docs(document("p", versions, times), "no json", '{"versions":{"1.0.0":5}}', None), 0, NOW)
+    assert witness.releases().count() == 10
+    versions["1.0.3"] = release(3, sha="sha512-other", attested=True)
+    one = spark.createDataFrame([("p", "1.0.3", "known good")], "package_name string, version string, reason string")
+    witness.override(one, NOW)
+    witness.observe(docs(document("p", versions, times)), 1, NOW)
+    assert witness.decisions().where("batch = 1 and version = '1.0.3'").count() == 0  # still allowed
+    assert [(r.version, r.reason) for r in witness.overrides().collect()] == [("1.0.3", "known good")]
+    witness.override(one, NOW + 1, removed=True)
+    witness.observe(docs(document("p", versions, times)), 2, NOW)
+    assert witness.overrides().count() == 0 and witness.decisions().where("batch = 2 and version = '1.0.3'").first().disposition == "BLOCK"
+    deps = {r.dep for r in witness.wanted(NOW).collect()}
+    assert deps
+    answers = spark.createDataFrame([(d, 200, '{"name":"%s","time":{"created":"2001-07-03T23:00:00Z"}}' % d) for d in deps] + [("gone", 404, None), ("odd", 200, "{}")], "dep string, code int, document string")
+    witness.enrich(answers, 0, NOW)
+    witness.enrich(answers, 0, NOW)
+    known = {r.dep: (r.status, r.attempts) for r in witness.lookups().collect()}
+    assert known == {d: ("ok", 1) for d in deps} | {"gone": ("vanished", 1), "odd": ("error", 1)}
+    assert witness.wanted(NOW).count() == 0
+
+
+def test_import_swaps_the_store(spark, tmp_path):
+    live = str(tmp_path / "live")
+    rows = lambda *r: spark.createDataFrame(r, "package_id long, version string, reason string")
+    upkeep.import_store(spark, {"overrides": rows((1, "1.0.0", "a"), (2, "1.0.0", "b")), "decisions": rows((1, "x", "d"))}, live)
+    upkeep.import_store(spark, {"overrides": rows((2, "1.0.0", "new"), (3, "1.0.0", "new")), "decisions": rows((1, "x", "d"))}, live)
+    read = lambda t: sorted(map(tuple, spark.read.parquet(f"{live}/{t}").collect()))
+    assert read("overrides") == [(1, "1.0.0", "a"), (2, "1.0.0", "b"), (3, "1.0.0", "new")] and len(read("decisions")) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["live"]
+    with pytest.raises(FileNotFoundError):
+        upkeep.swap(spark, str(tmp_path / "none"), live)
+
+
+def test_result_lines_are_the_same_bytes(spark, tmp_path):
+    results = spark.range(50).select(F.col("id").alias("package_id"), F.when(F.col("id") % 2 == 0, "ALLOW").alias("disposition"))
+    labels = spark.range(20).select(F.col("id").alias("label_id"), (F.col("id") % 7).alias("package_id"))
+    texts = []
+    for k in (1, 5):
+        lines = evaluation.result_lines(results.repartition(k), labels.repartition(k))
+        write_lines(lines, str(tmp_path / str(k)))
+        texts.append("".join(p.read_text() for p in sorted((tmp_path / str(k)).glob("part-*"))))
+    assert texts[0] == texts[1] and texts[0].splitlines()[0] == '{"label_id":0,"package_id":0}' and texts[0].splitlines()[-1] == '{"disposition":null,"package_id":49}'
+
+
 def test_runner_overrides_and_foreign_gates(spark):
     prepared = spark.createDataFrame([(1, "1.0.0", 9), (1, "1.0.1", 3)], "package_id long, version string, n_prior long")
     custom = {"odd": lambda p: (F.lit("WARN"), F.lit("odd")), "broken": lambda p: (F.lit("MAYBE"), F.lit("x"))}
