@@ -2,7 +2,7 @@
 
 The content view sees hashed character trigrams of the text, the metadata view only what a page says
 about itself: source, language, length and layout (lines and their lengths). Each view is a logistic
-model, fitted on a bounded sample of labelled documents. Over several rounds each scores all unlabelled
+model, fitted on a bounded sample of labelled documents. Over several rounds each scores all other
 documents of the training part, and the ones of which it is most sure, in the classes' proportions, are
 given to the other view as training rows; of equal texts one is given. The views are then calibrated
 on labelled rows that neither was trained on, and the calibrated log-odds are combined by a third
@@ -191,9 +191,9 @@ def _fitted(rows: DataFrame, prior: float) -> Model:
     return pickle.loads(found["model"]) if found else Model(None, [], (), prior)
 
 
-def _surest(unlabelled: DataFrame, model: Model, given: list[dict[int, int]], n: tuple[int, int]) -> list[dict[int, int]]:
+def _surest(others: DataFrame, model: Model, given: list[dict[int, int]], n: tuple[int, int]) -> list[dict[int, int]]:
     """Per view the documents of the whole table that it is given next, with their labels: the other one's surest n[label] of each label."""
-    shared = unlabelled.sparkSession.sparkContext.broadcast((model, given))  # a fixed size, and a few numbers a round
+    shared = others.sparkSession.sparkContext.broadcast((model, given))  # a fixed size; the sample's numbers and a few more a round
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, given = shared.value
@@ -217,7 +217,7 @@ def _surest(unlabelled: DataFrame, model: Model, given: list[dict[int, int]], n:
         types = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["view", "y", "sure", "id", "digest"])
 
-    found = cut(unlabelled.withColumn("digest", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(run, "view int, y int, sure double, id long, digest long"))
+    found = cut(others.withColumn("digest", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(run, "view int, y int, sure double, id long, digest long"))
     found = found.groupBy("view", "y", "digest").agg(F.max("sure").alias("sure"), F.min("id").alias("id"))
     out: list[dict[int, int]] = [{}, {}]
     for view in (0, 1):
@@ -237,15 +237,16 @@ def fit(source: DataFrame, known: DataFrame, limits: Limits, held_out: int) -> M
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(limits.per_class) for y in (0, 1)]
     # At most 2 * per_class rows of three numbers.
     rows = _featured(source, drawn[0].unionByName(drawn[1]).withColumn("view", F.lit(-1)))
-    unlabelled = source.where(F.col("id").isNotNull() & ~held_out_column("id", held_out)).join(known.select("id"), "id", "left_anti")
-    given: list[dict[int, int]] = [{}, {}]
+    others = source.where(F.col("id").isNotNull() & ~held_out_column("id", held_out))
+    sampled = dict.fromkeys(r["id"] for r in rows.select("id").collect())  # at most 2 * per_class numbers
+    given: list[dict[int, int]] = [dict(sampled), dict(sampled)]
     n = max(2, int(limits.share * sum(min(c, limits.per_class) for c in counts.values())))
     good = min(n - 1, max(1, round(n * prior)))
     for _ in range(limits.rounds):
         model = _fitted(rows, prior)
         if model.views is None:
             return model
-        more = _surest(unlabelled, model, given, (n - good, good))
+        more = _surest(others, model, given, (n - good, good))
         picked = [(i, y, view) for view in (0, 1) for i, y in more[view].items()]
         if not picked:
             return model
