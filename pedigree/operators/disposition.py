@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedigree.functions.columns import is_machine, param, provider
-from pedigree.operators import provenance as attest
+from pedigree.operators.publisher import Pattern
 from pedigree.params import Params
 
 KEYS = ("package_id",)
@@ -26,12 +26,12 @@ def _said(*parts):
     return F.array_join(F.array_compact(F.array(*parts)), " | ")
 
 
-def judge_transitions(moves: DataFrame, shapes: DataFrame, profiles: DataFrame, records: DataFrame | None, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
+def judge_transitions(moves: DataFrame, summaries: DataFrame, records: DataFrame | None, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
     """Every transition with its verdict, co-signals and reason; `records` (attestation) are optional."""
-    t = moves.join(shapes, list(keys)).join(profiles.select(*keys, "has_unverified_domain", "domain_stability"), list(keys))
+    t = moves.join(summaries.select(*keys, "has_sufficient_history", "shape", "has_unverified_domain", "domain_stability"), list(keys))
     if records is not None:
-        fell = records.where("provenance_regression").select(*keys, F.col("version").alias("at_version"), F.lit(True).alias("_fell"))
-        t = t.join(fell, [*keys, "at_version"], "left")
+        fell = records.where("provenance_regression").select("package_id", F.col("version").alias("at_version"), F.lit(True).alias("_fell"))
+        t = t.join(fell, ["package_id", "at_version"], "left")
     else:
         t = t.withColumn("_fell", F.lit(None).cast("boolean"))
     risky = F.col("new_domain") & F.col("provider").isin("privacy", "unverified")
@@ -60,48 +60,63 @@ def judge_transitions(moves: DataFrame, shapes: DataFrame, profiles: DataFrame,
     return t.withColumn("reason", reason)
 
 
-def escalators(records: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """Every regression in scope with the signs that make it worse: new domain, privacy, unverified, machine to human."""
-    fell = records.where("in_scope and provenance_regression")
-    known = records.where("domain is not null").groupBy(*keys, "domain").agg(F.count("*").alias("_n"), F.min("published_at_ms").alias("_first"))
-    fell = fell.join(known, [*keys, "domain"], "left").join(attest.carriers(records, keys, "in_scope and provenance_regression").select(*keys, "version", "any_machine"), [*keys, "version"], "left")
-    kind = provider(F.col("domain"), F.col("_n"), p.min_verified_versions)
+def escalators(fell: DataFrame, p: Params = Params()) -> DataFrame:
+    """Regressions with the signs that make them worse: new domain, privacy, unverified, machine to human."""
+    kind = provider(F.col("domain"), F.col("domain_versions"), p.min_verified_versions)
     return fell.withColumn("escalators", F.array_compact(F.array(
-        F.when(F.col("domain").isNotNull() & (F.col("_first") >= F.col("published_at_ms")), "new_domain"),
+        F.when(F.col("domain").isNotNull() & (F.col("domain_first_ms") >= F.col("published_at_ms")), "new_domain"),
         F.when(kind == "privacy", "privacy"), F.when(kind == "unverified", "unverified"),
-        F.when(F.coalesce("any_machine", F.lit(False)) & ~is_machine(F.col("email")), "machine_to_human"),
-    ))).drop("_n", "_first")
+        F.when(F.col("any_machine") & ~is_machine(F.col("email")), "machine_to_human"),
+    )))
+
+
+def regressions(records: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Every regression in scope; with blocks also `since` when the package knew the identity whose block it falls in, null outside of blocks.
+
+    The first block that ends at or after the regression is the one seen last in descending order, so one
+    window over both finds it.
+    """
+    fell = records.where("in_scope and provenance_regression")
+    if blocks is None:
+        return fell
+    spans = blocks.select("package_id", F.col("last_published_at_ms").alias("_at"), F.lit(1).alias("_kind"), F.col("block_idx").alias("_b"), F.struct("first_published_at_ms", "since").alias("_span"))
+    both = fell.withColumns({"_at": F.col("published_at_ms"), "_kind": F.lit(0)}).unionByName(spans, allowMissingColumns=True)
+    ahead = Window.partitionBy("package_id").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_next", F.last("_span", ignorenulls=True).over(ahead)).where("_kind = 0")
+    return both.select(*fell.columns, F.when(F.col("_next.first_published_at_ms") <= F.col("published_at_ms"), F.col("_next.since")).alias("since"))
 
 
-def judge_regressions(fell: DataFrame, blocks: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def judge_regressions(worsened: DataFrame) -> DataFrame:
     """Verdicts on regressions by identities that the package has seen earlier."""
-    spans = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], "block_idx", "identity", "first_published_at_ms", "last_published_at_ms", F.min("first_published_at_ms").over(Window.partitionBy(*keys, "identity")).alias("_since"))
-    inside = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("published_at_ms") >= F.col("first_published_at_ms"), F.col("published_at_ms") <= F.col("last_published_at_ms")]
-    found = fell.join(spans, inside).groupBy(*keys, "rn", "version", "published_at_ms", "escalators").agg(F.min_by("_since", "block_idx").alias("_since"))
-    found = found.where("_since < published_at_ms")
     worse = F.size("escalators") > 0
     reason = _said(F.concat(F.lit("provenance_regression @ "), F.col("version")), F.when(worse, F.concat(F.lit("escalators=["), F.array_join("escalators", ","), F.lit("]"))).otherwise("regression without escalators"))
-    return found.withColumn("disposition", F.when(worse, "BLOCK").otherwise("WARN")).withColumn("reason", reason)
+    return worsened.where("since < published_at_ms").withColumn("disposition", F.when(worse, "BLOCK").otherwise("WARN")).withColumn("reason", reason)
+
+
+def worsened(pattern: Pattern, records: DataFrame) -> DataFrame:
+    """All regressions with their escalators and `since`, at every point of the pattern's grid."""
+    return escalators(pattern.grid.spread(regressions(records, pattern["blocks"])), pattern.grid.params)
 
 
-def verdicts(pattern: dict[str, DataFrame], records: DataFrame | None = None, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
+def verdicts(pattern: Pattern, records: DataFrame | None = None) -> DataFrame:
     """All verdicts on single versions of packages with enough history: pass, place, version, disposition, reason.
 
     Without attestation records every transition is judged. With them, only those by identities
     never seen earlier, and in a second pass the regressions by identities that were.
     """
-    enough = pattern["signals"].where("has_sufficient_history").select(*keys)
+    keys = pattern.grid.keys
     moves = pattern["transitions"] if records is None else pattern["transitions"].where("not seen_before")
-    first = judge_transitions(moves, pattern["shape"], pattern["identity_profile"], records, keys, p)
+    first = judge_transitions(moves, pattern["summary"], records, keys, pattern.grid.params).where("has_sufficient_history")
     out = first.select(*keys, F.lit(1).alias("pass"), F.col("from_index").alias("place"), F.col("at_version").alias("version"), "disposition", "reason")
     if records is not None:
-        second = judge_regressions(escalators(records, keys, p), pattern["tenure"], keys)
+        second = judge_regressions(worsened(pattern, records)).join(pattern["summary"].where("has_sufficient_history").select(*keys), list(keys), "left_semi")
         out = out.unionByName(second.select(*keys, F.lit(2).alias("pass"), F.col("rn").alias("place"), "version", "disposition", "reason"))
-    return out.join(enough, list(keys), "left_semi")
+    return out
 
 
-def dispositions(pattern: dict[str, DataFrame], judged: DataFrame, full: bool, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def dispositions(pattern: Pattern, judged: DataFrame) -> DataFrame:
     """One row per package: its verdict (the most severe) and all reasons in order."""
+    keys = pattern.grid.keys
     each = judged.groupBy(*keys).agg(
         F.max(severity("disposition")).alias("_level"),
         F.transform(F.sort_array(F.collect_list(F.struct("pass", "place", "disposition", "reason"))), lambda x: F.concat(x["disposition"], F.lit(": "), x["reason"])).alias("_reasons"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pedigree.functions.columns import matches_range, rate, round4, semver_key, wilson
 from pedigree.operators import disposition, provenance, publisher
+from pedigree.operators.grid import SWEPT, Grid
 from pedigree.params import Params
 from pedigree.session import cut
 
@@ -35,14 +36,16 @@ def attribute(labels: DataFrame, targets: DataFrame, last: DataFrame, rows: Data
     """Per label whether a BLOCK accounts for it: on a candidate itself, or earlier in the same tenure block.
 
     `last` has the last verdict on each version, `rows` the valid rows with their block. The first
-    candidate that has either counts; else the first with another verdict is named.
+    candidate that has either counts; else the first with another verdict is named. Of a block only its
+    lowest blocked version can be the one, so all joins are by equality.
     """
     where_ = rows.groupBy("package_id", "version").agg(F.max_by("block_idx", "input_idx").alias("block_idx"))
-    blocked = last.where(F.col("disposition") == "BLOCK").join(where_, ["package_id", "version"], "left").select("package_id", F.col("version").alias("anchor"), F.col("block_idx").alias("_b"), semver_key(F.col("version")).alias("_k"))
-    at = targets.join(where_, ["package_id", "version"], "left").withColumn("_v", semver_key(F.col("version")))
-    same = [at.package_id == blocked.package_id, (at.version == blocked.anchor) | ((at.block_idx == blocked._b) & (blocked._k <= at._v))]
-    found = at.join(blocked.withColumnRenamed("package_id", "_p"), [at.package_id == F.col("_p"), same[1]]).select("label_id", "place", "version", "anchor", "_k")
-    picked = found.groupBy("label_id").agg(F.min(F.struct("place", F.when(F.col("anchor") == F.col("version"), 0).otherwise(1).alias("_far"), "_k", "anchor")).alias("_x"))
+    blocked = last.where(F.col("disposition") == "BLOCK").select("package_id", "version", semver_key(F.col("version")).alias("_k"))
+    lowest = blocked.join(where_, ["package_id", "version"]).groupBy("package_id", "block_idx").agg(F.min(F.struct("_k", F.col("version").alias("anchor"))).alias("_low"))
+    at = targets.join(where_, ["package_id", "version"], "left").join(blocked, ["package_id", "version"], "left").join(lowest, ["package_id", "block_idx"], "left")
+    near = F.when(F.col("_low._k") <= semver_key(F.col("version")), F.col("_low.anchor"))
+    anchor = F.when(F.col("_k").isNotNull(), F.col("version")).otherwise(near)
+    picked = at.withColumn("anchor", anchor).where("anchor is not null").groupBy("label_id").agg(F.min(F.struct("place", "anchor")).alias("_x"))
     other = targets.join(last, ["package_id", "version"]).groupBy("label_id").agg(F.min(F.struct("place", "version", "disposition")).alias("_o"))
     n = targets.groupBy("label_id").agg(F.count("*").alias("n_candidates"))
     out = labels.join(picked, "label_id", "left").join(other, "label_id", "left").join(n, "label_id", "left")
@@ -58,29 +61,26 @@ def last_verdicts(judged: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return judged.groupBy(*keys, "version").agg(F.max_by("disposition", F.struct("pass", "place")).alias("disposition"))
 
 
-def package_results(history: DataFrame, attacked: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> tuple[DataFrame, dict[str, DataFrame]]:
+def package_results(history: DataFrame, attacked: DataFrame, grid: Grid = Grid()) -> tuple[DataFrame, dict[str, DataFrame]]:
     """One row per package: verdict, attack or not, shape, verdict counts, layers; and the relations it came from."""
-    found = publisher.extract(history, keys, p)
-    records = provenance.extract(history, keys, p)["per_version"]
-    judged = cut(disposition.verdicts(found, records, keys, p))
-    overall = disposition.dispositions(found, judged, True, keys)
-    last = last_verdicts(judged, keys)
-    fell = cut(disposition.escalators(records, keys, p))
+    found, keys = publisher.extract(history, grid), list(grid.keys)
+    records = provenance.extract(history, grid.base)["per_version"]
+    judged = cut(disposition.verdicts(found, records))
+    fell = disposition.worsened(found, records)
+    last = last_verdicts(judged, grid.keys)
     worse = fell.where(F.size("escalators") > 0).select(*keys, "version").withColumn("_worse", F.lit(1))
     of_last = last.join(worse, [*keys, "version"], "left").groupBy(*keys).agg(
         F.count_if(F.col("disposition") == "BLOCK").alias("block_transitions"), F.count_if(F.col("disposition") == "WARN").alias("warn_transitions"),
         F.max(((F.col("disposition") == "BLOCK") & F.col("_worse").isNull()).cast("int")).alias("_publisher"),
     )
-    count = lambda e: F.count_if(F.array_contains("escalators", e)).alias(f"fires_{e}")
-    of_fell = fell.groupBy(*keys).agg(F.count("*").alias("provenance_regression_count"), F.count_if(F.size("escalators") > 0).alias("provenance_escalator_fires"), *(count(e) for e in ("new_domain", "privacy", "unverified", "machine_to_human")))
-    on = list(keys)
-    out = overall.join(found["signals"].select(*keys, "observed_versions_count", "has_sufficient_history", "transition_count"), on).join(found["shape"], on).join(of_last, on, "left").join(of_fell, on, "left")
-    out = out.join(attacked.select("package_id", F.lit(True).alias("attack")), "package_id", "left")
+    worst = judged.groupBy(*keys).agg(F.max(disposition.severity("disposition")).alias("_level"))
+    kinds = ("new_domain", "privacy", "unverified", "machine_to_human")
+    of_fell = fell.groupBy(*keys).agg(F.count("*").alias("provenance_regression_count"), F.count_if(F.size("escalators") > 0).alias("provenance_escalator_fires"), *(F.count_if(F.array_contains("escalators", e)).alias(f"fires_{e}") for e in kinds))
+    out = found["summary"].join(worst, keys, "left").join(of_last, keys, "left").join(of_fell, keys, "left").join(attacked.select("package_id", F.lit(True).alias("attack")), "package_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    fires = [f"fires_{e}" for e in ("new_domain", "privacy", "unverified", "machine_to_human")]
     return out.select(
-        *keys, F.coalesce("attack", F.lit(False)).alias("attack"), "disposition", "shape", "observed_versions_count", "has_sufficient_history", "transition_count", zero("block_transitions"), zero("warn_transitions"),
-        zero("provenance_regression_count"), zero("provenance_escalator_fires"), *(zero(f) for f in fires), (F.coalesce("_publisher", F.lit(0)) == 1).alias("publisher_block"),
+        *keys, F.coalesce("attack", F.lit(False)).alias("attack"), disposition.verdict_of(F.coalesce("_level", F.lit(0))).alias("disposition"), "shape", "observed_versions_count", "has_sufficient_history", "transition_count",
+        zero("block_transitions"), zero("warn_transitions"), zero("provenance_regression_count"), zero("provenance_escalator_fires"), *(zero(f"fires_{e}") for e in kinds), (F.coalesce("_publisher", F.lit(0)) == 1).alias("publisher_block"),
     ), {"rows": found["rows"], "records": records, "judged": judged, "last": last}
 
 
@@ -107,25 +107,10 @@ def lag_quartiles(attributed: DataFrame) -> DataFrame:
     return lags.agg(F.count("*").alias("n"), F.min("detection_lag_days").cast("long").alias("lowest"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("detection_lag_days").cast("long").alias("highest"))
 
 
-SWEPT = ("overlap_window", "known_count", "min_verified_versions", "churning_window", "solo_dominance")
-
-
-def grid_of(history: DataFrame, points: list[Params]) -> tuple[DataFrame, tuple[str, ...], Params]:
-    """The history once per grid point, the keys that keep the points apart, and the parameters as columns."""
-    spark = history.sparkSession
-    rows = [(k, *(float(getattr(p, f)) if f == "solo_dominance" else int(getattr(p, f)) for f in SWEPT)) for k, p in enumerate(points)]
-    grid = spark.createDataFrame(rows, "grid_id int, " + ", ".join(f"p_{f} {'double' if f == 'solo_dominance' else 'int'}" for f in SWEPT))
-    # The grid is a stated list of parameters, not data: each row meets every point.
-    replicated = history.withColumn("grid_id", F.explode(F.array(*[F.lit(k) for k in range(len(points))]))).join(F.broadcast(grid), "grid_id")
-    named = Params(**{f.name: f.default for f in fields(Params)} | {f: f"p_{f}" for f in SWEPT})
-    return replicated, ("grid_id", *(f"p_{f}" for f in SWEPT), "package_id"), named
-
-
 def sweep(history: DataFrame, attacked: DataFrame, points: list[Params]) -> DataFrame:
     """Confusion counts and rates at every grid point, all in one job."""
-    replicated, keys, named = grid_of(history, points)
-    results, _ = package_results(replicated, attacked, keys, named)
-    return confusion(results, keys[:-1])
+    grid = Grid(points[0], tuple(points))
+    return confusion(package_results(history, attacked, grid)[0], grid.keys[:-1])
 
 
 def sensitivity_points(base: Params = Params()) -> list[Params]:

@@ -1,7 +1,7 @@
 """Ownership patterns: tenure blocks, transitions, signals, identity profile and shape of every package.
 
-All functions take a release history and `keys`, the columns that tell packages apart (with the grid's
-columns when parameters are swept), and are windows over one hash exchange on those keys.
+Rows and blocks depend on no swept parameter and are windows and one aggregate over a single hash exchange by
+package. What does depend on parameters is an expression over the blocks, or one aggregate of them by package.
 """
 
 from __future__ import annotations
@@ -10,133 +10,130 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedigree.functions.columns import domain, identity, param, provider, semver_key
+from pedigree.operators.grid import Grid, Relations
 from pedigree.params import Params
 from pedigree.session import cut
 
-KEYS = ("package_id",)
+CELLS = {"cold_handoff_count": "cold_handoff", "new_committee_member_count": "new_committee_member", "returning_dormant_count": "returning_dormant", "recurring_member_count": "recurring_member"}
 
 
-def valid_rows(history: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def valid_rows(history: DataFrame) -> DataFrame:
     """Rows with an identity, a time and a version, numbered (rn from 0) by time, version and identity."""
     rows = history.withColumn("identity", identity(F.col("publisher_name"), F.col("publisher_email"))).withColumn("domain", domain(F.col("publisher_email")))
     rows = rows.where(F.col("identity").isNotNull() & F.col("published_at_ms").isNotNull() & (F.length("version") > 0))
-    order = Window.partitionBy(*keys).orderBy("published_at_ms", semver_key(F.col("version")), "identity", "input_idx")
+    order = Window.partitionBy("package_id").orderBy("published_at_ms", semver_key(F.col("version")), "identity", "input_idx")
     return rows.withColumn("rn", F.row_number().over(order).cast("long") - 1)
 
 
-def blocks_of_rows(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def blocks_of_rows(rows: DataFrame) -> DataFrame:
     """Each valid row with the number of its tenure block."""
-    order = Window.partitionBy(*keys).orderBy("rn")
+    order = Window.partitionBy("package_id").orderBy("rn")
     rows = rows.withColumn("_new", F.when(F.lag("identity").over(order) == F.col("identity"), 0).otherwise(1))
     return rows.withColumn("block_idx", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
-def tenure_blocks(rows: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """Maximal runs of one identity; the block's address is its first row's."""
-    at = lambda c, f: f(F.struct(F.col(c)), "rn")[c]  # noqa: E731  a struct keeps nulls
-    blocks = blocks_of_rows(rows, keys).groupBy(*keys, "block_idx", "identity").agg(
-        at("publisher_email", F.min_by).alias("email"), F.count("*").alias("version_count"),
-        at("version", F.min_by).alias("first_version"), at("version", F.max_by).alias("last_version"),
-        at("provenance_present", F.min_by).alias("first_provenance_present"), at("provenance_present", F.max_by).alias("last_provenance_present"),
-        F.min("published_at_ms").alias("first_published_at_ms"), F.max("published_at_ms").alias("last_published_at_ms"),
+def bare_blocks(rows: DataFrame) -> DataFrame:
+    """Maximal runs of one identity, with all that later steps ask of a block and its neighbours but no parameter.
+
+    The block's address is its first row's; `since` is when the package first saw its identity, `last_turn` the
+    identity's block before, `newest_domain_rn` and `new_domains` tell of domains that first occur in the block.
+    """
+    of_domain, known = Window.partitionBy("package_id", "domain"), F.col("domain").isNotNull()
+    rows = blocks_of_rows(rows).withColumns({
+        "domain_versions": F.when(known, F.count("*").over(of_domain)), "first_seen_in_package_ms": F.when(known, F.min("published_at_ms").over(of_domain)), "_first_rn": F.when(known, F.min("rn").over(of_domain)),
+    })
+    blocks = rows.groupBy("package_id", "block_idx", "identity").agg(
+        F.min_by(F.struct("publisher_email", "domain", "domain_versions", "first_seen_in_package_ms", "version", "provenance_present"), "rn").alias("_a"), F.max_by(F.struct("version", "provenance_present"), "rn").alias("_z"),
+        F.count("*").alias("version_count"), F.min("published_at_ms").alias("first_published_at_ms"), F.max("published_at_ms").alias("last_published_at_ms"),
+        F.max("_first_rn").alias("newest_domain_rn"), F.count_if(F.col("_first_rn") == F.col("rn")).alias("new_domains"),
     )
-    seen = rows.where("domain is not null").groupBy(*keys, "domain").agg(F.count("*").alias("domain_versions"), F.min("published_at_ms").alias("first_seen_in_package_ms"))
-    blocks = blocks.withColumn("domain", domain(F.col("email"))).join(seen, [*keys, "domain"], "left")
-    return blocks.withColumn("provider", provider(F.col("domain"), F.col("domain_versions"), p.min_verified_versions)).withColumn("duration_ms", F.col("last_published_at_ms") - F.col("first_published_at_ms"))
+    blocks = blocks.select(
+        "package_id", "block_idx", "identity", F.col("_a.publisher_email").alias("email"), "_a.domain", "_a.domain_versions", "_a.first_seen_in_package_ms", "version_count",
+        F.col("_a.version").alias("first_version"), F.col("_z.version").alias("last_version"), F.col("_a.provenance_present").alias("first_provenance_present"), F.col("_z.provenance_present").alias("last_provenance_present"),
+        "first_published_at_ms", "last_published_at_ms", (F.col("last_published_at_ms") - F.col("first_published_at_ms")).alias("duration_ms"), "newest_domain_rn", "new_domains",
+    )
+    order, same = Window.partitionBy("package_id").orderBy("block_idx"), Window.partitionBy("package_id", "identity").orderBy("block_idx")
+    earlier = same.rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumns({
+        "from_identity": F.lag("identity").over(order), "prior_tenure_versions": F.lag("version_count").over(order), "prior_tenure_duration_ms": F.lag("duration_ms").over(order),
+        "gap_ms": F.col("first_published_at_ms") - F.lag("last_published_at_ms").over(order), "prior_last_provenance": F.lag("last_provenance_present").over(order),
+        "last_turn": F.max("block_idx").over(earlier), "prior_contribution_count": F.coalesce(F.sum("version_count").over(earlier), F.lit(0)),
+        "since": F.min("first_published_at_ms").over(Window.partitionBy("package_id", "identity")), "identity_versions": F.sum("version_count").over(Window.partitionBy("package_id", "identity")),
+    })
+
+
+def classify(blocks: DataFrame, p: Params = Params()) -> DataFrame:
+    """Blocks with their provider and, but for the first of a package, what they took over; expressions only."""
+    blocks = blocks.withColumns({
+        "provider": provider(F.col("domain"), F.col("domain_versions"), p.min_verified_versions),
+        "is_overlap": F.coalesce(F.col("last_turn") >= F.col("block_idx") - param(p.overlap_window), F.lit(False)), "is_known": F.col("prior_contribution_count") >= param(p.known_count),
+    })
+    cell = F.when(F.col("is_overlap") & F.col("is_known"), "recurring_member").when(F.col("is_overlap"), "new_committee_member").when(F.col("is_known"), "returning_dormant").otherwise("cold_handoff")
+    return blocks.withColumn("cell", F.when(F.col("block_idx") > 0, cell))
 
 
-def transitions(blocks: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
+def transitions(classified: DataFrame) -> DataFrame:
     """One row for each block after the first: what it took over, and whether its identity is recent or known."""
-    order = Window.partitionBy(*keys).orderBy("block_idx")
-    same = Window.partitionBy(*keys, "identity").orderBy("block_idx")
-    earlier = same.rowsBetween(Window.unboundedPreceding, -1)
-    t = blocks.select(
-        *keys, (F.col("block_idx") - 1).alias("from_index"), F.lag("identity").over(order).alias("from_identity"), F.col("identity").alias("to_identity"),
-        F.col("first_version").alias("at_version"), F.col("first_published_at_ms").alias("at_published_at_ms"),
-        F.lag("version_count").over(order).alias("prior_tenure_versions"), F.lag("duration_ms").over(order).alias("prior_tenure_duration_ms"),
-        (F.col("first_published_at_ms") - F.lag("last_published_at_ms").over(order)).alias("gap_ms"),
-        F.coalesce(F.max("block_idx").over(earlier) >= F.col("block_idx") - param(p.overlap_window), F.lit(False)).alias("is_overlap"),
-        F.coalesce(F.sum("version_count").over(earlier), F.lit(0)).alias("prior_contribution_count"),
-        (F.min("first_published_at_ms").over(Window.partitionBy(*keys, "identity")) < F.col("first_published_at_ms")).alias("seen_before"),
-        F.lag("last_provenance_present").over(order).alias("prior_last_provenance"), "first_provenance_present", "domain", "provider",
-        F.coalesce(F.col("domain").isNotNull() & (F.col("first_seen_in_package_ms") == F.col("first_published_at_ms")), F.lit(False)).alias("new_domain"),
-    )
-    t = t.where("from_index >= 0").withColumn("is_known", F.col("prior_contribution_count") >= param(p.known_count))
-    cell = F.when(F.col("is_overlap") & F.col("is_known"), "recurring_member").when(F.col("is_overlap"), "new_committee_member").when(F.col("is_known"), "returning_dormant").otherwise("cold_handoff")
-    return t.withColumn("cell", cell)
-
-
-def signals(history: DataFrame, rows: DataFrame, blocks: DataFrame, moves: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """One row per package, also for packages without a valid row."""
-    packages = history.groupBy(*keys).agg(F.count("*").alias("_all"))
-    of_rows = rows.groupBy(*keys).agg(F.count("*").alias("observed_versions_count"), (F.max("published_at_ms") - F.min("published_at_ms")).alias("total_history_duration_ms"))
-    of_blocks = blocks.groupBy(*keys).agg(F.countDistinct("identity").alias("unique_identity_count"), F.max("version_count").alias("longest_tenure_versions"), F.max("duration_ms").alias("longest_tenure_duration_ms"))
-    cells = {"cold_handoff_count": "cold_handoff", "new_committee_member_count": "new_committee_member", "returning_dormant_count": "returning_dormant", "recurring_member_count": "recurring_member"}
-    of_moves = moves.groupBy(*keys).agg(
-        F.count("*").alias("transition_count"), F.max("prior_tenure_versions").alias("max_prior_tenure_versions"),
-        F.max(F.when(F.col("cell") == "cold_handoff", F.col("prior_tenure_versions"))).alias("max_cold_handoff_prior_tenure"),
-        *(F.count_if(F.col("cell") == cell).alias(name) for name, cell in cells.items()), F.max(F.col("is_overlap").cast("int")).alias("_overlap"),
-    )
-    out = packages.join(of_rows, list(keys), "left").join(of_blocks, list(keys), "left").join(of_moves, list(keys), "left")
+    new = F.coalesce(F.col("domain").isNotNull() & (F.col("first_seen_in_package_ms") == F.col("first_published_at_ms")), F.lit(False))
+    return classified.where("block_idx > 0").withColumns({
+        "from_index": F.col("block_idx") - 1, "to_identity": F.col("identity"), "at_version": F.col("first_version"), "at_published_at_ms": F.col("first_published_at_ms"), "seen_before": F.col("since") < F.col("first_published_at_ms"), "new_domain": new,
+    })
+
+
+def summary(releases: DataFrame, classified: DataFrame, keys: tuple[str, ...] = ("package_id",), p: Params = Params()) -> DataFrame:
+    """One row per package, also for packages without a valid row: signals, shape and profile from one aggregate of its blocks.
+
+    `releases` has the number of a package's rows. A package is churning if a domain occurs in its last rows
+    only, else mixed from three domains on, else stable.
+    """
+    of_blocks = classified.groupBy(*keys).agg(
+        F.sum("version_count").alias("_seen"), (F.max("last_published_at_ms") - F.min("first_published_at_ms")).alias("total_history_duration_ms"), F.count_if(F.col("last_turn").isNull()).alias("unique_identity_count"),
+        F.max("version_count").alias("longest_tenure_versions"), F.max("duration_ms").alias("longest_tenure_duration_ms"), F.max("identity_versions").alias("_most"),
+        F.max("newest_domain_rn").alias("_newest"), F.sum("new_domains").alias("_domains"), F.collect_set("provider").alias("_providers"),
+        F.count("cell").alias("transition_count"), F.max("prior_tenure_versions").alias("max_prior_tenure_versions"), F.max(F.when(F.col("cell") == "cold_handoff", F.col("prior_tenure_versions"))).alias("max_cold_handoff_prior_tenure"),
+        *(F.count_if(F.col("cell") == cell).alias(name) for name, cell in CELLS.items()), F.bool_or(F.col("is_overlap") & (F.col("block_idx") > 0)).alias("_overlap"),
+    )  # at most five providers
+    out = releases.join(of_blocks, list(keys), "left")
+    seen, alone = F.coalesce("_seen", F.lit(0)).cast("long"), (F.col("unique_identity_count") == 1) | (F.col("_most") / F.col("_seen") >= param(p.solo_dominance))
+    enough = seen >= param(p.min_history)
+    kind = F.when(~enough, "unknown").when(alone, "solo").when(F.col("unique_identity_count") == 2, "alternating").otherwise("committee")
+    held = F.coalesce("_providers", F.array().cast("array<string>"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(
-        *keys, zero("observed_versions_count"), zero("unique_identity_count"), (F.coalesce("observed_versions_count", F.lit(0)) >= param(p.min_history)).alias("has_sufficient_history"),
-        zero("max_prior_tenure_versions"), zero("max_cold_handoff_prior_tenure"), *(zero(name) for name in cells), zero("total_history_duration_ms"), zero("longest_tenure_versions"),
-        zero("longest_tenure_duration_ms"), zero("transition_count"), (F.col("_all") - F.coalesce("observed_versions_count", F.lit(0))).alias("skipped_versions_count"),
-        (F.coalesce("_overlap", F.lit(0)) == 1).alias("has_overlap_transition"),
+        *keys, seen.alias("observed_versions_count"), zero("unique_identity_count"), enough.alias("has_sufficient_history"), zero("max_prior_tenure_versions"), zero("max_cold_handoff_prior_tenure"), *map(zero, CELLS),
+        zero("total_history_duration_ms"), zero("longest_tenure_versions"), zero("longest_tenure_duration_ms"), zero("transition_count"), (F.col("_all") - seen).alias("skipped_versions_count"),
+        F.coalesce("_overlap", F.lit(False)).alias("has_overlap_transition"), kind.alias("shape"), F.sort_array(held).alias("providers_seen"),
+        F.array_contains(held, "privacy").alias("has_privacy_provider"), F.array_contains(held, "unverified").alias("has_unverified_domain"),
+        F.when(F.col("_newest") >= F.col("_seen") - param(p.churning_window), "churning").when(F.col("_domains") >= 3, "mixed").otherwise("stable").alias("domain_stability"),
     )
 
 
-def stability(rows: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """churning if a domain occurs in the last rows only; else mixed from three domains on; else stable."""
-    sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    first = sized.where("domain is not null").groupBy(*keys, "domain").agg(F.min("rn").alias("_first"), F.max("_n").alias("_n"))
-    return first.groupBy(*keys).agg(
-        F.when(F.max((F.col("_first") >= F.col("_n") - param(p.churning_window)).cast("int")) == 1, "churning").when(F.count("*") >= 3, "mixed").otherwise("stable").alias("domain_stability")
-    )
-
-
-def shape(blocks: DataFrame, sized: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """unknown, solo, alternating or committee, by the shares of the identities; `sized` are the signals."""
-    each = blocks.groupBy(*keys, "identity").agg(F.sum("version_count").alias("_n"))
-    total = each.groupBy(*keys).agg(F.count("*").alias("_u"), F.max("_n").alias("_most"), F.sum("_n").alias("_total"))
-    solo = (F.col("_u") == 1) | (F.col("_most") / F.col("_total") >= param(p.solo_dominance))
-    kind = F.when(~F.col("has_sufficient_history"), "unknown").when(solo, "solo").when(F.col("_u") == 2, "alternating").otherwise("committee")
-    return sized.select(*keys, "has_sufficient_history").join(total, list(keys), "left").select(*keys, kind.alias("shape"))
-
-
-def profile(sized: DataFrame, blocks: DataFrame, rows: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> DataFrame:
-    """Providers seen (sorted), two flags and the domain stability of every package."""
-    seen = blocks.groupBy(*keys).agg(
-        F.sort_array(F.collect_set("provider")).alias("providers_seen"), F.max((F.col("provider") == "privacy").cast("int")).alias("_p"), F.max((F.col("provider") == "unverified").cast("int")).alias("_u")
-    )  # at most five providers
-    out = sized.select(*keys).join(seen, list(keys), "left").join(stability(rows, keys, p), list(keys), "left")
-    return out.select(*keys, F.coalesce("providers_seen", F.array().cast("array<string>")).alias("providers_seen"), (F.coalesce("_p", F.lit(0)) == 1).alias("has_privacy_provider"), (F.coalesce("_u", F.lit(0)) == 1).alias("has_unverified_domain"), F.coalesce("domain_stability", F.lit("stable")).alias("domain_stability"))
-
-
-class Pattern(dict):
-    """The pattern's relations, each made when it is first asked for and then kept: rows, tenure, transitions, signals, identity_profile, shape."""
-
-    def __init__(self, history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()):
-        super().__init__()
-        self.history, self.keys_, self.p = history, keys, p
-
-    def __missing__(self, name: str) -> DataFrame:
-        k, p = self.keys_, self.p
-        made = {
-            "rows": lambda: cut(valid_rows(self.history, k)),
-            "tenure": lambda: cut(tenure_blocks(self["rows"], k, p)),
-            "transitions": lambda: cut(transitions(self["tenure"], k, p)),
-            "signals": lambda: cut(signals(self.history, self["rows"], self["tenure"], self["transitions"], k, p)),
-            "identity_profile": lambda: profile(self["signals"], self["tenure"], self["rows"], k, p),
-            "shape": lambda: shape(self["tenure"], self["signals"], k, p),
-        }
-        if name not in made:
-            raise KeyError(name)
-        self[name] = made[name]()
-        return self[name]
-
-
-def extract(history: DataFrame, keys: tuple[str, ...] = KEYS, p: Params = Params()) -> Pattern:
+PROFILE = ("providers_seen", "has_privacy_provider", "has_unverified_domain", "domain_stability")
+
+
+class Pattern(Relations):
+    """The pattern's relations, made on demand: rows, blocks, tenure, transitions, summary, signals, identity_profile, shape.
+
+    `shared`: several of them are asked for, so blocks and summary are checkpointed.
+    """
+
+    def __init__(self, history: DataFrame, grid: Grid = Grid(), shared: bool = True):
+        keep = cut if shared else (lambda df: df)
+        keys, p = grid.keys, grid.params
+        releases = lambda: history.groupBy("package_id").agg(F.count("*").alias("_all"))
+        super().__init__(
+            rows=lambda: valid_rows(history),
+            blocks=lambda: keep(bare_blocks(self["rows"])),
+            tenure=lambda: classify(grid.spread(self["blocks"]), p),
+            transitions=lambda: transitions(self["tenure"]),
+            summary=lambda: keep(summary(grid.spread(releases()), self["tenure"], keys, p)),
+            signals=lambda: self["summary"].drop("shape", *PROFILE),
+            identity_profile=lambda: self["summary"].select(*keys, *PROFILE),
+            shape=lambda: self["summary"].select(*keys, "shape"),
+        )
+        self.grid = grid
+
+
+def extract(history: DataFrame, grid: Grid = Grid(), shared: bool = True) -> Pattern:
     """All relations of the pattern."""
-    return Pattern(history, keys, p)
+    return Pattern(history, grid, shared)

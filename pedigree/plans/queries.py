@@ -27,12 +27,12 @@ def _joined(c: str, sep: str = ",") -> F.Column:
     return F.array_join(c, sep).alias(c)
 
 
-def _publisher(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return publisher.extract(adapters.release_history(spark, sf_dir))
+def _publisher(spark: SparkSession, sf_dir: str, shared: bool = False) -> dict[str, DataFrame]:
+    return publisher.extract(adapters.release_history(spark, sf_dir), shared=shared)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return provenance.extract(adapters.release_history(spark, sf_dir))
+def _records(spark: SparkSession, sf_dir: str, shared: bool = False) -> dict[str, DataFrame]:
+    return provenance.extract(adapters.release_history(spark, sf_dir), shared=shared)
 
 
 def _verdicts(spark: SparkSession, sf_dir: str, full: bool) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -88,7 +88,7 @@ def provenance_skipped(spark, sf_dir):
 
 @query
 def baseline_carriers(spark, sf_dir):
-    return _records(spark, sf_dir)["carriers"].select("package_id", "version", _joined("identities"), _joined("emails"), "any_machine", "any_human")
+    return _records(spark, sf_dir, shared=True)["carriers"].select("package_id", "version", _joined("identities"), _joined("emails"), "any_machine", "any_human")
 
 
 @query
@@ -103,19 +103,19 @@ def provenance_per_major(spark, sf_dir):
 
 @query
 def transition_verdicts(spark, sf_dir):
-    found = _publisher(spark, sf_dir)
-    return disposition.judge_transitions(found["transitions"], found["shape"], found["identity_profile"], None).select("package_id", "from_index", "at_version", _joined("co_signals", "; "), "disposition", "reason")
+    found = _publisher(spark, sf_dir, shared=True)
+    return disposition.judge_transitions(found["transitions"], found["summary"], None).select("package_id", "from_index", "at_version", _joined("co_signals", "; "), "disposition", "reason")
 
 
 @query
 def disposition_single(spark, sf_dir):
     found, judged = _verdicts(spark, sf_dir, False)
-    return disposition.dispositions(found, judged, False).withColumn("reasons", _joined("reasons", "\n"))
+    return disposition.dispositions(found, judged).withColumn("reasons", _joined("reasons", "\n"))
 
 
 @query
 def regression_escalators(spark, sf_dir):
-    return disposition.escalators(_records(spark, sf_dir)["per_version"]).select("package_id", "version", _joined("escalators"))
+    return disposition.escalators(disposition.regressions(_records(spark, sf_dir)["per_version"])).select("package_id", "version", _joined("escalators"))
 
 
 @query
@@ -126,7 +126,7 @@ def verdicts_full(spark, sf_dir):
 @query
 def disposition_full(spark, sf_dir):
     found, judged = _verdicts(spark, sf_dir, True)
-    return disposition.dispositions(found, judged, True).withColumn("reasons", _joined("reasons", "\n"))
+    return disposition.dispositions(found, judged).withColumn("reasons", _joined("reasons", "\n"))
 
 
 def _facts(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFrame:

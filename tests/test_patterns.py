@@ -89,7 +89,7 @@ def test_carriers_are_the_last_rows_not_the_last_attested(spark):
 
 def verdict(spark, entries, step=DAY):
     found = publisher.extract(history(spark, entries, step=step))
-    return disposition.dispositions(found, disposition.verdicts(found), False).first()
+    return disposition.dispositions(found, disposition.verdicts(found)).first()
 
 
 @pytest.mark.parametrize(
@@ -115,7 +115,7 @@ def test_dispositions(spark, entries, expected):
 def test_full_disposition_judges_regressions_of_known_identities(spark):
     df = history(spark, [("alice@acme.com", 10), ("bob@acme.com", 5), ("alice@acme.com", 1)]).withColumn("provenance_present", F.col("input_idx") < 15)
     found, records = publisher.extract(df), provenance.extract(df)["per_version"]
-    out = disposition.dispositions(found, disposition.verdicts(found, records), True).first()
+    out = disposition.dispositions(found, disposition.verdicts(found, records)).first()
     assert any("regression without escalators" in r for r in out.reasons)
 
 
