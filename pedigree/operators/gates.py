@@ -39,41 +39,42 @@ def _text(*parts: Column | str) -> Column:
 def new_deps(incoming: DataFrame, stored: DataFrame, incoming_deps: DataFrame, stored_deps: DataFrame) -> DataFrame:
     """Per incoming release its dependencies and those that no other stored version has.
 
-    The history enters as one count of versions per package and dependency, summed before the shuffle.
+    Both sides go through one exchange by package and dependency, which serves the removal of repeats and the count.
     """
-    uses = stored.select(*KEY, "version_id").join(stored_deps, "version_id").select(*KEY, "dep").distinct()
-    counts = uses.groupBy("package_id", "dep").agg(F.count("*").alias("_n"))
-    own = uses.withColumn("_own", F.lit(1))
-    wanted = incoming.select(*KEY, "version_id").join(incoming_deps, "version_id").select(*KEY, "dep").distinct()
-    seen = wanted.join(counts, ["package_id", "dep"], "left").join(own, [*KEY, "dep"], "left")
-    fresh = F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0)) == 0
-    return seen.groupBy(*KEY).agg(F.count("*").alias("n_deps"), F.sort_array(F.collect_list(F.when(fresh, F.col("dep")))).alias("new_deps"))
+    of = lambda releases, deps, held: releases.select(*KEY, "version_id").join(deps, "version_id").select(*KEY, "dep", F.lit(held).alias("_held"))
+    both = of(stored, stored_deps, 1).unionByName(of(incoming, incoming_deps, 0)).repartition("package_id", "dep")
+    each = both.groupBy(*KEY, "dep").agg(F.max("_held").alias("_own"), (F.min("_held") == 0).alias("_wanted"))
+    fresh = F.sum("_own").over(Window.partitionBy("package_id", "dep")) - F.col("_own") == 0
+    seen = each.withColumn("_fresh", fresh).where("_wanted")
+    return seen.groupBy(*KEY).agg(F.count("*").alias("n_deps"), F.sort_array(F.collect_list(F.when(F.col("_fresh"), F.col("dep")))).alias("new_deps"))
 
 
-def priors(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Facts about the other stored versions: how many, how many attested, and the newest of each kind.
+def newest(stored: DataFrame) -> DataFrame:
+    """One row per package: its stored versions, attested ones, and the two newest of each kind.
 
-    The newest other version is the package's newest or, for that one itself, its second.
+    The newest version other than a given one is the package's newest or, for that one itself, its second.
     """
-    newest = Window.partitionBy("package_id").orderBy(F.desc_nulls_last("published_at"), F.desc("version_id"))
-    ranked = stored.withColumn("_r", F.row_number().over(newest)).withColumn("_a", F.row_number().over(Window.partitionBy("package_id", F.coalesce("provenance_present", F.lit(False))).orderBy(F.desc_nulls_last("published_at"), F.desc("version_id"))))
     attested = F.coalesce("provenance_present", F.lit(False))
+    order = [F.desc_nulls_last("published_at"), F.desc("version_id")]
+    ranked = stored.withColumns({"_r": F.row_number().over(Window.partitionBy("package_id").orderBy(*order)), "_a": F.row_number().over(Window.partitionBy("package_id", attested).orderBy(*order))})
     pick = lambda rank, n, cond=F.lit(True): F.max(F.when((F.col(rank) == n) & cond, F.struct("version", "publisher_email")))
-    of = ranked.groupBy("package_id").agg(F.count("*").alias("_n"), F.count_if(attested).alias("_attested"), pick("_r", 1).alias("_p1"), pick("_r", 2).alias("_p2"), pick("_a", 1, attested).alias("_a1"), pick("_a", 2, attested).alias("_a2"))
-    own = stored.select(*KEY, F.lit(1).alias("_self"), attested.cast("int").alias("_self_attested"))
-    out = incoming.select(*KEY).join(of, "package_id", "left").join(own, KEY, "left")
+    return ranked.groupBy("package_id").agg(F.count("*").alias("_n"), F.count_if(attested).alias("_attested"), pick("_r", 1).alias("_p1"), pick("_r", 2).alias("_p2"), pick("_a", 1, attested).alias("_a1"), pick("_a", 2, attested).alias("_a2"))
+
+
+def priors(out: DataFrame) -> DataFrame:
+    """Facts about the other stored versions, from the release's own row and its package's: how many, how many attested, and the newest of each kind."""
     other = lambda first, second: F.when(F.col(f"{first}.version") == F.col("version"), F.col(second)).otherwise(F.col(first))
-    return out.select(
-        *KEY, (F.coalesce("_n", F.lit(0)) - F.coalesce("_self", F.lit(0))).alias("n_prior"), (F.coalesce("_attested", F.lit(0)) - F.coalesce("_self_attested", F.lit(0))).alias("n_prior_attested"),
-        other("_p1", "_p2").alias("latest_prior"), other("_a1", "_a2")["version"].alias("latest_attested"),
-    )
+    return out.withColumns({
+        "n_prior": F.coalesce("_n", F.lit(0)) - F.coalesce(F.col("has_baseline").cast("int"), F.lit(0)), "n_prior_attested": F.coalesce("_attested", F.lit(0)) - F.coalesce("_self_attested", F.lit(0)),
+        "latest_prior": other("_p1", "_p2"), "latest_attested": other("_a1", "_a2")["version"],
+    }).drop("_n", "_attested", "_self_attested", "_p1", "_p2", "_a1", "_a2")
 
 
 def facts(incoming: DataFrame, stored: DataFrame, incoming_deps: DataFrame, stored_deps: DataFrame, scripts: DataFrame, cache: DataFrame | None, now_ms: int, p: Params = Params()) -> DataFrame:
     """All that the gates look at, one row per incoming release."""
-    base = stored.select(*KEY, F.lit(True).alias("has_baseline"), F.col("integrity_hash").alias("base_integrity"), F.col("content_hash").alias("base_content"))
+    base = stored.select(*KEY, F.lit(True).alias("has_baseline"), F.col("integrity_hash").alias("base_integrity"), F.col("content_hash").alias("base_content"), F.coalesce("provenance_present", F.lit(False)).cast("int").alias("_self_attested"))
     deps = new_deps(incoming, stored, incoming_deps, stored_deps)
-    out = incoming.join(base, KEY, "left").join(priors(incoming, stored), KEY).join(deps, KEY, "left").join(scripts, "version_id", "left")
+    out = priors(incoming.join(base, KEY, "left").join(newest(stored), "package_id", "left")).join(deps, KEY, "left").join(scripts, "version_id", "left")
     out = out.withColumns({"n_deps": F.coalesce("n_deps", F.lit(0)), "new_deps": F.coalesce("new_deps", F.array().cast("array<string>")), "has_script": F.coalesce("has_script", F.lit(False)), "now_ms": F.lit(now_ms)})
     if cache is None:
         return out.withColumns({"fresh_dep": F.lit(None).cast("struct<dep:string,age_hours:bigint>"), "can_look_up": F.lit(False)})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pedigree.functions.columns import clean_text, is_prerelease, is_semver, iso_millis, param, semver_key
 from pedigree.params import Params
+from pedigree.session import cut
 
 KEY = ["package_id", "version_id"]
 
@@ -114,6 +115,7 @@ def rewrite_versions(versions: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def rewrite_tags(tags: DataFrame, rewritten: DataFrame) -> DataFrame:
     """(package_id, tag, target, new_target): tags of blocked releases move to the highest release left, `latest` to no prerelease; null if none is left."""
+    rewritten = cut(rewritten.select("package_id", "version", "kept"))  # read twice: what is left and what is gone
     left = rewritten.where(F.col("kept") & is_semver(F.col("version"))).withColumn("_k", semver_key(F.col("version")))
     best = left.groupBy("package_id").agg(F.max_by("version", "_k").alias("_any"), F.max_by(F.when(~is_prerelease(F.col("version")), F.col("version")), F.when(~is_prerelease(F.col("version")), F.col("_k"))).alias("_release"))
     gone = rewritten.where("not kept").select("package_id", F.col("version").alias("target"), F.lit(True).alias("_gone"))
