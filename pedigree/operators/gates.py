@@ -185,14 +185,15 @@ def run_gates(prepared: DataFrame, overrides: DataFrame | None = None, p: Params
     """package_id, version, disposition, results: all gates in order, an override instead of them, skips without history."""
     short = F.col("n_prior") < param(p.min_history)
     why = _text("insufficient history (", F.col("n_prior"), " prior version(s), need ", param(p.min_history), ") — first-seen poisoning protection")
-    results = []
-    for name, gate in (gates or GATES).items():
+    made, results = {}, []
+    for k, (name, gate) in enumerate((gates or GATES).items()):
         result, detail = gate(p)
         if name not in INDEPENDENT:
             result, detail = F.when(short, "SKIP").otherwise(result), F.when(short, why).otherwise(detail)
-        known = result.isin("ALLOW", "WARN", "BLOCK", "SKIP")
-        results.append(F.struct(F.lit(name).alias("gate"), F.when(known, result).otherwise("SKIP").alias("result"), F.when(known, F.coalesce(detail, F.lit(""))).otherwise("malformed gate output").alias("detail")))
-    out = prepared.withColumn("results", F.array(*results))
+        made |= {f"_result_{k}": result, f"_detail_{k}": detail}  # columns of their own, so that each is computed once
+        known = F.col(f"_result_{k}").isin("ALLOW", "WARN", "BLOCK", "SKIP")
+        results.append(F.struct(F.lit(name).alias("gate"), F.when(known, F.col(f"_result_{k}")).otherwise("SKIP").alias("result"), F.when(known, F.coalesce(f"_detail_{k}", F.lit(""))).otherwise("malformed gate output").alias("detail")))
+    out = prepared.withColumns(made).withColumn("results", F.array(*results))
     if overrides is not None:
         out = out.join(overrides.select(*KEY, F.coalesce("reason", F.lit("(no reason)")).alias("_why")), KEY, "left")
         one = F.array(F.struct(F.lit("override").alias("gate"), F.lit("ALLOW").alias("result"), _text("override: ", F.col("_why")).alias("detail")))
