@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ class Search:
     overlap: int = 16
 
 
+@lru_cache(maxsize=8)
 def _fold(how: Audio) -> np.ndarray:
     """Bins of the spectrum to pitch classes, weights that fall off from each semitone; 55 Hz to 1,760 Hz."""
     hz = np.fft.rfftfreq(how.frame, 1 / how.rate)
@@ -69,6 +71,11 @@ def _fold(how: Audio) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def _window(how: Audio) -> np.ndarray:
+    return np.hanning(how.frame).astype(np.float32)
+
+
 def chroma(samples: np.ndarray, how: Audio) -> np.ndarray:
     """Frames by pitch classes, each frame of length one."""
     if len(samples) < how.frame:
@@ -76,7 +83,7 @@ def chroma(samples: np.ndarray, how: Audio) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(samples, how.frame)[:: how.hop]
     image = []
     for k in range(0, len(frames), 2048):  # a long recording is not held as spectra at once
-        power = np.abs(np.fft.rfft(frames[k : k + 2048] * np.hanning(how.frame).astype(np.float32), axis=1)).astype(np.float32) ** 2
+        power = np.abs(np.fft.rfft(frames[k : k + 2048] * _window(how), axis=1)).astype(np.float32) ** 2
         image.append(power @ _fold(how))
     image = np.concatenate(image)
     norm = np.linalg.norm(image, axis=1, keepdims=True)
@@ -93,10 +100,10 @@ def fingerprint(samples: np.ndarray | None, how: Audio = Audio()) -> np.ndarray:
         return np.zeros(0, np.uint32)
     total = np.zeros((len(image) + 1, 25))
     total[1:, 1:] = np.cumsum(np.cumsum(np.concatenate([image, image], 1), 0), 1)  # pitch classes are a circle
-    t = np.arange(times)
 
     def box(first: int, last: int, low: int, high: int) -> np.ndarray:
-        return total[t + last, high] - total[t + first, high] - total[t + last, low] + total[t + first, low]
+        span = total[last : last + times] - total[first : first + times]
+        return span[:, high] - span[:, low]
 
     out = np.zeros(times, np.uint32)
     for shape, low, height, length in FILTERS:
@@ -122,7 +129,9 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(decode(x.as_py()) if x.is_valid else None, how).view(np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tolist() for p in prints], pa.list_(pa.int32()))], names=["rec_id", "prints"])
+            ends = np.cumsum([0] + [len(p) for p in prints]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *prints])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rec_id", "prints"])
 
     return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(media_col).alias("media")).mapInArrow(run, "rec_id long, prints array<int>")
 
@@ -206,6 +215,14 @@ def identify(prints: DataFrame, is_query: str = "rec_id % 50 = 0", how: Search =
     )
 
 
+@lru_cache(maxsize=8)
+def _notes(how: Audio, note_frames: int) -> np.ndarray:
+    """The samples of the notes from an octave below 330 Hz to an octave above, each with its fifth."""
+    hz = 330 * 2 ** (np.arange(-12, 13) / 12)
+    t = np.arange(note_frames * how.hop) / how.rate
+    return (8000 * (np.sin(2 * np.pi * hz[:, None] * t) + 0.5 * np.sin(3 * np.pi * hz[:, None] * t))).astype(np.int16)
+
+
 def render(values: list[float] | None, how: Audio = Audio(), note_frames: int = 2) -> np.ndarray | None:
     """A recording for a row without media: its numbers as a melody, one note each with its fifth.
 
@@ -215,7 +232,4 @@ def render(values: list[float] | None, how: Audio = Audio(), note_frames: int =
         return None
     x = np.nan_to_num(np.array(values, np.float64))
     steps = np.clip(np.round(6 * x / (np.sqrt((x * x).mean()) + 1e-12)), -12, 12)
-    hz = 330 * 2 ** (steps / 12)
-    t = np.arange(note_frames * how.hop) / how.rate
-    notes = np.sin(2 * np.pi * hz[:, None] * t) + 0.5 * np.sin(3 * np.pi * hz[:, None] * t)
-    return (8000 * notes).astype(np.int16).ravel()
+    return _notes(how, note_frames)[steps.astype(np.int64) + 12].ravel()
