@@ -40,15 +40,17 @@ def attribute(labels: DataFrame, targets: DataFrame, last: DataFrame, rows: Data
     lowest blocked version can be the one, so all joins are by equality.
     """
     where_ = rows.groupBy("package_id", "version").agg(F.max_by("block_idx", "input_idx").alias("block_idx"))
-    blocked = last.where(F.col("disposition") == "BLOCK").select("package_id", "version", semver_key(F.col("version")).alias("_k"))
-    lowest = blocked.join(where_, ["package_id", "version"]).groupBy("package_id", "block_idx").agg(F.min(F.struct("_k", F.col("version").alias("anchor"))).alias("_low"))
-    at = targets.join(where_, ["package_id", "version"], "left").join(blocked, ["package_id", "version"], "left").join(lowest, ["package_id", "block_idx"], "left")
+    told = last.select("package_id", "version", "disposition", F.when(F.col("disposition") == "BLOCK", semver_key(F.col("version"))).alias("_k"))
+    lowest = told.where("_k is not null").join(where_, ["package_id", "version"]).groupBy("package_id", "block_idx").agg(F.min(F.struct("_k", F.col("version").alias("anchor"))).alias("_low"))
+    at = targets.join(where_, ["package_id", "version"], "left").join(told, ["package_id", "version"], "left").join(lowest, ["package_id", "block_idx"], "left")
     near = F.when(F.col("_low._k") <= semver_key(F.col("version")), F.col("_low.anchor"))
-    anchor = F.when(F.col("_k").isNotNull(), F.col("version")).otherwise(near)
-    picked = at.withColumn("anchor", anchor).where("anchor is not null").groupBy("label_id").agg(F.min(F.struct("place", "anchor")).alias("_x"))
-    other = targets.join(last, ["package_id", "version"]).groupBy("label_id").agg(F.min(F.struct("place", "version", "disposition")).alias("_o"))
-    n = targets.groupBy("label_id").agg(F.count("*").alias("n_candidates"))
-    out = labels.join(picked, "label_id", "left").join(other, "label_id", "left").join(n, "label_id", "left")
+    at = at.withColumn("anchor", F.when(F.col("_k").isNotNull(), F.col("version")).otherwise(near))
+    # All that is asked of a label's candidates is one aggregate of them.
+    of_label = at.groupBy("label_id").agg(
+        F.min(F.when(F.col("anchor").isNotNull(), F.struct("place", "anchor"))).alias("_x"),
+        F.min(F.when(F.col("disposition").isNotNull(), F.struct("place", "version", "disposition"))).alias("_o"), F.count("*").alias("n_candidates"),
+    )
+    out = labels.join(of_label, "label_id", "left")
     hit = F.col("_x").isNotNull()
     return out.select(
         "label_id", "package_id", "advisory_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), hit.alias("detected"), F.when(hit, F.col("_x.anchor")).otherwise(F.col("_o.version")).alias("detected_version"),
