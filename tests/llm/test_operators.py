@@ -291,6 +291,41 @@ def test_cotraining(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_a_round_of_cotraining_matches_brute_force(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randint(20, 90), 300) + "." for _ in range(42)] + [" ".join(w.upper() + "!!" for w in prose(rng, rng.randint(20, 90), 300).split()) for _ in range(42)]
+    texts += texts[:12]  # the same rows under other ids
+    source = quality._source(frame(spark, texts).withColumn("id", F.lit("clash")), "doc_id", "text", "source", "lang", "n_chars")
+    known = {i: int(i < 42) for i in range(84) if i % 3 == 1}
+    rows = quality._featured(source, spark.createDataFrame([(i, y, -1) for i, y in known.items()], "id long, y int, view int"))
+    model = quality._fitted(rows, 0.5)
+    given, n = [dict.fromkeys(known), dict.fromkeys([*known, 0, 50])], (3, 4)
+    picked = quality._surest(source, model, given, n)
+
+    told = {r.id: r for r in source.collect()}
+    x = {}
+    for i, r in told.items():
+        grams = collections.Counter(r.text.encode()[k : k + 3] for k in range(len(r.text.encode()) - 2))
+        row = np.zeros(quality.TRIGRAMS)
+        for g, c in grams.items():
+            row[int(quality.mix(np.array([int.from_bytes(g, "little")], np.uint64))[0] >> np.uint64(53))] += c
+        x[i] = np.sqrt(row / sum(grams.values()))
+        z = quality.facts(*(pa.array([v], t) for v, t in ((r.source, pa.string()), (r.lang, pa.string()), (r.n_chars, pa.int64()), (r.text, pa.string()))))
+        x[i] = (x[i][None, :], z)
+    for k in (0, 1):
+        got = picked[1 - k]
+        for y in (0, 1):
+            sure = {i: float(model.views[k].logits(f[k])[0]) * (1 if y else -1) for i, f in x.items() if i not in given[1 - k]}
+            first = {}
+            for i in sorted(sure):
+                if sure[i] >= 1:
+                    first.setdefault((told[i].text, told[i].source), i)
+            best = sorted((sure[i] for i in first.values()), reverse=True)[: n[y]]
+            own = [i for i, label in got.items() if label == y]
+            assert np.allclose(sorted((sure[i] for i in own), reverse=True), best, atol=1e-3) and set(own) <= set(first.values())
+    assert all(picked)
+
+
 # 6 chroma
 
 
