@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import chosen_path, chroma, context_mixing, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, toxicity
+from pedigree.llm import chosen_path, chroma, context_mixing, decontaminate, html_extract, license_scan, mixing, periodic_runs, quality, secret_scan, substring_dedup, toxicity
 from pedigree.llm.common import cut, table
 
 
@@ -58,6 +58,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_substring_dedup": op2_substring_dedup,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
+    "op11_license_scan": op11_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
