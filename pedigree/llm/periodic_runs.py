@@ -10,7 +10,7 @@ distance l only if no smaller period holds, so every run is found under its smal
 In a run of `exponent` periods q every factor of length q occurs at least `exponent` - 1 times: a class with fewer
 members can hold no run of this or a longer period and is not split any more. Most classes of ordinary text end so within a few steps.
 
-All texts of a slice (`SLICE_BYTES`, a longer text alone) go through one refinement in numpy; a mark after every
+All texts of a slice (`SLICE`, a longer text alone) go through one refinement in numpy; a mark after every
 text ends all factors there. Links that become due are kept in lists by distance up to a horizon that doubles, so a
 step costs what it moves. Words are told by 64-bit hashes within a text. Documents are never shuffled.
 
@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 
 from pedigree.llm.common import mix, slices, text_bytes, word_hashes, words
 
+#: Bytes of text that are refined together: steps have a fixed price, which a larger slice shares among more texts.
+SLICE = 1 << 22
+
 _SCHEMA = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
 
 
@@ -67,7 +70,16 @@ class Classes:
         self.splitters, self.of = order[small[number]], number[small[number]]
         self.length, self.horizon = 1, 1
         self.due: dict[int, list[np.ndarray]] = defaultdict(list)
-        self._look(order)
+        self.active, self.marks, self.sizes = order, marks, np.diff(bounds)
+        self._look(self._alive())
+
+    def _alive(self) -> np.ndarray:
+        """The positions in classes that are still split, in texts that can hold a run of the present length."""
+        active = self.active[self.size[self.cls[self.active]] >= self.members]
+        short = (self.sizes < self.length * (self.members + 1))[np.searchsorted(self.marks, active, side="left")]
+        self.size[self.cls[active[short]]] = 0  # a class lies within one text
+        self.active = active[~short]
+        return self.active
 
     def _look(self, positions: np.ndarray) -> None:
         """Note the positions whose next member is at a distance that is due up to the horizon."""
@@ -101,17 +113,20 @@ class Classes:
         moved = self._split(at, of) if len(at) else None
         if self.length > self.horizon:
             self.horizon *= 2
-            self._look(np.arange(self.total))
+            self._look(self._alive())
         elif moved is not None:
             self._look(moved)
         return len(self.splitters) > 0
 
-    def _split(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def _split(self, at: np.ndarray, of: np.ndarray) -> np.ndarray | None:
         """Move the positions `at`, whose successors are of the classes `of`, to classes of their own; returns positions with new links."""
+        order = np.argsort(at)
+        at, of = at[order], of[order]
+        pair = self.cls[at] * (2 * self.names) + of
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
         old = self.cls[at]
-        order = np.lexsort((at, of, old))
-        at, of, old = at[order], of[order], old[order]
-        first = np.concatenate([[True], (of[1:] != of[:-1]) | (old[1:] != old[:-1])])
+        first = np.concatenate([[True], pair[1:] != pair[:-1]])
         part = np.cumsum(first) - 1
         count = np.bincount(part)
         whole = count == self.size[old[first]]  # all of a class moves together: it stays
@@ -120,7 +135,7 @@ class Classes:
             at, old, part = at[keep], old[keep], part[keep]
             if not len(at):
                 self.splitters, self.of = at, old
-                return at
+                return None
             part = np.unique(part, return_inverse=True)[1]
             count = np.bincount(part)
         head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -256,7 +271,7 @@ def collapse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 found = list(_judged(part.column(0), part.column(1), repeat))
                 runs = [[{"start": s, "length": n, "period": q} for s, n, q in r] for r, _ in found]
                 kept = [k.decode() for _, k in found]
@@ -271,7 +286,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 rows = []
                 for runs, kept in _judged(part.column(0), part.column(1), repeat):
                     s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
