@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pedigree.llm import chosen_path, chroma, context_mixing, decontaminate, html_extract, license_scan, mixing, periodic_runs, quality, secret_scan, substring_dedup, toxicity
+from pedigree.llm import chosen_path, chroma, context_mixing, conversation_repair, decontaminate, html_extract, license_scan, mixing, periodic_runs, quality, secret_scan, substring_dedup, toxicity
 from pedigree.llm.common import cut, table
 
 
@@ -62,6 +62,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(conversation_repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
     "op11_license_scan": op11_license_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
