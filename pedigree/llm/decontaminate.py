@@ -10,10 +10,15 @@ A q-gram that very many passages share is left out of the counts of those passag
 still give a bound (smaller by the number left out, so nothing is lost), and hits are expanded and
 counted a bounded number at a time.
 
+The hits of a text lie at its own positions, so a passage at a text's end, cut off there or not, has its band like
+any other. Bands that meet the bound are aligned together, one row of all of them at a time, and leave as soon
+as their edits exceed the budget: passages that share an opening cost little more than the opening.
+
 The benchmark is taken in blocks of about `block_chars` characters (a stated query set against all
-rows), each sent to the tasks; equal passages are one. After every second block the documents found so
-far are checkpointed and the blocks' broadcasts released, so that what is held does not grow with the
-benchmark. The documents are never shuffled.
+rows), two at a time sent to the tasks; equal passages are one. Where these are all, the documents pass once and
+are never shuffled. A larger benchmark reads the documents once for every two blocks and keeps only what is
+found, by the digest of the text; that is joined to the documents in the end (in `clean` an anti-join, the only
+copy of their texts).
 
 Defined cases: repeated items and items with the same text are all told; text is compared in lower case with runs of white space as one space; a null or
 empty document, and a null or empty passage, match nothing; passages shorter than q must occur as
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,8 @@ _SCHEMA = "doc_id long, contaminated boolean, n_items long, item_ids array<long>
 @dataclass(frozen=True)
 class Filter:
     """Parameters: length of q-grams, edits per character of a passage, characters of a block of the benchmark, blocks held at once;
-    passages from which on a q-gram is common, and pairs of a hit and a passage that are counted in one go."""
+    passages from which on a q-gram is common, pairs of a hit and a passage that are counted in one go, and characters of bands
+    that are aligned in one go."""
 
     q: int = 12
     edit_rate: float = 0.06
@@ -49,6 +56,7 @@ class Filter:
     blocks_at_once: int = 2
     common: int = 64
     pairs_at_once: int = 1 << 20
+    cells_at_once: int = 1 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -82,10 +90,12 @@ class Passages:
         self.short = [(text, ids) for text, ids in same.items() if len(text) < how.q]
         self.texts = [text for text in same if len(text) >= how.q]
         self.ids = [same[text] for text in self.texts]
-        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.sizes = sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.longest = int(sizes.max(initial=0))
+        self.points = [_points(text) for text in self.texts]
         self.budget = np.minimum((how.edit_rate * sizes).astype(np.int64), np.maximum(0, (sizes - how.q) // how.q - 1))
         self.bounds = np.maximum(1, sizes - how.q + 1 - self.budget * how.q)
-        grams = [_grams(_points(text), how.q) for text in self.texts]
+        grams = [_grams(points, how.q) for points in self.points]
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         item, place = np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.zeros(0, np.int64), *map(np.arange, map(len, grams))])
         _, slot, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -101,23 +111,27 @@ class Passages:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _BITS)] = True
 
-    def _bands(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(band, passage) of the bands that meet the bound, for hits of gram `slot` at text position `at`."""
+    def _bands(self, at: np.ndarray, slot: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, band, passage) of the bands that meet the bound, most hits first, for hits of gram `slot` at position `at` of text `row`."""
         times = self.count[slot]
         total = np.cumsum(times)
         keys, counts, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        items, least = len(self.ids), -self.longest - 2
+        bands = (int(at.max()) if len(at) else 0) - least + 2
         while begin < len(at):
             stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + self.how.pairs_at_once, side="right")))
             some = times[begin:stop]
             nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
             hit = np.repeat(self.first[slot[begin:stop]], some) + nth
             item = self.item[hit]
-            band = (np.repeat(at[begin:stop], some) - self.place[hit]) // (self.budget[item] + 1)
-            keys, same = np.unique(np.concatenate([keys, band * len(self.ids) + item, (band - 1) * len(self.ids) + item]), return_inverse=True)
+            band = (np.repeat(at[begin:stop], some) - self.place[hit]) // (self.budget[item] + 1) - least
+            key = (np.repeat(row[begin:stop], some) * bands + band) * items + item
+            keys, same = np.unique(np.concatenate([keys, key, key - items]), return_inverse=True)
             counts = np.bincount(same, np.concatenate([counts, np.ones(2 * len(item), np.int64)]), len(keys)).astype(np.int64)
             begin = stop
-        keys = keys[counts >= self.bounds[keys % len(self.ids)]]
-        return keys // len(self.ids), keys % len(self.ids)
+        keep = counts >= self.bounds[keys % items]
+        keys = keys[keep][np.argsort(-counts[keep], kind="stable")]
+        return keys // items // bands, keys // items % bands + least, keys % items
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """Per text the passages found, with the fewest edits."""
@@ -134,49 +148,77 @@ class Passages:
         slot = np.searchsorted(self.grams, h[at])
         slot[slot == len(self.grams)] = 0
         same = self.grams[slot] == h[at]
+        at, slot = at[same], slot[same]
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        best: dict[tuple[int, int], int] = {}
-        for band, number in zip(*(x.tolist() for x in self._bands(at[same], slot[same]))):
-            k, passage = int(self.budget[number]), self.texts[number]
-            low, high = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k  # diagonals of an occurrence with its edits
-            # An occurrence may begin before or end after the row boundary only by its edits.
-            row = int(np.searchsorted(starts, max(0, low + k) + len(passage) // 2, side="right")) - 1
-            if best.get((row, number)) == 0:
-                continue
-            text = points[starts[row] : starts[row + 1] - 1]
-            distance = within(_points(passage), text, low - int(starts[row]), high - int(starts[row]), k)
-            if distance is not None:
-                best[row, number] = min(distance, best.get((row, number), distance))
-        for (row, number), distance in best.items():
-            for item in self.ids[number]:
-                found[row][item] = min(distance, found[row].get(item, distance))
+        row = np.searchsorted(starts, at, side="right") - 1
+        rows, bands, numbers = self._bands(at - starts[row], slot, row)
+        best = np.full(len(rows), -1)
+        exact = np.zeros(0, np.int64)  # (text, passage) that occur as they are: no further band is aligned
+        pair = rows * len(self.ids) + numbers
+        cells = np.cumsum(self.sizes[numbers] + 3 * self.budget[numbers] + 2)
+        begin = 0
+        while begin < len(rows):
+            stop = max(begin + 1, int(np.searchsorted(cells, (cells[begin - 1] if begin else 0) + self.how.cells_at_once, side="right")))
+            some = np.arange(begin, stop)
+            some = some[~np.isin(pair[some], exact)]
+            best[some] = self._aligned(points, starts, rows[some], bands[some], numbers[some])
+            exact = np.union1d(exact, pair[some][best[some] == 0])
+            begin = stop
+        for k in np.flatnonzero(best >= 0).tolist():
+            of = found[rows[k]]
+            for item in self.ids[numbers[k]]:
+                of[item] = min(int(best[k]), of.get(item, int(best[k])))
         return found
 
+    def _aligned(self, points: np.ndarray, starts: np.ndarray, rows: np.ndarray, bands: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The fewest edits of each passage within its band of diagonals, -1 beyond its budget."""
+        k = self.budget[numbers]
+        low, high = bands * (k + 1) - k, (bands + 2) * (k + 1) - 1 + k  # diagonals of an occurrence with its edits
+        best = np.full(len(rows), -1)
+        for width in np.unique(high - low + 1).tolist():  # a width is a budget
+            some = np.flatnonzero(high - low + 1 == width)
+            best[some] = within([self.points[n] for n in numbers[some].tolist()], points, starts[rows[some]], starts[rows[some] + 1] - 1, low[some], width, int(k[some[0]]))
+        return best
 
-def within(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> int | None:
-    """The fewest edits that turn the passage into some part of the text along diagonals low to high (text position minus passage position), None beyond k.
 
-    Only the band's cells are filled. Places outside the text match nothing, which costs what leaving out the
-    passage's character does.
+def within(passages: list[np.ndarray], points: np.ndarray, begins: np.ndarray, ends: np.ndarray, low: np.ndarray, width: int, k: int) -> np.ndarray:
+    """The fewest edits that turn each passage into some part of its text along the `width` diagonals (text position minus passage position) from `low`, -1 beyond k.
+
+    Passage i is aligned with points[begins[i]:ends[i]]. Only the bands' cells are filled, for all passages together,
+    one row of all of them at a time; a passage leaves as soon as it can't come back below its budget. Places
+    outside a text match nothing, which costs what leaving out the passage's character does.
     """
-    m, width = len(passage), high - low + 1
-    region = np.full(m + width - 1, 0xFFFFFFFF, np.uint32)
-    begin, end = max(0, low), min(len(text), high + m)
-    if end > begin:
-        region[begin - low : end - low] = text[begin:end]
-    row = np.zeros(width, np.int32)  # free start
+    order = np.argsort([-len(p) for p in passages], kind="stable")
+    sizes = np.array([len(passages[i]) for i in order], np.int64)
+    letters = np.zeros((len(order), int(sizes.max(initial=0))), np.uint32)
+    for i, of in enumerate(order.tolist()):
+        letters[i, : sizes[i]] = passages[of]
+    place = low[order, None] + np.arange(letters.shape[1] + width - 1)[None, :]
+    inside = (place >= 0) & (place < (ends - begins)[order, None])
+    region = np.where(inside, points[np.where(inside, place + begins[order, None], 0)] if len(points) else 0, 0xFFFFFFFF).astype(np.uint32)
+    best = np.full(len(order), -1)
+    left = np.arange(len(order))
+    row = np.zeros((len(order), width), np.int32)  # free start
     steps = np.arange(width, dtype=np.int32)
-    new = np.empty_like(row)
-    for i, c in enumerate(passage):
-        np.add(row, region[i : i + width] != c, out=new)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+    for i in range(letters.shape[1]):
+        new = row + (region[:, i : i + width] != letters[:, i, None])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
         new -= steps
-        np.minimum.accumulate(new, out=row)
-        row += steps
-        if i % 16 == 15 and row.min() > k:
-            return None
-    best = int(row.min())
-    return best if best <= k else None
+        row = np.minimum.accumulate(new, axis=1) + steps
+        whole = int(np.searchsorted(-sizes, -(i + 1), side="left")), int(np.searchsorted(-sizes, -(i + 1), side="right"))
+        if whole[0] < whole[1]:  # the shortest ones are done
+            least = row[whole[0] :].min(axis=1)
+            best[left[whole[0] :]] = np.where(least <= k, least, -1)
+        go_on = sizes > i + 1
+        if i % 8 == 7:
+            go_on &= row.min(axis=1) <= k
+        if not go_on.all():
+            row, region, letters, sizes, left = row[go_on], region[go_on], letters[go_on], sizes[go_on], left[go_on]
+            if not len(left):
+                break
+    out = np.empty(len(order), np.int64)
+    out[order] = best
+    return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, how: Filter) -> Iterator[Passages]:
@@ -189,54 +231,88 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, how: Filter) ->
         yield Passages([(r["item"], r["text"]) for r in rows], how)
 
 
-def _released(rows: DataFrame, held: list, how: Filter) -> DataFrame:
-    """The rows, checkpointed and without the blocks held so far where these are as many as allowed."""
-    if len(held) < how.blocks_at_once:
-        return rows
-    rows = cut(rows)
-    while held:
-        held.pop().destroy()
-    return rows
+def _groups(benchmark: DataFrame, item_col: str, text_col: str, how: Filter) -> Iterator[list[Passages]]:
+    """The blocks, as many together as are held at once."""
+    held: list[Passages] = []
+    for passages in _blocks(benchmark, item_col, text_col, how):
+        held.append(passages)
+        if len(held) == how.blocks_at_once:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
-def _searched(column: pa.Array, batch: pa.RecordBatch, index: int, passages: Passages) -> Iterator[tuple[pa.RecordBatch, list[dict[int, int]]]]:
+def _searched(batch: pa.RecordBatch, index: int, blocks: list[Passages]) -> Iterator[tuple[pa.RecordBatch, list[dict[int, int]]]]:
     for part in slices(batch, index, 1 << 20):
-        yield part, passages.search([normalise(x.as_py()) for x in part.column(index)])
+        texts = [normalise(x.as_py()) for x in part.column(index)]
+        found: list[dict[int, int]] = [{} for _ in texts]
+        for passages in blocks:
+            for old, new in zip(found, passages.search(texts)):
+                for item, distance in new.items():
+                    old[item] = min(distance, old.get(item, distance))
+        yield part, found
+
+
+_FOUND = pa.map_(pa.int64(), pa.int64())
+
+
+def _told(rows: DataFrame, shared) -> DataFrame:
+    """`rows` (a key, text) with the passages found in place of the text."""
+    key = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _searched(batch, 1, shared.value):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(f.items()) for f in found], _FOUND)], names=[key, "found"])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, found map<bigint, bigint>")
+
+
+def _hits(texts: DataFrame, groups: Iterator[list[Passages]]) -> DataFrame | None:
+    """(digest, item, distance) of what is found in `texts` (digest, text), one checkpoint of these few rows a group of blocks."""
+    hits = None
+    for blocks in groups:
+        shared = texts.sparkSession.sparkContext.broadcast(blocks)  # bounded by block_chars
+        some = cut(_told(texts, shared).where(F.size("found") > 0).select("digest", F.explode("found").alias("item", "distance")).groupBy("digest", "item").agg(F.min("distance").alias("distance")))
+        shared.destroy()
+        hits = some if hits is None else hits.unionAll(some)
+    return hits
+
+
+def _first_two(groups: Iterator[list[Passages]]) -> tuple[list[list[Passages]], Iterator[list[Passages]]]:
+    first = list(islice(groups, 2))
+    return first, chain(first, groups)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, how: Filter = Filter(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: contaminated or not, the passages found (ascending) and the fewest edits among them."""
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.expr("cast(map() as map<bigint, bigint>)").alias("found"))
-    held: list = []
-    for passages in _blocks(benchmark, item_col, item_text_col, how):
-        out = _released(out, held, how)
-        shared = docs.sparkSession.sparkContext.broadcast(passages)  # bounded by block_chars
-        held.append(shared)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, found in _searched(batch.column(1), batch, 1, shared.value):
-                    merged = [list((dict(old or []) | new).items()) for old, new in zip(part.column(2).to_pylist(), found)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(merged, pa.map_(pa.int64(), pa.int64()))], names=["doc_id", "text", "found"])
-
-        out = out.mapInArrow(run, "doc_id long, text string, found map<bigint, bigint>")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    first, groups = _first_two(_groups(benchmark, item_col, item_text_col, how))
+    if len(first) < 2:
+        out = _told(source, docs.sparkSession.sparkContext.broadcast(first[0] if first else []))
+    else:
+        keyed = source.select("doc_id", F.md5("text").alias("digest"), "text")
+        hits = _hits(keyed.select("digest", "text"), groups)
+        hits = hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("item", "distance"))).alias("found"))
+        out = keyed.select("doc_id", "digest").join(hits, "digest", "left").select("doc_id", F.coalesce("found", F.expr("cast(map() as map<bigint, bigint>)")).alias("found"))
     ids = F.array_sort(F.map_keys("found"))
     return out.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.map_values("found")).alias("best_distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, how: Filter = Filter(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, whole and unchanged, in which no passage is found."""
+    first, groups = _first_two(_groups(benchmark, item_col, item_text_col, how))
+    if len(first) == 2:
+        digest = F.md5(F.col(text_col).cast("string"))
+        hits = _hits(docs.select(digest.alias("digest"), F.col(text_col).cast("string").alias("text")), groups)
+        return docs.join(hits.select("digest").distinct(), digest == F.col("digest"), "left_anti")
     at = docs.columns.index(text_col)
-    held: list = []
-    for passages in _blocks(benchmark, item_col, item_text_col, how):
-        docs = _released(docs, held, how)
-        shared = docs.sparkSession.sparkContext.broadcast(passages)  # bounded by block_chars
-        held.append(shared)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, found in _searched(batch.column(at), batch, at, shared.value):
-                    yield part.filter(pa.array([not x for x in found], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    shared = docs.sparkSession.sparkContext.broadcast(first[0] if first else [])  # bounded by block_chars
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _searched(batch, at, shared.value):
+                yield part.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -644,11 +645,60 @@ def test_edited_passages_match_full_alignment(spark):
     assert out == [(k, sorted(t), min(t.values(), default=None)) for k, t in enumerate(brute + brute[-2:])]
 
 
-@pytest.mark.parametrize("text, distance", [("xx hello world yy", 0), ("helo world", 1), ("heXlo wrld", 2), ("hallo warld", 2), ("other text here", None), ("", None)])
+@pytest.mark.parametrize("text, distance", [("xx hello world yy", 0), ("helo world", 1), ("heXlo wrld", 2), ("hallo warld", 2), ("other text here", -1), ("", -1)])
 def test_alignment_in_a_band(text, distance):
     points = decontaminate._points
-    assert decontaminate.within(points("hello world"), points(text), -2, 8, 2) == distance
-    assert decontaminate.within(points("hello world"), points("xxxxxxx hello world"), -2, 4, 2) is None
+
+    def within(text, low, width, before=""):
+        return decontaminate.within([points("hello world"), points("hello")], points(before + text), np.array([len(before)] * 2), np.array([len(before + text)] * 2), np.array([low] * 2), width, 2)[0]
+
+    assert within(text, -2, 11) == within(text, -2, 11, "hello world") == distance
+    assert within("xxxxxxx hello world", -2, 7) == -1
+
+
+def test_texts_that_end_inside_a_passage(spark):
+    """Every passage cut at every tenth, at the start, in the middle and at the end of texts that are first, inner and last in their slice."""
+    rng = random.Random(17)
+    items = [(k, prose(rng, rng.randint(12, 30), 300)) for k in range(6)]
+    normal = [(i, decontaminate.normalise(t)) for i, t in items]
+    passages = decontaminate.Passages(items, decontaminate.Filter())
+    filler = prose(rng, 12, 300)
+    for item, text in items:
+        cuts = [part for tenth in range(1, 11) for part in (text[: len(text) * tenth // 10], text[-(len(text) * tenth // 10) :])]
+        for shape in ("{0} {1}", "{1} {0}", "{1} {0} {1}"):
+            texts = [decontaminate.normalise(shape.format(part, filler)) for part in cuts]
+            want = []
+            for t in texts:
+                edits = {i: fewest_edits(p, t) for i, p in normal}
+                want.append({i: n for i, n in edits.items() if n <= min(int(0.06 * len(dict(normal)[i])), max(0, (len(dict(normal)[i]) - 12) // 12 - 1))})
+            assert passages.search(texts) == want
+            assert [passages.search([t])[0] for t in texts[-2:]] == want[-2:]
+    ended = frame(spark, [filler + " " + items[0][1][: len(items[0][1]) * 2 // 5]])
+    assert [r.contaminated for r in decontaminate.find(ended, spark.createDataFrame(items, "item_id long, text string")).collect()] == [False]
+
+
+def test_passages_with_one_opening_are_cheap():
+    rng = random.Random(18)
+    opening = "question number one of the set reads as follows now "
+    passages = decontaminate.Passages([(k, opening + prose(rng, 20, 300)) for k in range(2000)], decontaminate.Filter())
+    once = prose(rng, 200, 300) + " " + opening + prose(rng, 200, 300)
+    passages.search([once])
+    began = time.time()
+    assert passages.search([once]) == [{}]
+    assert time.time() - began < 1.5  # one alignment at a time took more than twice as long
+
+
+def test_many_blocks_copy_no_text(spark):
+    """Blocks beyond those held at once: documents are read anew, what is found is joined by digest; copies and null ids have their own rows."""
+    rng = random.Random(19)
+    items = [(k, prose(rng, 14, 300)) for k in range(12)]
+    texts = [prose(rng, 30, 300) + " " + t for _, t in items[:5]] * 2 + [items[6][1] + " " + items[7][1], None, "", "plain"]
+    docs = frame(spark, texts).unionAll(frame(spark, texts[:1]).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = decontaminate.Filter(block_chars=200)
+    whole = sorted(map(repr, decontaminate.find(docs, bench).collect()))
+    assert sorted(map(repr, decontaminate.find(docs, bench, split).collect())) == whole
+    assert sorted(map(repr, decontaminate.clean(docs, bench, split).collect())) == sorted(map(repr, decontaminate.clean(docs, bench).collect()))
 
 
 # 10 html
