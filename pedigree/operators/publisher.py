@@ -17,12 +17,16 @@ from pedigree.session import cut
 CELLS = {"cold_handoff_count": "cold_handoff", "new_committee_member_count": "new_committee_member", "returning_dormant_count": "returning_dormant", "recurring_member_count": "recurring_member"}
 
 
-def valid_rows(history: DataFrame) -> DataFrame:
-    """Rows with an identity, a time and a version, numbered (rn from 0) by time, version and identity."""
+def usable_rows(history: DataFrame) -> DataFrame:
+    """Rows with an identity, a time and a version."""
     rows = history.withColumn("identity", identity(F.col("publisher_name"), F.col("publisher_email"))).withColumn("domain", domain(F.col("publisher_email")))
-    rows = rows.where(F.col("identity").isNotNull() & F.col("published_at_ms").isNotNull() & (F.length("version") > 0))
+    return rows.where(F.col("identity").isNotNull() & F.col("published_at_ms").isNotNull() & (F.length("version") > 0))
+
+
+def valid_rows(history: DataFrame) -> DataFrame:
+    """Usable rows, numbered (rn from 0) by time, version and identity."""
     order = Window.partitionBy("package_id").orderBy("published_at_ms", semver_key(F.col("version")), "identity", "input_idx")
-    return rows.withColumn("rn", F.row_number().over(order).cast("long") - 1)
+    return usable_rows(history).withColumn("rn", F.row_number().over(order).cast("long") - 1)
 
 
 def blocks_of_rows(rows: DataFrame) -> DataFrame:
@@ -42,24 +46,29 @@ def bare_blocks(rows: DataFrame) -> DataFrame:
     rows = blocks_of_rows(rows).withColumns({
         "domain_versions": F.when(known, F.count("*").over(of_domain)), "first_seen_in_package_ms": F.when(known, F.min("published_at_ms").over(of_domain)), "_first_rn": F.when(known, F.min("rn").over(of_domain)),
     })
+    blocks = gathered(rows)
+    order, same = Window.partitionBy("package_id").orderBy("block_idx"), Window.partitionBy("package_id", "identity").orderBy("block_idx")
+    earlier = same.rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumns({
+        "from_identity": F.lag("identity").over(order), "prior_tenure_versions": F.lag("version_count").over(order), "prior_tenure_duration_ms": F.lag("duration_ms").over(order),
+        "gap_ms": F.col("first_published_at_ms") - F.lag("last_published_at_ms").over(order), "prior_last_provenance": F.lag("last_provenance_present").over(order),
+        "last_turn": F.max("block_idx").over(earlier), "prior_contribution_count": F.coalesce(F.sum("version_count").over(earlier), F.lit(0)),
+        "since": F.min("first_published_at_ms").over(Window.partitionBy("package_id", "identity")), "identity_versions": F.sum("version_count").over(Window.partitionBy("package_id", "identity")),
+    })
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """One row for each tenure block of numbered rows that know their domain's releases, first time and first row in the package."""
     blocks = rows.groupBy("package_id", "block_idx", "identity").agg(
         F.min_by(F.struct("publisher_email", "domain", "domain_versions", "first_seen_in_package_ms", "version", "provenance_present"), "rn").alias("_a"), F.max_by(F.struct("version", "provenance_present"), "rn").alias("_z"),
         F.count("*").alias("version_count"), F.min("published_at_ms").alias("first_published_at_ms"), F.max("published_at_ms").alias("last_published_at_ms"),
         F.max("_first_rn").alias("newest_domain_rn"), F.count_if(F.col("_first_rn") == F.col("rn")).alias("new_domains"),
     )
-    blocks = blocks.select(
+    return blocks.select(
         "package_id", "block_idx", "identity", F.col("_a.publisher_email").alias("email"), "_a.domain", "_a.domain_versions", "_a.first_seen_in_package_ms", "version_count",
         F.col("_a.version").alias("first_version"), F.col("_z.version").alias("last_version"), F.col("_a.provenance_present").alias("first_provenance_present"), F.col("_z.provenance_present").alias("last_provenance_present"),
         "first_published_at_ms", "last_published_at_ms", (F.col("last_published_at_ms") - F.col("first_published_at_ms")).alias("duration_ms"), "newest_domain_rn", "new_domains",
     )
-    order, same = Window.partitionBy("package_id").orderBy("block_idx"), Window.partitionBy("package_id", "identity").orderBy("block_idx")
-    earlier = same.rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumns({
-        "from_identity": F.lag("identity").over(order), "prior_tenure_versions": F.lag("version_count").over(order), "prior_tenure_duration_ms": F.lag("duration_ms").over(order),
-        "gap_ms": F.col("first_published_at_ms") - F.lag("last_published_at_ms").over(order), "prior_last_provenance": F.lag("last_provenance_present").over(order),
-        "last_turn": F.max("block_idx").over(earlier), "prior_contribution_count": F.coalesce(F.sum("version_count").over(earlier), F.lit(0)),
-        "since": F.min("first_published_at_ms").over(Window.partitionBy("package_id", "identity")), "identity_versions": F.sum("version_count").over(Window.partitionBy("package_id", "identity")),
-    })
 
 
 def classify(blocks: DataFrame, p: Params = Params()) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pedigree.functions import names
 from pedigree.functions.columns import major, matches_range, semver_key
-from pedigree.operators import disposition, evaluation, gates, provenance, publisher, split, store
+from pedigree.operators import disposition, evaluation, gates, provenance, publisher, segments, split, store
 from pedigree.plans import verbs
-from pedigree.plans.oracles import ORACLES  # noqa: F401
+from pedigree.plans.oracles import ORACLES
 from pedigree.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,19 +41,42 @@ def _verdicts(spark: SparkSession, sf_dir: str, full: bool) -> tuple[dict[str, D
     return found, disposition.verdicts(found, provenance.extract(history)["per_version"] if full else None)
 
 
+#: The test tables' packages are small: those above a 400th of all rows and 40 rows are cut here.
+CUT = segments.Ranges(least=40, pieces=8)
+
+TENURE = "package_id block_idx identity email domain provider first_seen_in_package_ms first_provenance_present last_provenance_present version_count first_version last_version first_published_at_ms last_published_at_ms duration_ms".split()
+TRANSITION = "package_id from_index from_identity to_identity at_version at_published_at_ms prior_tenure_versions prior_tenure_duration_ms gap_ms is_overlap prior_contribution_count is_known seen_before new_domain cell".split()
+STREAK = ["package_id", "rn", "version", "published_at_ms", "email", "cast(major as bigint) major", "prior_streak", "streak_after", "baseline_established", "provenance_regression", "in_scope"]
+
+
 @query
 def tenure_blocks(spark, sf_dir):
-    return _publisher(spark, sf_dir)["tenure"].select(
-        "package_id", "block_idx", "identity", "email", "domain", "provider", "first_seen_in_package_ms", "first_provenance_present", "last_provenance_present", "version_count",
-        "first_version", "last_version", "first_published_at_ms", "last_published_at_ms", "duration_ms",
-    )
+    return _publisher(spark, sf_dir)["tenure"].select(*TENURE)
+
+
+@query
+def tenure_blocks_by_range(spark, sf_dir):
+    return segments.publisher_pattern(adapters.release_history(spark, sf_dir), shared=False, how=CUT)["tenure"].select(*TENURE)
 
 
 @query
 def transitions(spark, sf_dir):
-    return _publisher(spark, sf_dir)["transitions"].select(
-        "package_id", "from_index", "from_identity", "to_identity", "at_version", "at_published_at_ms", "prior_tenure_versions", "prior_tenure_duration_ms", "gap_ms", "is_overlap", "prior_contribution_count", "is_known", "seen_before", "new_domain", "cell",
-    )
+    return _publisher(spark, sf_dir)["transitions"].select(*TRANSITION)
+
+
+@query
+def transitions_by_range(spark, sf_dir):
+    return segments.publisher_pattern(adapters.release_history(spark, sf_dir), shared=False, how=CUT)["transitions"].select(*TRANSITION)
+
+
+@query
+def provenance_streaks_by_range(spark, sf_dir):
+    return segments.provenance_pattern(adapters.release_history(spark, sf_dir), shared=False, how=CUT)["per_version"].selectExpr(*STREAK)
+
+
+@query
+def provenance_rollup_by_range(spark, sf_dir):
+    return segments.provenance_pattern(adapters.release_history(spark, sf_dir), shared=False, how=CUT)["rollup"].withColumn("regression_versions", _joined("regression_versions"))
 
 
 @query
@@ -78,7 +101,7 @@ def identity_profile(spark, sf_dir):
 
 @query
 def provenance_streaks(spark, sf_dir):
-    return _records(spark, sf_dir)["per_version"].select("package_id", "rn", "version", "published_at_ms", "email", F.col("major").cast("long").alias("major"), "prior_streak", "streak_after", "baseline_established", "provenance_regression", "in_scope")
+    return _records(spark, sf_dir)["per_version"].selectExpr(*STREAK)
 
 
 @query
@@ -369,3 +392,6 @@ def split_parts(spark, sf_dir):
     history = adapters.release_history(spark, sf_dir)
     corpus = history.groupBy("package_id").agg(F.max((F.col("package_id") % 13 == 0).cast("int")).alias("a")).select("package_id", (F.col("a") == 1).alias("attack"))
     return split.build(corpus, corpus.where("package_id % 26 = 0"), corpus.where("package_id = 13"), 1, 4)
+
+# The same rows by another way.
+ORACLES |= {f"{name}_by_range": ORACLES[name] for name in ("tenure_blocks", "transitions", "provenance_streaks", "provenance_rollup")}
