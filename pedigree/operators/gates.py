@@ -181,8 +181,8 @@ def evaluate(prepared: DataFrame, gate: str, p: Params = Params()) -> DataFrame:
     return prepared.select(*KEY, result.alias("result"), detail.alias("detail"))
 
 
-def run_gates(prepared: DataFrame, overrides: DataFrame | None = None, p: Params = Params(), gates: dict[str, Gate] | None = None) -> DataFrame:
-    """package_id, version, disposition, results: all gates in order, an override instead of them, skips without history."""
+def run_gates(prepared: DataFrame, overrides: DataFrame | None = None, p: Params = Params(), gates: dict[str, Gate] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """package_id, version, disposition, results: all gates in order, an override instead of them, skips without history; columns of `keep` follow."""
     short = F.col("n_prior") < param(p.min_history)
     why = _text("insufficient history (", F.col("n_prior"), " prior version(s), need ", param(p.min_history), ") — first-seen poisoning protection")
     made, results = {}, []
@@ -199,4 +199,4 @@ def run_gates(prepared: DataFrame, overrides: DataFrame | None = None, p: Params
         one = F.array(F.struct(F.lit("override").alias("gate"), F.lit("ALLOW").alias("result"), _text("override: ", F.col("_why")).alias("detail")))
         out = out.withColumn("results", F.when(F.col("_why").isNotNull(), one).otherwise(F.col("results")))
     worst = F.when(F.exists("results", lambda r: r["result"] == "BLOCK"), "BLOCK").when(F.exists("results", lambda r: r["result"] == "WARN"), "WARN").otherwise("ALLOW")
-    return out.select(*KEY, worst.alias("disposition"), "results")
+    return out.select(*KEY, worst.alias("disposition"), "results", *keep)

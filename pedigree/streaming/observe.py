@@ -78,7 +78,7 @@ class WitnessStore:
         done = self._read("lookups", LOOKUPS, None).where(F.col("batch") == batch).select("dep")
         rows.join(done, "dep", "left_anti").write.mode("append").parquet(f"{self.path}/lookups")
 
-    def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params()) -> None:
+    def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params(), can_look_up: bool = True) -> None:
         """One micro-batch of documents (column `document`)."""
         rows = flatten_packuments(documents).dropDuplicates(["package_name", "version"])
         incoming = rows.withColumns({"package_id": F.xxhash64("package_name"), "version_id": F.xxhash64("package_name", "version"), "batch": F.lit(batch).cast("long")})
@@ -86,7 +86,7 @@ class WitnessStore:
         mine = F.col("bucket").isin([r["bucket"] for r in incoming.select("bucket").distinct().collect()])  # at most BUCKETS numbers
         stored = self.releases(batch).where(mine).join(incoming.select("package_id").distinct(), "package_id", "left_semi")
         deps = lambda df: df.select("version_id", F.explode("deps").alias("dep"))
-        prepared = gates.facts(incoming.drop("has_script"), stored, deps(incoming), deps(stored), incoming.select("version_id", "has_script"), self.lookups(), now_ms, p)
+        prepared = gates.facts(incoming.drop("has_script"), stored, deps(incoming), deps(stored), incoming.select("version_id", "has_script"), self.lookups() if can_look_up else None, now_ms, p)
         judged = gates.run_gates(prepared, self.overrides(), p)
         first = F.array(F.struct(F.lit("first-seen").alias("gate"), F.lit("SKIP").alias("result"), F.lit("first observation: baseline recorded").alias("detail")))
         known = stored.select("package_id", "version", F.lit(True).alias("_known"))
