@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from pedigree.functions.columns import major, matches_range, semver_key
 from pedigree.operators import disposition, evaluation, gates, provenance, publisher, segments, split, store
 from pedigree.plans import verbs
 from pedigree.plans.oracles import ORACLES
+from pedigree.session import shared_folder
 from pedigree.sources import adapters
+from pedigree.streaming.patterns import PatternTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = adapters.GATE_NOW_MS
@@ -59,6 +62,24 @@ def tenure_blocks_by_range(spark, sf_dir):
     return segments.publisher_pattern(adapters.release_history(spark, sf_dir), shared=False, how=CUT)["tenure"].select(*TENURE)
 
 
+def _followed(spark: SparkSession, sf_dir: str) -> PatternTables:
+    """Patterns after three batches of releases, each with late ones."""
+    tables, history = PatternTables(spark, f"{shared_folder(spark)}/patterns-{uuid.uuid4().hex}", buckets=16), adapters.release_history(spark, sf_dir)
+    for k in range(3):
+        tables.update(history.where(F.col("input_idx") % 3 == (k + F.col("package_id")) % 3))
+    return tables
+
+
+@query
+def tenure_blocks_followed(spark, sf_dir):
+    return _followed(spark, sf_dir).table("tenure").select(*TENURE)
+
+
+@query
+def provenance_streaks_followed(spark, sf_dir):
+    return _followed(spark, sf_dir).table("per_version").selectExpr(*STREAK)
+
+
 @query
 def transitions(spark, sf_dir):
     return _publisher(spark, sf_dir)["transitions"].select(*TRANSITION)
@@ -395,3 +416,4 @@ def split_parts(spark, sf_dir):
 
 # The same rows by another way.
 ORACLES |= {f"{name}_by_range": ORACLES[name] for name in ("tenure_blocks", "transitions", "provenance_streaks", "provenance_rollup")}
+ORACLES |= {f"{name}_followed": ORACLES[name] for name in ("tenure_blocks", "provenance_streaks")}
