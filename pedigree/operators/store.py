@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedigree.functions.columns import clean_text, is_prerelease, is_semver, iso_millis, param, semver_key
+from pedigree.functions.columns import is_prerelease, is_semver, iso_millis, param, semver_key
 from pedigree.params import Params
 from pedigree.session import cut
 
@@ -78,15 +78,16 @@ def note_lookups(cache: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def flatten_packuments(documents: DataFrame, column: str = "document") -> DataFrame:
     """(package_name, version, ...) rows of registry documents; entries that are no objects are passed over."""
-    release = "struct<name:string,dist:struct<integrity:string,shasum:string,tarball:string,attestations:string>,dependencies:map<string,string>,scripts:map<string,string>,_npmUser:struct<name:string,email:string>>"
+    release = "struct<name:string,dist:struct<integrity:string,shasum:string,tarball:string,attestations:variant>,dependencies:map<string,string>,scripts:map<string,string>,_npmUser:struct<name:string,email:string>>"
     doc = F.from_json(F.col(column), f"struct<name:string,`dist-tags`:map<string,string>,time:map<string,string>,versions:map<string,string>>")
     rows = documents.withColumn("_doc", doc).select(F.col("_doc.name").alias("package_name"), F.col("_doc.time").alias("_time"), F.explode("_doc.versions").alias("version", "_text"))
     rows = rows.where(F.col("_text").rlike(r"^\s*\{")).withColumn("_r", F.from_json("_text", release))
     script = lambda k: F.coalesce(F.length(F.try_element_at("_r.scripts", F.lit(k))) > 0, F.lit(False))
+    attested = F.coalesce(F.startswith(F.schema_of_variant("_r.dist.attestations"), F.lit("OBJECT")), F.lit(False))
     return rows.select(
         "package_name", "version", F.try_element_at("_time", F.col("version")).alias("published_at"), F.col("_r.dist.integrity").alias("integrity_hash"), F.col("_r.dist.shasum").alias("content_hash"),
-        clean_text(F.col("_r._npmUser.name"), 200).alias("publisher_name"), clean_text(F.col("_r._npmUser.email"), 200).alias("publisher_email"),
-        F.col("_r.dist.attestations").isNotNull().alias("provenance_present"), F.when(F.col("_r.dist.attestations").isNotNull(), "oidc").otherwise("unknown").alias("publish_method"),
+        F.col("_r._npmUser.name").alias("publisher_name"), F.col("_r._npmUser.email").alias("publisher_email"),
+        attested.alias("provenance_present"), F.when(attested, "oidc").otherwise("unknown").alias("publish_method"),
         F.coalesce(F.map_keys("_r.dependencies"), F.array().cast("array<string>")).alias("deps"), (script("preinstall") | script("install") | script("postinstall")).alias("has_script"),
         F.substring_index("_r.dist.tarball", "/", -1).alias("filename"),
     )

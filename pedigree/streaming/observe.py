@@ -8,8 +8,15 @@ a late release simply takes its place in them.
 Releases and decisions lie in buckets of packages; a batch reads the buckets of its own packages only.
 Overrides let a release pass whatever the gates say. First publications of dependencies come in by a second
 stream of looked-up documents; the gates use what is known when a batch starts, and `wanted` names what is
-still to be looked up (errors again after a while). Whatever can't be read fails open: a document or entry
-that is no JSON object holds no release, and a gate that gives no known result is skipped.
+still to be looked up (errors again after a while). `admit` lets only so many names be asked at a time: it refuses those
+that are being asked and counts those for which there is no room.
+
+A release is kept with all fields of its document and its files, in one row; `last_seen` tells when it was observed.
+
+Whatever can't be read fails open. A document that is no JSON object, or makes the projection fail, goes to
+`quarantine`; an entry that is no object is no release. A release whose gates fail is let through without results, noted in
+quarantine, and the others of its batch are judged as usual; a gate that gives no known result is skipped. Of two rows with one
+version in a batch the one with the greatest digest counts.
 """
 
 from __future__ import annotations
@@ -17,16 +24,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from pedigree.operators import gates
-from pedigree.operators.store import flatten_packuments, look_up, publish_millis
+from pedigree.operators import gates, projection
+from pedigree.operators.store import look_up, publish_millis
 from pedigree.params import Params
+from pedigree.session import cut
+from pedigree.streaming.isolation import isolate
 
-VERSIONS = "package_name string, version string, published_at string, integrity_hash string, content_hash string, publisher_name string, publisher_email string, provenance_present boolean, publish_method string, deps array<string>, has_script boolean, filename string, version_id long, package_id long, batch long, bucket int"
 DECISIONS = "package_id long, version string, disposition string, results array<struct<gate:string,result:string,detail:string>>, batch long, bucket int"
 OVERRIDES = "package_name string, version string, reason string, removed boolean, created_ms long"
 LOOKUPS = "dep string, status string, first_publish_ms long, fetched_at_ms long, batch long"
+ASKED = "dep string, asked_ms long, batch long"
+DROPPED = "batch long, dropped long"
+SEEN = "package_id long, version string, seen_ms long, batch long"
+QUARANTINE = "package_name string, version string, stage string, error string, batch long"
 BUCKETS = 64
+RELEASE, RELEASE_NAME = ["package_id", "version"], ["package_name", "version"]
+
+
+def released(documents: DataFrame) -> DataFrame:
+    """The releases of documents with all fields, their keys, `deps` and `has_script`."""
+    rows = projection.project(documents)
+    deps = F.coalesce(F.json_object_keys("dependencies"), F.array().cast("array<string>"))
+    rows = rows.withColumns({"deps": deps, "has_script": F.col("has_install_scripts"), "version_id": F.xxhash64("package_name", "version"), "package_id": F.xxhash64("package_name")})
+    return rows.withColumn("bucket", F.pmod("package_id", F.lit(BUCKETS)).cast("int"))
 
 
 class WitnessStore:
@@ -35,7 +57,7 @@ class WitnessStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: str, before: int | None) -> DataFrame:
+    def _read(self, name: str, schema: str | StructType, before: int | None) -> DataFrame:
         path = f"{self.path}/{name}"
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
@@ -43,8 +65,25 @@ class WitnessStore:
         df = self.spark.read.schema(schema).parquet(path)
         return df if before is None else df.where(F.col("batch") < before)
 
+    def _append(self, rows: DataFrame, name: str, schema: str) -> None:
+        rows.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(f"{self.path}/{name}")
+
     def releases(self, before: int | None = None) -> DataFrame:
-        return self._read("versions", VERSIONS, before)
+        """Baselines: all fields of a release, `files`, deps, has_script, version_id, package_id, batch, bucket."""
+        empty = released(self.spark.createDataFrame([], "document string")).withColumn("batch", F.lit(0).cast("long"))
+        return self._read("versions", empty.schema, before).select(*empty.columns)
+
+    def files(self) -> DataFrame:
+        """File rows of the baselines."""
+        return projection.version_files(self.releases())
+
+    def last_seen(self) -> DataFrame:
+        """When each release was last observed: package_id, version, seen_ms."""
+        return self._read("seen", SEEN, None).groupBy(*RELEASE).agg(F.max("seen_ms").alias("seen_ms"))
+
+    def quarantine(self) -> DataFrame:
+        """What failed: package_name and version (null for a document), stage, error, batch."""
+        return self._read("quarantine", QUARANTINE, None)
 
     def decisions(self, before: int | None = None) -> DataFrame:
         return self._read("decisions", DECISIONS, before)
@@ -69,6 +108,28 @@ class WitnessStore:
         deps = self.releases().select(F.explode("deps").alias("dep")).distinct()
         return look_up(deps, self.lookups(), now_ms, p).where("not hit").select("dep")
 
+    def admit(self, names: DataFrame, batch: int, now_ms: int, bound: int = 100, patience_ms: int = 60_000, p: Params = Params()) -> DataFrame:
+        """The names (column `dep`) that are to be asked now, noted as being asked; at most `bound` are without an answer at a time.
+
+        Refused are names that are being asked or whose lookup still holds; those for which there is no room are counted
+        (`dropped`) and come again when they are wanted again. A question without an answer is given up after `patience_ms`.
+        """
+        told = self.lookups().select("dep", F.col("fetched_at_ms").alias("_told"))
+        log = self._read("asked", ASKED, None)
+        waiting = cut(log.where(F.lit(now_ms) - F.col("asked_ms") < patience_ms).join(told, "dep", "left").where("_told is null or _told < asked_ms").select("dep").distinct())  # at most `bound` rows
+        again = log.where(F.col("batch") == batch).select("dep").distinct()
+        fresh = look_up(names.where("dep <> ''").select("dep").distinct(), self.lookups(), now_ms, p).where("not hit").select("dep").join(waiting, "dep", "left_anti")
+        room = max(0, bound - waiting.count())
+        fresh = cut(fresh)
+        taken = cut(fresh.orderBy("dep").limit(room))
+        self._append(self.spark.createDataFrame([(batch, fresh.count() - taken.count())], DROPPED), "dropped", DROPPED)
+        self._append(taken.select("dep", F.lit(now_ms).cast("long").alias("asked_ms"), F.lit(batch).cast("long").alias("batch")), "asked", ASKED)
+        return taken.unionAll(again).distinct()  # a batch that is run again asks the same names
+
+    def dropped(self) -> DataFrame:
+        """Names for which there was no room, by batch."""
+        return self._read("dropped", DROPPED, None).groupBy("batch").agg(F.max("dropped").alias("dropped"))
+
     def enrich(self, answers: DataFrame, batch: int, now_ms: int) -> None:
         """One micro-batch of answers (dep, code, document): found, gone (404), or an error; a replayed batch changes nothing."""
         told = answers.withColumn("first_publish_ms", publish_millis("document"))
@@ -78,27 +139,48 @@ class WitnessStore:
         done = self._read("lookups", LOOKUPS, None).where(F.col("batch") == batch).select("dep")
         rows.join(done, "dep", "left_anti").write.mode("append").parquet(f"{self.path}/lookups")
 
-    def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params(), can_look_up: bool = True) -> None:
+    def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params(), known: dict[str, gates.Gate] | None = None, can_look_up: bool = True) -> None:
         """One micro-batch of documents (column `document`)."""
-        rows = flatten_packuments(documents).dropDuplicates(["package_name", "version"])
-        incoming = rows.withColumns({"package_id": F.xxhash64("package_name"), "version_id": F.xxhash64("package_name", "version"), "batch": F.lit(batch).cast("long")})
-        incoming = incoming.withColumn("bucket", F.pmod("package_id", F.lit(BUCKETS)).cast("int"))
+        documents = documents.select("document", F.xxhash64("document").alias("_digest"))
+        rows, broken = isolate(documents, ["_digest"], released)
+        unread = documents.where(~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("document")), F.lit("OBJECT")), F.lit(False)))
+        self._append(unread.select(*[F.lit(None).cast("string").alias(c) for c in RELEASE_NAME], F.lit("document").alias("stage"), F.lit("no JSON object").alias("error"), F.lit(batch).cast("long").alias("batch")), "quarantine", QUARANTINE)
+        bad = [(None, None, "document", error, batch) for _, error in broken]
+        if rows is not None:
+            bad += self._judge(rows, batch, now_ms, p, known, can_look_up)
+        if bad:
+            self._append(self.spark.createDataFrame(bad, QUARANTINE), "quarantine", QUARANTINE)
+
+    def _judge(self, rows: DataFrame, batch: int, now_ms: int, p: Params, given: dict[str, gates.Gate] | None, can_look_up: bool) -> list[tuple]:
+        """Write baselines and decisions of a batch's releases; returns quarantine rows."""
+        whole = F.struct(*[c for c in rows.columns if c not in RELEASE])
+        incoming = rows.groupBy(*RELEASE).agg(F.max_by(whole, F.xxhash64(*rows.columns)).alias("_x")).select(*RELEASE, "_x.*")
+        incoming = cut(incoming.withColumn("batch", F.lit(batch).cast("long")))
         mine = F.col("bucket").isin([r["bucket"] for r in incoming.select("bucket").distinct().collect()])  # at most BUCKETS numbers
         stored = self.releases(batch).where(mine).join(incoming.select("package_id").distinct(), "package_id", "left_semi")
         deps = lambda df: df.select("version_id", F.explode("deps").alias("dep"))
-        prepared = gates.facts(incoming.drop("has_script"), stored, deps(incoming), deps(stored), incoming.select("version_id", "has_script"), self.lookups() if can_look_up else None, now_ms, p)
-        judged = gates.run_gates(prepared, self.overrides(), p)
+        cache, overrides = self.lookups() if can_look_up else None, self.overrides()
+
+        def judge(some: DataFrame) -> DataFrame:
+            prepared = gates.facts(some.drop("has_script"), stored, deps(some), deps(stored), some.select("version_id", "has_script"), cache, now_ms, p)
+            return gates.run_gates(prepared, overrides, p, given)
+
+        judged, failed = isolate(incoming, [*RELEASE, "package_name"], judge)
         first = F.array(F.struct(F.lit("first-seen").alias("gate"), F.lit("SKIP").alias("result"), F.lit("first observation: baseline recorded").alias("detail")))
-        known = stored.select("package_id", "version", F.lit(True).alias("_known"))
-        latest = self.decisions(batch).where(mine).groupBy("package_id", "version").agg(F.max_by("disposition", "batch").alias("_latest"))
-        told = judged.join(known, ["package_id", "version"], "left").join(latest, ["package_id", "version"], "left")
-        told = told.where("_latest is null or _latest <> disposition").withColumn("results", F.when(F.col("_known"), F.col("results")).otherwise(F.concat(first, F.col("results"))))
-        done = self.decisions().where(mine & (F.col("batch") == batch)).select("package_id", "version")
-        told = told.select("package_id", "version", "disposition", "results", F.lit(batch).cast("long").alias("batch")).join(done, ["package_id", "version"], "left_anti")
+        kept = stored.select(*RELEASE, F.lit(True).alias("_known"))
+        latest = self.decisions(batch).where(mine).groupBy(*RELEASE).agg(F.max_by("disposition", "batch").alias("_latest"))
+        passed = self.spark.createDataFrame([(i, v, "ALLOW", []) for i, v, _, _ in failed], "package_id long, version string, disposition string, results array<struct<gate:string,result:string,detail:string>>").withColumn("_failed", F.lit(True))
+        told = passed if judged is None else judged.withColumn("_failed", F.lit(False)).unionByName(passed)
+        told = told.join(kept, RELEASE, "left").join(latest, RELEASE, "left")
+        told = told.where("_latest is null or _latest <> disposition").withColumn("results", F.when(F.col("_known") | F.col("_failed"), F.col("results")).otherwise(F.concat(first, F.col("results"))))
+        done = self.decisions().where(mine & (F.col("batch") == batch)).select(*RELEASE)
+        told = told.select(*RELEASE, "disposition", "results", F.lit(batch).cast("long").alias("batch")).join(done, RELEASE, "left_anti")
         told = told.select(*[c.split()[0] for c in DECISIONS.split(", ")[:3]], "results", "batch", F.pmod("package_id", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        new = incoming.join(self.releases().where(mine).select("package_id", "version"), ["package_id", "version"], "left_anti").select(*[c.split()[0] for c in VERSIONS.split(", ")])
+        new = incoming.join(self.releases().where(mine).select(*RELEASE), RELEASE, "left_anti").select(*self.releases().columns)
         new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/versions")  # baselines before decisions
+        self._append(incoming.select(*RELEASE, F.lit(now_ms).cast("long").alias("seen_ms"), "batch"), "seen", SEEN)
         told.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/decisions")
+        return [(name, v, "gates", error, batch) for _, v, name, error in failed]
 
     def attach(self, documents: DataFrame, checkpoint: str, now_ms: int, p: Params = Params(), **trigger) -> StreamingQuery:
         """Observe a stream of documents."""
