@@ -336,7 +336,7 @@ ORACLES: dict[str, str] = {
     "override_upsert": _store("SELECT package_id, version_id, version, CASE WHEN version_id % 38 = 0 OR version_id % 57 = 0 THEN 'changed' WHEN version_id % 2 = 0 THEN 'ticket ' || version_id END AS reason FROM rel WHERE version_id % 19 = 0"),
     "dep_lookup": f"WITH deps AS ({adapters.deps_sql()}), cache AS ({adapters.dep_cache_sql('duckdb')}) SELECT d.version_id, d.dep, c.status <> 'error' OR {NOW} - c.fetched_at_ms < 300000 AS hit, c.status, CASE WHEN c.status = 'ok' THEN c.first_publish_ms END AS first_publish_ms FROM deps d JOIN cache c ON d.dep = c.dep",
     "dep_cache_update": f"WITH cache AS ({adapters.dep_cache_sql('duckdb')}) SELECT dep, CASE WHEN dep IN ('supp-1', 'supp-5') THEN 'ok' ELSE status END AS status, first_publish_ms, CASE WHEN dep IN ('supp-1', 'supp-5') THEN {NOW} ELSE fetched_at_ms END AS fetched_at_ms, CASE dep WHEN 'supp-1' THEN 1 WHEN 'supp-5' THEN 3 ELSE 2 END AS attempts FROM cache",
-    "packument_flatten": _gates("""SELECT r.package_name, r.version, r.published_at, r.integrity_hash, r.content_hash, 'dev' AS publisher_name, r.publisher_email, coalesce(r.provenance_present, false) AS provenance_present, CASE WHEN r.provenance_present THEN 'oidc' ELSE 'unknown' END AS publish_method,
+    "packument_flatten": _gates("""SELECT r.package_name, r.version, r.published_at, r.integrity_hash, r.content_hash, '  dev ' AS publisher_name, r.publisher_email, coalesce(r.provenance_present, false) AS provenance_present, CASE WHEN r.provenance_present THEN 'oidc' ELSE 'unknown' END AS publish_method,
   coalesce(d.deps, '') AS deps, coalesce(scr.has_script, false) AS has_script, r.package_name || '-' || r.version || '.tgz' AS filename FROM rel r LEFT JOIN (SELECT version_id, string_agg(dep, ',' ORDER BY dep) AS deps FROM deps GROUP BY version_id) d ON r.version_id = d.version_id LEFT JOIN scr ON r.version_id = scr.version_id"""),
     "packument_first_publish": _gates("SELECT package_name AS dep, min(epoch_ms(published_at::TIMESTAMP)) AS first_publish_ms FROM rel GROUP BY package_name"),
     "rewrite_versions": _gates("SELECT * FROM rw", _runner()),

@@ -280,12 +280,14 @@ def dep_cache_update(spark, sf_dir):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry documents, one a package, assembled from the stored releases."""
+    """Registry documents, one a package, assembled from the stored releases; attestations that are no objects are none."""
     releases = adapters.stored_releases(spark, sf_dir)
     deps = adapters.release_deps(spark, sf_dir).groupBy("version_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dep", F.lit("^1").alias("range"))))).alias("dependencies"))
     scripts = adapters.release_scripts(spark, sf_dir).select("version_id", F.when(F.col("has_script"), F.create_map(F.lit("install"), F.lit("node x"))).alias("scripts"))
     rows = releases.join(deps, "version_id", "left").join(scripts, "version_id", "left")
-    dist = F.struct(F.col("integrity_hash").alias("integrity"), F.col("content_hash").alias("shasum"), F.concat(F.lit("https://r.example/p/-/"), F.col("package_name"), F.lit("-"), F.col("version"), F.lit(".tgz")).alias("tarball"), F.when(F.col("provenance_present"), "{}").alias("attestations"))
+    kind = F.col("version_id") % 4
+    attested = F.when(F.col("provenance_present"), '{"url":"u"}').when(kind == 1, '"text"').when(kind == 2, "false").when(kind == 3, "[]")
+    dist = F.struct(F.col("integrity_hash").alias("integrity"), F.col("content_hash").alias("shasum"), F.concat(F.lit("https://r.example/p/-/"), F.col("package_name"), F.lit("-"), F.col("version"), F.lit(".tgz")).alias("tarball"), F.parse_json(attested).alias("attestations"))
     entry = F.to_json(F.struct(F.col("package_name").alias("name"), dist.alias("dist"), "dependencies", "scripts", F.struct(F.lit("  dev ").alias("name"), F.col("publisher_email").alias("email")).alias("_npmUser")))
     of = rows.select("package_id", "package_name", "version", "published_at", entry.alias("entry")).groupBy("package_id", "package_name").agg(F.collect_list(F.struct("version", "entry")).alias("v"), F.collect_list(F.struct("version", "published_at")).alias("t"))
     versions = F.array_join(F.transform("v", lambda x: F.concat(F.lit('"'), x["version"], F.lit('":'), x["entry"])), ",")
