@@ -21,6 +21,7 @@ good labels, or 0.5 without labels; repeated rows get equal scores; an empty tab
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,7 +69,7 @@ def facts(source: pa.Array, lang: pa.Array, chars: pa.Array, text: pa.Array) ->
         length = -1 if n is None else int(2 * np.log2(max(n, 0) + 1))
         said = (f"s{s}", f"g{g}", f"n{length}", f"l{int(2 * np.log2(lines[r]))}", f"m{int(2 * np.log2(size[r] / lines[r] + 1))}", f"c{g}{length}")
         for fact in said:
-            out[r, int(mix(np.array([int.from_bytes(fact.encode()[:24], "little") % (2**63)], np.uint64))[0] % np.uint64(FACTS))] = 1
+            out[r, int(mix(np.array([zlib.crc32(fact.encode())], np.uint64))[0] % np.uint64(FACTS))] = 1
     return out
 
 

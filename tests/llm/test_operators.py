@@ -292,6 +292,16 @@ def test_cotraining(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_facts_are_read_whole():
+    """Sources that share a long beginning have features of their own; numbers and texts that are null have some too."""
+    sources = [f"https://example.org/crawl/{k}" for k in range(40)]
+    column = lambda x, t=pa.string(): pa.array(x, t)
+    same = [column(["en"] * 40), column([10] * 40, pa.int64()), column(["a\nb"] * 40)]
+    found = quality.facts(column(sources), *same)
+    assert len({tuple(row.nonzero()[0]) for row in found}) > 30
+    assert quality.facts(column([None]), column([None]), column([None], pa.int64()), column([None])).sum() >= 4
+
+
 def test_a_round_of_cotraining_matches_brute_force(spark):
     rng = random.Random(31)
     texts = [prose(rng, rng.randint(20, 90), 300) + "." for _ in range(42)] + [" ".join(w.upper() + "!!" for w in prose(rng, rng.randint(20, 90), 300).split()) for _ in range(42)]
