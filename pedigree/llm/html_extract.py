@@ -1,17 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 Every text run of a page belongs to a root-to-leaf path of block elements (tags with their classes; inline elements only if they have a class, an id or a role).
-Per path the text length, the punctuation and the number of nodes are added up over the page; the two
-ratios are smoothed over the order in which paths first occur, and fused by multiplication. Paths
-whose fused ratio passes half of the mean carry content, and the deepest element that holds most of
-their text is the content area.
-
-Which nodes are kept is decided by their path's ratio alone, measured against the area's: a node's
-ratio is raised by its nearness to the area (headings and short lines of an article have a low ratio
-of their own) and lowered by the share of link text and by a prior for elements that are usually no
-content (menus, footers, forms, ...). The prior counts only below the point where the node's branch
-leaves that of the area, so that an article in a page-wide form, or in a container with an unlucky
-class, is not touched by it. A node is kept if the result is at least `threshold` times the area's ratio.
+Per path the text length, the punctuation and the number of nodes are added up over the page, which gives two
+ratios, characters a node and marks a node. Both are smoothed along the path: a path's ratio is averaged with those of its prefixes
+(every prefix has the length-weighted mean of the paths below it), each step up counting less. The smoothed
+ratios are fused, length times one plus punctuation. A node is kept if its path's fused ratio, lowered
+by the share of link text, is at least `threshold` times that of the content area: the deepest element
+that holds most text of the paths whose ratio passes half of the mean (text in an article or main element counts four times).
+
+So headings and short lists of an article live on the ratio of the article's prefix, and deep branches of short texts in it go. What
+lies outside the area shares no prefix with it but those above it, which count little (`above`), and has to come near the area's
+ratio on its own (`outside`); headings and paragraphs that stand directly in an element around an unmarked area count as within it
+(in the body: headings). Names and tags of menus, forms, footers and the like do not decide: such an
+element takes over little of its prefixes' ratio (`cut`), and stays if its own is high enough. Outside the area such a name also weighs
+as much as `evidence` characters of the area: beside an article of a line or two the ratios say little. Only for text that is prose too
+(comments, side columns, cookie notices) the ratio can't tell, and the name lowers it (`prose`).
 
 Defined cases: null or empty html, or html without text, gives an empty string; several rows with
 the same page are extracted independently; a page of any length and any depth is parsed whole, in
@@ -23,7 +26,6 @@ columns of the table are not read, whatever their names; an empty table gives no
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,12 +43,18 @@ BLOCKS = (
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul"
 ).split()
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
-BOILERPLATE_TAGS = "nav header footer aside form menu button select dialog head".split()
+BOILERPLATE_TAGS = "nav header footer form menu button select dialog head".split()
 #: Words that, as a class, an id or a role, say that an element is usually no content.
 BOILERPLATE_NAMES = (
-    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
-    "sidebar aside related recommended share sharing social comment comments disqus reply replies respond cookie cookies consent notice notices gdpr popup modal newsletter "
-    "subscribe subscription login signup search form pagination pager widget toolbar contentinfo complementary"
+    "ad ads advert advertisement adverts advertising banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
+    "share sharing social notice notices popup modal "
+    "subscribe subscription login signup search form pagination pager widget toolbar contentinfo"
+).split()
+#: The same of text that reads like an article: only the name tells.
+PROSE_TAGS = "aside".split()
+PROSE_NAMES = (
+    "sponsor sponsored promo promotion sidebar aside complementary related recommended comment comments commentlist disqus reply replies respond "
+    "cookie cookies consent gdpr newsletter"
 ).split()
 #: Opening tags that end open elements: which ones, and the containers beyond which nothing is ended.
 ENDS = {
@@ -59,7 +67,7 @@ ENDS = {
     "option": ("option", "select"),
 }
 
-_BLOCKS, _VOID, _RAW, _BAD_TAGS, _BAD_NAMES, _HEADINGS = map(frozenset, (BLOCKS, VOID, RAW, BOILERPLATE_TAGS, BOILERPLATE_NAMES, HEADINGS))
+_BLOCKS, _VOID, _RAW, _BAD_TAGS, _BAD_NAMES, _PROSE_TAGS, _PROSE_NAMES, _HEADINGS = map(frozenset, (BLOCKS, VOID, RAW, BOILERPLATE_TAGS, BOILERPLATE_NAMES, PROSE_TAGS, PROSE_NAMES, HEADINGS))
 _ENDS = {tag: (a.split(), b.split()) for tag, (a, b) in ENDS.items()}
 _HOLDERS = frozenset("article body center div main section table #".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -68,24 +76,25 @@ _ATTRIBUTE = re.compile(r"([^\s>/=]+|=[^\s>/=]*)(\s*=\s*)?")
 _BARE = re.compile(r"[^\s>]*")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I | re.A) for tag in RAW}
 _PARTS = re.compile(r"[a-z]+")
-_PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
+_PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|$)|[。，、！？]")
 
 
 @dataclass(frozen=True)
 class Ratios:
-    """Parameters: width of the smoothing over paths; ratio that keeps a node, relative to the area's; share of
-    the content paths' text that the area holds at least; and the priors."""
+    """Parameters: fused ratio that keeps a node, relative to the area's; share of the content paths' text that the area holds at least;
+    weight of a prefix a step further up, of prefixes above the area and of those beyond an element named as
+    boilerplate; factor of what lies outside the area, and characters of the area that a name outside weighs as much as; factors of link text and of named prose."""
 
-    spread: float = 0.6
-    threshold: float = 0.2
+    threshold: float = 0.1
     share: float = 0.5
-    named: float = 0.05
-    named_last: float = 0.1
-    named_part: float = 0.4
+    step: float = 0.9
+    above: float = 0.05
+    cut: float = 0.03
+    cut_part: float = 0.7
+    outside: float = 0.105
+    evidence: float = 50.0
     links: float = 0.7
-    step: float = 0.6
-    body_step: float = 0.1
-    heading: float = 3.0
+    prose: float = 0.05
 
 
 class Page:
@@ -94,6 +103,7 @@ class Page:
     def __init__(self):
         self.tags, self.parents, self.paths, self.names = ["#"], [-1], [0], [()]
         self.path_of: dict[tuple[int, str], int] = {}
+        self.above = [0]  # path -> the path without its last step
         self.runs: list[tuple[int, int, str, bool]] = []
         self.blocks = 0
 
@@ -196,6 +206,8 @@ def parse(html: str) -> Page:
         step = ".".join((tag, *sorted({re.sub(r"\d+", "", w) for w in words}))) if is_block or words else ""
         above = page.paths[stack[-1]]
         path = page.path_of.setdefault((above, step), len(page.path_of) + 1) if step else above
+        if path == len(page.above):
+            page.above.append(above)
         if closed and not is_block:
             continue
         page.tags.append(tag)
@@ -208,107 +220,141 @@ def parse(html: str) -> Page:
     return page
 
 
-def _prior(tag: str, names: tuple[str, ...], how: Ratios) -> float:
-    """How much less likely an element is content, by its tag and names."""
+def _kinds(tag: str, names: tuple[str, ...], how: Ratios) -> tuple[float, float]:
+    """What an element's tag and names say: how much it takes over from its prefixes, and the factor of its own ratio."""
     if tag in ("html", "body", "article", "main"):
-        return 1.0
-    out = how.named if tag in _BAD_TAGS else 1.0
+        return 1.0, 1.0
+    cut, factor = how.cut if tag in _BAD_TAGS else 1.0, how.prose if tag in _PROSE_TAGS else 1.0
     for name in names:
         parts = _PARTS.findall(name)
-        if name in _BAD_NAMES:
-            out = min(out, how.named)
-        elif len(parts) > 1 and parts[0] not in ("has", "is", "no", "not", "with", "without"):
-            if parts[-1] in _BAD_NAMES:
-                out = min(out, how.named_last)
-            elif not _BAD_NAMES.isdisjoint(parts):
-                out = min(out, how.named_part)
-    return out
+        if not parts or (len(parts) > 1 and parts[0] in ("has", "is", "no", "not", "with", "without")):
+            continue
+        if len(parts) > 1 and not _PROSE_NAMES.isdisjoint(parts) and (parts[0] in _PROSE_NAMES or parts[-1] in _PROSE_NAMES or parts[-1] == "list") or name in _PROSE_NAMES:
+            factor = min(factor, how.prose)
+        elif name in _BAD_NAMES or parts[-1] in _BAD_NAMES:
+            cut = min(cut, how.cut)
+        elif not _BAD_NAMES.isdisjoint(parts):
+            cut = min(cut, how.cut_part)
+    return cut, factor
 
 
-def fused_ratios(table: list[tuple[float, float, int]], spread: float) -> list[float]:
-    """Per path (text length, punctuation, nodes), in the order of first occurrence: smoothed length ratio times one plus the smoothed punctuation ratio."""
-    kernel = {d: math.exp(-d * d / (2 * spread * spread)) for d in range(-2, 3)}
+def path_ratios(stats: dict[int, list[float]], above: list[int]) -> list[tuple[float, float]]:
+    """(characters a node, marks a node) of every path and prefix: a path with text has its own, a prefix without text the length-weighted
+    mean of the paths below it."""
+    return [(x / w, y / w) if w else (0.0, 0.0) for w, x, y in _means(stats, above)]
 
-    def smooth(values: list[float]) -> list[float]:
-        out = []
-        for i in range(len(values)):
-            near = [(w, values[i + d]) for d, w in kernel.items() if 0 <= i + d < len(values)]
-            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-        return out
 
-    return [x * (1 + y) for x, y in zip(smooth([t[0] / t[2] for t in table]), smooth([t[1] / t[2] for t in table]))]
+def _means(stats: dict[int, list[float]], above: list[int]) -> list[list[float]]:
+    sums = [[0.0, 0.0, 0.0] for _ in above]
+    for path, (length, marks, nodes, _) in stats.items():
+        sums[path] = [length, length * length / nodes, length * marks / nodes]
+    for path in range(len(above) - 1, 0, -1):  # a prefix has a smaller number than what lies below it
+        up, own = sums[above[path]], sums[path]
+        for i in range(3):
+            up[i] += own[i]
+    return sums
 
 
-def extract(html: str | None, how: Ratios = Ratios()) -> str:
-    """The main text of one page (see the module's text)."""
-    page = parse(html or "")
-    clean = [" ".join(entities.unescape(text).split()) for _, _, text, _ in page.runs]
+def fuse(x: float, y: float) -> float:
+    """Length ratio times one plus the punctuation ratio."""
+    return x * (1 + y)
+
+
+def _table(page: Page, clean: list[str], paths: list[int]) -> dict[int, list[float]]:
+    """Path -> characters, marks, nodes and characters in links, in the order of first occurrence."""
     stats: dict[int, list[float]] = {}
-    links: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
     seen = set()
     for (block, element, _, link), text in zip(page.runs, clean):
         if text:
-            path = page.paths[element]
+            path = paths[element]
             x = stats.setdefault(path, [0, 0, 0, 0])
             x[0] += len(text)
             x[1] += len(_PUNCTUATION.findall(text))
             x[2] += (path, block) not in seen
             x[3] += len(text) * link
             seen.add((path, block))
-            links[block, path][link] += len(text)
+    return stats
+
+
+def extract(html: str | None, how: Ratios = Ratios()) -> str:
+    """The main text of one page (see the module's text)."""
+    page = parse(html or "")
+    clean = [" ".join(entities.unescape(text).split()) for _, _, text, _ in page.runs]
+    stats = _table(page, clean, page.paths)
     if not stats:
         return ""
-    fused = dict(zip(stats, fused_ratios([tuple(x[:3]) for x in stats.values()], how.spread)))
+    ratios = path_ratios(stats, page.above)
+    plain = {path: fuse(length / nodes, marks / nodes) for path, (length, marks, nodes, _) in stats.items()}
     n = len(page.tags)
-    own, chain, depth, inside = [1.0] * n, [1.0] * n, [0] * n, [False] * n
+    cuts, factors, depth, inside = [1.0] * n, [1.0] * n, [0] * n, [False] * n
     for e in range(1, n):
         up = page.parents[e]
         depth[e] = depth[up] + 1
         inside[e] = inside[up] or page.tags[e] in ("article", "main")
-        own[e] = _prior(page.tags[e], page.names[e], how)
+        cuts[e], factors[e] = _kinds(page.tags[e], page.names[e], how)
         if inside[up] and page.tags[e] == "header":
-            own[e] = 1.0  # an article's own header holds its title
-        chain[e] = max(chain[up] * own[e], 1e-9)
+            cuts[e] = 1.0  # an article's own header holds its title
 
     # The content paths' text by element, from the leaves up; the area is the deepest element with most of it.
+    kept = [1.0] * n
+    for e in range(1, n):
+        kept[e] = max(kept[page.parents[e]] * factors[e] * (0.5 if cuts[e] == how.cut else 1), 1e-9)
     used = [(e, text) for (_, e, _, _), text in zip(page.runs, clean) if text]
-    told = [fused[page.paths[e]] * chain[e] * (4 if inside[e] else 1) for e, _ in used]
+    told = [plain[page.paths[e]] * kept[e] * (4 if inside[e] else 1) for e, _ in used]
     mean = sum(told) / len(told)
-    weight, score = [0.0] * n, [0.0] * n
+    mass, weight, xs, ys = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     for (e, text), x in zip(used, told):
         if x >= mean / 2:
+            length, marks, nodes, _ = stats[page.paths[e]]
+            mass[e] += len(text) * (4 if inside[e] else 1)
             weight[e] += len(text)
-            score[e] += len(text) * fused[page.paths[e]]
+            xs[e] += len(text) * length / nodes
+            ys[e] += len(text) * marks / nodes
     for e in range(n - 1, 0, -1):
-        weight[page.parents[e]] += weight[e]
-        score[page.parents[e]] += score[e]
-    area = max((e for e in range(n) if weight[e] > how.share * weight[0]), key=lambda e: (depth[e], -e))
+        for sums in (mass, weight, xs, ys):
+            sums[page.parents[e]] += sums[e]
+    area = max((e for e in range(n) if mass[e] > how.share * mass[0]), key=lambda e: (depth[e], -e))
     up = area
     while page.tags[up] not in ("article", "main") and page.parents[up] >= 0:
         up = page.parents[up]
     area = up if page.tags[up] in ("article", "main") else area
     while page.tags[area] not in _HOLDERS:
         area = page.parents[area]
-    level = score[area] / weight[area]
+    x_area, y_area = xs[area] / weight[area], ys[area] / weight[area]
+    level = fuse(x_area, y_area)
 
-    # From the area's ancestors down: nearness to the area, and the prior since the branch left the area's.
-    reach, prior, on = [0.0] * n, [1.0] * n, [False] * n
-    up, near = area, 1.0
+    # From the root down: sums of the prefixes' ratios as seen from an element, and what names say since the branch left the area's.
+    on, within = [False] * n, [False] * n
+    up = area
     while up >= 0:
-        reach[up], on[up] = near, True
+        on[up] = True
         up = page.parents[up]
-        near *= how.body_step if up >= 0 and page.tags[up] in ("body", "html", "#") else how.step
+    sums, factor = [(0.0, 0.0, 0.0)] * n, [1.0] * n
+    marked = page.tags[area] in ("article", "main")
+    named = weight[area] / (weight[area] + how.evidence)
     for e in range(1, n):
+        up = page.parents[e]
+        lead = page.tags[e] in _HEADINGS or (page.tags[e] == "p" and page.tags[up] not in ("body", "html", "#"))
+        within[e] = within[up] or up == area or (on[up] and not marked and lead)
         if not on[e]:
-            reach[e], prior[e] = reach[page.parents[e]], max(prior[page.parents[e]] * own[e], 1e-9)
+            factor[e] = max(factor[up] * factors[e] * (named if cuts[e] == how.cut and not within[e] else 1), 1e-9)
+        w, x, y = sums[up]
+        if page.paths[up] != page.paths[e]:
+            px, py = (x_area, y_area) if up == area else ratios[page.paths[up]]
+            w, x, y = w + 1, x + min(px, x_area), y + min(py, y_area)
+            c = how.step * (1 if on[e] else cuts[e]) * (how.above if on[up] and up != area and not within[e] else 1)
+            w, x, y = w * c, x * c, y * c
+        sums[e] = (w, x, y)
+    # A path that occurs on both sides of the area's border has two rows in the table.
+    sided = [path if within[e] or e == area else -path for e, path in enumerate(page.paths)]
+    stats = _table(page, clean, sided)
     out, last = [], -1
     for (block, e, text, _), words in zip(page.runs, clean):
         if words:
-            path = page.paths[e]
-            plain, linked = links[block, path]
-            link = max(stats[path][3] / stats[path][0], linked / (plain + linked))
-            near = reach[e] * (how.heading if prior[e] == 1 and page.tags[e] in _HEADINGS else 1)
-            ratio = prior[e] * (near * level + min(fused[path], 2 * level)) * (1 - how.links * link)
+            length, marks, nodes, linked = stats[sided[e]]
+            w, x, y = sums[e]
+            ratio = fuse((min(length / nodes, x_area) + x) / (1 + w), (min(marks / nodes, y_area) + y) / (1 + w)) if e != area else level
+            ratio *= factor[e] * (1 - how.links * linked / length) * (1 if within[e] or e == area else how.outside)
             if ratio < how.threshold * level:
                 continue
         if block != last:

@@ -1,12 +1,14 @@
 """Main text by tag-path ratios: the method decides, hostile pages stay cheap, odd tables are defined."""
 
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pedigree.llm import html_extract
-from pedigree.llm.html_extract import Ratios, extract, fused_ratios
+from pedigree.llm.html_extract import Ratios, extract, fuse, path_ratios
 
 LONG = "Long text, with many marks and words. And more of it, as it goes on; still on. " * 3
 L = LONG.strip()
@@ -31,19 +33,84 @@ def test_pages(page, text):
     assert extract(page) == text
 
 
-def test_the_ratios_decide():
-    page = f'<body><nav><a href=a>Home</a></nav><div>Unmarked, short.</div><article><h1>T</h1><p>{L}</p><p>Be.</p></article><footer>(c) me.</footer></body>'
-    assert extract(page) == f"T\n{L}\nBe."
-    assert extract(page, Ratios(threshold=0)) == f"Home\nUnmarked, short.\nT\n{L}\nBe.\n(c) me."
-    assert extract(page, Ratios(threshold=3)) == "T" and extract(page, Ratios(threshold=1e9)) == ""
-    grown = {extract(page, Ratios(threshold=t)).count("\n") for t in (0.2, 0.1, 0.002)}
-    assert len(grown) == 3  # one boilerplate path after the other is let in
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body><article><h1>T</h1><p>{L}</p></article><ol class="commentlist"><li>{L}</li></ol></body>', f"T\n{L}"),
+        (f'<article><h1>T</h1><p>{L}</p><div id="disqus_thread"><p>{L}</p></div><div class="user-comments-list"><p>{L}</p></div></article>', f"T\n{L}"),
+        (f"<body><div><div><h1>T</h1><p>{L}</p><p>{L}</p></div><div><h3>More of it</h3><ul><li><a href=x>One page</a><li><a href=y>Two</a></ul><p>A teaser.</p></div></div></body>", f"T\n{L}\n{L}"),
+        (f'<article><h1>T</h1><p>{L}</p><div class="search">{L}</div><p class="notice">{L}</p></article>', f"T\n{L}\n{L}\n{L}"),
+        (f'<article><h1>T</h1><p>{L}</p><div class="search">Go</div><div><div><div><div><span class=x>9 k</span></div></div></div></div></article>', f"T\n{L}"),
+    ],
+)
+def test_names_do_not_decide(page, text):
+    assert extract(page) == text
+
+
+def test_the_ratios_decide(monkeypatch):
+    page = f'<body><nav><a href=a>Home</a></nav><div>Unmarked, short.</div><div class=ad>Buy, now.</div><article><h1>T</h1>{f"<p>{L}</p>" * 6}<p>Be.</p></article><footer>(c) me.</footer></body>'
+    body = "\n".join(["T", *[L] * 6, "Be."])
+    assert extract(page) == body
+    assert extract(page, Ratios(cut=1, prose=1, evidence=0)) == body  # without any name
+    assert extract(page, Ratios(threshold=0)) == f"Home\nUnmarked, short.\nBuy, now.\n{body}\n(c) me."
+    assert extract(page, Ratios(threshold=1e9)) == ""
+    monkeypatch.setattr(html_extract, "fuse", lambda x, y: 1.0)
+    assert extract(page) == f"Unmarked, short.\nBuy, now.\n{body}\n(c) me."  # equal ratios let everything in but links
+
+
+def test_path_ratios_by_hand():
+    # path 1 without text, 2 and 3 below it, 4 beside it: (characters, marks, nodes, of links)
+    got = path_ratios({2: [30, 3, 3, 0], 3: [100, 5, 1, 0], 4: [7, 0, 1, 0]}, [0, 0, 1, 1, 0])
+    assert got[2:] == [(10, 1), (100, 5), (7, 0)] and got[1] == pytest.approx(((30 * 10 + 100 * 100) / 130, (30 * 1 + 100 * 5) / 130))
+    assert fuse(10, 1) == 20 and fuse(100, 5) == 600
+
+
+def _brute(page: str, how: Ratios = Ratios()) -> list[str]:
+    """The kept blocks of a page of one <article> in a body, by a table of all prefixes made from the path strings alone; no names are read."""
+    blocks = [m for m in re.finditer(r"<(h1|p|li|footer|td)>([^<]*)<", page)]
+    paths = []
+    for m in blocks:
+        stack: list[str] = []
+        for close, tag in re.findall(r"<(/?)(\w+)>", page[: m.start(2)]):
+            stack.pop() if close else stack.append(tag)
+        paths.append("/".join(["#", *stack]))
+    own = {}
+    for path in dict.fromkeys(paths):
+        texts = [m[2] for m, p in zip(blocks, paths) if p == path]
+        own[path] = (sum(map(len, texts)), sum(map(len, texts)) / len(texts), sum(len(re.findall(r"[.,](?=\s|$)", t)) for t in texts) / len(texts))
+
+    def prefix(start: str, i: int) -> float:
+        below = [v for p, v in own.items() if (p + "/").startswith(start + "/")]
+        return sum(v[0] * v[i] for v in below) / sum(v[0] for v in below)
+
+    texts = [(p, own[p], len(m[2])) for m, p in zip(blocks, paths)]
+    told = [v[1] * (1 + v[2]) * (4 if "article" in p else 0.5 if "footer" in p else 1) for p, v, _ in texts]
+    rich = [(p, v, n) for (p, v, n), x in zip(texts, told) if x >= sum(told) / len(told) / 2 and "article" in p]
+    area = [sum(n * v[i] for _, v, n in rich) / sum(n for _, _, n in rich) for i in (1, 2)]
+    kept = []
+    for m, path in zip(blocks, paths):
+        steps, smooth = path.split("/"), []
+        for i in (1, 2):
+            total, weights, w = min(own[path][i], area[i - 1]), 1.0, 1.0
+            for k in range(len(steps) - 1, 0, -1):
+                start = "/".join(steps[:k])
+                w *= how.step * (1 if start.endswith("article") or "/article/" in start else how.above) * (how.cut if steps[k] == "footer" else 1)
+                total += w * min(area[i - 1] if start.endswith("article") else prefix(start, i), area[i - 1])
+                weights += w
+            smooth.append(total / weights)
+        ratio = smooth[0] * (1 + smooth[1]) * (1 if "article" in steps else how.outside)
+        if ratio >= how.threshold * area[0] * (1 + area[1]):
+            kept.append(m[2].strip())
+    return kept
 
 
-def test_fused_ratios_by_hand():
-    assert fused_ratios([(30, 3, 3), (100, 5, 1)], 1e-9) == [10 * 2, 100 * 6]
-    a, b = fused_ratios([(30, 3, 3), (100, 5, 1)], (1 / 2 / 0.6931471805599453) ** 0.5)  # the neighbour counts half
-    assert a == pytest.approx((10 + 50) / 1.5 * (1 + (1 + 2.5) / 1.5)) and b == pytest.approx((100 + 5) / 1.5 * (1 + (5 + 0.5) / 1.5))
+def test_selection_against_a_table_of_paths():
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["word", "longer", "it.", "on,"]) for _ in range(n))
+    for _ in range(60):
+        middle = "".join(rng.choice(["<p>{}</p>", "<section><div><ul><li>{}</li></ul></div></section>", "<ul><li>{}</li></ul>", "<div><section><table><tr><td>{}</td></tr></table></section></div>"]).format(words(rng.choice([1, 2, 9, 60]))) for _ in range(rng.randint(1, 6)))
+        page = f"<body><p>{words(rng.choice([3, 20, 90]))}</p><article><h1>{words(3)}</h1><p>{words(80)}</p>{middle}</article></body>"
+        assert extract(page).split("\n") == _brute(page), page
 
 
 @pytest.mark.parametrize(
