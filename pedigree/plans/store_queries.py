@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedigree.functions import sql
 from pedigree.operators import evaluation, gates, projection, upkeep
 from pedigree.plans import oracles, queries
-from pedigree.sources import adapters
+from pedigree.sources import adapters, lockfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +207,62 @@ def result_document(spark, sf_dir):
     results, parts, labels, history = queries._results(spark, sf_dir)
     attributed = evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], queries.publisher.blocks_of_rows(parts["rows"]))
     return evaluation.result_lines(results, attributed).drop("line")
+
+
+@query(oracles.ORACLES["semver_order"])
+def sql_version_keys(spark, sf_dir):
+    """`semver_order`, in SQL text."""
+    rows = adapters.release_history(spark, sf_dir)
+    return sql.register(spark).sql("SELECT DISTINCT version, version_key(version) AS sort_key, CAST(version_major(version) AS BIGINT) AS major FROM {rows} WHERE length(version) > 0", rows=rows)
+
+
+@query(oracles._gates("SELECT package_name, version, published_at, 'i' || version_id AS integrity_hash, CASE WHEN version_id % 2 = 0 THEN content_hash END AS content_hash, '<' || lower(publisher_email) || '>' AS identity, split_part(lower(publisher_email), '@', 2) AS host, version_id % 3 = 1 AS provenance_present FROM rel"))
+def sql_document_releases(spark, sf_dir):
+    """The releases of whole documents, by a table function in SQL text."""
+    text = """SELECT r.package_name, r.version, r.published_at, r.integrity_hash, r.content_hash, release_identity(nullif(trim(r.publisher_name), 'dev'), r.publisher_email) AS identity,
+      mail_domain(r.publisher_email) AS host, r.provenance_present FROM {documents} d, LATERAL document_releases(d.document) r"""
+    return sql.register(spark).sql(text, documents=_documents(spark, sf_dir))
+
+
+def _lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lockfiles of installed releases: nested folders, entries that say their name, packages that no store knows, odd integrities."""
+    path = "CASE version_id % 3 WHEN 0 THEN 'node_modules/h' || version_id || '/node_modules/' || package_name WHEN 1 THEN 'lib/' || version_id ELSE 'node_modules/n' || version_id END"
+    integrity = "CASE WHEN version_id % 7 = 0 THEN '7' WHEN version_id % 11 = 0 THEN '\"other\"' ELSE '\"' || coalesce(integrity_hash, '?') || '\"' END"
+    entry = f"""'"' || {path} || '":{{' || CASE WHEN version_id % 3 = 1 THEN '"name":"' || package_name || '",' ELSE '' END || '"version":"' || version || '","integrity":' || {integrity} || '}}'"""
+    of = adapters.stored_releases(spark, sf_dir).selectExpr("package_id % 97 AS lock_id", f"{entry} AS entry").groupBy("lock_id").agg(F.array_join(F.collect_list("entry"), ",").alias("e"))
+    return of.select("lock_id", F.concat(F.lit('{"name":"root","packages":{"":{"name":"root","version":"1"},"node_modules/odd":3,'), "e", F.lit("}}")).alias("document"))
+
+
+_INSTALLED = """SELECT package_id % 97 AS lock_id, CASE WHEN version_id % 3 = 2 THEN 'n' || version_id ELSE package_name END AS package_name, version,
+  CASE WHEN version_id % 7 = 0 THEN NULL WHEN version_id % 11 = 0 THEN 'other' ELSE coalesce(integrity_hash, '?') END AS integrity, CASE WHEN version_id % 3 <> 2 THEN integrity_hash END AS base, version_id % 3 <> 2 AS known FROM rel"""
+
+
+@query(oracles._store(f"SELECT lock_id, package_name, version, integrity FROM ({_INSTALLED}) x"))
+def lockfile_packages(spark, sf_dir):
+    """Installed packages of whole lockfiles, in SQL text; the same rows as `lockfile.installed`."""
+    text = "SELECT d.lock_id, r.package_name, r.version, r.integrity FROM {lockfiles} d, LATERAL lockfile_packages(d.document) r"
+    return sql.register(spark).sql(text, lockfiles=_lockfiles(spark, sf_dir))
+
+
+@query(
+    oracles._store(f"""SELECT package_name, version, CASE reason WHEN 'integrity_match' THEN 'verified' WHEN 'integrity_mismatch' THEN 'tamper' ELSE 'unverifiable' END AS status, reason,
+  CASE WHEN reason = 'integrity_mismatch' THEN 'tamper' WHEN reason = 'lockfile_missing' OR (reason = 'not_in_witness' AND NOT known) THEN 'skipped' WHEN reason = 'not_in_witness' THEN 'unverifiable' END AS severity
+FROM (SELECT *, CASE WHEN integrity IS NULL THEN 'lockfile_missing' WHEN base IS NULL THEN 'not_in_witness' WHEN base <> integrity THEN 'integrity_mismatch' ELSE 'integrity_match' END AS reason FROM ({_INSTALLED}) x) y""")
+)
+def lockfile_checks(spark, sf_dir):
+    """The packages of lockfiles held against the store."""
+    stored = adapters.stored_releases(spark, sf_dir)
+    return upkeep.self_check(lockfile.installed(_lockfiles(spark, sf_dir)), stored, stored)
+
+
+@query(
+    oracles._store("""SELECT 'seed-v' || version_id AS tag, CASE WHEN version_id % 2 = 1 THEN 'db=u/' || version_id || ',sig=s/' || version_id END AS urls, CASE WHEN version_id % 2 = 1 THEN '' ELSE 'sig' END AS missing,
+  CASE WHEN version_id % 2 = 1 THEN 'db,notes,sig' ELSE 'db,notes' END AS available FROM rel""")
+)
+def release_assets(spark, sf_dir):
+    """The files of remote releases, one listing a package; every second one lacks its signature."""
+    entry = """'{"tag_name":"seed-v' || version_id || '","published_at":"' || published_at || '","assets":[{"name":"db","browser_download_url":"old"},{"name":"db","browser_download_url":"u/' || version_id || '"},{"name":7},"x",{"name":"notes","browser_download_url":"n"},{"name":"sig","browser_download_url":"' || CASE WHEN version_id % 2 = 1 THEN 's/' || version_id ELSE '' END || '"}]}'"""
+    listings = adapters.stored_releases(spark, sf_dir).selectExpr("package_id", f"{entry} AS e").groupBy("package_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit(",5]")).alias("document"))
+    told = lockfile.assets_of(lockfile.listed_releases(listings), ["db", "sig"])
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("urls"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return told.select("tag", pairs.alias("urls"), F.array_join("missing", ",").alias("missing"), F.array_join("available", ",").alias("available"))
