@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pedigree.operators.store import upsert
 
@@ -77,6 +78,40 @@ def import_store(spark: SparkSession, tables: dict[str, DataFrame], live: str) -
     swap(spark, staged, live)
 
 
+def migrated(spark: SparkSession, tables: dict[str, DataFrame], schemas: dict[str, StructType]) -> dict[str, DataFrame]:
+    """The tables with all that the schemas name: a missing table is empty, a missing column null; others stay as they are."""
+    out = dict(tables)
+    for name, schema in schemas.items():
+        rows = out[name] if name in out else spark.createDataFrame([], schema)
+        out[name] = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in rows.columns])
+    return out
+
+
+def store_version(settings: DataFrame, key: str = "seed_version") -> str | None:
+    """The version that a store's settings (key, value) name, null if they name none."""
+    row = settings.where(F.col("key") == key).agg(F.max("value").alias("v")).first()
+    return row["v"] if row else None
+
+
+def update_store(spark: SparkSession, tables: dict[str, DataFrame], live: str, verdict: str, schemas: dict[str, StructType] | None = None, force: bool = False) -> str:
+    """Put a downloaded store in the place of the live one: `updated`, `current` (same version, nothing is done), or
+    `refused: ...` if the bundle's verdict (`bundle.verify`) is not ok.
+
+    Versions are the `seed_version` of the `settings` tables; without one in either store they count as different. The
+    live store's decisions and overrides are kept, its tables and columns that the bundle is too old to know come into being.
+    """
+    if verdict != "ok":
+        return f"refused: {verdict}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{live.rstrip('/')}/settings")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    now = store_version(spark.read.parquet(str(path))) if there else None
+    new = store_version(tables["settings"]) if "settings" in tables else None
+    if now is not None and now == new and not force:
+        return "current"
+    import_store(spark, migrated(spark, tables, schemas or {}), live)
+    return "updated"
+
+
 def newest_release(releases: DataFrame, pattern: str) -> DataFrame:
     """Of (tag, published_at, ...) the newest with a matching tag; a missing date counts as the oldest."""
     return releases.where(F.col("tag").rlike(pattern)).orderBy(F.coalesce(F.unix_millis(F.col("published_at").try_cast("timestamp")), F.lit(0)).desc(), "tag").limit(1)

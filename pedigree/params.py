@@ -29,14 +29,22 @@ class Params:
 
     @classmethod
     def from_env(cls, prefix: str = "PEDIGREE_") -> Params:
-        """Defaults overridden by numeric environment variables such as PEDIGREE_KNOWN_COUNT; others are ignored."""
+        """Defaults overridden by environment variables such as PEDIGREE_KNOWN_COUNT; an unset or empty one leaves the default,
+        one that is no positive number (of a whole-number parameter: no positive integer) is an error."""
         found = {}
         for field in fields(cls):
-            try:
-                value = float(os.environ[prefix + field.name.upper()])
-            except (KeyError, ValueError):
+            name = prefix + field.name.upper()
+            text = os.environ.get(name, "").strip()
+            if not text:
                 continue
-            found[field.name] = value if isinstance(field.default, float) else int(value)
+            kind = type(field.default)
+            try:
+                value = float(text)
+            except ValueError:
+                value = 0.0
+            if not 0 < value < float("inf") or (kind is int and value != int(value)):
+                raise ValueError(f"{name} must be a positive {'number' if kind is float else 'integer'}, got {text}")
+            found[field.name] = kind(value)
         return cls(**found)
 
 

@@ -142,8 +142,11 @@ def test_columns(spark):
 
 def test_params_from_env(monkeypatch):
     monkeypatch.setenv("PEDIGREE_KNOWN_COUNT", "12")
+    monkeypatch.setenv("PEDIGREE_SOLO_DOMINANCE", "0.7")
+    assert Params.from_env() == Params(known_count=12, solo_dominance=0.7)
     monkeypatch.setenv("PEDIGREE_SOLO_DOMINANCE", "bad")
-    assert Params.from_env() == Params(known_count=12)
+    with pytest.raises(ValueError, match="must be a positive number"):
+        Params.from_env()
 
 
 def test_permutation_changes_nothing(spark):
