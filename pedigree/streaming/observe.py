@@ -1,8 +1,10 @@
 """Observation as a stream: registry documents come in, baselines and changed decisions go out.
 
 Every micro-batch reads the store as it was at its start, judges the incoming releases against it,
-appends the new baselines and then the decisions that differ from the latest ones. Both appends are
-anti-joins, so a replayed batch changes nothing. There is no watermark: histories are judged whole, and
+appends the new baselines and the decisions that differ from the latest ones. What an attempt at a batch writes carries the
+attempt's mark; the last thing written is its row in `finished`, and readers see rows of finished attempts only. So
+releases, files, decisions, sightings and quarantine of a batch become visible in one step, an attempt that is stopped
+in between leaves nothing visible, and a batch that is finished is not done again. There is no watermark: histories are judged whole, and
 a late release simply takes its place in them.
 
 Releases and decisions lie in buckets of packages; a batch reads the buckets of its own packages only.
@@ -17,14 +19,19 @@ Whatever can't be read fails open. A document that is no JSON object, or makes t
 `quarantine`; an entry that is no object is no release. A release whose gates fail is let through without results, noted in
 quarantine, and the others of its batch are judged as usual; a gate that gives no known result is skipped. Of two rows with one
 version in a batch the one with the greatest digest counts.
+
+`compact` puts the small files of buckets together, one file a bucket, by overwriting those partitions only; rows of attempts that were
+never finished go. It must not run beside a batch or a reader of those buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pedigree.operators import gates, projection
 from pedigree.operators.store import look_up, publish_millis
@@ -39,6 +46,9 @@ ASKED = "dep string, asked_ms long, batch long"
 DROPPED = "batch long, dropped long"
 SEEN = "package_id long, version string, seen_ms long, batch long"
 QUARANTINE = "package_name string, version string, stage string, error string, batch long"
+FINISHED = "batch long, attempt string"
+#: Tables whose rows become visible with their batch; rows without an attempt (of a compacted bucket) are visible.
+IN_ONE_STEP = ("versions", "decisions", "seen", "quarantine")
 BUCKETS = 64
 RELEASE, RELEASE_NAME = ["package_id", "version"], ["package_name", "version"]
 
@@ -57,16 +67,48 @@ class WitnessStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _exists(self, name: str) -> bool:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
     def _read(self, name: str, schema: str | StructType, before: int | None) -> DataFrame:
-        path = f"{self.path}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not self._exists(name):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(path)
+        if name in IN_ONE_STEP:
+            df = self._visible(name, schema)
+        else:
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return df if before is None else df.where(F.col("batch") < before)
 
+    def _visible(self, name: str, schema: str | StructType) -> DataFrame:
+        """Rows of finished attempts. The list of these is read first, so that a reader sees a batch in all tables or in none."""
+        empty = self.spark.createDataFrame([], schema)
+        finished = self._read("finished", FINISHED, None).select("attempt")
+        df = self.spark.read.schema(StructType([*empty.schema, StructField("attempt", StringType())])).parquet(f"{self.path}/{name}")
+        told = df.where("attempt is not null").join(finished, "attempt", "left_semi")
+        return told.unionByName(df.where("attempt is null")).select(*empty.columns)
+
+    def finished(self) -> DataFrame:
+        """The finished batches: batch, attempt."""
+        return self._read("finished", FINISHED, None)
+
+    def compact(self, least: int = 2) -> dict[str, int]:
+        """Put the files of each bucket that has at least `least` of them into one, by overwriting that bucket; returns how many buckets of each table."""
+        out = {}
+        for name, read in (("versions", self.releases), ("decisions", self.decisions)):
+            out[name] = 0
+            if self._exists(name):
+                files = self.spark.read.parquet(f"{self.path}/{name}").select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count()
+                buckets = [r["bucket"] for r in files.where(F.col("count") >= least).collect()]  # at most BUCKETS numbers
+                if buckets:
+                    rows = cut(read().where(F.col("bucket").isin(buckets)))
+                    rows = rows.withColumn("attempt", F.lit(None).cast("string")).repartition(len(buckets), "bucket").sortWithinPartitions("bucket", *RELEASE)
+                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+                    out[name] = len(buckets)
+        return out
+
     def _append(self, rows: DataFrame, name: str, schema: str) -> None:
-        rows.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(f"{self.path}/{name}")
+        rows.select(*[c.split()[0] for c in schema.split(", ")], *(["attempt"] if name in IN_ONE_STEP else [])).write.mode("append").parquet(f"{self.path}/{name}")
 
     def releases(self, before: int | None = None) -> DataFrame:
         """Baselines: all fields of a release, `files`, deps, has_script, version_id, package_id, batch, bucket."""
@@ -141,17 +183,21 @@ class WitnessStore:
 
     def observe(self, documents: DataFrame, batch: int, now_ms: int, p: Params = Params(), known: dict[str, gates.Gate] | None = None, can_look_up: bool = True) -> None:
         """One micro-batch of documents (column `document`)."""
+        if not self.finished().where(F.col("batch") == batch).isEmpty():
+            return
+        attempt = F.lit(uuid.uuid4().hex).alias("attempt")
         documents = documents.select("document", F.xxhash64("document").alias("_digest"))
         rows, broken = isolate(documents, ["_digest"], released)
         unread = documents.where(~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("document")), F.lit("OBJECT")), F.lit(False)))
-        self._append(unread.select(*[F.lit(None).cast("string").alias(c) for c in RELEASE_NAME], F.lit("document").alias("stage"), F.lit("no JSON object").alias("error"), F.lit(batch).cast("long").alias("batch")), "quarantine", QUARANTINE)
+        self._append(unread.select(*[F.lit(None).cast("string").alias(c) for c in RELEASE_NAME], F.lit("document").alias("stage"), F.lit("no JSON object").alias("error"), F.lit(batch).cast("long").alias("batch"), attempt), "quarantine", QUARANTINE)
         bad = [(None, None, "document", error, batch) for _, error in broken]
         if rows is not None:
-            bad += self._judge(rows, batch, now_ms, p, known, can_look_up)
+            bad += self._judge(rows, batch, now_ms, p, known, can_look_up, attempt)
         if bad:
-            self._append(self.spark.createDataFrame(bad, QUARANTINE), "quarantine", QUARANTINE)
+            self._append(self.spark.createDataFrame(bad, QUARANTINE).withColumn("attempt", attempt), "quarantine", QUARANTINE)
+        self._append(self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), attempt), "finished", FINISHED)
 
-    def _judge(self, rows: DataFrame, batch: int, now_ms: int, p: Params, given: dict[str, gates.Gate] | None, can_look_up: bool) -> list[tuple]:
+    def _judge(self, rows: DataFrame, batch: int, now_ms: int, p: Params, given: dict[str, gates.Gate] | None, can_look_up: bool, attempt: Column) -> list[tuple]:
         """Write baselines and decisions of a batch's releases; returns quarantine rows."""
         whole = F.struct(*[c for c in rows.columns if c not in RELEASE])
         incoming = rows.groupBy(*RELEASE).agg(F.max_by(whole, F.xxhash64(*rows.columns)).alias("_x")).select(*RELEASE, "_x.*")
@@ -173,12 +219,11 @@ class WitnessStore:
         told = passed if judged is None else judged.withColumn("_failed", F.lit(False)).unionByName(passed)
         told = told.join(kept, RELEASE, "left").join(latest, RELEASE, "left")
         told = told.where("_latest is null or _latest <> disposition").withColumn("results", F.when(F.col("_known") | F.col("_failed"), F.col("results")).otherwise(F.concat(first, F.col("results"))))
-        done = self.decisions().where(mine & (F.col("batch") == batch)).select(*RELEASE)
-        told = told.select(*RELEASE, "disposition", "results", F.lit(batch).cast("long").alias("batch")).join(done, RELEASE, "left_anti")
-        told = told.select(*[c.split()[0] for c in DECISIONS.split(", ")[:3]], "results", "batch", F.pmod("package_id", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        new = incoming.join(self.releases().where(mine).select(*RELEASE), RELEASE, "left_anti").select(*self.releases().columns)
-        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/versions")  # baselines before decisions
-        self._append(incoming.select(*RELEASE, F.lit(now_ms).cast("long").alias("seen_ms"), "batch"), "seen", SEEN)
+        told = told.select(*RELEASE, "disposition", "results", F.lit(batch).cast("long").alias("batch"))
+        told = told.select(*[c.split()[0] for c in DECISIONS.split(", ")[:3]], "results", "batch", F.pmod("package_id", F.lit(BUCKETS)).cast("int").alias("bucket"), attempt)
+        new = incoming.join(self.releases().where(mine).select(*RELEASE), RELEASE, "left_anti").select(*self.releases().columns, attempt)
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/versions")
+        self._append(incoming.select(*RELEASE, F.lit(now_ms).cast("long").alias("seen_ms"), "batch", attempt), "seen", SEEN)
         told.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/decisions")
         return [(name, v, "gates", error, batch) for _, v, name, error in failed]
 
