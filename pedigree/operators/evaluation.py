@@ -164,6 +164,35 @@ def labels_per_package(labels: DataFrame) -> DataFrame:
     return labels.groupBy("package_id").agg(F.count("*").alias("n_labels"), F.count_if("is_malicious").alias("n_malicious"))
 
 
+def result_head(results: DataFrame, attributed: DataFrame, base: Params = Params()) -> DataFrame:
+    """One row (section `head`, line): the corpus, the parameters and all aggregates as one JSON object.
+
+    Counts over packages, labels and lags are one aggregate each; three rows meet in one.
+    """
+    labels = attributed.agg(F.count("*").alias("total"), F.count_if("detected").alias("detected"), F.count_if(F.col("n_candidates") > 0).alias("attributable"))
+    parts = {"c": confusion(results), "l": labels, "q": lag_quartiles(attributed)}
+    rows = [df.select(F.struct("*").alias(name)) for name, df in parts.items()]
+    one = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True).agg(*(F.max(name).alias(name) for name in parts))
+    attacks, clean = F.col("c.tp") + F.col("c.fn"), F.col("c.fp") + F.col("c.tn")
+    of = lambda place, *names: [F.col(f"{place}.{n}").alias(n) for n in names]
+    corpus = F.struct((attacks + clean).alias("packages"), attacks.alias("attacked"), clean.alias("clean"))
+    parameters = F.struct(*(F.lit(getattr(base, f.name)).alias(f.name) for f in fields(Params)))
+    packages = F.struct(*of("c", "tp", "fn", "fp", "tn", "warn_clean", "recall", "recall_low", "recall_high", "false_positive_rate", "fpr_low", "fpr_high", "precision"))
+    provenance_ = F.struct(*of("c", "provenance_attack_detected", "provenance_clean_blocked"), rate(F.col("c.provenance_attack_detected"), attacks).alias("recall"), rate(F.col("c.provenance_clean_blocked"), clean).alias("false_positive_rate"))
+    label = F.struct(*of("l", "total", "detected", "attributable"), rate(F.col("l.detected"), F.col("l.total")).alias("recall"), rate(F.col("l.detected"), F.col("l.attributable")).alias("recall_attributable"))
+    aggregates = F.struct(
+        packages.alias("packages"), F.struct(*of("c", "publisher_only", "provenance_only", "both_layers")).alias("layers"), provenance_.alias("provenance"), label.alias("labels"),
+        F.struct(*of("c", "fires_new_domain", "fires_privacy", "fires_unverified", "fires_machine_to_human")).alias("escalators"), F.struct(*of("q", "n", "lowest", "q1", "median", "q3", "highest")).alias("detection_lag_days"),
+    )
+    line = F.to_json(F.struct(corpus.alias("corpus"), parameters.alias("parameters"), aggregates.alias("aggregates")), {"ignoreNullFields": "false"})
+    return one.select(F.lit("head").alias("section"), F.lit(-1).cast("long").alias("package_id"), F.lit(-1).cast("long").alias("label_id"), line.alias("line"))
+
+
+def result_document(results: DataFrame, attributed: DataFrame, base: Params = Params()) -> DataFrame:
+    """The whole result document as lines: its head, then one object a label and a package; `results.write_lines` puts them in order."""
+    return result_head(results, attributed, base).unionByName(result_lines(results, attributed))
+
+
 def result_lines(results: DataFrame, attributed: DataFrame) -> DataFrame:
     """(section, package_id, label_id, line): the result document, one JSON object a line; `results.write_document` puts the lines in order."""
     line = lambda df: F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})

@@ -107,10 +107,13 @@ def rewrite_documents(documents: DataFrame, decisions: DataFrame, key: str = "pa
 
     Blocked releases leave `versions` and `time`; tags on them move to the highest release left (`latest` to no
     prerelease) or go. All other members pass as they are, and a document without blocked releases is untouched.
-    A reason is the first detail of the decision that says anything. Decisions are (key, version, disposition, results).
+    A reason is the first detail of the decision that says anything. Decisions are (key, version, disposition, results); of several on one
+    release the strictest counts, of equally strict ones the one with the least reason.
     """
     reason = F.coalesce(F.try_element_at(F.filter(F.transform("results", lambda r: r["detail"]), lambda d: F.coalesce(F.length(d) > 0, F.lit(False))), F.lit(1)), F.lit(""))
-    told = decisions.where("disposition in ('WARN', 'BLOCK')").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("version", F.struct("disposition", reason.alias("reason"))))).alias("_told"))
+    some = decisions.where("disposition in ('WARN', 'BLOCK')").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("version", "disposition", reason.alias("reason")))).alias("_some"))
+    first = F.filter("_some", lambda x, i: (i == 0) | ~F.get("_some", i - 1)["version"].eqNullSafe(x["version"]))  # BLOCK sorts before WARN
+    told = some.select(key, F.map_from_entries(F.transform(F.filter(first, lambda x: x["version"].isNotNull()), lambda x: F.struct(x["version"], F.struct(x["disposition"], x["reason"])))).alias("_told"))
     rows = parsed(documents, column).join(told, key, "left").withColumns({"_versions": F.coalesce(_object(_member("versions")), F.create_map().cast("map<string,variant>")), "_told": F.coalesce("_told", F.create_map().cast("map<string,struct<disposition:string,reason:string>>"))})
     said = lambda d: F.transform(F.filter(F.map_keys("_versions"), lambda v: F.try_element_at("_told", v)["disposition"] == d), lambda v: F.struct(v.alias("version"), F.try_element_at("_told", v)["reason"].alias("reason")))
     rows = rows.withColumns({"blocked": said("BLOCK"), "warned": said("WARN")})

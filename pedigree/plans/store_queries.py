@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pedigree.functions import sql
 from pedigree.operators import evaluation, gates, projection, upkeep
+from pedigree.params import Params
 from pedigree.plans import oracles, queries
+from pedigree.session import cut
 from pedigree.sources import adapters, lockfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,12 +203,40 @@ def sensitivity_deltas(spark, sf_dir):
     return evaluation.drop_rule(queries.sensitivity_grid(spark, sf_dir))
 
 
-@query("SELECT section, package_id, label_id FROM (SELECT 'package' AS section, package_id, -1::BIGINT AS label_id FROM (" + oracles.ORACLES["package_results"] + ") p UNION ALL SELECT 'label', package_id, label_id::BIGINT FROM (" + oracles.ORACLES["label_attribution"] + ") a)")
+_PACKAGE = sorted("package_id attack disposition shape observed_versions_count has_sufficient_history transition_count block_transitions warn_transitions provenance_regression_count provenance_escalator_fires fires_new_domain fires_privacy fires_unverified fires_machine_to_human publisher_block".split())
+_LABEL = sorted("label_id package_id advisory_id n_candidates detected detected_version detected_disposition detection_lag_days".split())
+
+
+def _json(source: str, names: list[str]) -> str:
+    return f"to_json({{{', '.join(f'{n}: {source}.{n}' for n in names)}}})"
+
+
+def _head() -> str:
+    counts = oracles._confusion("(SELECT *, 0 AS one FROM res)", "one")
+    lags = "SELECT count(*) AS n, min(detection_lag_days)::BIGINT AS lowest, quantile_disc(detection_lag_days, 0.25)::BIGINT AS q1, quantile_disc(detection_lag_days, 0.5)::BIGINT AS median, quantile_disc(detection_lag_days, 0.75)::BIGINT AS q3, max(detection_lag_days)::BIGINT AS highest FROM att WHERE detected AND detection_lag_days IS NOT NULL"
+    labels = f"SELECT *, {oracles._rate('detected', 'total')} AS recall, {oracles._rate('detected', 'attributable')} AS recall_attributable FROM (SELECT count(*) AS total, count(*) FILTER (detected) AS detected, count(*) FILTER (n_candidates > 0) AS attributable FROM att)"
+    fixed = "{" + ", ".join(f"{k}: {v!r}" + ("::DOUBLE" if isinstance(v, float) else "") for k, v in vars(Params()).items()) + "}"
+    same = lambda source, names: "{" + ", ".join(f"{n}: {source}.{n}" for n in names.split()) + "}"
+    attested = f"{{provenance_attack_detected: c.provenance_attack_detected, provenance_clean_blocked: c.provenance_clean_blocked, recall: {oracles._rate('c.provenance_attack_detected', 'c.tp + c.fn')}, false_positive_rate: {oracles._rate('c.provenance_clean_blocked', 'c.fp + c.tn')}}}"
+    aggregates = f"""{{packages: {same("c", "tp fn fp tn warn_clean recall recall_low recall_high false_positive_rate fpr_low fpr_high precision")}, layers: {same("c", "publisher_only provenance_only both_layers")}, provenance: {attested},
+  labels: {same("l", "total detected attributable recall recall_attributable")}, escalators: {same("c", "fires_new_domain fires_privacy fires_unverified fires_machine_to_human")}, detection_lag_days: {same("q", "n lowest q1 median q3 highest")}}}"""
+    return f"SELECT 'head' AS section, -1::BIGINT AS package_id, -1::BIGINT AS label_id, to_json({{corpus: {{packages: tp + fn + fp + tn, attacked: tp + fn, clean: fp + tn}}, parameters: {fixed}, aggregates: {aggregates}}})::VARCHAR AS line FROM ({counts}) c, ({labels}) l, ({lags}) q"
+
+
+@query(
+    oracles._C.sql(
+        f"{_head()} UNION ALL SELECT 'package', package_id, -1::BIGINT, {_json('res', _PACKAGE)}::VARCHAR FROM res UNION ALL SELECT 'label', package_id, label_id::BIGINT, {_json('att', _LABEL)}::VARCHAR FROM att",
+        full=True,
+        results=True,
+        more=oracles._ATTRIBUTION,
+    )
+)
 def result_document(spark, sf_dir):
-    """The places of the result document's lines; their text is tested on its own."""
+    """The whole result document, line by line: its head with corpus, parameters and aggregates, its labels, its packages."""
     results, parts, labels, history = queries._results(spark, sf_dir)
-    attributed = evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], queries.publisher.blocks_of_rows(parts["rows"]))
-    return evaluation.result_lines(results, attributed).drop("line")
+    results = cut(results)
+    attributed = cut(evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], queries.publisher.blocks_of_rows(parts["rows"])))
+    return evaluation.result_document(results, attributed)
 
 
 @query(oracles.ORACLES["semver_order"])

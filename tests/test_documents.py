@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pedigree.functions import columns, sql
+from pedigree.operators import evaluation, projection
 from pedigree.params import Params
 from pedigree.sources import adapters, lockfile
 
@@ -71,3 +72,23 @@ def test_settings_are_positive(monkeypatch, text):
     monkeypatch.setenv("PEDIGREE_KNOWN_COUNT", text)
     with pytest.raises(ValueError, match="PEDIGREE_KNOWN_COUNT must be a positive integer"):
         Params.from_env()
+
+
+def test_repeated_decisions_of_a_release(spark):
+    doc = json.dumps({"name": "p", "versions": {"1.0.0": {}, "1.0.1": {}, "2.0.0": {}}, "dist-tags": {"latest": "2.0.0"}})
+    one = lambda v, d, *details: ("p", v, d, [(x,) for x in details])
+    told = [one("2.0.0", "WARN", "w"), one("2.0.0", "BLOCK", None, "b"), one("2.0.0", "BLOCK", "c"), one("1.0.1", "WARN", "y"), one("1.0.1", "WARN", "x"), one("1.0.1", "ALLOW", "a"), one(None, "BLOCK", "n")]
+    decisions = spark.createDataFrame(told, "package_name string, version string, disposition string, results array<struct<detail:string>>")
+    r = projection.rewrite_documents(spark.createDataFrame([("p", doc)], "package_name string, document string"), decisions).first()
+    assert ([tuple(x) for x in r["blocked"]], [tuple(x) for x in r["warned"]], r["kept"]) == ([("2.0.0", "b")], [("1.0.1", "x")], 2)
+    assert json.loads(r["document"])["dist-tags"] == {"latest": "1.0.1"}
+
+
+def test_head_of_nothing(spark, sf_dir):
+    history = adapters.release_history(spark, sf_dir).limit(0)
+    labels = adapters.attack_labels(history)
+    results, parts = evaluation.package_results(history, labels.select("package_id").distinct())
+    attributed = evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], spark.createDataFrame([], "package_id bigint, version string, block_idx bigint, input_idx bigint"))
+    head = json.loads(evaluation.result_head(results, attributed).first()["line"])
+    assert head["corpus"] == {"packages": 0, "attacked": 0, "clean": 0} and head["parameters"]["min_history"] == 8
+    assert head["aggregates"]["labels"] == {"total": 0, "detected": 0, "attributable": 0, "recall": None, "recall_attributable": None}
