@@ -27,7 +27,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each node's component, for the nodes that (a, b) links mention.
 
     Edges point from the larger to the smaller node; the rounds end when every component is a star
-    around its least node, after about log(n) of them. Null ends and self-links are left out; an
+    around its least node, after about log(n) of them; if they don't end
+    within `rounds` of them it is an error. Null ends and self-links are left out; an
     empty table gives no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b"))
@@ -36,4 +37,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the components of the links did not settle in {rounds} rounds")
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("x")).select("x.*").distinct()
