@@ -30,6 +30,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -220,6 +221,7 @@ def parse(html: str) -> Page:
     return page
 
 
+@lru_cache(4096)
 def _kinds(tag: str, names: tuple[str, ...], how: Ratios) -> tuple[float, float]:
     """What an element's tag and names say: how much it takes over from its prefixes, and the factor of its own ratio."""
     if tag in ("html", "body", "article", "main"):
@@ -260,18 +262,18 @@ def fuse(x: float, y: float) -> float:
     return x * (1 + y)
 
 
-def _table(page: Page, clean: list[str], paths: list[int]) -> dict[int, list[float]]:
+def _table(page: Page, sizes: list[tuple[int, int]], paths: list[int]) -> dict[int, list[float]]:
     """Path -> characters, marks, nodes and characters in links, in the order of first occurrence."""
     stats: dict[int, list[float]] = {}
     seen = set()
-    for (block, element, _, link), text in zip(page.runs, clean):
-        if text:
+    for (block, element, _, link), (size, marks) in zip(page.runs, sizes):
+        if size:
             path = paths[element]
             x = stats.setdefault(path, [0, 0, 0, 0])
-            x[0] += len(text)
-            x[1] += len(_PUNCTUATION.findall(text))
+            x[0] += size
+            x[1] += marks
             x[2] += (path, block) not in seen
-            x[3] += len(text) * link
+            x[3] += size * link
             seen.add((path, block))
     return stats
 
@@ -280,7 +282,8 @@ def extract(html: str | None, how: Ratios = Ratios()) -> str:
     """The main text of one page (see the module's text)."""
     page = parse(html or "")
     clean = [" ".join(entities.unescape(text).split()) for _, _, text, _ in page.runs]
-    stats = _table(page, clean, page.paths)
+    sizes = [(len(text), len(_PUNCTUATION.findall(text))) for text in clean]
+    stats = _table(page, sizes, page.paths)
     if not stats:
         return ""
     ratios = path_ratios(stats, page.above)
@@ -347,7 +350,7 @@ def extract(html: str | None, how: Ratios = Ratios()) -> str:
         sums[e] = (w, x, y)
     # A path that occurs on both sides of the area's border has two rows in the table.
     sided = [path if within[e] or e == area else -path for e, path in enumerate(page.paths)]
-    stats = _table(page, clean, sided)
+    stats = _table(page, sizes, sided)
     out, last = [], -1
     for (block, e, text, _), words in zip(page.runs, clean):
         if words:
