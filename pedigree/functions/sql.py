@@ -1,7 +1,8 @@
 """The column functions for SQL text: temporary functions of a session, scalar ones and tables of a document.
 
 `register(spark)` makes them known; they are expanded into the query's plan, so there is no Python and no
-call a row. Scalars: `version_key`, `version_major`, `release_identity`, `mail_domain`, `mail_provider`. Tables:
+call a row. The body of a table is one `inline` and nothing else: so it is generated from the row at hand, where any
+other body is joined back by the whole document. Scalars: `version_key`, `version_major`, `release_identity`, `mail_domain`, `mail_provider`. Tables:
 `document_releases`, `document_tags`, `lockfile_packages`, used as `FROM docs, LATERAL document_releases(docs.document)`.
 Null in any argument that a function reads gives what the column function gives; a text that is no
 JSON object gives no rows.
@@ -31,14 +32,13 @@ def _names(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def _member(document: str, name: str) -> str:
-    return f"try_variant_get(try_parse_json({document}), '$[\"{name}\"]', 'variant')"
+def _members(document: str, name: str) -> str:
+    return f"try_variant_get(try_variant_get(try_parse_json({document}), '$[\"{name}\"]', 'variant'), '$', 'map<string,variant>')"
 
 
-def _text(v: str, path: str) -> str:
+def _text(v: str) -> str:
     """The text of a JSON string, null for everything else."""
-    at = f"try_variant_get({v}, '{path}', 'variant')"
-    return f"if(schema_of_variant({at}) = 'STRING', try_variant_get({v}, '{path}', 'string'), null)"
+    return f"if(schema_of_variant({v}) = 'STRING', try_variant_get({v}, '$', 'string'), null)"
 
 
 def _package(key: str) -> str:
@@ -46,6 +46,8 @@ def _package(key: str) -> str:
     return f"element_at(split({key}, '(^|/)node_modules/'), -1)"
 
 
+_RELEASE = "struct<dist:struct<integrity:variant,shasum:variant,attestations:variant>,`_npmUser`:struct<name:variant,email:variant>>"
+
 #: Name -> (arguments, result, body).
 FUNCTIONS = {
     "version_key": (
@@ -72,21 +74,21 @@ ELSE concat('z', version) END""",
     "document_releases": (
         "document STRING",
         "TABLE (package_name STRING, version STRING, published_at STRING, integrity_hash STRING, content_hash STRING, publisher_name STRING, publisher_email STRING, provenance_present BOOLEAN)",
-        f"""SELECT {_text("try_parse_json(document)", "$.name")}, v.key, {_text(f"try_element_at(try_variant_get({_member('document', 'time')}, '$', 'map<string,variant>'), v.key)", "$")}, {_text("v.value", "$.dist.integrity")}, {_text("v.value", "$.dist.shasum")},
-  {_text("v.value", "$._npmUser.name")}, {_text("v.value", "$._npmUser.email")}, coalesce(schema_of_variant(try_variant_get(v.value, '$.dist.attestations', 'variant')) LIKE 'OBJECT%', false)
-FROM variant_explode({_member("document", "versions")}) v
-WHERE v.key IS NOT NULL AND schema_of_variant(v.value) LIKE 'OBJECT%'""",
+        f"""SELECT * FROM inline(get(transform(array(try_variant_get(try_parse_json(document), '$', 'struct<name:variant,time:map<string,variant>,versions:map<string,variant>>')), d ->
+  transform(filter(map_entries(map_zip_with(d.versions, coalesce(d.time, cast(map() as map<string,variant>)), (k, v, t) -> named_struct('v', try_variant_get(v, '$', '{_RELEASE}'), 't', {_text("t")}))), e -> e.value.v IS NOT NULL),
+    e -> named_struct('package_name', {_text("d.name")}, 'version', e.key, 'published_at', e.value.t, 'integrity_hash', {_text("e.value.v.dist.integrity")}, 'content_hash', {_text("e.value.v.dist.shasum")},
+      'publisher_name', {_text("e.value.v._npmUser.name")}, 'publisher_email', {_text("e.value.v._npmUser.email")}, 'provenance_present', try_variant_get(e.value.v.dist.attestations, '$', 'map<string,variant>') IS NOT NULL))), 0))""",
     ),
     "document_tags": (
         "document STRING",
         "TABLE (tag STRING, version STRING)",
-        f"SELECT key, {_text('value', '$')} FROM variant_explode({_member('document', 'dist-tags')}) WHERE key IS NOT NULL AND schema_of_variant(value) = 'STRING'",
+        f"SELECT * FROM inline(filter(transform(map_entries({_members('document', 'dist-tags')}), e -> named_struct('tag', e.key, 'version', {_text('e.value')})), t -> t.version IS NOT NULL))",
     ),
     "lockfile_packages": (
         "document STRING",
         "TABLE (path STRING, package_name STRING, version STRING, integrity STRING, link BOOLEAN)",
-        f"""SELECT key, coalesce(nullif({_text("value", "$.name")}, ''), {_package("key")}), {_text("value", "$.version")}, nullif({_text("value", "$.integrity")}, ''), coalesce(try_variant_get(value, '$.link', 'boolean'), false)
-FROM variant_explode({_member("document", "packages")}) WHERE key <> '' AND schema_of_variant(value) LIKE 'OBJECT%'""",
+        f"""SELECT * FROM inline(transform(filter(transform(map_entries({_members("document", "packages")}), e -> named_struct('k', e.key, 'v', try_variant_get(e.value, '$', 'struct<name:variant,version:variant,integrity:variant,link:variant>'))), e -> e.k <> '' AND e.v IS NOT NULL),
+  e -> named_struct('path', e.k, 'package_name', coalesce(nullif({_text("e.v.name")}, ''), {_package("e.k")}), 'version', {_text("e.v.version")}, 'integrity', nullif({_text("e.v.integrity")}, ''), 'link', coalesce(try_variant_get(e.v.link, '$', 'boolean'), false))))""",
     ),
 }
 

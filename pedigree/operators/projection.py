@@ -1,10 +1,14 @@
 """Registry documents as variants: the full projection of their releases, their files, and documents without blocked releases.
 
-A field of another type than expected counts as absent; an entry that is no object is no release.
+A field of another type than expected counts as absent; an entry that is no object is no release. A variant holds the
+names of its whole document, so no row may hold a variant of its own entry: entries are read within their document,
+and rows hold plain fields.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +28,21 @@ def _is(v: Column, kind: str) -> Column:
 
 def _text(v: Column) -> Column:
     """The text of a JSON string, null for everything else."""
-    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def _object(v: Column) -> Column:
     """Members of an object, null for everything else."""
-    return F.when(_is(v, "OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def _list(v: Column) -> Column:
-    return F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _size(v: Column) -> Column:
@@ -61,35 +70,56 @@ def _member(name: str) -> Column:
     return F.try_element_at("_top", F.lit(name))
 
 
+#: The members of a release that are read; the others are passed over.
+_READ = "gitHead _npmVersion maintainers dependencies devDependencies peerDependencies optionalDependencies bundledDependencies bundleDependencies repository".split()
+_RELEASE = f"struct<{','.join(f'`{n}`:variant' for n in _READ)},dist:struct<shasum:variant,tarball:variant,unpackedSize:variant,integrity:variant,attestations:variant>,scripts:struct<preinstall:variant,install:variant,postinstall:variant>,`_npmUser`:struct<name:variant,email:variant>>"
+
+
+def _release(name: Column, version: Column, v: Column, published: Column) -> Column:
+    """All fields of one release as a struct; `v` is its members."""
+    dist, scripts, user = v["dist"], v["scripts"], v["_npmUser"]
+    script = lambda k: F.coalesce(F.length(_text(scripts[k])) > 0, F.lit(False))
+    held = lambda c: F.coalesce(_size(c), F.lit(0))
+    only = lambda n: once(v[n], lambda x: F.when(_object(x).isNotNull(), _json(x)))
+    bundled = F.coalesce(*(F.when(~_is(v[n], "VOID"), v[n]) for n in ("bundledDependencies", "bundleDependencies")))
+
+    def fields(x: Column) -> Column:
+        hash_, tarball, number, bundle = x["hash"], x["tarball"], x["number"], x["bundle"]
+        algo, attested = F.when(hash_.isNotNull(), "sha1"), x["attestations"].isNotNull()
+        file = F.struct(
+            F.substring(F.substring_index(tarball, "/", -1), 1, FILENAME).alias("filename"), F.lit("tarball").alias("packagetype"), hash_.alias("content_hash"), algo.alias("content_hash_algo"),
+            number.alias("size_bytes"), published.alias("uploaded_at"), F.substring(tarball, 1, TARBALL).alias("url"),
+        )
+        return F.struct(
+            name.alias("package_name"), version.alias("version"), published.alias("published_at"), hash_.alias("content_hash"), algo.alias("content_hash_algo"), _text(dist["integrity"]).alias("integrity_hash"),
+            clean_text(_text(v["gitHead"]), GIT_HEAD).alias("git_head"), number.alias("package_size_bytes"),
+            *(held(v[n]).alias(a) for n, a in (("dependencies", "dependency_count"), ("devDependencies", "dev_dependency_count"), ("peerDependencies", "peer_dependency_count"), ("optionalDependencies", "optional_dependency_count"))),
+            (held(bundle) + F.coalesce(F.size(_list(bundle)), F.lit(0))).alias("bundled_dependency_count"), F.coalesce(_json(v["dependencies"]), F.lit("{}")).alias("dependencies"),
+            *(only(n).alias(a) for n, a in (("devDependencies", "dev_dependencies"), ("peerDependencies", "peer_dependencies"), ("optionalDependencies", "optional_dependencies"))),
+            _json(bundle).alias("bundled_dependencies"), _text(user["name"]).alias("publisher_name"), _text(user["email"]).alias("publisher_email"),
+            F.concat(F.lit("npm@"), clean_text(_text(v["_npmVersion"]), TOOL)).alias("publisher_tool"), _maintainers(v["maintainers"]).alias("maintainers"),
+            F.when(attested, "oidc").otherwise("unknown").alias("publish_method"), attested.alias("provenance_present"), x["attestations"].alias("provenance_details"),
+            (script("preinstall") | script("install") | script("postinstall")).alias("has_install_scripts"),
+            F.substring(F.coalesce(_text(v["repository"]), _text(_at(v["repository"], "url"))), 1, URL).alias("source_repo_url"), F.lit(None).cast("string").alias("license"),
+            F.when(tarball.isNotNull(), F.array(file)).otherwise(F.array().cast("array<struct<filename:string,packagetype:string,content_hash:string,content_hash_algo:string,size_bytes:double,uploaded_at:string,url:string>>")).alias("files"),
+        )
+
+    number = once(dist["unpackedSize"], lambda size: once(F.schema_of_variant(size), lambda kind: F.when((kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), F.try_variant_get(size, "$", "double"))))
+    attestations = F.when(_object(dist["attestations"]).isNotNull(), F.to_json(dist["attestations"]))
+    return once(F.struct(_text(dist["shasum"]).alias("hash"), _text(dist["tarball"]).alias("tarball"), number.alias("number"), bundled.alias("bundle"), attestations.alias("attestations")), fields)
+
+
 def project(documents: DataFrame, column: str = "document") -> DataFrame:
     """One row per release of every document, with all fields that the store keeps and its `files`."""
-    rows = parsed(documents, column).select(_text(_member("name")).alias("package_name"), _object(_member("time")).alias("_time"), F.explode(_object(_member("versions"))).alias("version", "_v"))
-    rows = rows.where(_is(F.col("_v"), "OBJECT"))
-    v = F.col("_v")
-    hash_, tarball, size = _text(_at(v, "dist", "shasum")), _text(_at(v, "dist", "tarball")), _at(v, "dist", "unpackedSize")
-    number = F.when(_is(size, "BIGINT") | _is(size, "DOUBLE") | _is(size, "DECIMAL"), F.try_variant_get(size, "$", "double"))
-    published, algo = _text(F.try_element_at("_time", F.col("version"))), F.when(hash_.isNotNull(), "sha1")
-    bundled = F.coalesce(*(F.when(~_is(_at(v, n), "VOID"), _at(v, n)) for n in ("bundledDependencies", "bundleDependencies")))
-    attested = _is(_at(v, "dist", "attestations"), "OBJECT")
-    script = lambda k: F.coalesce(F.length(_text(_at(v, "scripts", k))) > 0, F.lit(False))
-    repository = _at(v, "repository")
-    file = F.struct(
-        F.substring(F.substring_index(tarball, "/", -1), 1, FILENAME).alias("filename"), F.lit("tarball").alias("packagetype"), hash_.alias("content_hash"), algo.alias("content_hash_algo"),
-        number.alias("size_bytes"), published.alias("uploaded_at"), F.substring(tarball, 1, TARBALL).alias("url"),
-    )
-    return rows.select(
-        "package_name", "version", published.alias("published_at"), hash_.alias("content_hash"), algo.alias("content_hash_algo"), _text(_at(v, "dist", "integrity")).alias("integrity_hash"),
-        clean_text(_text(_at(v, "gitHead")), GIT_HEAD).alias("git_head"), number.alias("package_size_bytes"),
-        *(_size(_at(v, n)).alias(a) for n, a in (("dependencies", "dependency_count"), ("devDependencies", "dev_dependency_count"), ("peerDependencies", "peer_dependency_count"), ("optionalDependencies", "optional_dependency_count"))),
-        (_size(bundled) + F.coalesce(F.size(_list(bundled)), F.lit(0))).alias("bundled_dependency_count"), F.coalesce(_json(_at(v, "dependencies")), F.lit("{}")).alias("dependencies"),
-        *(F.when(_is(_at(v, n), "OBJECT"), _json(_at(v, n))).alias(a) for n, a in (("devDependencies", "dev_dependencies"), ("peerDependencies", "peer_dependencies"), ("optionalDependencies", "optional_dependencies"))),
-        _json(bundled).alias("bundled_dependencies"), _text(_at(v, "_npmUser", "name")).alias("publisher_name"), _text(_at(v, "_npmUser", "email")).alias("publisher_email"),
-        F.concat(F.lit("npm@"), clean_text(_text(_at(v, "_npmVersion")), TOOL)).alias("publisher_tool"), _maintainers(_at(v, "maintainers")).alias("maintainers"),
-        F.when(attested, "oidc").otherwise("unknown").alias("publish_method"), attested.alias("provenance_present"), F.when(attested, F.to_json(_at(v, "dist", "attestations"))).alias("provenance_details"),
-        (script("preinstall") | script("install") | script("postinstall")).alias("has_install_scripts"),
-        F.substring(F.coalesce(_text(repository), _text(_at(repository, "url"))), 1, URL).alias("source_repo_url"), F.lit(None).cast("string").alias("license"),
-        F.when(tarball.isNotNull(), F.array(file)).otherwise(F.array().cast("array<struct<filename:string,packagetype:string,content_hash:string,content_hash_algo:string,size_bytes:double,uploaded_at:string,url:string>>")).alias("files"),
-    )
+    none = F.create_map().cast("map<string,variant>")
+
+    def releases(top: Column) -> Column:
+        member = lambda name: F.try_element_at(top, F.lit(name))
+        timed = F.map_zip_with(_object(member("versions")), F.coalesce(_object(member("time")), none), lambda version, v, t: F.struct(F.try_variant_get(v, "$", _RELEASE).alias("v"), _text(t).alias("t")))
+        found = F.filter(F.map_entries(timed), lambda e: e["value"]["v"].isNotNull())
+        return once(_text(member("name")), lambda name: F.transform(found, lambda e: _release(name, e["key"], e["value"]["v"], e["value"]["t"])))
+
+    return documents.select(F.inline(once(_object(F.try_parse_json(column)), releases)))
 
 
 def version_files(projected: DataFrame) -> DataFrame:
@@ -122,7 +152,7 @@ def rewrite_documents(documents: DataFrame, decisions: DataFrame, key: str = "pa
     rows = rows.withColumn("_left", F.map_filter("_versions", lambda v, x: ~gone(v)))
     keyed = lambda some: F.array_max(F.transform(F.filter(F.map_keys("_left"), some), lambda v: F.struct(semver_key(v).alias("k"), v.alias("v"))))["v"]
     rows = rows.withColumns({"_any": keyed(lambda v: is_semver(v)), "_release": keyed(lambda v: is_semver(v) & ~is_prerelease(v)), "_tags": _object(_member("dist-tags"))})
-    target = lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+    target = _text
     best = lambda tag: F.when(tag == "latest", F.col("_release")).otherwise(F.col("_any"))
     hit = F.map_filter("_tags", lambda tag, v: F.coalesce(gone(target(v)), F.lit(False)))
     downgrades = F.transform(F.map_entries(hit), lambda e: F.struct(e["key"].alias("tag"), target(e["value"]).alias("from"), best(e["key"]).alias("to")))

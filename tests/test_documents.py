@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pedigree.functions import columns, sql
 from pedigree.operators import evaluation, projection
 from pedigree.params import Params
+from pedigree.plans import store_queries
 from pedigree.sources import adapters, lockfile
 
 VERSIONS = ["1.2.3", " 1.2.3-rc.1 ", "01.2.3", "1.2.3-alpha.10+b", "0.0.0", "v1", "7.x", "", None, "99999999999999999999.0.1", "1.2.3-A.b"]
@@ -92,3 +93,31 @@ def test_head_of_nothing(spark, sf_dir):
     head = json.loads(evaluation.result_head(results, attributed).first()["line"])
     assert head["corpus"] == {"packages": 0, "attacked": 0, "clean": 0} and head["parameters"]["min_history"] == 8
     assert head["aggregates"]["labels"] == {"total": 0, "detected": 0, "attributable": 0, "recall": None, "recall_attributable": None}
+
+
+@pytest.mark.parametrize("name", ["lockfile_packages", "sql_document_releases"])
+def test_tables_of_documents_need_no_join_by_their_text(spark, sf_dir, name):
+    found = store_queries.QUERIES[name](spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and plan.count("Relation [") == (1 if name == "lockfile_packages" else 2)  # no second making of the documents
+    assert found.count() == adapters.stored_releases(spark, sf_dir).count()
+
+
+ODD = ['{"name":7,"time":7,"versions":{"1.0.0":{"dist":7,"_npmUser":[1]},"x":3}}', '{"time":{"1.0.0":4,"9":"t"},"versions":{"1.0.0":{"dist":{"shasum":1,"attestations":[]},"scripts":"s"}}}', '{"versions":[1]}', "[1]", "no json", None]
+
+
+def test_releases_of_odd_documents(spark):
+    docs = spark.createDataFrame([(x,) for x in ODD], "document string")
+    by_sql = sql.register(spark).sql("SELECT r.* FROM {d} d, LATERAL document_releases(d.document) r", d=docs).collect()
+    assert [tuple(r) for r in by_sql] == [(None, "1.0.0", None, None, None, None, None, False)] * 2
+    rows = projection.project(docs).select("package_name", "version", "published_at", "content_hash", "publisher_name", "has_install_scripts", F.size("files")).collect()
+    assert [tuple(r) for r in rows] == [(None, "1.0.0", None, None, None, False, 0)] * 2
+
+
+def test_large_documents_in_rows_of_their_own_size(spark):
+    """Thousands of entries: a row that held its document's names would be a hundred kilobytes."""
+    packages = {f"node_modules/package-number-{i}": {"version": f"1.0.{i}", "integrity": str(i)} for i in range(4000)}
+    rows = lockfile.installed(spark.createDataFrame([(json.dumps({"packages": packages}),)], "document string"))
+    assert "variant" not in str(rows.schema) and rows.count() == 4000
+    releases = projection.project(spark.createDataFrame([(json.dumps({"name": "p", "versions": {f"1.0.{i}": {} for i in range(4000)}, "time": {f"1.0.{i}": "t" for i in range(4000)}}),)], "document string"))
+    assert releases.where("published_at = 't' and package_name = 'p'").count() == 4000
