@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.operators.projection import _at, _is, _list, _text
+from pedigree.operators.projection import _at, _list, _object, _text, once
 
 
 def installed(lockfiles: DataFrame, column: str = "document") -> DataFrame:
@@ -13,15 +13,18 @@ def installed(lockfiles: DataFrame, column: str = "document") -> DataFrame:
 
     A package's name is what its entry says, else what follows the last `node_modules` folder of its path. The
     root entry (empty path), entries that are no objects and texts that are no JSON object give no row; an empty
-    or non-text integrity is null. Entries are read by `variant_explode`, row by row, without a shuffle.
+    or non-text integrity is null. Entries are read within their document, row by row, without a shuffle.
     """
-    entries = lockfiles.lateralJoin(lockfiles.sparkSession.tvf.variant_explode(_at(F.try_parse_json(F.col(column).outer()), "packages")))
-    entries = entries.where((F.col("key") != "") & _is(F.col("value"), "OBJECT"))
-    part = lambda name: F.nullif(_text(_at(F.col("value"), name)), F.lit(""))
-    name = F.coalesce(part("name"), F.element_at(F.split("key", "(^|/)node_modules/"), -1))
+    entry = "struct<name:variant,version:variant,integrity:variant,link:variant>"
+    part = lambda v: F.nullif(_text(v), F.lit(""))
+    entries = F.transform(F.map_entries(_object(_at(F.try_parse_json(column), "packages"))), lambda e: F.struct(e["key"].alias("path"), F.try_variant_get(e["value"], "$", entry).alias("v")))
+    entries = F.filter(entries, lambda e: (e["path"] != "") & e["v"].isNotNull())
+    rows = F.transform(entries, lambda e: F.struct(
+        e["path"].alias("path"), F.coalesce(part(e["v"]["name"]), F.element_at(F.split(e["path"], "(^|/)node_modules/"), -1)).alias("package_name"), _text(e["v"]["version"]).alias("version"),
+        part(e["v"]["integrity"]).alias("integrity"), F.coalesce(F.try_variant_get(e["v"]["link"], "$", "boolean"), F.lit(False)).alias("link"),
+    ))
     others = [c for c in lockfiles.columns if c not in (column, "path", "package_name", "version", "integrity", "link")]
-    link = F.coalesce(F.try_variant_get(F.col("value"), "$.link", "boolean"), F.lit(False))
-    return entries.select(*others, F.col("key").alias("path"), name.alias("package_name"), _text(_at(F.col("value"), "version")).alias("version"), part("integrity").alias("integrity"), link.alias("link"))
+    return lockfiles.select(*others, F.inline(rows))
 
 
 def of_package(rows: DataFrame, name: str) -> DataFrame:
@@ -35,12 +38,16 @@ def listed_releases(listings: DataFrame, column: str = "document") -> DataFrame:
     An asset without a name or an address does not count, of two with one name the later one does; a release without a
     list of assets has none.
     """
-    rows = listings.select(F.explode(_list(F.try_parse_json(column))).alias("_r")).where(_is(F.col("_r"), "OBJECT"))
-    text = lambda v, n: F.nullif(_text(_at(v, n)), F.lit(""))
-    pairs = F.transform(F.coalesce(_list(_at(F.col("_r"), "assets")), F.array().cast("array<variant>")), lambda a: F.struct(text(a, "name").alias("k"), text(a, "browser_download_url").alias("v")))
-    pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
-    return rows.select(_text(_at(F.col("_r"), "tag_name")).alias("tag"), _text(_at(F.col("_r"), "published_at")).alias("published_at"), F.map_from_entries(last).alias("assets"))
+    text = lambda v: F.nullif(_text(v), F.lit(""))
+
+    def assets(listed: Column) -> Column:
+        pairs = F.transform(F.try_variant_get(listed, "$", "array<variant>"), lambda a: once(F.try_variant_get(a, "$", "struct<name:variant,browser_download_url:variant>"), lambda x: F.struct(text(x["name"]).alias("k"), text(x["browser_download_url"]).alias("v"))))
+        pairs = F.filter(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:string>>")), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+        return once(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))))
+
+    releases = F.transform(_list(F.try_parse_json(column)), lambda r: F.try_variant_get(r, "$", "struct<tag_name:variant,published_at:variant,assets:variant>"))
+    rows = F.transform(F.filter(releases, lambda r: r.isNotNull()), lambda r: F.struct(_text(r["tag_name"]).alias("tag"), _text(r["published_at"]).alias("published_at"), assets(r["assets"]).alias("assets")))
+    return listings.select(F.inline(rows))
 
 
 def assets_of(releases: DataFrame, wanted: list[str]) -> DataFrame:
