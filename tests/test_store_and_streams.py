@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pedigree.operators import evaluation, gates, store, upkeep
+from pedigree.plans import queries
 from pedigree.sources import bundle
 from pedigree.sources.results import write_lines
 from pedigree.streaming import observe
@@ -160,3 +161,21 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gate_facts_are_made_once(spark, sf_dir):
+    """Releases, dependencies and lookups are not made a second time for the dependencies' ages (14 scans before)."""
+    plan = queries.QUERIES["gate_runner"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8
+
+
+def test_youngest_new_dependency_is_not_the_package_itself(spark):
+    row = "package_id bigint, package_name string, version_id bigint, version string, published_at string, publisher_email string, provenance_present boolean, integrity_hash string, content_hash string"
+    one = lambda i: (1, "p", i, f"1.0.{i}", "2001-01-01T00:00:00Z", "a@b.c", True, "i", "c")
+    stored, incoming = spark.createDataFrame([one(1)], row), spark.createDataFrame([one(2)], row)
+    deps = spark.createDataFrame([(1, "old"), (2, "old"), (2, "p"), (2, "z"), (2, "y"), (2, "gone")], "version_id bigint, dep string")
+    cache = spark.createDataFrame([("p", "ok", 0), ("z", "ok", 0), ("y", "ok", 0), ("y", "ok", 3_600_000), ("old", "ok", 0), ("gone", "vanished", None)], "dep string, status string, first_publish_ms bigint")
+    scripts = spark.createDataFrame([(2, True)], "version_id bigint, has_script boolean")
+    for other in (deps, deps.select("*")):  # one table for both sides, and two
+        got = gates.facts(incoming, stored, deps, other, scripts, cache, 7_200_000).first()
+        assert (got["n_deps"], got["new_deps"], tuple(got["fresh_dep"])) == (5, ["gone", "p", "y", "z"], ("y", 1))
