@@ -1,16 +1,18 @@
-"""Language-model scoring by online logistic context mixing.
+"""Language-model scoring by logistic context mixing.
 
 A text is a sequence of words and one end. A word is spelled by the bits of its bytes under a Huffman
 code; every bit is predicted in five hashed contexts (one, two, three and five characters back, and
 the whole word so far with the kind of the preceding word; three of them with the text's topic, which
 is stated first and paid for in the score). The predictions are mixed in the logistic
-domain with weights that a gate selects by how often the longer contexts were seen, learned online,
-and refined by an adaptive map from mixed prediction and gate to probability.
+domain with weights that a gate selects by how often the longer contexts were seen, and refined by
+a map from mixed prediction and gate to probability.
 
 The context counts come from all training texts: words are counted per preceding kind with sums in
 the batch and before the shuffle, and the contexts of each distinct word are added up in tables of a
-fixed size, which are summed over the tasks. Only the mixer's weights and the map are fitted on a
-bounded sample of words; a sampled word's own occurrence is taken out of the counts that predict it.
+fixed size, which are summed over the tasks. The mixer's weights and the map are fitted on all words of
+all training texts, each as often as it occurs: every task adds up its words' gradients, from which all
+weights take Newton steps. A word is predicted as in a text of its own, so what one text holds of it on average
+is taken out of its counts. The topics are the centres of all training texts (k-means).
 
 The base score (smoothed relative frequencies of words) needs the count of every word. The counts of
 frequent words, at most `frequent`, are sent to the tasks; all other words are joined by hash, where
@@ -35,6 +37,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +53,13 @@ _CHUNK = 1 << 18
 _DELTA = 0.4
 _LEVELS = 8
 _MAP_CELLS = 33
+_START = (0.25, 0.25, 0.4, 0.4, 0.1, 0.0)  # weights of the tables and the constant before the first step
+_PRIOR = 2000.0  # decisions; pulls the weights of gates that are rarely met to their start
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_NAMES = [f"n{c}" for c in range(KINDS)]
+_GATES = _LEVELS * _LEVELS
+_INPUTS = len(_TABLE_BITS) + 1
 _KIND = np.full(256, 4, np.uint8)
 _KIND[[ord(c) for c in ".!?"]] = 1
 _KIND[[ord(c) for c in ",;:)\"'"]] = 2
@@ -59,7 +68,7 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 3
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds: words whose counts and spellings' scores are sent to the tasks, distinct words per training task, pieces of a table that are added up in one task, words that fit the mixer, and the sample for topics.
+    """Bounds: words whose counts and spellings' scores are sent to the tasks, distinct words per training task, pieces of a table that are added up in one task, steps of the mixer, topics and the frequent words that tell them.
 
     The number of training tasks grows with the corpus; their tables have a fixed size and are added up in steps.
     """
@@ -67,10 +76,8 @@ class Limits:
     frequent: int = 1 << 20
     words_per_task: int = 400_000
     pieces: int = 64
-    mixer_words: int = 60_000
-    topics: int = 8
-    topic_texts: int = 2000
-    topic_chars: int = 4000
+    steps: int = 2
+    topics: int = 12
     anchors: int = 64
 
 
@@ -99,24 +106,12 @@ class _Words:
 
 
 class Topics:
-    """Texts told apart by how often frequent words occur in them: k-means over a bounded sample."""
-
-    def __init__(self, sample: pa.Array, limits: Limits):
-        w = _Words(sample)
-        keys, n = np.unique(w.hashes, return_counts=True)
-        self.anchors = np.sort(keys[np.argsort(-n, kind="stable")[: limits.anchors]])
-        points = self._points(w)
-        points = points[np.linalg.norm(points, axis=1) > 0]
-        spread = points[:1]
-        while 0 < len(spread) < min(limits.topics - 1, len(points)):  # the farthest point next
-            spread = np.vstack([spread, points[(points @ spread.T).max(1).argmin()]])
-        for _ in range(20 if len(spread) else 0):
-            near = (points @ spread.T).argmax(1)
-            spread = np.stack([points[near == k].mean(0) if (near == k).any() else spread[k] for k in range(len(spread))])
-            spread /= np.linalg.norm(spread, axis=1, keepdims=True) + 1e-9
-        self.centres = spread
-
-    def _points(self, w: _Words) -> np.ndarray:
+    """Texts told apart by how often frequent words, the anchors, occur in them."""
+
+    def __init__(self, anchors: np.ndarray, centres: np.ndarray):
+        self.anchors, self.centres = anchors, centres
+
+    def points(self, w: _Words) -> np.ndarray:
         if not len(self.anchors):
             return np.zeros((len(w.sizes), 0))
         at = np.minimum(np.searchsorted(self.anchors, w.hashes), len(self.anchors) - 1)
@@ -127,20 +122,51 @@ class Topics:
 
     def of(self, w: _Words) -> np.ndarray:
         """The topic of each row; 0 without frequent words."""
-        points = self._points(w)
+        points = self.points(w)
         if not len(self.centres):
             return np.zeros(len(w.sizes), np.int64)
         return np.where(points.any(1), (points @ self.centres.T).argmax(1) + 1, 0)
 
 
+def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n) of the words per slice."""
+    for batch in batches:
+        for part in slices(batch, 0):
+            h, n = np.unique(_Words(part.column(0)).hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _points(topics: Topics):
+    """The texts that hold anchors, as points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                points = topics.points(_Words(part.column(0))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(list(points[points.any(1)]), pa.list_(pa.float32()))], names=["point"])
+
+    return run
+
+
+def _topics(train: DataFrame, limits: Limits) -> Topics:
+    """k-means over all texts; the anchors are the most frequent words of all of them."""
+    often = train.mapInArrow(_count_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(limits.anchors).toArrow()
+    topics = Topics(np.sort(often["h"].to_numpy().view(np.uint64)), np.zeros((0, often.num_rows)))
+    points = cut(train.mapInArrow(_points(topics), "point array<float>"))
+    if not points.isEmpty():
+        means = KMeans(k=max(2, limits.topics - 1), seed=1, distanceMeasure="cosine").fit(points.select(array_to_vector("point").alias("features")))
+        topics.centres = np.round(np.array(means.clusterCenters()), 6)
+    return topics
+
+
 def _count_words(topics: Topics):
-    """(h, topic, word, n0..n4) per batch, each word once a topic; rows with the null word count the texts of a topic."""
+    """(h, topic, word, n0..n4, d) per batch, each word once a topic, `d` the texts that hold it; rows with the null word count the texts of a topic."""
 
     def merged(found: list, spelled: list[bytes]) -> pa.RecordBatch:
         key, h, own, n = (np.concatenate(x) for x in zip(*found))
         _, one, same = np.unique(key, return_index=True, return_inverse=True)
-        total = np.zeros((len(one), KINDS), np.int64)
-        for k in range(KINDS):
+        total = np.zeros((len(one), KINDS + 1), np.int64)
+        for k in range(KINDS + 1):
             total[:, k] = np.bincount(same, n[:, k], len(one))
         return _counted(h[one].view(np.int64), own[one], [spelled[i] for i in one.tolist()], total)
 
@@ -154,7 +180,9 @@ def _count_words(topics: Topics):
                 if len(w.hashes):
                     own = topic[w.row]
                     key, one, same = np.unique(mix(w.hashes + own.astype(np.uint64)), return_index=True, return_inverse=True)
-                    found.append((key, w.hashes[one], own[one], np.bincount(same * KINDS + w.kinds, minlength=len(key) * KINDS).reshape(-1, KINDS)))
+                    kinds = np.bincount(same * KINDS + w.kinds, minlength=len(key) * KINDS).reshape(-1, KINDS)
+                    of_text = np.unique(same * np.int64(len(w.sizes)) + w.row) // len(w.sizes)
+                    found.append((key, w.hashes[one], own[one], np.column_stack([kinds, np.bincount(of_text, minlength=len(key))])))
                     spelled += w.spelled(one)
                 if len(found) == 10:
                     yield merged(found, spelled)
@@ -162,14 +190,14 @@ def _count_words(topics: Topics):
         if found:
             yield merged(found, spelled)
         some = np.flatnonzero(texts)
-        yield _counted(np.zeros(len(some), np.int64), some, [None] * len(some), np.pad(texts[some, None], ((0, 0), (0, KINDS - 1))))
+        yield _counted(np.zeros(len(some), np.int64), some, [None] * len(some), np.pad(texts[some, None], ((0, 0), (0, KINDS))))
 
     return run
 
 
 def _counted(h: np.ndarray, topic: np.ndarray, spelled: list, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(h), pa.array(topic.astype(np.int32)), pa.array(spelled, pa.binary()), *(pa.array(n[:, c]) for c in range(KINDS))]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "topic", "word", *(f"n{c}" for c in range(KINDS))])
+    columns = [pa.array(h), pa.array(topic.astype(np.int32)), pa.array(spelled, pa.binary()), *(pa.array(n[:, c]) for c in range(KINDS + 1))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "topic", "word", *_NAMES, "d"])
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,60 +325,130 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(n + 1), _LEVELS - 1).astype(np.uint8)
 
 
-class Mixer:
-    """The tables as logits and levels of confidence, the gated weights and the adaptive map."""
-
-    def __init__(self, code: Code, counts: np.ndarray, sample: tuple[list[bytes], np.ndarray, np.ndarray]):
-        self.code = code
-        gates = _LEVELS * _LEVELS
-        self.weights = np.full((gates, len(_TABLE_BITS) + 1), 0.3, np.float32)
-        self.weights[:, -1] = 0
-        self.map = np.tile(_squash(np.linspace(-12, 12, _MAP_CELLS)), (gates, 1)).astype(np.float32)
-        self._learn(counts, *sample)
-        # In place, to keep one copy of the tables.
-        self.levels = _level(counts[0, _OFFSETS[3] :] + counts[1, _OFFSETS[3] :])
-        counts += np.float32(_DELTA)
-        np.log(counts, out=counts)
-        self.logits = counts[1] - counts[0]
+class Gates:
+    """The mixer's weights, for each gate one of each table and a constant, and its map."""
 
-    def _mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    def __init__(self):
+        self.weights = np.tile(np.array(_START, np.float32), (_GATES, 1))
+        self.map = np.tile(_squash(np.linspace(-12, 12, _MAP_CELLS)), (_GATES, 1)).astype(np.float32)
+
+    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         logit = self.weights[gate, -1]
         for i, own in enumerate(x):
             logit += own * self.weights[gate, i]
         return np.clip(logit, -12, 12, out=logit)
 
-    def _cells(self, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cells(self, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = (logit + 12) * ((_MAP_CELLS - 1) / 24)
         low = np.minimum(at.astype(np.int64), _MAP_CELLS - 2)
         return low, (at - low).astype(np.float32)
 
-    def _learn(self, counts: np.ndarray, spelled: list[bytes], kinds: np.ndarray, topics: np.ndarray) -> None:
-        """Online gradient steps over the sampled words, each without its own occurrence in the counts."""
-        if not spelled:
-            return
-        data, starts, ends = _joined(spelled)
-        seen = np.zeros((len(self.weights), _MAP_CELLS), np.float32)
-        squares = np.full(self.weights.shape, 1e-3, np.float32)
-        for begin in range(0, len(spelled), 100):
-            some = slice(begin, begin + 100)
-            _, bit, slots = self.code.events(data, starts[some], ends[some], kinds[some], topics[some])
-            n = np.stack([counts[:, s] for s in slots], 1)  # [bit value, context, event]
-            n[1] = np.maximum(n[1] - bit, 0)
-            n[0] = np.maximum(n[0] - ~bit, 0)
-            x = np.log(n[1] + _DELTA) - np.log(n[0] + _DELTA)
-            total = n.sum(0)
-            gate = _level(total[4]).astype(np.int64) * _LEVELS + _level(total[3])
-            logit = self._mix(x, gate)
-            error = bit - _squash(logit)
-            step = np.zeros(self.weights.shape, np.float32)
-            np.add.at(step, gate, error[:, None] * np.column_stack([x.T, np.ones(x.shape[1], np.float32)]))
-            squares += step * step
-            self.weights += 0.1 * step / np.sqrt(squares)
-            low, part = self._cells(logit)
+
+def _decisions(code: Code, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(logits of the tables, gate, bit, occurrences) of every decision that spells the words, predicted without one text's share of the word."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            data, starts, ends = _joined(part.column(0).to_pylist())
+            n = np.column_stack([np.asarray(part.column(2 + c)) for c in range(KINDS)])
+            share = 1 / np.asarray(part.column(2 + KINDS))
+            row, kind = np.nonzero(n)
+            word, bit, slots = code.events(data, starts[row], ends[row], kind, np.asarray(part.column(1))[row])
+            weight = n[row, kind].astype(np.float32)
+            of_kind, of_word = (weight * share[row])[word].astype(np.float32), (n.sum(1) * share).astype(np.float32)[row][word]
+            x = np.empty((len(slots), len(word)), np.float32)
+            for i, s in enumerate(slots):
+                out = of_kind if i in (0, 4) else of_word  # these contexts hold the kind
+                seen = counts[s]
+                no, yes = np.maximum(seen[:, 0] - out * ~bit, 0), np.maximum(seen[:, 1] - out * bit, 0)
+                x[i] = np.log((yes + _DELTA) / (no + _DELTA))
+                if i == 3:
+                    gate = _level(no + yes)
+                elif i == 4:
+                    gate += _level(no + yes) * np.uint8(_LEVELS)
+            yield x, gate, bit, weight[word]
+
+
+def _sums(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found.ravel()[some])], names=["at", "value"])
+
+
+def _slopes(sent, gates: Gates):
+    """Per gate the loss, gradient and curvature of its weights, summed over the task's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((_GATES, 1 + _INPUTS + _INPUTS * _INPUTS))
+        for x, gate, bit, weight in _decisions(*sent.value, batches):
+            p = _squash(gates.mix(list(x), gate))
+            order = np.argsort(gate, kind="stable")
+            x = np.vstack([x, np.ones(x.shape[1], np.float32)])[:, order]
+            slope, bend, loss = (a[order] for a in (weight * (bit - p), weight * p * (1 - p), -weight * np.log(np.where(bit, p, 1 - p))))
+            bounds = np.searchsorted(gate[order], np.arange(_GATES + 1))
+            for g in np.flatnonzero(np.diff(bounds)).tolist():
+                own = slice(bounds[g], bounds[g + 1])
+                out[g, 0] += loss[own].sum()
+                out[g, 1 : 1 + _INPUTS] += x[:, own] @ slope[own]
+                out[g, 1 + _INPUTS :] += ((x[:, own] * bend[own]) @ x[:, own].T).ravel()
+        yield from _sums(out)
+
+    return run
+
+
+def _hits(sent, gates: Gates):
+    """Per gate and cell of the map how many decisions fell there and how many of them were 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, _GATES * _MAP_CELLS))
+        for x, gate, bit, weight in _decisions(*sent.value, batches):
+            low, part = gates.cells(gates.mix(list(x), gate))
             for cell, share in ((low, 1 - part), (low + 1, part)):
-                np.add.at(seen, (gate, cell), share)
-                np.add.at(self.map, (gate, cell), share * (bit - self.map[gate, cell]) / (seen[gate, cell] + 16))
-        self.map = np.clip(self.map, 1e-6, 1 - 1e-6)
+                at, share = gate.astype(np.int64) * _MAP_CELLS + cell, share * weight
+                out[0] += np.bincount(at, share, out.shape[1])
+                out[1] += np.bincount(at, share * bit, out.shape[1])
+        yield from _sums(out)
+
+    return run
+
+
+def _learn(spelled: DataFrame, sent, steps: int) -> Gates:
+    """The gates fitted to all words: Newton steps, halved for gates whose loss grew, then the map."""
+
+    def summed(part, *shape: int) -> np.ndarray:
+        out = np.zeros(int(np.prod(shape)))
+        found = words_.mapInArrow(part, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # a fixed size
+        out[found["at"].to_numpy()] = found["value"].to_numpy()
+        return out.reshape(shape)
+
+    words_ = spelled.select("word", "topic", *_NAMES, "d")
+    gates = Gates()
+    start, best, least = gates.weights.astype(np.float64), gates.weights.astype(np.float64), np.full(_GATES, np.inf)
+    step = np.zeros_like(best)
+    for _ in range(steps):
+        sums = summed(_slopes(sent, gates), _GATES, 1 + _INPUTS + _INPUTS * _INPUTS)
+        tried = best + step
+        loss = sums[:, 0] + 0.5 * _PRIOR * ((tried - start) ** 2).sum(1)
+        better = loss < least
+        slope = sums[:, 1 : 1 + _INPUTS] - _PRIOR * (tried - start)
+        bend = sums[:, 1 + _INPUTS :].reshape(-1, _INPUTS, _INPUTS) + _PRIOR * np.eye(_INPUTS)
+        step = np.where(better[:, None], np.linalg.solve(bend, slope[..., None])[..., 0], step / 2)
+        best, least = np.where(better[:, None], tried, best), np.where(better, loss, least)
+        gates.weights = np.round(best + step, 5).astype(np.float32)
+    n, ones = summed(_hits(sent, gates), 2, _GATES, _MAP_CELLS)
+    gates.map = np.clip((ones + 16 * gates.map) / (n + 16), 1e-6, 1 - 1e-6).astype(np.float32)
+    return gates
+
+
+class Mixer:
+    """The tables as logits and levels of confidence, the gated weights and the map."""
+
+    def __init__(self, code: Code, counts: np.ndarray, gates: Gates):
+        self.code, self.gates = code, gates
+        # In place, to keep one copy of the tables.
+        self.levels = _level(counts[_OFFSETS[3] :].sum(1))
+        counts += np.float32(_DELTA)
+        np.log(counts, out=counts)
+        self.logits = counts[:, 1] - counts[:, 0]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, topics: np.ndarray) -> np.ndarray:
         """log10 probability of each word after the given kind of word in a text of the topic."""
@@ -362,10 +460,10 @@ class Mixer:
             word, bit, slots = self.code.events(data, starts[begin:stop], ends[begin:stop], kinds[begin:stop], topics[begin:stop])
             x = [self.logits[s] for s in slots]
             gate = self.levels[slots[4] - _OFFSETS[3]].astype(np.int64) * _LEVELS + self.levels[slots[3] - _OFFSETS[3]]
-            logit = self._mix(x, gate)
-            low, part = self._cells(logit)
-            cell = gate * _MAP_CELLS + low
-            p = 0.5 * _squash(logit) + 0.5 * (self.map.ravel()[cell] * (1 - part) + self.map.ravel()[cell + 1] * part)
+            logit = self.gates.mix(x, gate)
+            low, part = self.gates.cells(logit)
+            cell, told = gate * _MAP_CELLS + low, self.gates.map.ravel()
+            p = 0.5 * _squash(logit) + 0.5 * (told[cell] * (1 - part) + told[cell + 1] * part)
             p = np.clip(p, 1e-6, 1 - 1e-6)
             out[begin:stop] = np.bincount(word, np.log10(np.where(bit, p, 1 - p)), stop - begin)
             begin = stop
@@ -452,18 +550,16 @@ def _spell_all(mixer):
 def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", held_out: int = 10) -> tuple[Model, DataFrame]:
     """The model, and the counts (h, c) of the words that are not frequent."""
     train = docs.where(~held_out_column(id_col, held_out)).select(F.col(text_col).cast("string").alias("text"))
-    # At most limits.topic_texts rows of limits.topic_chars characters.
-    sample = train.select(F.substring("text", 1, limits.topic_chars).alias("text")).where("length(text) > 0").orderBy(F.xxhash64("text")).limit(limits.topic_texts).toArrow()["text"]
-    topics = Topics(pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in sample.chunks)]), limits)
-    names = [f"n{c}" for c in range(KINDS)]
-    fields = ", ".join(f"{n} long" for n in names)
-    counted = train.mapInArrow(_count_words(topics), f"h long, topic int, word binary, {fields}").groupBy("word", "topic").agg(F.min("h").alias("h"), *(F.sum(n).alias(n) for n in names))
+    topics = _topics(train, limits)
+    names = _NAMES
+    fields = ", ".join(f"{n} long" for n in (*names, "d"))
+    counted = train.mapInArrow(_count_words(topics), f"h long, topic int, word binary, {fields}").groupBy("word", "topic").agg(F.min("h").alias("h"), *(F.sum(n).alias(n) for n in (*names, "d")))
     counted = cut(counted.withColumn("end", F.col("word").isNull()))
     shares = np.full(256, 0.5)
     for r in counted.where("end").collect():  # one row per topic
         shares[r["topic"]] += r["n0"]
     texts = int(round((shares - 0.5).sum()))
-    shares = shares[: limits.topics] / shares[: limits.topics].sum()
+    shares = shares[: len(topics.centres) + 1] / shares[: len(topics.centres) + 1].sum()
     spelled = counted.where("not end")
     totals = spelled.groupBy("h").agg(F.sum(F.expr(" + ".join(names))).alias("c"))
     # One row per power of two: a fixed bound.
@@ -484,18 +580,16 @@ def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     while tasks > 1:  # up to `pieces` tables of a chunk are added up in a task
         tasks = -(-tasks // limits.pieces)
         chunks = chunks.withColumn("part", F.col("part") % tasks).groupBy("chunk", "part").applyInArrow(_add_chunks, "part long, chunk long, counts binary")
-    # Occurrences are drawn in proportion to counts.
-    rate = limits.mixer_words / max(1, tokens)
     placed = spelled.select("word", "h", "topic", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(n).alias("n")) for c, n in enumerate(names)))).alias("x")).where("x.n > 0").select("word", "h", "topic", "x.kind", "x.n")
-    times = F.floor(F.col("n") * rate + F.pmod(F.xxhash64("word", "topic", "kind"), F.lit(1_000_000)) / 1_000_000)
-    drawn = placed.withColumn("times", times.cast("int")).where("times > 0").select("word", "topic", "kind", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
-    drawn = drawn.orderBy(F.xxhash64("word", "topic", "kind", "k")).limit(2 * limits.mixer_words).select("word", "kind", "topic").toArrow()
-    counts = np.zeros((2, int(_OFFSETS[-1])), np.float32)
+    counts = np.zeros((int(_OFFSETS[-1]), 2), np.float32)
     press = zstandard.ZstdDecompressor()
     for r in chunks.toLocalIterator():  # the tables: a fixed size
         piece = np.frombuffer(press.decompress(bytes(r["counts"])), np.float32).reshape(2, -1)
-        counts[:, r["chunk"] : r["chunk"] + piece.shape[1]] = piece
-    mixer = Mixer(code, counts, (drawn["word"].to_pylist(), drawn["kind"].to_numpy(), drawn["topic"].to_numpy()))
+        counts[r["chunk"] : r["chunk"] + piece.shape[1]] = piece.T
+    told = docs.sparkSession.sparkContext.broadcast((code, counts))  # a fixed size
+    gates = _learn(spelled, told, limits.steps)
+    told.destroy()
+    mixer = Mixer(code, counts, gates)
     del counts
     steps = sorted((r.step, r.n) for r in placed.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("n")).collect())
     shared = docs.sparkSession.sparkContext.broadcast(mixer)  # a fixed size
