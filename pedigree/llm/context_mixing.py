@@ -346,6 +346,7 @@ class Gates:
 
 def _decisions(code: Code, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(logits of the tables, gate, bit, occurrences) of every decision that spells the words, predicted without one text's share of the word."""
+    pairs = counts.view(np.int64).ravel()  # both counts of a slot at once
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
@@ -359,7 +360,7 @@ def _decisions(code: Code, counts: np.ndarray, batches: Iterator[pa.RecordBatch]
             x = np.empty((len(slots), len(word)), np.float32)
             for i, s in enumerate(slots):
                 out = of_kind if i in (0, 4) else of_word  # these contexts hold the kind
-                seen = counts[s]
+                seen = pairs[s].view(np.float32).reshape(-1, 2)
                 no, yes = np.maximum(seen[:, 0] - out * ~bit, 0), np.maximum(seen[:, 1] - out * bit, 0)
                 x[i] = np.log((yes + _DELTA) / (no + _DELTA))
                 if i == 3:
