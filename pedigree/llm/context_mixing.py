@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
@@ -42,17 +43,23 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedigree.llm.common import cut, hot_of, join_least, mix, slices, text_bytes, window_hashes, word_hashes, words
+from pedigree.llm.common import cut, hot_of, join_least, mix, slices, text_bytes, window_hashes, words
 
 KINDS = 5  # of the preceding word: none, sentence end, other punctuation, letter or digit, other byte
 _END = 32  # the byte that ends a word
 _TABLE_BITS = (18, 20, 20, 21, 22)
 _BACK = (1, 2, 3, 5)
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in _TABLE_BITS])])
+_SHIFTS = 32 - np.array(_TABLE_BITS, np.uint32)[:, None]
+_DEPTH = 24  # first characters that words are seen to have in common
+_CHARACTERS = 12_000  # that are spelled at a time and so stay in the cache
+_ROWS = 1 << 20  # counts that a task holds before it adds them up and sends them
 _CHUNK = 1 << 18
 _DELTA = 0.4
 _LEVELS = 8
 _MAP_CELLS = 33
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first bytes of eight
 _START = (0.25, 0.25, 0.4, 0.4, 0.1, 0.0)  # weights of the tables and the constant before the first step
 _PRIOR = 2000.0  # decisions; pulls the weights of gates that are rarely met to their start
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,24 +92,49 @@ def held_out_column(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, a place of each, and each key's number among them; by hash, not sorted."""
+    found = pa.array(keys).dictionary_encode()
+    same = found.indices.to_numpy().astype(np.int64)
+    one = np.zeros(len(found.dictionary), np.int64)
+    one[same] = np.arange(len(keys))
+    return found.dictionary.to_numpy(), one, same
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per word, of eight bytes at a time; `data` has eight bytes more."""
+    eights = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    sizes = ends - starts
+    out = mix((eights[starts] & _MASKS[np.minimum(sizes, 8)]) * _ODD + sizes.astype(np.uint64))
+    more, done = np.flatnonzero(sizes > 8), 8
+    while len(more):
+        left = sizes[more] - done
+        out[more] = mix((out[more] ^ (eights[starts[more] + done] & _MASKS[np.minimum(left, 8)])) * _ODD + np.uint64(done))
+        more, done = more[left > 8], done + 8
+    return out
+
+
 class _Words:
     """The words of a run of rows: bounds, hashes and preceding kinds."""
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
-        self.data = _LOWER[data]
+        padded = np.zeros(len(data) + 8, np.uint8)
+        self.data = padded[: len(data)]
+        np.take(_LOWER, data, out=self.data, mode="clip")
         self.starts, self.ends, self.first = words(self.data, offsets)
         self.sizes = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes = _hashes(padded, self.starts, self.ends)
         kinds = np.zeros(len(self.starts), np.uint8)
         kinds[1:] = _KIND[self.data[self.ends[:-1] - 1]] if len(kinds) else 0
         kinds[self.first[:-1][self.first[:-1] < self.first[1:]]] = 0
         self.kinds = kinds
 
-    def spelled(self, at: np.ndarray) -> list[bytes]:
-        data = self.data.tobytes()
-        return [data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+    def spelled(self, at: np.ndarray) -> pa.Array:
+        """Words; in an array of all words and what is between them, each second one is a word."""
+        bounds = np.append(np.column_stack([self.starts, self.ends]).ravel(), len(self.data)).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(self.data)]).take(pa.array(2 * at))
 
 
 class Topics:
@@ -114,9 +146,12 @@ class Topics:
     def points(self, w: _Words) -> np.ndarray:
         if not len(self.anchors):
             return np.zeros((len(w.sizes), 0))
-        at = np.minimum(np.searchsorted(self.anchors, w.hashes), len(self.anchors) - 1)
-        hit = self.anchors[at] == w.hashes
-        counts = np.bincount(w.row[hit] * len(self.anchors) + at[hit], minlength=len(w.sizes) * len(self.anchors)).reshape(len(w.sizes), -1)
+        near = np.zeros(1 << 16, bool)
+        near[self.anchors & np.uint64(0xFFFF)] = True
+        some = np.flatnonzero(near[w.hashes & np.uint64(0xFFFF)])
+        at = np.minimum(np.searchsorted(self.anchors, w.hashes[some]), len(self.anchors) - 1)
+        hit = self.anchors[at] == w.hashes[some]
+        counts = np.bincount(w.row[some[hit]] * len(self.anchors) + at[hit], minlength=len(w.sizes) * len(self.anchors)).reshape(len(w.sizes), -1)
         points = np.sqrt(counts)
         return points / (np.linalg.norm(points, axis=1, keepdims=True) + 1e-9)
 
@@ -129,11 +164,23 @@ class Topics:
 
 
 def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n) of the words per slice."""
+    """(h, n) of the words of some slices."""
+
+    def merged(found: list) -> pa.RecordBatch:
+        h, n = (np.concatenate(x) for x in zip(*found))
+        h, _, same = _grouped(h)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(same, n, len(h)).astype(np.int64))], names=["h", "n"])
+
+    found, rows = [], 0
     for batch in batches:
         for part in slices(batch, 0):
-            h, n = np.unique(_Words(part.column(0)).hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            found.append(np.unique(_Words(part.column(0)).hashes, return_counts=True))
+            rows += len(found[-1][0])
+            if rows >= _ROWS:
+                yield merged(found)
+                found, rows = [], 0
+    if found:
+        yield merged(found)
 
 
 def _points(topics: Topics):
@@ -162,16 +209,16 @@ def _topics(train: DataFrame, limits: Limits) -> Topics:
 def _count_words(topics: Topics):
     """(h, topic, word, n0..n4, d) per batch, each word once a topic, `d` the texts that hold it; rows with the null word count the texts of a topic."""
 
-    def merged(found: list, spelled: list[bytes]) -> pa.RecordBatch:
-        key, h, own, n = (np.concatenate(x) for x in zip(*found))
-        _, one, same = np.unique(key, return_index=True, return_inverse=True)
+    def merged(found: list) -> pa.RecordBatch:
+        key, h, own, n = (np.concatenate(x) for x in list(zip(*found))[:4])
+        _, one, same = _grouped(key)
         total = np.zeros((len(one), KINDS + 1), np.int64)
         for k in range(KINDS + 1):
             total[:, k] = np.bincount(same, n[:, k], len(one))
-        return _counted(h[one].view(np.int64), own[one], [spelled[i] for i in one.tolist()], total)
+        return _counted(h[one].view(np.int64), own[one], pa.concat_arrays([x[4] for x in found]).take(pa.array(one)), total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, found, spelled = np.zeros(256, np.int64), [], []
+        texts, found, rows = np.zeros(256, np.int64), [], 0
         for batch in batches:
             for part in slices(batch, 0):
                 w = _Words(part.column(0))
@@ -179,34 +226,38 @@ def _count_words(topics: Topics):
                 texts += np.bincount(topic, minlength=256)
                 if len(w.hashes):
                     own = topic[w.row]
-                    key, one, same = np.unique(mix(w.hashes + own.astype(np.uint64)), return_index=True, return_inverse=True)
+                    key, one, same = _grouped(mix(w.hashes + own.astype(np.uint64)))
                     kinds = np.bincount(same * KINDS + w.kinds, minlength=len(key) * KINDS).reshape(-1, KINDS)
                     of_text = np.unique(same * np.int64(len(w.sizes)) + w.row) // len(w.sizes)
-                    found.append((key, w.hashes[one], own[one], np.column_stack([kinds, np.bincount(of_text, minlength=len(key))])))
-                    spelled += w.spelled(one)
-                if len(found) == 10:
-                    yield merged(found, spelled)
-                    found, spelled = [], []
+                    found.append((key, w.hashes[one], own[one], np.column_stack([kinds, np.bincount(of_text, minlength=len(key))]).astype(np.int32), w.spelled(one)))
+                    rows += len(key)
+                if rows >= _ROWS:
+                    yield merged(found)
+                    found, rows = [], 0
         if found:
-            yield merged(found, spelled)
+            yield merged(found)
         some = np.flatnonzero(texts)
-        yield _counted(np.zeros(len(some), np.int64), some, [None] * len(some), np.pad(texts[some, None], ((0, 0), (0, KINDS))))
+        yield _counted(np.zeros(len(some), np.int64), some, pa.nulls(len(some), pa.binary()), np.pad(texts[some, None], ((0, 0), (0, KINDS))))
 
     return run
 
 
-def _counted(h: np.ndarray, topic: np.ndarray, spelled: list, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(h), pa.array(topic.astype(np.int32)), pa.array(spelled, pa.binary()), *(pa.array(n[:, c]) for c in range(KINDS + 1))]
+def _counted(h: np.ndarray, topic: np.ndarray, spelled: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(h), pa.array(topic.astype(np.int32)), spelled, *(pa.array(n[:, c]) for c in range(KINDS + 1))]
     return pa.RecordBatch.from_arrays(columns, names=["h", "topic", "word", *_NAMES, "d"])
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the counted words."""
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            np.add.at(total, np.frombuffer(w + b" ", np.uint8), n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+    """Bytes of the counted words; behind them the powers of two of the counts per kind."""
+    total = np.zeros(256 + 64, np.int64)
+    for batch in filter(len, batches):
+        data, starts, ends = _bytes_of(batch.column(0))
+        counts = np.column_stack([np.asarray(batch.column(1 + c)) for c in range(KINDS)])
+        n = counts.sum(1)
+        total[:256] += np.bincount(data, np.repeat(n, ends - starts), 256).astype(np.int64)
+        total[_END] += n.sum()
+        total[256:] += np.bincount(np.frexp(counts[counts > 0].astype(np.float64))[1] - 1, minlength=64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["byte", "n"])
 
 
 class Code:
@@ -234,40 +285,64 @@ class Code:
             for k, (node, bit) in enumerate(paths[b]):
                 self.node[b, k], self.bit[b, k] = node, bit
 
-    def events(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, topics: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(word, bit, slots in the five tables) of every decision that spells the words."""
+        # All decisions in one row, those of byte b from `first[b]` on.
+        self.first = np.cumsum(self.length) - self.length
+        own = np.repeat(np.arange(256), self.length), np.arange(self.length.sum()) - np.repeat(self.first, self.length)
+        self.nodes, self.bits = (mix(self.node[own].astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32), self.bit[own]
+
+    def events(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, topics: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(decisions per character, bit, slots in the five tables) of every decision that spells the words but for the first `skip` characters of each."""
         sizes = ends - starts + 1
-        first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        inner = np.arange(len(word)) - first[word]
-        text = np.full(len(word), _END, np.uint8)
-        body = inner < (sizes - 1)[word]
-        text[body] = data[starts[word[body]] + inner[body]]
-        wide = text.astype(np.uint64)
-        kind, topic = kinds.astype(np.uint64)[word], topics.astype(np.uint64)[word] + np.uint64(1)
-        contexts = []
-        for back in _BACK:
-            c = np.full(len(word), back, np.uint64)
-            for d in range(1, back + 1):
-                seen = np.zeros(len(word), np.uint64)
-                seen[d:] = wide[:-d] + np.uint64(1)
-                seen[inner < d] = 0
-                c = c * np.uint64(263) + seen
-            if back == 1:
-                c = c * np.uint64(KINDS) + kind * (inner == 0)
-            contexts.append(c * np.uint64(257) + topic if back in (1, 3) else c)
+        last = np.cumsum(sizes) - 1
+        first = last - sizes + 1
+        places = np.arange(last[-1] + 1)
+        inner = places - np.repeat(first, sizes)
+        source = places + np.repeat(starts - first, sizes)
+        source[last] = 0
+        text = data[source]
+        text[last] = _END
+        kept = np.flatnonzero(inner >= np.repeat(skip, sizes))
+        wide = text.astype(np.uint64) + np.uint64(1)
+        of = sizes - skip
+        kind, topic = np.repeat(kinds.astype(np.uint64), of), np.repeat(topics.astype(np.uint64) + np.uint64(1), of)
+        hashed = np.empty((len(_TABLE_BITS), len(kept)), np.uint32)
+        seen = np.zeros(len(text), np.uint64)
+        for d in range(1, max(_BACK) + 1):
+            seen[d:] += wide[:-d] * np.uint64(263**d) * (inner[d:] >= d)
+            if d in _BACK:
+                c = seen[kept] + np.uint64(d)
+                if d == 1:
+                    c = c * np.uint64(KINDS) + kind * (inner[kept] == 0)
+                hashed[_BACK.index(d)] = mix(c * np.uint64(257) + topic if d in (1, 3) else c) >> np.uint64(32)
         # The whole word so far: a running sum from the word's start.
-        power = np.uint64(0x9E3779B97F4A7C15)
-        step = mix((wide + np.uint64(1)) * power + inner.astype(np.uint64))
-        run = np.concatenate([[0], np.cumsum(step)]).astype(np.uint64)
-        contexts.append((run[:-1] - run[first[word]]) ^ (kind * np.uint64(257) + topic) * power)
+        run = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(mix(wide * _ODD + inner.astype(np.uint64)), out=run[1:])
+        hashed[-1] = mix((run[kept] - np.repeat(run[first], of)) ^ (kind * np.uint64(257) + topic) * _ODD) >> np.uint64(32)
+        text = text[kept]
         times = self.length[text]
-        at = np.repeat(np.arange(len(word)), times)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        symbol = text[at]
-        node = self.node[symbol, k].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        slots = [((mix(c)[at] + node) * np.uint64(0xA0761D6478BD642F) >> np.uint64(64 - bits)).astype(np.int64) + _OFFSETS[i] for i, (c, bits) in enumerate(zip(contexts, _TABLE_BITS))]
-        return word[at], self.bit[symbol, k], slots
+        before = np.cumsum(times) - times
+        own = np.arange(before[-1] + times[-1]) + np.repeat(self.first[text] - before, times)
+        slots = np.take(hashed, np.repeat(np.arange(len(kept)), times), axis=1)
+        slots += self.nodes[own]
+        slots >>= _SHIFTS
+        return times, self.bits[own], slots + _OFFSETS[:-1, None]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all values and where each begins and ends."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of words of about `_CHARACTERS` characters; a longer word is alone in its run."""
+    bounds, begin = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while begin < len(sizes):
+        stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + _CHARACTERS, side="right")) - 1)
+        yield slice(begin, stop)
+        begin = stop
 
 
 def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,25 +351,58 @@ def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), ends - sizes, ends
 
 
+def _common(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many first characters each word has in common with the one before, of the same group; at most `_DEPTH`."""
+    place = np.arange(_DEPTH)
+    inside = place < (ends - starts)[:, None]
+    head = np.where(inside, data[np.where(inside, starts[:, None] + place, 0)], _END)
+    out = np.zeros(len(starts), np.int64)
+    differs = (head[1:] != head[:-1]) | (group[1:] != group[:-1])[:, None]
+    out[1:] = np.where(differs.any(1), differs.argmax(1), _DEPTH)
+    return np.minimum(out, ends - starts)
+
+
+def _spellings(code: Code, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bit, slots, how often, mean share of a text in the word after that kind, and in the word) of the decisions that spell counted words.
+
+    A decision depends on nothing behind it, so a beginning that words have in common is spelled once,
+    for all of them. The words come sorted; those of another batch or task are spelled on their own.
+    """
+    for batch in filter(len, batches):
+        data, starts, ends = _bytes_of(batch.column(0))
+        topics, n = np.asarray(batch.column(1)).astype(np.int64), np.column_stack([np.asarray(batch.column(2 + c)) for c in range(KINDS)])
+        share = 1 / np.asarray(batch.column(2 + KINDS))
+        kind, row = np.nonzero(n.T)
+        count, starts, ends, topics = n[row, kind].astype(np.float64), starts[row], ends[row], topics[row]
+        skip = _common(data, starts, ends, kind * 256 + topics)
+        # Up to which word a beginning goes on.
+        number = np.arange(len(row) + 1)
+        upto = np.full((len(row) + 1, _DEPTH), len(row), np.int32)
+        upto[:-1] = np.where(skip[:, None] <= np.arange(_DEPTH), number[:-1, None], len(row))
+        upto = np.minimum.accumulate(upto[::-1], axis=0)[::-1]
+        of = ends - starts + 1 - skip
+        bounds = np.concatenate([[0], np.cumsum(of)])
+        word = np.repeat(number[:-1], of)
+        depth = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - skip, of)
+        end = np.where(depth < _DEPTH, upto[word + 1, np.minimum(depth, _DEPTH - 1)], word + 1)
+        summed = [np.concatenate([[0], np.cumsum(x)]) for x in (count, count * count * share[row], count * (n.sum(1) * share)[row])]
+        total, of_kind, of_word = (x[end] - x[word] for x in summed)
+        rest = np.column_stack([total, of_kind / total, of_word / total]).astype(np.float32).T
+        for own in _chunks(of):
+            times, bit, slots = code.events(data, starts[own], ends[own], kind[own], topics[own], skip[own])
+            yield bit, slots, *(np.repeat(x, times) for x in rest[:, bounds[own.start] : bounds[own.stop]])
+
+
 def _tables(code: Code):
     """Context counts of the task's distinct words, in compressed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, _OFFSETS[-1]), np.float32)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                data, starts, ends = _joined(part.column(0).to_pylist())
-                topics = np.asarray(part.column(1))
-                for kind in range(KINDS):
-                    n = np.asarray(part.column(2 + kind))
-                    some = np.flatnonzero(n)
-                    if len(some):
-                        word, bit, slots = code.events(data, starts[some], ends[some], np.full(len(some), kind), topics[some])
-                        weight = n[some][word].astype(np.float32)
-                        flat, side = counts.reshape(-1), bit * np.int64(_OFFSETS[-1])
-                        for s in slots:
-                            np.add.at(flat, s + side, weight)
+        flat = counts.reshape(-1)
+        for bit, slots, weight, _, _ in _spellings(code, batches):
+            slots += bit * np.int64(_OFFSETS[-1])
+            for s in slots:
+                np.add.at(flat, s, weight)
         press = zstandard.ZstdCompressor(level=1)
         for chunk in range(0, int(_OFFSETS[-1]), _CHUNK):
             piece = counts[:, chunk : chunk + _CHUNK]
@@ -322,7 +430,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(n + 1), _LEVELS - 1).astype(np.uint8)
+    return np.minimum(np.log2(n + np.float32(1)), _LEVELS - 1).astype(np.uint8)
 
 
 class Gates:
@@ -332,42 +440,35 @@ class Gates:
         self.weights = np.tile(np.array(_START, np.float32), (_GATES, 1))
         self.map = np.tile(_squash(np.linspace(-12, 12, _MAP_CELLS)), (_GATES, 1)).astype(np.float32)
 
-    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        logit = self.weights[gate, -1]
-        for i, own in enumerate(x):
-            logit += own * self.weights[gate, i]
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        told = np.ascontiguousarray(self.weights.T)
+        logit = told[-1][gate]
+        for own, weight in zip(x, told):
+            logit += own * weight[gate]
         return np.clip(logit, -12, 12, out=logit)
 
     def cells(self, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (logit + 12) * ((_MAP_CELLS - 1) / 24)
-        low = np.minimum(at.astype(np.int64), _MAP_CELLS - 2)
-        return low, (at - low).astype(np.float32)
+        at = (logit + np.float32(12)) * np.float32((_MAP_CELLS - 1) / 24)
+        low = np.minimum(at.astype(np.int32), _MAP_CELLS - 2)
+        return low, at - low.astype(np.float32)
 
 
 def _decisions(code: Code, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(logits of the tables, gate, bit, occurrences) of every decision that spells the words, predicted without one text's share of the word."""
+    """(logits of the tables, gate, bit, occurrences) of every decision that spells the words, predicted without one text's mean share of the words that it spells."""
     pairs = counts.view(np.int64).ravel()  # both counts of a slot at once
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            part = batch.slice(k, 2000)
-            data, starts, ends = _joined(part.column(0).to_pylist())
-            n = np.column_stack([np.asarray(part.column(2 + c)) for c in range(KINDS)])
-            share = 1 / np.asarray(part.column(2 + KINDS))
-            row, kind = np.nonzero(n)
-            word, bit, slots = code.events(data, starts[row], ends[row], kind, np.asarray(part.column(1))[row])
-            weight = n[row, kind].astype(np.float32)
-            of_kind, of_word = (weight * share[row])[word].astype(np.float32), (n.sum(1) * share).astype(np.float32)[row][word]
-            x = np.empty((len(slots), len(word)), np.float32)
-            for i, s in enumerate(slots):
-                out = of_kind if i in (0, 4) else of_word  # these contexts hold the kind
-                seen = pairs[s].view(np.float32).reshape(-1, 2)
-                no, yes = np.maximum(seen[:, 0] - out * ~bit, 0), np.maximum(seen[:, 1] - out * bit, 0)
-                x[i] = np.log((yes + _DELTA) / (no + _DELTA))
-                if i == 3:
-                    gate = _level(no + yes)
-                elif i == 4:
-                    gate += _level(no + yes) * np.uint8(_LEVELS)
-            yield x, gate, bit, weight[word]
+    for bit, slots, weight, of_kind, of_word in _spellings(code, batches):
+        seen = np.take(pairs, slots).view(np.float32).reshape(*slots.shape, 2)
+        no, yes = np.ascontiguousarray(seen[..., 0]), np.ascontiguousarray(seen[..., 1])
+        for side, own in ((no, ~bit), (yes, bit)):
+            kind, word = of_kind * own, of_word * own
+            for i in range(len(slots)):
+                side[i] -= kind if i in (0, 4) else word  # the contexts of these tables hold the kind
+            np.maximum(side, 0, out=side)
+        gate = _level(no[3] + yes[3]) + _level(no[4] + yes[4]) * np.uint8(_LEVELS)
+        yes += np.float32(_DELTA)
+        no += np.float32(_DELTA)
+        yes /= no
+        yield np.log(yes, out=yes), gate, bit, weight
 
 
 def _sums(found: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -381,16 +482,23 @@ def _slopes(sent, gates: Gates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((_GATES, 1 + _INPUTS + _INPUTS * _INPUTS))
         for x, gate, bit, weight in _decisions(*sent.value, batches):
-            p = _squash(gates.mix(list(x), gate))
+            p = _squash(gates.mix(x, gate))
             order = np.argsort(gate, kind="stable")
-            x = np.vstack([x, np.ones(x.shape[1], np.float32)])[:, order]
-            slope, bend, loss = (a[order] for a in (weight * (bit - p), weight * p * (1 - p), -weight * np.log(np.where(bit, p, 1 - p))))
-            bounds = np.searchsorted(gate[order], np.arange(_GATES + 1))
+            # Inputs, slope and loss side by side, so that one product a gate has all sums.
+            left = np.empty((_INPUTS + 2, len(p)), np.float32)
+            np.take(x, order, axis=1, out=left[: len(x)], mode="clip")
+            left[len(x)] = 1
+            np.take(weight * (bit - p), order, out=left[-2], mode="clip")
+            np.take(weight * np.log(np.where(bit, p, 1 - p)), order, out=left[-1], mode="clip")
+            right = left[:_INPUTS].copy()
+            left[:_INPUTS] *= (weight * p * (1 - p))[order]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=_GATES))])
             for g in np.flatnonzero(np.diff(bounds)).tolist():
                 own = slice(bounds[g], bounds[g + 1])
-                out[g, 0] += loss[own].sum()
-                out[g, 1 : 1 + _INPUTS] += x[:, own] @ slope[own]
-                out[g, 1 + _INPUTS :] += ((x[:, own] * bend[own]) @ x[:, own].T).ravel()
+                sums = left[:, own] @ right[:, own].T
+                out[g, 0] -= sums[-1, -1]
+                out[g, 1 : 1 + _INPUTS] += sums[-2]
+                out[g, 1 + _INPUTS :] += sums[:_INPUTS].ravel()
         yield from _sums(out)
 
     return run
@@ -402,11 +510,12 @@ def _hits(sent, gates: Gates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, _GATES * _MAP_CELLS))
         for x, gate, bit, weight in _decisions(*sent.value, batches):
-            low, part = gates.cells(gates.mix(list(x), gate))
-            for cell, share in ((low, 1 - part), (low + 1, part)):
-                at, share = gate.astype(np.int64) * _MAP_CELLS + cell, share * weight
-                out[0] += np.bincount(at, share, out.shape[1])
-                out[1] += np.bincount(at, share * bit, out.shape[1])
+            low, part = gates.cells(gates.mix(x, gate))
+            at = gate.astype(np.int64) * _MAP_CELLS + low
+            high = weight * part
+            for cell, share in ((at, weight - high), (at + 1, high)):
+                out[0] += np.bincount(cell, share, out.shape[1])
+                out[1] += np.bincount(cell, share * bit, out.shape[1])
         yield from _sums(out)
 
     return run
@@ -452,23 +561,30 @@ class Mixer:
         self.logits = counts[:, 1] - counts[:, 0]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, topics: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after the given kind of word in a text of the topic."""
-        out = np.zeros(len(starts))
-        bounds = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-        begin = 0
-        while begin < len(starts):  # about 40,000 characters at a time stay in the cache
-            stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + 40_000, side="right")) - 1)
-            word, bit, slots = self.code.events(data, starts[begin:stop], ends[begin:stop], kinds[begin:stop], topics[begin:stop])
-            x = [self.logits[s] for s in slots]
-            gate = self.levels[slots[4] - _OFFSETS[3]].astype(np.int64) * _LEVELS + self.levels[slots[3] - _OFFSETS[3]]
-            logit = self.gates.mix(x, gate)
-            low, part = self.gates.cells(logit)
-            cell, told = gate * _MAP_CELLS + low, self.gates.map.ravel()
-            p = 0.5 * _squash(logit) + 0.5 * (told[cell] * (1 - part) + told[cell + 1] * part)
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            out[begin:stop] = np.bincount(word, np.log10(np.where(bit, p, 1 - p)), stop - begin)
-            begin = stop
-        return out
+        """log10 probability of each word after the given kind of word in a text of the topic; beginnings that a word has in common with the one before are scored once."""
+        if not len(starts):
+            return np.zeros(0)
+        skip = _common(data, starts, ends, kinds.astype(np.int64) + topics.astype(np.int64) * KINDS)
+        of = ends - starts + 1 - skip
+        first = np.cumsum(of) - of
+        scores = np.concatenate([self._characters(data, starts[own], ends[own], kinds[own], topics[own], skip[own]) for own in _chunks(of)])
+        # The word that each of the first characters was scored with.
+        place, number = np.arange(_DEPTH), np.arange(len(starts))[:, None]
+        source = np.maximum.accumulate(np.where(skip[:, None] <= place, number, 0), axis=0)
+        at = np.minimum((first - skip)[source] + place, len(scores) - 1)
+        return np.add.reduceat(scores, first) + (scores[at] * (place < skip[:, None])).sum(1)
+
+    def _characters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, topics: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        times, bit, slots = self.code.events(data, starts, ends, kinds, topics, skip)
+        cells = self.gates.map.ravel()
+        gate = self.levels[slots[4] - _OFFSETS[3]] * np.uint8(_LEVELS) + self.levels[slots[3] - _OFFSETS[3]]
+        logit = self.gates.mix(np.take(self.logits, slots), gate)
+        low, part = self.gates.cells(logit)
+        low += gate.astype(np.int32) * np.int32(_MAP_CELLS)
+        below = cells[low]
+        p = np.float32(0.5) * (_squash(logit) + below + (cells[low + 1] - below) * part)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return np.add.reduceat(np.log10(np.where(bit, p, 1 - p)), np.cumsum(times) - times, dtype=np.float64)
 
 
 def _key(hashes: np.ndarray, kinds: np.ndarray, topics: np.ndarray) -> np.ndarray:
@@ -484,7 +600,7 @@ class Lookup:
         self.keys, self.values = keys[order], values[order]
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and their values (0 elsewhere). The keys come sorted, which keeps the search in the cache."""
+        """Which keys are there, and their values (0 elsewhere)."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -515,11 +631,15 @@ class Model:
         if mixer is None or not len(w.hashes):
             return np.full(len(w.hashes), np.log10(0.5))
         own = topics[w.row]
-        keys, one, same = np.unique(_key(w.hashes, w.kinds, own), return_index=True, return_inverse=True)
+        keys, one, same = _grouped(_key(w.hashes, w.kinds, own))
         known, out = self.spelled.of(keys)
         out = out.astype(np.float64)
-        rest = one[~known]
-        out[~known] = mixer.words(w.data, w.starts[rest], w.ends[rest], w.kinds[rest], own[rest])
+        if not known.all():
+            new = np.flatnonzero(~known)
+            new = new[pc.sort_indices(w.spelled(one[new])).to_numpy()]
+            new = new[np.argsort((w.kinds + own * KINDS)[one[new]], kind="stable")]
+            rest = one[new]
+            out[new] = mixer.words(w.data, w.starts[rest], w.ends[rest], w.kinds[rest], own[rest])
         return out[same]
 
 
@@ -538,11 +658,12 @@ def _spell_all(mixer):
     """(key, score) of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts, ends = _joined(batch.column(0).to_pylist())
-            kinds, topics = (np.asarray(batch.column(k)).astype(np.int64) for k in (2, 3))
-            scores = mixer.value.words(data, starts, ends, kinds, topics).astype(np.float32)
-            keys = _key(np.asarray(batch.column(1)).view(np.uint64), kinds, topics)
+        for batch in filter(len, batches):
+            data, starts, ends = _bytes_of(batch.column(0))
+            order = np.argsort(np.asarray(batch.column(2)), kind="stable")  # words of a kind stay sorted
+            kinds, topics = (np.asarray(batch.column(k)).astype(np.int64)[order] for k in (2, 3))
+            scores = mixer.value.words(data, starts[order], ends[order], kinds, topics).astype(np.float32)
+            keys = _key(np.asarray(batch.column(1)).view(np.uint64)[order], kinds, topics)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(scores)], names=["key", "score"])
 
     return run
@@ -555,14 +676,15 @@ def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     names = _NAMES
     fields = ", ".join(f"{n} long" for n in (*names, "d"))
     counted = train.mapInArrow(_count_words(topics), f"h long, topic int, word binary, {fields}").groupBy("word", "topic").agg(F.min("h").alias("h"), *(F.sum(n).alias(n) for n in (*names, "d")))
-    counted = cut(counted.withColumn("end", F.col("word").isNull()))
+    # Sorted, so that words stand beside those that begin alike.
+    counted = cut(counted.withColumn("end", F.col("word").isNull()).sortWithinPartitions("topic", "word"))
     shares = np.full(256, 0.5)
     for r in counted.where("end").collect():  # one row per topic
         shares[r["topic"]] += r["n0"]
     texts = int(round((shares - 0.5).sum()))
     shares = shares[: len(topics.centres) + 1] / shares[: len(topics.centres) + 1].sum()
     spelled = counted.where("not end")
-    totals = spelled.groupBy("h").agg(F.sum(F.expr(" + ".join(names))).alias("c"))
+    totals = cut(spelled.groupBy("h").agg(F.sum(F.expr(" + ".join(names))).alias("c")))
     # One row per power of two: a fixed bound.
     steps = sorted((r.step, r.n, r.c) for r in totals.groupBy(F.floor(F.log2("c")).cast("int").alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect())
     kinds = sum(n for _, n, _ in steps)
@@ -573,15 +695,15 @@ def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     least = _least([(step, n) for step, n, _ in steps], limits.frequent)
     often = totals.where(F.col("c") >= least).toArrow()  # at most limits.frequent rows
     tasks = max(1, -(-kinds // limits.words_per_task))
-    bytes_ = spelled.select("word", F.expr(" + ".join(names)).alias("c")).mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
-    histogram = np.zeros(256, np.int64)
+    bytes_ = spelled.select("word", *names).mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
+    histogram = np.zeros(256 + 64, np.int64)
     histogram[bytes_["byte"].to_numpy()] = bytes_["n"].to_numpy()
-    code = Code(histogram)
-    chunks = spelled.select("word", "topic", *names).coalesce(tasks).mapInArrow(_tables(code), "part long, chunk long, counts binary")
+    code = Code(histogram[:256])
+    enough = _least(list(enumerate(histogram[256:].tolist())), limits.frequent)
+    chunks = spelled.select("word", "topic", *names, "d").coalesce(tasks).mapInArrow(_tables(code), "part long, chunk long, counts binary")
     while tasks > 1:  # up to `pieces` tables of a chunk are added up in a task
         tasks = -(-tasks // limits.pieces)
         chunks = chunks.withColumn("part", F.col("part") % tasks).groupBy("chunk", "part").applyInArrow(_add_chunks, "part long, chunk long, counts binary")
-    placed = spelled.select("word", "h", "topic", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(n).alias("n")) for c, n in enumerate(names)))).alias("x")).where("x.n > 0").select("word", "h", "topic", "x.kind", "x.n")
     counts = np.zeros((int(_OFFSETS[-1]), 2), np.float32)
     press = zstandard.ZstdDecompressor()
     for r in chunks.toLocalIterator():  # the tables: a fixed size
@@ -592,9 +714,10 @@ def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     told.destroy()
     mixer = Mixer(code, counts, gates)
     del counts
-    steps = sorted((r.step, r.n) for r in placed.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("n")).collect())
     shared = docs.sparkSession.sparkContext.broadcast(mixer)  # a fixed size
-    ready = placed.where(F.col("n") >= _least(steps, limits.frequent)).select("word", "h", "kind", "topic").mapInArrow(_spell_all(shared), "key long, score float").toArrow()  # at most limits.frequent rows
+    placed = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(n).alias("n")) for c, n in enumerate(names))))
+    placed = spelled.where(F.greatest(*names) >= enough).select("word", "h", "topic", placed.alias("x")).where(F.col("x.n") >= enough)
+    ready = placed.select("word", "h", "x.kind", "topic").mapInArrow(_spell_all(shared), "key long, score float").toArrow()  # at most limits.frequent rows
     spelled_ = Lookup(ready["key"].to_numpy().view(np.uint64), ready["score"].to_numpy())
     model = Model(topics, shares, mixer, Lookup(often["h"].to_numpy().view(np.uint64), often["c"].to_numpy()), spelled_, tokens, kinds + (texts > 0), texts)
     model.sent = shared
@@ -623,7 +746,7 @@ def score(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
             for part in slices(batch, 2):
                 w = _Words(part.column(2))
                 topic = m.topics.of(w)
-                hashes, same = np.unique(w.hashes, return_inverse=True)
+                hashes, _, same = _grouped(w.hashes)
                 known, c = (x[same] for x in m.counts.of(hashes))
                 total = lambda x: np.bincount(w.row, x, len(w.sizes))
                 scores = np.log10(m.shares[topic]) + total(m.words(w, topic, mixer)) + w.sizes * np.log10(1 - stop) + np.log10(stop)
