@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedigree.functions.columns import domain, major, param, semver_key, trim_all
+from pedigree.functions.columns import domain, major, param, semver_key, tied, trim_all
 from pedigree.operators.grid import Relations
 from pedigree.params import MACHINE_EMAIL, Params
 from pedigree.session import cut
@@ -25,8 +25,9 @@ def valid_rows(history: DataFrame) -> DataFrame:
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("package_id", "version").orderBy("input_idx"))).where("_k = 1").drop("_k")
     address = F.when(F.length("publisher_email") > 0, F.lower(trim_all(F.col("publisher_email"))))
     rows = rows.withColumns({"email": address, "name": F.nullif("publisher_name", F.lit("")), "major": major(F.col("version"))})
-    order = ["published_at_ms", semver_key(F.col("version")), "input_idx"]
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("package_id").orderBy(*order)).cast("long") - 1)
+    order = ["published_at_ms", F.when(F.col("_tied"), semver_key(F.col("version"))), "input_idx"]
+    rows = rows.withColumn("_tied", tied("package_id", "published_at_ms"))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("package_id").orderBy(*order)).cast("long") - 1).drop("_tied")
     return rows.withColumn("mrn", F.row_number().over(Window.partitionBy("package_id", "major").orderBy("rn")).cast("long") - 1)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedigree.functions.columns import domain, identity, param, provider, semver_key
+from pedigree.functions.columns import domain, identity, param, provider, semver_key, tied
 from pedigree.operators.grid import Grid, Relations
 from pedigree.params import Params
 from pedigree.session import cut
@@ -25,8 +25,9 @@ def usable_rows(history: DataFrame) -> DataFrame:
 
 def valid_rows(history: DataFrame) -> DataFrame:
     """Usable rows, numbered (rn from 0) by time, version and identity."""
-    order = Window.partitionBy("package_id").orderBy("published_at_ms", semver_key(F.col("version")), "identity", "input_idx")
-    return usable_rows(history).withColumn("rn", F.row_number().over(order).cast("long") - 1)
+    rows = usable_rows(history).withColumn("_tied", tied("package_id", "published_at_ms"))
+    order = Window.partitionBy("package_id").orderBy("published_at_ms", F.when(F.col("_tied"), semver_key(F.col("version"))), "identity", "input_idx")
+    return rows.withColumn("rn", F.row_number().over(order).cast("long") - 1).drop("_tied")
 
 
 def blocks_of_rows(rows: DataFrame) -> DataFrame:

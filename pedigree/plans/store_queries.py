@@ -235,7 +235,9 @@ def result_document(spark, sf_dir):
     """The whole result document, line by line: its head with corpus, parameters and aggregates, its labels, its packages."""
     results, parts, labels, history = queries._results(spark, sf_dir)
     results = cut(results)
-    attributed = cut(evaluation.attribute(labels, evaluation.label_targets(labels, history), parts["last"], queries.publisher.blocks_of_rows(parts["rows"])))
+    # All labels; they ask for no row of a package that has none, as patterns never look beyond a package.
+    theirs = history.join(labels.select("package_id").distinct(), "package_id", "left_semi")
+    attributed = cut(evaluation.attribute(labels, evaluation.label_targets(labels, theirs), parts["last"], queries.publisher.blocks_of_rows(queries.publisher.valid_rows(theirs))))
     return evaluation.result_document(results, attributed)
 
 
