@@ -118,9 +118,18 @@ def version_files(projected: DataFrame) -> DataFrame:
     return projected.select("package_name", "version", F.explode("files").alias("f")).select("package_name", "version", "f.*")
 
 
+def own_files(projected: DataFrame) -> DataFrame:
+    """The releases with the names of the files that they hold themselves, sorted; null if they hold none."""
+    return projected.withColumn("filenames", F.when(F.size("files") > 0, F.sort_array(F.transform("files", lambda f: f["filename"]))))
+
+
 def files_of(releases: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
-    """The releases with their files' names, sorted."""
-    return releases.join(files.groupBy(*key).agg(F.sort_array(F.collect_list("filename")).alias("filenames")), key, "left")
+    """The releases with their files' names, sorted, where the files are a table of their own.
+
+    The join is named: Spark takes what comes out of documents for hundreds of times smaller than it is, and would send a file a release through the driver.
+    """
+    names = files.groupBy(*key).agg(F.sort_array(F.collect_list("filename")).alias("filenames"))
+    return releases.join(names.hint("merge"), key, "left")
 
 
 def rewrite_documents(documents: DataFrame, decisions: DataFrame, key: str = "package_name", column: str = "document") -> DataFrame:

@@ -85,8 +85,7 @@ def version_files(spark, sf_dir):
 
 @query(oracles._gates("SELECT package_name, version, CASE version_id % 3 WHEN 0 THEN 'f' || version_id || '.tgz' WHEN 1 THEN 'plain' || version_id || '.tgz' END AS filenames FROM rel"))
 def files_of_releases(spark, sf_dir):
-    projected = projection.project(_documents(spark, sf_dir))
-    return projection.files_of(projected.select("package_name", "version"), projection.version_files(projected), ["package_name", "version"]).withColumn("filenames", F.array_join("filenames", ","))
+    return projection.own_files(projection.project(_documents(spark, sf_dir))).select("package_name", "version", F.array_join("filenames", ",").alias("filenames"))
 
 
 _REASONS = "coalesce(string_agg(version || '=' || reason, '; ' ORDER BY version) FILTER (disposition = '{}'), '')"

@@ -144,3 +144,28 @@ def test_only_changed_documents_move_tags(spark):
     assert [tuple(x) for x in got[1]["blocked"]] == [("2.0.0", "late")] and [tuple(x) for x in got[1]["warned"]] == [("x", "odd")]
     assert sorted(tuple(x) for x in got[6]["downgrades"]) == [("beta", "2.0.0", "3.0.0-rc.1"), ("latest", "2.0.0", None)]
     assert [got[k]["downgrades"] for k in (2, 3, 4, 5)] == [[]] * 4
+
+
+def test_files_of_releases_are_read_in_their_documents(spark, sf_dir):
+    """A join of releases and files made the documents twice, and sent a file a release through the driver."""
+    found = store_queries.QUERIES["files_of_releases"](spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and plan.count("Relation [") == 2 and "LeftOuter" not in plan
+    assert found.count() == adapters.stored_releases(spark, sf_dir).count()
+
+
+def test_files_of_a_table_of_files(spark):
+    """A file of no release, a release of no files, two files, a name that is null; small as they look, files are not broadcast."""
+    releases = spark.createDataFrame([("p", "1", 7), ("p", "2", 8), ("q", "1", 9), ("q", "2", 9)], "package_name string, version string, n int")
+    files = spark.createDataFrame([("p", "1", "b"), ("p", "1", "a"), ("q", "1", None), ("z", "1", "c")], "package_name string, version string, filename string")
+    found = projection.files_of(releases, files, ["package_name", "version"])
+    assert sorted(map(tuple, found.collect())) == [("p", "1", 7, ["a", "b"]), ("p", "2", 8, None), ("q", "1", 9, []), ("q", "2", 9, None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_files(spark):
+    dist = '{"versions":{"1.0.0":{"dist":{"tarball":"https://r/-/a.tgz"}},"2.0.0":{"dist":{"tarball":7}},"3.0.0":{}}}'
+    rows = projection.own_files(projection.project(spark.createDataFrame([(dist,)], "document string")))
+    two = rows.limit(1).selectExpr("array(named_struct('filename', 'b'), named_struct('filename', 'a')) AS files")
+    assert sorted(map(tuple, rows.select("version", "filenames").collect())) == [("1.0.0", ["a.tgz"]), ("2.0.0", None), ("3.0.0", None)]
+    assert projection.own_files(two).first()["filenames"] == ["a", "b"]
